@@ -61,10 +61,10 @@ def _to_the_minute(text: Column) -> Column:
 
 
 def event_title(kind: Column, to_stage: Column, label: Column) -> Column:
-    pairs = [F.lit(x) for pair in C.EVENT_TITLES.items() for x in pair]
+    titles = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in C.EVENT_TITLES.items()) + ")")
     return F.when(
         kind == "stage_advanced", F.when(_filled(to_stage), label).otherwise("Stage changed")
-    ).otherwise(F.coalesce(F.create_map(*pairs)[kind], kind))
+    ).otherwise(F.coalesce(titles[kind], kind))
 
 
 def event_detail(p: Column) -> Column:
@@ -134,7 +134,7 @@ def what_happened(
 
 
 def number_word(n: Column) -> Column:
-    words = F.array(*[F.lit(w) for w in C.NUMBER_WORDS])
+    words = F.expr("array(" + ", ".join(f"'{w}'" for w in C.NUMBER_WORDS) + ")")
     return F.when(n.between(0, 12), F.get(words, n.cast("int"))).otherwise(n.cast("string"))
 
 

@@ -14,129 +14,104 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.clock import moment
 from . import stages as S
 
 CASE = ["user_id", "case_id"]
 DESCRIPTIVE = ("role_title", "seniority", "location", "work_mode", "company_id", "channel")
+STAGE_TYPES = (
+    "applied", "acknowledged", "stage_advanced", "interview_scheduled", "offer_received",
+    "offer_negotiated", "human_corrected",
+)
 SALTS = 16
 
-_P = F.col
-_TYPE = "type"
 
+def _names(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
 
-def confidence_floor(log: DataFrame) -> DataFrame:
-    """Events that may vote."""
-    return log.filter(F.col("confidence") >= C.CONFIDENCE_FLOOR)
-
-
-def _voting() -> Column:
-    return F.col("confidence") >= C.CONFIDENCE_FLOOR
 
+_VOTES = f"confidence >= {C.CONFIDENCE_FLOOR}D"
+_TERMINAL = f"type IN ({_names(C.TERMINAL)})"
+_INBOUND = f"type IN ({_names(C.INBOUND)})"
+_STATUS = f"""CASE WHEN {_TERMINAL} THEN type
+    WHEN type = 'went_silent' THEN 'dormant'
+    WHEN type = 'human_corrected' AND payload.field = 'status'
+      AND payload.`to` IN ({_names(C.STATUSES)}) THEN payload.`to`
+    WHEN {_INBOUND} THEN 'live' END"""
+_STAGE = """CASE WHEN type IN ('applied', 'acknowledged') THEN type
+    WHEN type = 'stage_advanced' THEN coalesce(nullif(to_stage, ''), payload.to_stage)
+    WHEN type = 'interview_scheduled' AND coalesce(payload.status, '') <> 'cancelled'
+      THEN payload.stage
+    WHEN type = 'offer_received' THEN 'offer'
+    WHEN type = 'offer_negotiated' THEN 'negotiating'
+    WHEN type = 'human_corrected' AND payload.field = 'stage' THEN payload.`to` END"""
 
-def _corrects(field: str) -> Column:
-    return (F.col(_TYPE) == "human_corrected") & (F.col("payload.field") == field)
 
-
-def _pins(field: str) -> Column:
-    pinned = _corrects(field) & (F.col("confidence") >= C.PINNED_CONFIDENCE)
-    return F.coalesce(pinned, F.lit(False))
+def confidence_floor(log: DataFrame) -> DataFrame:
+    """Events that may vote."""
+    return log.filter(_VOTES)
 
 
-def _tie() -> Column:
-    return F.concat_ws(" ", F.coalesce("evidence_ref", F.lit("")), F.col(_TYPE))
+def _corrected(field: str) -> str:
+    return f"CASE WHEN type = 'human_corrected' AND payload.field = '{field}' THEN payload.`to` END"
 
 
-def _tier(field: str) -> Column:
-    return (
-        F.when(_pins(field), F.lit(3)).when(F.col(_TYPE).isin(*C.TERMINAL), F.lit(2)).otherwise(1)
-    )
+def _described(field: str) -> str:
+    """A non-empty correction, else whatever the payload carries (an empty text counts)."""
+    return f"coalesce(nullif({_corrected(field)}, ''), payload.{field})"
 
 
-def _claim(field: str, value: Column) -> Column:
+def _claim(field: str, value: str) -> Column:
     """What an event says about a field, ordered by who wins. Null when it says nothing."""
-    return F.when(
-        _voting() & value.isNotNull(),
-        F.struct(
-            _tier(field).alias("tier"),
-            F.col("occurred_at").alias("at"),
-            F.col("confidence").alias("confidence"),
-            _tie().alias("tie"),
-            value.alias("value"),
-            F.col("seq").alias("seq"),
-            F.col(_TYPE).alias("type"),
-        ),
-    )
-
-
-def _status_value() -> Column:
-    t, to = F.col(_TYPE), F.col("payload.to")
-    return (
-        F.when(t.isin(*C.TERMINAL), t)
-        .when(t == "went_silent", "dormant")
-        .when(_corrects("status") & to.isin(*C.STATUSES), to)
-        .when(t.isin(*C.INBOUND), "live")
-    )
-
-
-def _stage_value() -> Column:
-    t, p = F.col(_TYPE), F.col("payload")
-    cancelled = F.coalesce(p["status"] == "cancelled", F.lit(False))
-    return (
-        F.when(t.isin("applied", "acknowledged"), t)
-        .when(
-            t == "stage_advanced",
-            F.coalesce(F.nullif(F.col("to_stage"), F.lit("")), p["to_stage"]),
-        )
-        .when((t == "interview_scheduled") & ~cancelled, p["stage"])
-        .when(t == "offer_received", "offer")
-        .when(t == "offer_negotiated", "negotiating")
-        .when(_corrects("stage"), p["to"])
+    return F.expr(
+        f"""CASE WHEN {_VOTES} AND ({value}) IS NOT NULL THEN named_struct(
+        'tier', CASE WHEN type = 'human_corrected' AND payload.field = '{field}'
+                  AND confidence >= {C.PINNED_CONFIDENCE}D THEN 3 WHEN {_TERMINAL} THEN 2 ELSE 1 END,
+        'at', occurred_at,
+        'confidence', confidence,
+        'tie', concat(coalesce(evidence_ref, ''), ' ', type),
+        'value', {value},
+        'seq', seq,
+        'type', type) END"""
     )
 
 
-def _described(field: str) -> Column:
-    """A non-empty correction, else whatever the payload carries (an empty text counts)."""
-    return F.coalesce(
-        F.when(_corrects(field), F.nullif(F.col("payload.to"), F.lit(""))),
-        F.col("payload")[field],
+def _claims(log: DataFrame) -> DataFrame:
+    """What each event says, one column per decision. Most of them are null in any row."""
+    authored = f"type IN ({_names(C.HUMAN_AUTHORED)}) OR coalesce(rung = {C.HUMAN_RUNG}, false)"
+    when = "named_struct('at', occurred_at, 'seq', seq)"
+    applied = f"try_cast({_corrected('applied_at')} AS TIMESTAMP)"
+    return log.select(
+        *CASE,
+        F.expr(_VOTES).alias("_votes"),
+        _claim("status", _STATUS).alias("_status"),
+        _claim("stage", _STAGE).alias("_stage"),
+        *[_claim(f, _described(f)).alias(f"_{f}") for f in DESCRIPTIVE],
+        _claim("comp_expectation", _corrected("comp_expectation")).alias("_comp"),
+        _claim("applied_at", applied).alias("_applied_fix"),
+        F.expr(f"CASE WHEN {_VOTES} AND type = 'applied' THEN {when} END").alias("_first_applied"),
+        F.expr(f"CASE WHEN {_VOTES} AND type = 'acknowledged' THEN {when} END").alias("_first_ack"),
+        F.expr(
+            f"""CASE WHEN {_VOTES} AND {_INBOUND}
+            THEN named_struct('at', occurred_at, 'earliest', -seq, 'seq', seq) END"""
+        ).alias("_last_signal"),
+        # Kept whether or not the event may vote.
+        F.expr(
+            """CASE WHEN type = 'went_silent' THEN named_struct('at', occurred_at, 'seq', seq,
+            'closed', coalesce(payload.presumed_closed, false)) END"""
+        ).alias("_silent"),
+        F.expr(f"CASE WHEN {authored} THEN occurred_at END").alias("last_user_action_at"),
     )
 
 
 def _winners(log: DataFrame) -> DataFrame:
-    t = F.col(_TYPE)
-    authored = t.isin(*C.HUMAN_AUTHORED) | F.coalesce(F.col("rung") == C.HUMAN_RUNG, F.lit(False))
-    first = lambda wanted: F.min(
-        F.when(_voting() & wanted, F.struct(F.col("occurred_at").alias("at"), "seq"))
-    )
-    return log.groupBy(*CASE).agg(
+    latest = ["_status", "_stage", *[f"_{f}" for f in DESCRIPTIVE], "_comp", "_applied_fix",
+              "_last_signal", "_silent", "last_user_action_at"]
+    earliest = ["_first_applied", "_first_ack"]
+    return _claims(log).groupBy(*CASE).agg(
         F.count("*").alias("event_count"),
-        F.count_if(_voting()).alias("voting_count"),
-        F.count_if(~_voting()).alias("ignored_count"),
-        F.max(_claim("status", _status_value())).alias("_status"),
-        F.max(_claim("stage", _stage_value())).alias("_stage"),
-        *[F.max(_claim(f, _described(f))).alias(f"_{f}") for f in DESCRIPTIVE],
-        F.max(_claim("comp_expectation", F.when(_corrects("comp_expectation"), _P("payload.to"))))
-        .alias("_comp"),
-        F.max(_claim("applied_at", F.when(_corrects("applied_at"), moment(_P("payload.to")))))
-        .alias("_applied_fix"),
-        first(t == "applied").alias("_first_applied"),
-        first(t == "acknowledged").alias("_first_ack"),
-        F.max(
-            F.when(
-                _voting() & t.isin(*C.INBOUND),
-                F.struct(F.col("occurred_at").alias("at"), (-F.col("seq")).alias("earliest"), "seq"),
-            )
-        ).alias("_last_signal"),
-        # Kept whether or not the event may vote.
-        F.max_by(
-            F.struct(
-                F.col("occurred_at").alias("at"),
-                F.coalesce(F.col("payload.presumed_closed"), F.lit(False)).alias("closed"),
-            ),
-            F.when(t == "went_silent", F.struct("occurred_at", "seq")),
-        ).alias("_silent"),
-        F.max(F.when(authored, F.col("occurred_at"))).alias("last_user_action_at"),
+        F.count_if("_votes").alias("voting_count"),
+        *[F.max(c).alias(c) for c in latest],
+        *[F.min(c).alias(c) for c in earliest],
     )
 
 
@@ -159,13 +134,10 @@ def _decided(log: DataFrame) -> DataFrame:
         _ordinary_key(F.col("_frozen")).alias("_limit"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
     )
-    claims = (
-        log.select(
-            *CASE,
-            _claim("stage", _stage_value()).alias("_claim"),
-            F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int").alias("_salt"),
-        )
-        .filter(F.col("_claim").isNotNull())
+    claims = log.filter(F.col("type").isin(*STAGE_TYPES)).select(
+        *CASE,
+        _claim("stage", _STAGE).alias("_claim"),
+        F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int").alias("_salt"),
     )
     held_back = (
         claims.join(late, [*CASE, "_salt"])
@@ -237,7 +209,7 @@ def fold_provenance(log: DataFrame) -> DataFrame:
 
 def ignored_events(log: DataFrame) -> DataFrame:
     """Events that stay in the log but do not vote."""
-    return log.filter(~_voting())
+    return log.filter(f"NOT ({_VOTES})")
 
 
 def project_cases(

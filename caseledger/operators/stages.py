@@ -8,22 +8,23 @@ from .. import constants as C
 _COLUMNS = ("key", "label", "phase", "depth", "stale_after_days")
 
 
+def _literal(value) -> str:
+    return f"'{value}'" if isinstance(value, str) else str(value)
+
+
 def default_rows() -> Column:
-    """The twelve default stages as an array of structs."""
-    return F.array(
-        *[
-            F.struct(*[F.lit(v).alias(c) for c, v in zip(_COLUMNS, row, strict=True)])
-            for row in C.DEFAULT_STAGES
-        ]
+    """The default stages as an array of structs."""
+    rows = (
+        ", ".join(f"'{c}', {_literal(v)}" for c, v in zip(_COLUMNS, row, strict=True))
+        for row in C.DEFAULT_STAGES
     )
+    return F.expr("array(" + ", ".join(f"named_struct({r})" for r in rows) + ")")
 
 
 def _default_map(column: str) -> Column:
     at = _COLUMNS.index(column)
-    pairs: list[Column] = []
-    for row in C.DEFAULT_STAGES:
-        pairs += [F.lit(row[0]), F.lit(row[at])]
-    return F.create_map(*pairs)
+    pairs = ", ".join(f"'{row[0]}', {_literal(row[at])}" for row in C.DEFAULT_STAGES)
+    return F.expr(f"map({pairs})")
 
 
 def seed_stage_defs(users: DataFrame, stage_defs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..operators.activity import ghosted
 from ..operators.reach import period_window
 from ..operators.skew import exact_percentiles
 from ..operators.stages import with_stage
+from ..session import cut_lineage
 
 _FUNNEL = (
     ("Applied", None),
@@ -291,6 +292,9 @@ def statistics(
             F.explode(F.array(*cells)).alias("c"),
         ).select("user_id", "section", "item", "c.measure", "c.value", "c.text")
 
+    # Every section reads the same two tables: they are written once, as the report's snapshot.
+    reach, active = cut_lineage(reach), cut_lineage(active)
+    dwell = cut_lineage(dwell)
     counts = tenant_counts(cohort(reach, active, now, period), now)
     ratio_numbers, ratio_texts = (
         ["value", "numerator", "denominator", "excluded"],

@@ -28,6 +28,7 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
         .appName("caseledger")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
     )

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _MODULES = (
-    "log", "folding", "reach",
+    "log", "folding", "reach", "statistics", "board",
 )
 
 

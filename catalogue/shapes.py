@@ -3,6 +3,7 @@
 Expressions that both dialects read the same way are written once.
 """
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,11 +21,20 @@ STAGES6 = ("hr_call", "take_home", "interview", "technical", "final", "mystery")
 
 
 def pick(index: str, values) -> str:
-    """A value by position, as a CASE both dialects read."""
-    arms = " ".join(
-        f"WHEN {i} THEN {'NULL' if v is None else repr(v)}" for i, v in enumerate(values)
-    )
-    return f"CASE ({index}) % {len(values)} {arms} END"
+    """A value by position. Written once, read by both dialects after to_spark / to_duck."""
+    items = ", ".join("NULL" if v is None else repr(v) for v in values)
+    return f"PICK<<({index}) % {len(values)}|{items}>>"
+
+
+_PICK = re.compile(r"PICK<<(.*?)\|(.*?)>>")
+
+
+def to_spark(expression: str) -> str:
+    return _PICK.sub(r"get(array(\2), CAST(\1 AS INT))", expression).replace("VARCHAR(20)", "STRING")
+
+
+def to_duck(expression: str) -> str:
+    return _PICK.sub(r"([\2])[\1 + 1]", expression)
 
 
 K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INT)"
@@ -156,12 +166,12 @@ class Tables:
         base = base.select(
             "event_id", "user_id", "value", "k",
             F.expr("user_id * 8 + event_id % 8").alias("case_id"),
-            F.expr(EVENT_TYPE).alias("type"),
+            F.expr(to_spark(EVENT_TYPE)).alias("type"),
             (F.col("ts") + (F.col("ts") - origin) * 5).alias("occurred_at"),
         )
         flat = base.select(
             "*",
-            *[F.expr(e.replace("VARCHAR(20)", "STRING")).alias(n) for n, e in {**HEAD, **FLAT}.items()],
+            *[F.expr(to_spark(e)).alias(n) for n, e in {**HEAD, **FLAT}.items()],
             *[
                 F.when(
                     F.expr(cond),
@@ -194,7 +204,7 @@ class Tables:
     @cached_property
     def users(self) -> DataFrame:
         return self.log.groupBy("user_id").agg(F.lit("EUR").alias("display_currency")).select(
-            "user_id", F.expr(pick("user_id", ZONES)).alias("tz"), "display_currency"
+            "user_id", F.expr(to_spark(pick("user_id", ZONES))).alias("tz"), "display_currency"
         )
 
     @cached_property
@@ -224,7 +234,7 @@ class Tables:
         return self.raw("supplier").select(
             F.col("s_suppkey").alias("company_id"),
             F.concat(F.lit("Company "), F.col("s_suppkey"),
-                     F.expr(pick("s_suppkey", (" GmbH", " S.p.A.", " Ltd", "", " Inc"))))
+                     F.expr(to_spark(pick("s_suppkey", (" GmbH", " S.p.A.", " Ltd", "", " Inc")))))
             .alias("canonical_name"),
             F.concat(F.lit("company"), F.col("s_suppkey"), F.lit(".com")).alias("domain"),
         )
@@ -232,7 +242,7 @@ class Tables:
     @cached_property
     def cases(self) -> DataFrame:
         rows = self.log.groupBy("user_id", "case_id").agg(F.min("occurred_at").alias("created_at"))
-        rows = rows.select("*", *[F.expr(e).alias(n) for n, e in CASE_COLUMNS.items()])
+        rows = rows.select("*", *[F.expr(to_spark(e)).alias(n) for n, e in CASE_COLUMNS.items()])
         part = self.raw("part").select(
             F.col("p_partkey").alias("_pk"), F.col("p_name").alias("role_title")
         )
@@ -285,6 +295,7 @@ def cte(name: str, text: str, uses: str = "") -> None:
 
 def with_ctes(body: str, names: list[str]) -> str:
     """Put the named tables, and what they need, before the query."""
+    body = to_duck(body)
     ordered: list[str] = []
 
     def visit(name: str) -> None:
@@ -299,7 +310,7 @@ def with_ctes(body: str, names: list[str]) -> str:
         visit(name)
     if not ordered:
         return body
-    parts = ",\n".join(f"{n} AS MATERIALIZED (\n{CTES[n][1]}\n)" for n in ordered)
+    parts = ",\n".join(f"{n} AS MATERIALIZED (\n{to_duck(CTES[n][1])}\n)" for n in ordered)
     return f"WITH {parts}\n{body}"
 
 
