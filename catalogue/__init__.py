@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _MODULES = (
-    "log", "folding", "reach", "statistics", "board",
+    "log", "folding", "reach", "statistics", "board", "sweeps", "nudging",
 )
 
 
