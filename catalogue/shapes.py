@@ -117,6 +117,28 @@ HEAD = {
     " WHEN k % 4 = 3 THEN NULL ELSE 1 + k % 3 END",
 }
 
+SENDERS = (
+    "Acme Hiring Team <no-reply@us.greenhouse-mail.io>", "Prima via Lever <no-reply@hire.lever.co>",
+    "Jane Doe <janedoe@company3.com>", "LinkedIn <jobs-noreply@linkedin.com>",
+    "Indeed <donotreply@match.indeed.com>", "GitHub <noreply@github.com>",
+    "Marco Rossi <marco.rossi@gmail.com>", "Careers | Nova <careers@nova-labs.io>",
+    "no-reply@shop.example.org", "Workable <mailer@workablemail.com>",
+    "LeetCode <promo@leetcode.com>", "Talent <talent@company7.com>",
+)
+SUBJECTS = (
+    "Thank you for applying to Nova Labs", "Application update", "Your application to Nova Labs",
+    "Thank you for your application to Prima", "Weekly newsletter", "Colloquio conoscitivo",
+    "Your application was sent to Nova Labs", "New job alert for you",
+    "We would like to invite you to an interview", "Invito al colloquio", "Take-home assignment",
+    "Offerta speciale: saldi", "Candidatura inviata", "Hello there", "A role in our team",
+)
+LEADS = (
+    "We have received your application for the Senior Data Engineer position at Nova.",
+    "Unfortunately we are moving forward with other candidates.", "Grazie per la tua candidatura.",
+    "Dear all,", "Please schedule a call with us.",
+    "See https://nova.example.com/jobs/123 for details, or meet.google.com/abc.", "Good morning.",
+)
+TITLES = ("Technical interview", "Intro call", "Chat with the CTO", "Catch up", "Take-home review")
 ZONES = ("Etc/UTC", "Europe/Rome", "America/New_York", "Asia/Tokyo")
 N_COMPANIES = 10  # suppliers present at every scale
 COMPANY_ID = f"(user_id + CAST(floor((case_id % 8) / 3) AS INT)) % {N_COMPANIES}"
@@ -248,6 +270,36 @@ class Tables:
         )
         return rows.join(part, F.col("case_id") % 200 == F.col("_pk"), "left").drop("_pk")
 
+    @cached_property
+    def messages(self) -> DataFrame:
+        """Documents as mail: senders, subjects and headers of our own around the whole text."""
+        d = F.col("doc_id")
+        invited = F.struct(
+            F.concat(F.lit("uid-"), d).alias("uid"),
+            F.expr(to_spark(pick("doc_id", TITLES))).alias("summary"),
+            F.expr("TIMESTAMP '2024-08-01 09:00:00' + make_dt_interval(CAST(doc_id % 30 AS INT))")
+            .alias("starts_at"),
+            F.expr("CASE WHEN doc_id % 2 = 0 THEN 'cancelled' ELSE 'confirmed' END").alias("status"),
+            F.lit("REQUEST").alias("method"),
+            F.lit("people@company2.com").alias("organiser"),
+        )
+        lead = F.expr(to_spark(pick("doc_id", LEADS)))
+        return self.raw("documents").select(
+            "doc_id",
+            F.concat(F.lit("d-"), d).alias("message_id"),
+            (d % 20).alias("user_id"),
+            F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('t-', doc_id % 400) END").alias("thread_id"),
+            F.expr("TIMESTAMP '2024-07-01 00:00:00' + make_dt_interval(0, 0, CAST(doc_id AS INT))")
+            .alias("received_at"),
+            F.expr(to_spark(pick("doc_id", SENDERS))).alias("sender"),
+            F.expr(to_spark(pick("doc_id", SUBJECTS))).alias("subject"),
+            F.concat(lead, F.lit("\n"), F.col("text")).alias("text"),
+            F.expr("CASE WHEN doc_id % 8 = 3 THEN 'list.example.org' END").alias("list_id"),
+            F.expr("CASE WHEN doc_id % 4 = 1 THEN '<mailto:off@example.org>' END").alias("list_unsubscribe"),
+            F.expr("CASE WHEN doc_id % 4 = 2 THEN 'Bulk' END").alias("precedence"),
+            F.when(d % 25 == 7, invited).alias("invite"),
+        )
+
     @cached_property
     def interviews(self) -> DataFrame:
         return log_ops.interviews_from_events(self.log)
@@ -492,3 +544,11 @@ cte("act", f"""SELECT a.*, sd.depth, sd.stale_after_days, d.p50_days, d.p75_days
     WHERE cancelled_at IS NULL AND starts_at > TIMESTAMP '{NOW}' GROUP BY ALL) nx
     ON nx.user_id = a.user_id AND nx.case_id = a.case_id
   WHERE a.merged_into_id IS NULL""", "projected stage_defs_ dwell_in interviews_")
+
+cte("msg", f"""SELECT doc_id, concat('d-', doc_id) AS message_id, doc_id % 20 AS user_id,
+  CASE WHEN doc_id % 3 = 0 THEN concat('t-', doc_id % 400) END AS thread_id,
+  {pick('doc_id', SENDERS)} AS sender, {pick('doc_id', SUBJECTS)} AS subject,
+  concat({pick('doc_id', LEADS)}, chr(10), text) AS text,
+  doc_id % 8 = 3 AS has_list, doc_id % 4 = 1 AS has_unsubscribe, doc_id % 4 = 2 AS bulk,
+  doc_id % 25 = 7 AS invited, doc_id % 2 = 0 AS cancelled, {pick('doc_id', TITLES)} AS title
+  FROM documents""")
