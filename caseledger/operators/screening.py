@@ -235,32 +235,36 @@ def match_templates(messages: DataFrame, rules: tuple[Rule, ...] = BUILT_IN) ->
         "_ph", F.when(F.col("_t") == -1, N.phrase_index(_haystack()))
     )
     t = F.col("_t")
+    hit = (t >= 0) | F.col("_ph").isNotNull()
+    rows = rows.select(
+        "*",
+        F.when(hit, N.company_from_sender(F.col("sender"), ats)).alias("_by_sender"),
+        _captured(t, "company", rules).alias("_named"),
+        _captured(t, "role", rules).alias("_role"),
+    )
     flat = [(i * 100 + j, p) for i, r in enumerate(rules) for j, p in enumerate(r.patterns)]
     intents = F.expr("map(" + ", ".join(f"{k}, '{p.intent}'" for k, p in flat) + ")")
     sure = F.expr("map(" + ", ".join(f"{k}, {p.confidence}D" for k, p in flat) + ")")
     phrase = N.phrase_facts(F.col("_ph"))
-    by_sender = N.company_from_sender(F.col("sender"), ats)
-    named = _captured(t, "company", rules)
-    source = F.when(t.isNull(), None)
-    for i, rule in enumerate(rules):
-        ours = t.between(i * 100, i * 100 + 99)
-        if rule.company_from == "sender_display_name":
-            source = source.when(ours, F.coalesce(by_sender, named))
-        elif rule.company_from == "sender_domain":
-            source = source.when(
-                ours, F.coalesce(named, N.company_from_domain(F.col("sender_domain"), ats))
-            )
-        else:
-            source = source.when(ours, F.coalesce(named, by_sender))
-    hit = (t >= 0) | F.col("_ph").isNotNull()
+    from_sender, from_domain = (
+        [k for k, _ in flat if rules[k // 100].company_from == source]
+        for source in ("sender_display_name", "sender_domain")
+    )
+    company = (
+        F.when(t.isin(from_sender), F.coalesce("_by_sender", "_named"))
+        .when(
+            t.isin(from_domain),
+            F.coalesce("_named", N.company_from_domain(F.col("sender_domain"), ats)),
+        )
+        .when(t >= 0, F.coalesce("_named", "_by_sender"))
+        .otherwise(F.col("_by_sender"))
+    )
     return rows.select(
         *messages.columns,
         F.when(t >= 0, intents[t]).otherwise(phrase["intent"]).alias("t_intent"),
         F.when(t >= 0, sure[t]).otherwise(phrase["confidence"]).alias("t_confidence"),
-        F.when(t >= 0, source).when(hit, by_sender).alias("t_company"),
-        F.when(
-            hit, F.coalesce(_captured(t, "role", rules), N.role_from_body(_haystack()))
-        ).alias("t_role"),
+        company.alias("t_company"),
+        F.when(hit, F.coalesce(F.col("_role"), N.role_from_body(_haystack()))).alias("t_role"),
         _captured(t, "deadline", rules).alias("t_deadline"),
     )
 
@@ -279,7 +283,8 @@ def match_heuristics(messages: DataFrame, rules: tuple[Rule, ...] = BUILT_IN) ->
         F.when(invited & cancelled, "interview_cancelled").when(invited, "interview_invite")
         .otherwise(phrase["intent"]).alias("h_intent"),
         F.when(invited & cancelled, V.CANCELLED_CONFIDENCE).when(invited, V.INVITE_CONFIDENCE)
-        .otherwise(F.least(phrase["confidence"], F.lit(V.PHRASE_CEILING))).alias("h_confidence"),
+        .when(F.col("_ph").isNotNull(), F.least(phrase["confidence"], F.lit(V.PHRASE_CEILING)))
+        .alias("h_confidence"),
         F.when(invited, N.stage_from_title(F.col("invite.summary"))).alias("h_stage_hint"),
         F.when(invited, N.company_from_domain(F.col("invite.organiser"), ats))
         .when(F.col("_ph").isNotNull(), N.company_from_sender(F.col("sender"), ats)).alias("h_company"),
