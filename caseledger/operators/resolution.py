@@ -90,10 +90,7 @@ def identify_by_thread(signals: DataFrame, threads: DataFrame) -> DataFrame:
 
 def _texts(df: DataFrame, text: Column) -> DataFrame:
     """The different texts of each block with their vectors."""
-    return (
-        df.select(*BLOCK, text.alias("vec_id")).distinct()
-        .withColumn("vector", S.sparse_vector(F.col("vec_id")))
-    )
+    return S.with_sparse_vector(df.select(*BLOCK, text.alias("vec_id")).distinct(), "vec_id")
 
 
 def candidate_cases(cases: DataFrame) -> DataFrame:
@@ -188,8 +185,8 @@ def ambiguous_shortlist(decided: DataFrame, cases: DataFrame) -> DataFrame:
     )
     texts = _texts(asked, F.col("_text")).withColumnRenamed("vec_id", "_asked").withColumnRenamed("vector", "_a")
     known = _texts(few, F.col("_text")).withColumnRenamed("vec_id", "_known").withColumnRenamed("vector", "_b")
-    scored = texts.join(known, BLOCK).select(
-        *BLOCK, "_asked", "_known", S.dot(F.col("_a"), F.col("_b")).alias("cosine")
+    scored = S.with_dot(texts.join(known, BLOCK), "_a", "_b", "cosine").select(
+        *BLOCK, "_asked", "_known", "cosine"
     )
     top = top_per_key(
         scored, [*BLOCK, "_asked"], [F.col("cosine").desc(), F.col("_known")],
@@ -565,6 +562,48 @@ def resolve_review(stored: DataFrame, answers: DataFrame) -> tuple[DataFrame, Da
 # --- a whole batch ----------------------------------------------------------------------------------------
 
 
+def _openers(opened: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Which text each new text joins, itself when it opens a case.
+
+    In the order of their first signal, a text joins the closest earlier one that opened a case,
+    or opens one. A text is settled once all its close earlier texts are, so there is a round for
+    every link of the longest chain, each of them over whole tables.
+    """
+    texts = S.with_sparse_vector(
+        opened.select(*BLOCK, F.col("_text").alias("vec_id"), "_since"), "vec_id"
+    )
+    since = texts.select(*BLOCK, F.col("vec_id").alias("_id"), "_since")
+    close = (
+        S.similar_pairs(texts, texts, BLOCK, C.ATTACH_MULTI)
+        .join(since.withColumnsRenamed({"_id": "left_id", "_since": "_l"}), [*BLOCK, "left_id"])
+        .join(since.withColumnsRenamed({"_id": "right_id", "_since": "_r"}), [*BLOCK, "right_id"])
+        .filter(F.col("_r") < F.col("_l"))
+        .select(*BLOCK, F.col("left_id").alias("_text"), F.col("right_id").alias("_earlier"), "cosine", "_r")
+    )
+    close = cut_lineage(close)
+    state = cut_lineage(opened.select(*BLOCK, "_text", F.lit(None).cast("string").alias("_leads")))
+    for _ in range(max_rounds):
+        there = state.select(*BLOCK, F.col("_text").alias("_earlier"), F.col("_leads").alias("_theirs"))
+        around = close.join(there, [*BLOCK, "_earlier"]).groupBy(*BLOCK, "_text").agg(
+            F.bool_and(F.col("_theirs").isNotNull()).alias("_settled"),
+            F.max_by(
+                "_earlier",
+                F.when(F.col("_theirs") == F.col("_earlier"),
+                       F.struct("cosine", (-F.unix_micros("_r.occurred_at")).alias("first"))),
+            ).alias("_joins"),
+        )
+        ready = F.coalesce("_settled", F.lit(True))
+        state = cut_lineage(
+            state.join(around, [*BLOCK, "_text"], "left").select(
+                *BLOCK, "_text",
+                F.coalesce("_leads", F.when(ready, F.coalesce("_joins", "_text"))).alias("_leads"),
+            )
+        )
+        if state.filter(F.col("_leads").isNull()).limit(1).count() == 0:
+            return state
+    raise RuntimeError("new cases did not settle")
+
+
 def place_signals(signals: DataFrame, cases: DataFrame, threads: DataFrame) -> DataFrame:
     """Every signal with the case it belongs to, or the question it raises.
 
@@ -579,19 +618,7 @@ def place_signals(signals: DataFrame, cases: DataFrame, threads: DataFrame) -> D
     decided = attach_decision(rest, cases)
     fresh = decided.filter(F.col("decision") == "create").withColumn("_text", _signal_text())
     opened = fresh.groupBy(*BLOCK, "_text").agg(F.min(F.struct("occurred_at", "signal_id")).alias("_since"))
-    texts = opened.select(*BLOCK, F.col("_text").alias("vec_id"), "_since").withColumn(
-        "vector", S.sparse_vector(F.col("vec_id"))
-    )
-    since = texts.select(*BLOCK, F.col("vec_id").alias("_id"), "_since")
-    close = (
-        S.similar_pairs(texts, texts, BLOCK, C.ATTACH_MULTI)
-        .join(since.withColumnsRenamed({"_id": "left_id", "_since": "_l"}), [*BLOCK, "left_id"])
-        .join(since.withColumnsRenamed({"_id": "right_id", "_since": "_r"}), [*BLOCK, "right_id"])
-        .filter(F.col("_r") < F.col("_l"))
-    )
-    joins = close.groupBy(*BLOCK, "left_id").agg(F.min_by("right_id", "_r").alias("leader"))
-    led = opened.join(joins.withColumnRenamed("left_id", "_text"), [*BLOCK, "_text"], "left")
-    led = led.withColumn("_leads", F.coalesce("leader", "_text")).select(
+    led = _openers(opened).select(
         *BLOCK, "_text", F.xxhash64("user_id", "company_id", "_leads").alias("_new_id")
     )
     made = fresh.join(led, [*BLOCK, "_text"])

@@ -31,15 +31,16 @@ def tokens(text: Column) -> Column:
     return F.concat(words, pairs, pieces)
 
 
-def sparse_vector(text: Column) -> Column:
-    """A hashed bag of tokens of unit length, as an array of (dim, w) ordered by dim.
+def with_sparse_vector(df: DataFrame, text: str, name: str = "vector") -> DataFrame:
+    """Add a hashed bag of tokens of unit length, as an array of (dim, w) ordered by dim.
 
-    Built inside the row: the vector depends on one text only, so nothing is shuffled.
+    Built inside the row: the vector depends on one text only, so nothing is shuffled. Every step
+    is a column of its own, because an expression inside a lambda is evaluated for each element.
     """
-    all_ = tokens(text)
+    kept = df.columns
 
     def part(token: Column) -> Column:
-        count = F.size(F.filter(all_, lambda other: other == token))
+        count = F.size(F.filter("_tokens", lambda other: other == token))
         weight = (1 + F.ln(count)) * F.when(token.startswith("~"), C.NGRAM_WEIGHT).otherwise(1.0)
         index = F.conv(F.substring(F.sha1(F.concat(F.lit("idx:"), token)), 1, 6), 16, 10)
         sign = F.conv(F.substring(F.sha1(F.concat(F.lit("sign:idx:"), token)), 1, 2), 16, 10)
@@ -48,40 +49,41 @@ def sparse_vector(text: Column) -> Column:
             F.when(sign.cast("int") % 2 == 0, weight).otherwise(-weight).alias("w"),
         )
 
-    parts = F.transform(F.array_distinct(all_), part)
-    dims = F.array_sort(F.array_distinct(F.transform(parts, lambda p: p["dim"])))
-    summed = F.transform(
-        dims,
-        lambda d: F.struct(
-            d.alias("dim"),
-            F.aggregate(
-                F.filter(parts, lambda p: p["dim"] == d), F.lit(0.0), lambda acc, p: acc + p["w"]
-            ).alias("w"),
-        ),
-    )
-    return unit(F.filter(summed, lambda p: p["w"] != 0))
-
-
-def unit(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, p: acc + p["w"] * p["w"]))
-    return F.transform(vector, lambda p: F.struct(p["dim"].alias("dim"), (p["w"] / norm).alias("w")))
-
+    def summed(d: Column) -> Column:
+        same = F.filter("_parts", lambda p: p["dim"] == d)
+        return F.struct(
+            d.alias("dim"), F.aggregate(same, F.lit(0.0), lambda acc, p: acc + p["w"]).alias("w")
+        )
 
-def dense_vector(vector: Column) -> Column:
-    """The same with all its dimensions."""
-    weights = F.map_from_entries(vector)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(C.EMBEDDING_DIMS - 1)),
-        lambda d: F.coalesce(weights[d], F.lit(0.0)),
+    steps = (
+        ("_tokens", tokens(F.col(text))),
+        ("_parts", F.transform(F.array_distinct("_tokens"), part)),
+        ("_dims", F.array_sort(F.array_distinct(F.transform("_parts", lambda p: p["dim"])))),
+        ("_sums", F.filter(F.transform("_dims", summed), lambda p: p["w"] != 0)),
+    )
+    out = df
+    for column, expression in steps:
+        out = out.withColumn(column, expression)
+    return _with_unit(out, "_sums", name).select(*[c for c in kept if c != name], name)
+
+
+def _with_unit(df: DataFrame, raw: str, name: str) -> DataFrame:
+    """Scale an array of (dim, w) to length one."""
+    square = F.aggregate(raw, F.lit(0.0), lambda acc, p: acc + p["w"] * p["w"])
+    # An empty vector has no length and stays empty.
+    scaled = F.transform(
+        raw, lambda p: F.struct(p["dim"].alias("dim"), (p["w"] / F.col("_norm")).alias("w"))
     )
+    return df.withColumn("_norm", F.sqrt(square)).withColumn(name, scaled).drop("_norm")
 
 
-def from_dense(values: Column) -> Column:
+def with_sparse_from_dense(df: DataFrame, values: str, name: str = "vector") -> DataFrame:
     """A sparse unit vector out of an array of numbers."""
     pairs = F.transform(
         values, lambda x, i: F.struct(i.cast("int").alias("dim"), x.cast("double").alias("w"))
     )
-    return unit(F.filter(pairs, lambda p: p["w"] != 0))
+    raw = df.withColumn("_raw", F.filter(pairs, lambda p: p["w"] != 0))
+    return _with_unit(raw, "_raw", name).drop("_raw")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -94,12 +96,16 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(ok, dot / F.sqrt(na * nb)).otherwise(0.0)
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Cosine of two sparse unit vectors."""
-    other = F.map_from_entries(b)
-    return F.aggregate(
-        a, F.lit(0.0), lambda acc, p: acc + p["w"] * F.coalesce(other[p["dim"]], F.lit(0.0))
+def with_dot(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Cosine of two sparse unit vectors, with the one side looked up in the other."""
+    total = F.aggregate(
+        a,
+        F.lit(0.0),
+        lambda acc, p: acc + p["w"] * F.coalesce(F.col("_map")[p["dim"]], F.lit(0.0)),
     )
+    # The second reference keeps the map a column of its own, built once per row.
+    guarded = F.when(F.col("_map").isNotNull(), total)
+    return df.withColumn("_map", F.map_from_entries(b)).withColumn(name, guarded).drop("_map")
 
 
 def _prefixes(vectors: DataFrame, block: list[str], rarity: DataFrame, t: float) -> DataFrame:
@@ -142,9 +148,9 @@ def similar_pairs(
     candidates = a.join(b, [*block, "dim"]).select(*block, "left_id", "right_id").distinct()
     lv = left.select(*block, F.col("vec_id").alias("left_id"), F.col("vector").alias("_a"))
     rv = right.select(*block, F.col("vec_id").alias("right_id"), F.col("vector").alias("_b"))
+    met = candidates.join(lv, [*block, "left_id"]).join(rv, [*block, "right_id"])
     return (
-        candidates.join(lv, [*block, "left_id"])
-        .join(rv, [*block, "right_id"])
-        .select(*block, "left_id", "right_id", dot(F.col("_a"), F.col("_b")).alias("cosine"))
+        with_dot(met, "_a", "_b", "cosine")
+        .select(*block, "left_id", "right_id", "cosine")
         .filter(F.col("cosine") >= t)
     )

@@ -60,7 +60,7 @@ cte("rungs", f"""SELECT s.*, CASE WHEN ti >= 0 THEN tv.intent WHEN ti = -1 THEN
     CASE WHEN invited THEN CASE WHEN cancelled THEN 'interview_cancelled' ELSE 'interview_invite' END
       WHEN vendor IS NULL AND NOT {under('dom', V.LEARNING_PLATFORMS)} THEN pv.intent END AS h_intent,
     CASE WHEN invited THEN CASE WHEN cancelled THEN 0.95::DOUBLE ELSE 0.97::DOUBLE END
-      WHEN vendor IS NULL AND NOT {under('dom', V.LEARNING_PLATFORMS)} THEN least(pv.confidence, 0.88::DOUBLE) END AS h_confidence,
+      WHEN vendor IS NULL AND NOT {under('dom', V.LEARNING_PLATFORMS)} THEN CASE WHEN pv.confidence IS NOT NULL THEN least(pv.confidence, 0.88::DOUBLE) END END AS h_confidence,
     CASE WHEN invited THEN CASE title WHEN 'Technical interview' THEN 'technical' WHEN 'Intro call' THEN 'hr_call' WHEN 'Chat with the CTO' THEN 'final' WHEN 'Take-home review' THEN 'take_home' END END AS h_stage
   FROM (SELECT *, {_template_sql()} AS ti, {phrase_sql("concat(subject, chr(10), text)")} AS pi FROM scored) s
   LEFT JOIN (VALUES {_TEMPLATES}) tv(k, intent, confidence) ON tv.k = ti
