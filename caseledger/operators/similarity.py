@@ -14,57 +14,55 @@ from pyspark.sql import functions as F
 from .. import constants as C
 
 
-def tokens(text: Column) -> Column:
-    """Words, pairs of neighbours, and four-letter pieces of the whole."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9+#]+"), lambda w: w != "")
-    n = F.size(words)
+def token_rows(texts: DataFrame, text: str) -> DataFrame:
+    """Words, pairs of neighbours, and four-letter pieces of the whole, a row each.
+
+    Every step is a column of its own, because an expression inside a lambda is evaluated again
+    for each element.
+    """
+    n, m = F.size("_words"), F.length("_flat") - C.NGRAM_SIZE + 1
+    empty = F.array().cast("array<int>")
+    upto = lambda count: F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(empty)
     pairs = F.transform(
-        F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)),
+        upto(n - 1), lambda i: F.concat_ws(" ", F.get("_words", i - 1), F.get("_words", i))
     )
-    flat = F.array_join(words, " ")
-    m = F.length(flat) - C.NGRAM_SIZE + 1
     pieces = F.transform(
-        F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.concat(F.lit("~"), F.substring(flat, i, F.lit(C.NGRAM_SIZE))),
+        upto(m),
+        lambda i: F.concat(F.lit("~"), F.substring(F.col("_flat"), i, F.lit(C.NGRAM_SIZE))),
+    )
+    return (
+        texts.select(text)
+        .withColumn("_words", F.filter(F.split(F.lower(text), "[^a-z0-9+#]+"), lambda w: w != ""))
+        .withColumn("_flat", F.array_join("_words", " "))
+        .select(text, F.explode(F.concat("_words", pairs, pieces)).alias("token"))
     )
-    return F.concat(words, pairs, pieces)
 
 
 def with_sparse_vector(df: DataFrame, text: str, name: str = "vector") -> DataFrame:
     """Add a hashed bag of tokens of unit length, as an array of (dim, w) ordered by dim.
 
-    Built inside the row: the vector depends on one text only, so nothing is shuffled. Every step
-    is a column of its own, because an expression inside a lambda is evaluated for each element.
+    Built once per different text. A text without a token has an empty vector.
     """
-    kept = df.columns
-
-    def part(token: Column) -> Column:
-        count = F.size(F.filter("_tokens", lambda other: other == token))
-        weight = (1 + F.ln(count)) * F.when(token.startswith("~"), C.NGRAM_WEIGHT).otherwise(1.0)
-        index = F.conv(F.substring(F.sha1(F.concat(F.lit("idx:"), token)), 1, 6), 16, 10)
-        sign = F.conv(F.substring(F.sha1(F.concat(F.lit("sign:idx:"), token)), 1, 2), 16, 10)
-        return F.struct(
-            (index.cast("int") % C.EMBEDDING_DIMS).alias("dim"),
-            F.when(sign.cast("int") % 2 == 0, weight).otherwise(-weight).alias("w"),
-        )
-
-    def summed(d: Column) -> Column:
-        same = F.filter("_parts", lambda p: p["dim"] == d)
-        return F.struct(
-            d.alias("dim"), F.aggregate(same, F.lit(0.0), lambda acc, p: acc + p["w"]).alias("w")
-        )
-
-    steps = (
-        ("_tokens", tokens(F.col(text))),
-        ("_parts", F.transform(F.array_distinct("_tokens"), part)),
-        ("_dims", F.array_sort(F.array_distinct(F.transform("_parts", lambda p: p["dim"])))),
-        ("_sums", F.filter(F.transform("_dims", summed), lambda p: p["w"] != 0)),
+    counted = token_rows(df.select(text).distinct(), text).groupBy(text, "token").agg(
+        F.count("*").alias("_n")
+    )
+    is_piece = F.col("token").startswith("~")
+    weight = (1 + F.ln("_n")) * F.when(is_piece, C.NGRAM_WEIGHT).otherwise(1.0)
+    index = F.conv(F.substring(F.sha1(F.concat(F.lit("idx:"), "token")), 1, 6), 16, 10)
+    sign = F.conv(F.substring(F.sha1(F.concat(F.lit("sign:idx:"), "token")), 1, 2), 16, 10)
+    hashed = counted.select(
+        text,
+        (index.cast("int") % C.EMBEDDING_DIMS).alias("dim"),
+        F.when(sign.cast("int") % 2 == 0, weight).otherwise(-weight).alias("w"),
+    )
+    # At most one entry for each dimension.
+    summed = (
+        hashed.groupBy(text, "dim").agg(F.sum("w").alias("w")).filter(F.col("w") != 0)
+        .groupBy(text).agg(F.array_sort(F.collect_list(F.struct("dim", "w"))).alias("_sums"))
     )
-    out = df
-    for column, expression in steps:
-        out = out.withColumn(column, expression)
-    return _with_unit(out, "_sums", name).select(*[c for c in kept if c != name], name)
+    vectors = _with_unit(summed, "_sums", name).select(text, name)
+    none = F.array().cast("array<struct<dim:int,w:double>>")
+    return df.join(vectors, text, "left").withColumn(name, F.coalesce(name, none))
 
 
 def _with_unit(df: DataFrame, raw: str, name: str) -> DataFrame:
