@@ -261,8 +261,10 @@ def find_duplicates(cases: DataFrame, splits: DataFrame) -> DataFrame:
         *BLOCK, "case_id", "applied_at", F.col("_text").alias("text"),
         mode.alias("mode"), land.alias("land"),
     )
+    # Read several times below: written once.
+    able = cut_lineage(able)
     texts = _texts(able, F.col("text"))
-    pairs = S.similar_pairs(texts, texts, BLOCK, C.MERGE_COSINE)
+    pairs = cut_lineage(S.similar_pairs(texts, texts, BLOCK, C.MERGE_COSINE))
     group = [*BLOCK, "text", "mode", "land"]
     # Every case asks in each compatible group of each similar text.
     asks = (
@@ -438,12 +440,12 @@ def events_for_signals(signals: DataFrame) -> DataFrame:
         "calendar_event_id": "string",
     }
 
-    def event(kind: str, to_stage=none, **facts) -> Column:
+    def event(event_type: str, to_stage=none, **facts) -> Column:
         fields = {**common, **{k: none.cast(t) for k, t in kinds.items()}}
         fields.update({k: v.cast(kinds[k]) if k in kinds else v for k, v in facts.items()})
         payload = F.struct(*[v.alias(k) for k, v in fields.items()])
         return F.struct(
-            F.lit(kind).alias("type"), to_stage.cast("string").alias("to_stage"), payload.alias("payload")
+            F.lit(event_type).alias("type"), to_stage.cast("string").alias("to_stage"), payload.alias("payload")
         )
 
     cancelled = intent == "interview_cancelled"
@@ -615,7 +617,7 @@ def place_signals(signals: DataFrame, cases: DataFrame, threads: DataFrame) -> D
     rows = identify_by_thread(signals, threads)
     on_thread = rows.filter(F.col("thread_case_id").isNotNull())
     rest = rows.filter(F.col("thread_case_id").isNull())
-    decided = attach_decision(rest, cases)
+    decided = cut_lineage(attach_decision(rest, cases))
     fresh = decided.filter(F.col("decision") == "create").withColumn("_text", _signal_text())
     opened = fresh.groupBy(*BLOCK, "_text").agg(F.min(F.struct("occurred_at", "signal_id")).alias("_since"))
     led = _openers(opened).select(

@@ -7,7 +7,9 @@ from caseledger.operators import log as log_ops
 from caseledger.operators import resolution as ops
 from caseledger.operators import similarity as S
 
-from .base import Registry, iso, ziso
+from caseledger.session import cut_lineage
+
+from .base import Registry, iso
 from .shapes import COMPANY_ID, cte
 
 REGISTRY = Registry()
@@ -55,7 +57,8 @@ def signals(t):
 
 
 def cases(t):
-    return t.projected.withColumn("role_normalised", F.col("role_title"))
+    """The projection as a stored table, which it is to the resolver."""
+    return cut_lineage(t.projected.withColumn("role_normalised", F.col("role_title")))
 
 
 @add("r01_embed_lexical", "SELECT p_partkey, dim, round(w, 6) AS w FROM part JOIN vec ON text = p_name WHERE abs(w) > 1e-9", uses="vec")
@@ -100,8 +103,9 @@ def r05(t):
 @add("o05_ambiguous_shortlist", """SELECT signal_id, rn AS position, case_id, round(c, 6) AS cosine FROM (SELECT s.signal_id, s.case_id, s.c,
     row_number() OVER (PARTITION BY signal_id ORDER BY round(s.c, 12) DESC, s.case_id) AS rn FROM scored_ s JOIN decided_ d USING (signal_id) WHERE d.decision = 'ambiguous') x WHERE rn <= 3""", uses="scored_ decided_")
 def o05(t):
-    decided = ops.attach_decision(signals(t), cases(t))
-    out = ops.ambiguous_shortlist(decided, cases(t))
+    stored = cases(t)
+    decided = cut_lineage(ops.attach_decision(signals(t), stored))
+    out = ops.ambiguous_shortlist(decided, stored)
     return out.select("signal_id", F.col("position").cast("bigint").alias("position"), "case_id", F.round("cosine", 6).alias("cosine"))
 
 
@@ -177,7 +181,7 @@ def r03(t):
 
     rows = t.messages.select("doc_id", "user_id", domain_of_address(F.col("sender")).alias("sender_domain"),
                              F.expr("get(array('Big Seven', 'Company 8!', 'Never Seen'), CAST(doc_id % 3 AS INT))").alias("company"))
-    aliases = t.users.filter("user_id % 2 = 0").select("user_id", F.lit(7).cast("bigint").alias("company_id"), F.lit("bigseven").alias("alias"))
+    aliases = t.messages.filter("user_id % 2 = 0").select("user_id").distinct().select("user_id", F.lit(7).cast("bigint").alias("company_id"), F.lit("bigseven").alias("alias"))
     companies = t.companies.withColumn("canonical_name", F.regexp_replace("canonical_name", "( GmbH| S.p.A.| Ltd| Inc)$", ""))
     out, created, _ = ops.canonicalise_company(rows, companies, aliases, vendor_domains(BUILT_IN))
     known = companies.select("company_id", F.lit(True).alias("_known"))
@@ -191,7 +195,7 @@ def r03_aliases(t):
 
     rows = t.messages.select("doc_id", "user_id", domain_of_address(F.col("sender")).alias("sender_domain"),
                              F.expr("get(array('Big Seven', 'Company 8!', 'Never Seen'), CAST(doc_id % 3 AS INT))").alias("company"))
-    aliases = t.users.filter("user_id % 2 = 0").select("user_id", F.lit(7).cast("bigint").alias("company_id"), F.lit("bigseven").alias("alias"))
+    aliases = t.messages.filter("user_id % 2 = 0").select("user_id").distinct().select("user_id", F.lit(7).cast("bigint").alias("company_id"), F.lit("bigseven").alias("alias"))
     companies = t.companies.withColumn("canonical_name", F.regexp_replace("canonical_name", "( GmbH| S.p.A.| Ltd| Inc)$", ""))
     return ops.canonicalise_company(rows, companies, aliases, vendor_domains(BUILT_IN))[2].select("user_id", "alias")
 
@@ -241,7 +245,7 @@ def r09(t):
   UNION ALL SELECT user_id, 'unknown_intent', message_id FROM msg WHERE doc_id % 10 = 4 AND invited""", uses="decided_ signals_ msg")
 def r10(t):
     """Ambiguous signals and cancellations, where the question is not open already."""
-    decided = ops.attach_decision(signals(t), cases(t)).withColumn("evidence_ref", F.col("signal_id").cast("string")).withColumn("excerpt", F.lit("x"))
+    decided = cut_lineage(ops.attach_decision(signals(t), cases(t))).withColumn("evidence_ref", F.col("signal_id").cast("string")).withColumn("excerpt", F.lit("x"))
     off = placed(t).filter("intent = 'interview_cancelled' AND invite IS NOT NULL")
     none = t.messages.filter("false").select("user_id", "message_id", F.lit("").alias("reading"), F.lit("").alias("excerpt"))
     stored = decided.filter("signal_id % 2 = 0").select("user_id", F.lit("ambiguous_match").alias("kind"), "evidence_ref", F.lit(None).cast("timestamp").alias("resolved_at"))
