@@ -45,7 +45,7 @@ def e02(t):
     return ops.diff_against_baseline(before, after, {"waiver": waiver}).select("message_id", "fields", "explained_by")
 
 
-@add("s04_parse_ics", """SELECT event_id, concat('uid-', event_id) AS uid, concat('Call, round ', event_id % 5) AS summary, strftime(date_trunc('second', ts) + CASE WHEN event_id % 2 = 0 THEN INTERVAL 0 HOUR ELSE INTERVAL -1 HOUR END, '%Y-%m-%d %H:%M:%S') AS starts_at,
+@add("s04_parse_ics", """SELECT event_id, concat('uid-', event_id) AS uid, concat('Call, round ', event_id % 5) AS summary, strftime(date_trunc('second', ts) + to_hours(CASE WHEN event_id % 2 = 0 THEN 0 ELSE -1 END), '%Y-%m-%d %H:%M:%S') AS starts_at,
   'CANCEL' AS method, 'a@company1.com' AS organiser FROM events""")
 def s04(t):
     """A calendar text per event: half in UTC, half in Roman time, with folded and escaped lines."""

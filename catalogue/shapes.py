@@ -279,6 +279,8 @@ class Tables:
             F.expr(to_spark(pick("doc_id", TITLES))).alias("summary"),
             F.expr("TIMESTAMP '2024-08-01 09:00:00' + make_dt_interval(CAST(doc_id % 30 AS INT))")
             .alias("starts_at"),
+            F.lit(None).cast("timestamp").alias("ends_at"),
+            F.lit("Room 5").alias("location"),
             F.expr("CASE WHEN doc_id % 2 = 0 THEN 'cancelled' ELSE 'confirmed' END").alias("status"),
             F.lit("REQUEST").alias("method"),
             F.lit("people@company2.com").alias("organiser"),
