@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import time
 
 from caseledger.session import local_session
@@ -26,6 +27,7 @@ def main() -> None:
         start = time.perf_counter()
         registered[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline queries, total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1], "cpus": cpus,

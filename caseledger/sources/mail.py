@@ -6,6 +6,7 @@ from email.utils import parsedate_to_datetime
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 
@@ -60,27 +61,45 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-_PART = "mimeType string, filename string, body struct<data:string>"
-_NESTED = _PART
-for _ in range(4):  # parts inside parts, as deep as mail programs nest them
-    _NESTED = _PART + f", parts array<struct<{_NESTED.replace(' string', ':string').replace('body struct', 'body:struct').replace('parts array', 'parts:array')}>>"
-_PROVIDER = (
-    "id string, threadId string, internalDate string, payload struct<headers:array<struct<name:string,"
-    "value:string>>," + _NESTED.replace(" string", ":string").replace("body struct", "body:struct")
-    .replace("parts array", "parts:array") + ">"
+# Parts inside parts are read as deep as mail programs nest them.
+_DEPTH = 6
+
+
+def _part_fields(depth: int) -> list[T.StructField]:
+    text = T.StringType()
+    fields = [
+        T.StructField("mimeType", text),
+        T.StructField("filename", text),
+        T.StructField("body", T.StructType([T.StructField("data", text)])),
+    ]
+    if depth:
+        inner = T.ArrayType(T.StructType(_part_fields(depth - 1)))
+        fields.append(T.StructField("parts", inner))
+    return fields
+
+
+_HEADER = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])
+_PROVIDER = T.StructType(
+    [T.StructField(c, T.StringType()) for c in ("id", "threadId", "internalDate")]
+    + [
+        T.StructField(
+            "payload",
+            T.StructType([T.StructField("headers", T.ArrayType(_HEADER)), *_part_fields(_DEPTH)]),
+        )
+    ]
 )
 
 
-def _all_parts(payload: Column, depth: int = 4) -> Column:
+def _all_parts(payload: Column, depth: int = _DEPTH) -> Column:
     """Every part of a message, outer ones before the ones inside them, level by level."""
-    leaf = lambda p: F.struct(p["mimeType"].alias("kind"), p["filename"].alias("name"), p["body.data"].alias("data"))
+    leaf = lambda p: F.struct(p["mimeType"].alias("kind"), p["filename"].alias("name"), p["body"]["data"].alias("data"))
     out = F.array(leaf(payload))
     level = payload["parts"]
     for i in range(depth):
         out = F.concat(out, F.coalesce(F.transform(level, leaf), F.array().cast(
             "array<struct<kind:string,name:string,data:string>>")))
         if i < depth - 1:
-            level = F.flatten(F.transform(level, lambda p: F.coalesce(p["parts"], F.slice(p["parts"], 1, 0))))
+            level = F.flatten(F.filter(F.transform(level, lambda p: p["parts"]), lambda p: p.isNotNull()))
     return out
 
 
@@ -88,9 +107,9 @@ def read_provider_json(spark: SparkSession, path: str) -> DataFrame:
     """Provider messages in JSON lines. HTML wins over plain text here, and the provider's own
     time over the Date header."""
     raw = spark.read.schema(_PROVIDER).json(path)
-    header = lambda name: F.element_at(F.filter(
+    header = lambda name: F.try_element_at(F.filter(
         F.coalesce("payload.headers", F.array().cast("array<struct<name:string,value:string>>")),
-        lambda h: F.lower(h["name"]) == name), -1)["value"]
+        lambda h: F.lower(h["name"]) == name), F.lit(-1))["value"]
     rows = raw.withColumn("_parts", _all_parts(F.col("payload")))
 
     def decoded(test) -> Column:

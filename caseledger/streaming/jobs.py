@@ -8,7 +8,7 @@ kept only to drop repeats that arrive close together.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..operators.fold import fold
 from ..operators.log import dedupe_events, new_events
@@ -75,7 +75,7 @@ def project(
 
     def land(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        schema = StructType(EVENT.fields).add("bucket", "int")
+        schema = StructType([*EVENT.fields, StructField("bucket", IntegerType())])
         incoming = batch.withColumn("bucket", bucket(n=buckets)).persist()
         touched = incoming.select("bucket").distinct()
         known = stored(spark, log, schema).join(F.broadcast(touched), "bucket", "left_semi")
