@@ -11,7 +11,7 @@ from catalogue import queries
 HEADLINE = (
     "s07_dedupe_events", "a01_fold", "a04_phase_reach", "a06_stage_dwell_in", "a06_dwell_of_parts",
     "a07_funnel", "a12_channels", "x23_activity", "c08_board", "m02_screen", "m06_run_ladder",
-    "x14_role_from_body", "r01_embed_lexical", "r02_similar_vectors", "p01_scrub_text",
+    "x14_role_from_body", "r01_embed_lexical", "j11_blocked_similarity", "p01_scrub_text",
 )
 
 

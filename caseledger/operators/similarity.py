@@ -141,9 +141,10 @@ def similar_pairs(
         .groupBy("dim")
         .agg(F.count("*").alias("seen"))
     )
-    a = _prefixes(left, block, rarity, t).withColumnRenamed("vec_id", "left_id").drop("up")
-    b = _prefixes(right, block, rarity, t).withColumnRenamed("vec_id", "right_id").drop("up")
-    candidates = a.join(b, [*block, "dim"]).select(*block, "left_id", "right_id").distinct()
+    a = _prefixes(left, block, rarity, t).withColumnRenamed("vec_id", "left_id")
+    b = _prefixes(right, block, rarity, t).withColumnRenamed("vec_id", "right_id")
+    # What follows the prefixes adds less than t, so some shared dimension must pull the same way.
+    candidates = a.join(b, [*block, "dim", "up"]).select(*block, "left_id", "right_id").distinct()
     lv = left.select(*block, F.col("vec_id").alias("left_id"), F.col("vector").alias("_a"))
     rv = right.select(*block, F.col("vec_id").alias("right_id"), F.col("vector").alias("_b"))
     met = candidates.join(lv, [*block, "left_id"]).join(rv, [*block, "right_id"])

@@ -77,16 +77,6 @@ def r02(t):
     return e.join(first, "label").select("vec_id", F.round(S.cosine(F.col("embedding"), F.col("first")), 6).alias("cosine"))
 
 
-@add("r02_similar_vectors", """SELECT a.label, a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
-  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id
-  WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35""")
-def r02_pairs(t):
-    """All close pairs inside a label, found through shared prefixes."""
-    v = S.with_sparse_from_dense(t.raw("embeddings"), "embedding").select("label", "vec_id", "vector")
-    out = S.similar_pairs(v, v, ["label"], 0.35).filter("left_id < right_id")
-    return out.withColumn("cosine", F.round("cosine", 6))
-
-
 @add("j11_blocked_similarity", """SELECT signal_id, case_id, round(c, 6) AS cosine FROM scored_ WHERE c >= 0.72 AND role IS NOT NULL""", uses="scored_")
 def j11(t):
     out = ops.blocked_similarity(signals(t).filter("role IS NOT NULL"), cases(t))
