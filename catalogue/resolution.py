@@ -139,9 +139,9 @@ def r06_refusals(t):
 
 
 @add("j12_pairwise_texts", """SELECT DISTINCT a.user_id, a.company_id, a.role_title AS left_text, b.role_title AS right_text FROM open_cases a JOIN open_cases b USING (user_id, company_id)
-  JOIN cosines c ON c.a = a.role_title AND c.b = b.role_title WHERE c.c >= 0.4 AND a.role_title < b.role_title""", uses="open_cases cosines")
+  JOIN cosines c ON c.a = a.role_title AND c.b = b.role_title WHERE c.c >= 0.1 AND a.role_title < b.role_title""", uses="open_cases cosines")
 def j12(t):
-    return ops.pairwise_duplicates(cases(t), 0.4).drop("cosine")
+    return ops.pairwise_duplicates(cases(t), 0.1).drop("cosine")
 
 
 @add("r07_apply_merges", """WITH RECURSIVE up AS (SELECT DISTINCT c_custkey AS merge, CAST(floor(c_custkey / 3) AS BIGINT) AS keep FROM customer WHERE c_custkey > 0),
