@@ -18,6 +18,10 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime SQL settings the jobs rely on. Safe on a shared session."""
     for key, value in _SETTINGS.items():
         spark.conf.set(key, value)
+    # A local session left at the cluster default would cut small tables into 200 pieces.
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     return spark
 
 

@@ -138,8 +138,12 @@ def r06_refusals(t):
     return out.select(F.col("a.case_id").alias("case_id"), F.col("b.case_id").alias("other_id"), ops.merge_refusal("a", "b").alias("refusal"))
 
 
+vectors_cte("ovec", "SELECT DISTINCT role_title AS text FROM open_cases WHERE role_title <> ''", "open_cases")
+
+
 @add("j12_pairwise_texts", """SELECT DISTINCT a.user_id, a.company_id, a.role_title AS left_text, b.role_title AS right_text FROM open_cases a JOIN open_cases b USING (user_id, company_id)
-  JOIN cosines c ON c.a = a.role_title AND c.b = b.role_title WHERE c.c >= 0.1 AND a.role_title < b.role_title""", uses="open_cases cosines")
+  JOIN (SELECT x.text AS p, y.text AS q, sum(x.w * y.w) AS c FROM ovec x JOIN ovec y USING (dim) GROUP BY ALL) c ON c.p = a.role_title AND c.q = b.role_title
+  WHERE c.c >= 0.1 AND a.role_title < b.role_title""", uses="open_cases ovec")
 def j12(t):
     return ops.pairwise_duplicates(cases(t), 0.1).drop("cosine")
 
