@@ -19,6 +19,11 @@ from .shared import as_bytes, fresh, stored
 from .superminhash import band_keys, set_digest, shingles, signatures
 
 _LEADERS = 3
+_BLOOM = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10GB",
+}
 #: Members of one comparison task: bounds a task, not what is compared.
 _LEFT, _RIGHT = 256, 1024
 
@@ -57,9 +62,8 @@ def near_duplicates(
         "signatures",
     )
     with_words = signed.filter("id IS NOT NULL AND n > 0")
-    nodes = (
-        with_words.groupBy("n", "one", "two")
-        .agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    nodes = stored(
+        with_words.groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "nodes"
     )
     copies = (
         with_words.select("id", "n", "one", "two")
@@ -133,13 +137,17 @@ def _signer(width: int, bands: int, rows: int):
 
 
 def _in_buckets(nodes: DataFrame) -> DataFrame:
-    """(band, key, rep, n) of the buckets that hold two nodes or more, with their leaders."""
-    spread = nodes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    """(key, rep, n) of the buckets that hold two nodes or more, with their leaders.
+
+    Most buckets hold one node. Their rows are told by equal ends, before anything else is gathered.
+    """
+    spread = nodes.select("rep", F.explode("bands").alias("key"))
+    shared = spread.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
+    members = stored(spread.join(shared.select("key"), "key"), "members").join(nodes.select("rep", "n"), "rep")
     leaders = [
         F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(k))).alias(f"leader_{k}") for k in range(_LEADERS)
     ]
-    shared = spread.groupBy("band", "key").agg(F.count("*").alias("size"), *leaders).filter("size > 1")
-    return spread.join(shared, ["band", "key"])
+    return members.join(members.groupBy("key").agg(F.count("*").alias("size"), *leaders), "key")
 
 
 def _led(members: DataFrame) -> DataFrame:
@@ -162,8 +170,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(source: DataFrame, members: DataFrame, width: int) -> DataFrame:
-    """The whole shingle sets of the nodes that share a bucket with another one."""
-    wanted = members.select(F.col("rep").alias("id")).distinct()
+    """The whole shingle sets of the nodes that share a bucket with another one.
+
+    Few texts are wanted. A Bloom filter of the wanted ids, of bounded size, is sent to the scan and
+    drops most of the others before the shuffle; the join drops the rest.
+    """
+    spark = source.sparkSession
+    for key, value in _BLOOM.items():
+        spark.conf.set(key, value)
+    wanted = stored(members.groupBy("rep").agg(F.count("*").alias("buckets")), "wanted")
+    wanted = wanted.filter("buckets > 0").select(F.col("rep").alias("id")).hint("merge")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,15 +200,15 @@ def _left_over(members: DataFrame, found: DataFrame) -> DataFrame:
 
     `others` is the number of members outside the component that most members have.
     """
-    placed = members.filter("size > 2").select("band", "key", "rep", "size").join(
+    placed = members.filter("size > 2").select("key", "rep", "size").join(
         found.select(F.col("id").alias("rep"), "component"), "rep", "left"
     ).withColumn("component", F.coalesce("component", "rep"))
-    counted = placed.groupBy("band", "key", "component").agg(F.count("*").alias("c"))
-    main = counted.groupBy("band", "key").agg(
+    counted = placed.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = counted.groupBy("key").agg(
         F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("in_main")
     )
-    return placed.join(main, ["band", "key"]).select(
-        "band", "key", "rep", "component", "size", (F.col("size") - F.col("in_main")).alias("others"),
+    return placed.join(main, "key").select(
+        "key", "rep", "component", "size", (F.col("size") - F.col("in_main")).alias("others"),
         (F.col("component") == F.col("main")).alias("is_main"),
     ).filter("others > 0")
 
@@ -211,7 +227,7 @@ def _compared(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.pmod(F.xxhash64("rep", F.lit("block")), blocks_of(F.col("others"), _LEFT)).cast("int").alias("block"),
         F.pmod(F.xxhash64("rep", F.lit("chunk")), blocks_of(F.col("size"), _RIGHT)).cast("int").alias("chunk"),
     )
-    payload = ["band", "key", "rep", "component", "hashes"]
+    payload = ["key", "rep", "component", "hashes"]
     asking = dealt.filter(~F.col("is_main")).select(
         *payload, "block", F.explode(F.sequence(F.lit(0), blocks_of(F.col("size"), _RIGHT) - 1)).alias("chunk"),
         F.lit(True).alias("asks"),
@@ -227,7 +243,7 @@ def _compared(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     return (
         asking.unionByName(asked)
-        .groupBy("band", "key", "block", "chunk")
+        .groupBy("key", "block", "chunk")
         .applyInArrow(compare, "a long, b long")
     )
 
