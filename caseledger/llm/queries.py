@@ -3,21 +3,40 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .line_rules import quality_rules
 from .near_duplicates import near_duplicates
+from .packing import packed
+from .pairwise_quality import quality_scores
 from .shared import prepare
+from .sql import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules(_table(spark, sf_dir, "documents"))
+    return judged.withColumn("clean_md5", F.md5(F.col("clean_text").cast("binary"))).drop("clean_text")
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    f.__name__: f
+    for f in (op6_best_fit_packing, op7_minhash_near_dedup, op9_quality_rules, op10_quality_classifier)
 }
-
-ORACLES: dict[str, str] = {}
