@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_rules import quality_rules
+from .mixing import mix
 from .near_duplicates import near_duplicates
 from .packing import packed
 from .pairwise_quality import quality_scores
@@ -19,6 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix(_table(spark, sf_dir, "documents")).rows
+    return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
@@ -38,5 +44,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op6_best_fit_packing, op7_minhash_near_dedup, op9_quality_rules, op10_quality_classifier)
+    for f in (
+        op1_source_mix, op6_best_fit_packing, op7_minhash_near_dedup, op9_quality_rules, op10_quality_classifier,
+    )
 }
