@@ -5,6 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .embedding_links import linked
 from .line_rules import quality_rules
 from .mixing import mix
 from .near_duplicates import near_duplicates
@@ -25,6 +26,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_source_mix, op6_best_fit_packing, op7_minhash_near_dedup, op9_quality_rules, op10_quality_classifier,
+        op1_source_mix, op4_embedding_near_dedup, op6_best_fit_packing, op7_minhash_near_dedup, op9_quality_rules,
+        op10_quality_classifier,
     )
 }
