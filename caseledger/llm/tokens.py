@@ -39,6 +39,7 @@ def _fast(path: str):
 
 
 def token_ids(text: str, vocabulary: str = VOCABULARY) -> list[int]:
-    if _UNUSUAL.search(text):
+    """Ids of a whole text. Vocabularies other than the default exist for the faster library only."""
+    if vocabulary == VOCABULARY and _UNUSUAL.search(text):
         return _slow(vocabulary_path(f"{vocabulary}.json")).encode(text, add_special_tokens=False).ids
     return _fast(vocabulary_path(f"{vocabulary}.tiktoken")).encode_ordinary(text)
