@@ -1,5 +1,6 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from . import licenses, warc
 from .line_rules import ENDS, PHRASES, Rules
 
 _RULES = Rules()
@@ -81,6 +82,102 @@ failed AS (
 SELECT *, NOT base_failed AND 100 * n_lost_words <= {_RULES.lost_percent} * n_words AS kept FROM failed
 """
 
+
+def _replaced(column: str, pairs, before: str = "") -> str:
+    for one, other in pairs:
+        column = f"replace({column}, '{_quoted(before + one)}', '{_quoted(before + other)}')"
+    return column
+
+
+_ALTERNATIVES = " (?:" + "|".join(one for one, _ in licenses.EQUIVALENT) + ")"
+_KNOWN = ", ".join(f"('{i}', '{_quoted(t)}')" for i, t in licenses.KNOWN)
+_BARE = (
+    f"trim(regexp_replace(lower(regexp_replace(line, '{_quoted(licenses.COPYRIGHT_LINE)}', '')),"
+    r" '[^\p{L}\p{N}]+', ' ', 'g'))"
+)
+
+LICENSE_SCAN = f"""
+WITH texts AS (
+  SELECT CAST(doc_id AS VARCHAR) AS key, false AS is_known, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT id, true, text FROM (VALUES {_KNOWN}) k(id, text)
+),
+cut AS (
+  SELECT key, is_known, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos
+  FROM texts
+),
+bare AS (SELECT key, is_known, pos, {_BARE} AS t FROM cut),
+units AS (
+  SELECT key, is_known, true AS whole, string_agg(t, ' ' ORDER BY pos) AS t FROM bare WHERE t <> '' GROUP BY key, is_known
+  UNION ALL SELECT key, is_known, false, t FROM bare WHERE t <> ''
+),
+digested AS (
+  SELECT key, is_known, whole, sha256(CASE WHEN regexp_matches(' ' || t, '{_ALTERNATIVES}')
+    THEN ltrim({_replaced("(' ' || t)", licenses.EQUIVALENT, " ")}) ELSE t END) AS digest
+  FROM units
+),
+known AS (SELECT digest, min(key) AS license_id FROM digested WHERE is_known AND whole GROUP BY digest),
+found AS (
+  SELECT d.key, min(k.license_id) FILTER (d.whole) AS license_id,
+         string_agg(DISTINCT k.license_id, ',' ORDER BY k.license_id) FILTER (NOT d.whole) AS line_licenses
+  FROM digested d JOIN known k USING (digest) WHERE NOT d.is_known GROUP BY d.key
+)
+SELECT doc_id, license_id, line_licenses FROM documents LEFT JOIN found ON key = CAST(doc_id AS VARCHAR)
+"""
+
+
+def _uuid(*parts: str) -> str:
+    h = f"md5(concat_ws(chr(31), {', '.join(parts)}))"
+    pieces = ", ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'urn:uuid:' || concat_ws('-', {pieces})"
+
+
+_CRLF = "chr(13) || chr(10)"
+_BLANKS = r"[\x09-\x0D\x20]+"
+
+
+def _sql_fields(*pairs: tuple[str, str]) -> str:
+    return " || ".join(f"coalesce('{name}: ' || {value} || {_CRLF}, '')" for name, value in pairs)
+
+
+_TITLE = f"regexp_extract(payload, '{warc.TITLE}', 1)"
+_PLAIN = (
+    f"regexp_replace(regexp_replace(regexp_replace(payload, '{warc.HIDDEN}', ' ', 'g'), '{_BLANKS}', ' ', 'g'),"
+    f" '{warc.BREAKS}', chr(10), 'g')"
+)
+_PLAIN = _replaced(f"regexp_replace({_PLAIN}, '<[^<>]*>', '', 'g')", warc.ENTITIES)
+_PLAIN = (
+    f"trim(regexp_replace(regexp_replace({_PLAIN}, ' *\\n[ \\n]*', chr(10), 'g'), '^\\n+|\\n+$', '', 'g'))"
+)
+
+WARC_DERIVATIVES = f"""
+WITH responses AS (
+  SELECT page_id, url AS target_uri, coalesce(html, '') AS payload,
+         {_uuid("'response'", "coalesce(CAST(page_id AS VARCHAR), '')", "coalesce(url, '')")} AS refers_to,
+         'sha256:' || sha256(coalesce(html, '')) AS payload_digest
+  FROM pages
+),
+blocks AS (
+  SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS type,
+    {_sql_fields(("source-status", "'HTTP/1.1 200 OK'"), ("source-content-type", "'text/html; charset=utf-8'"),
+                 ("source-payload-digest", "payload_digest"), ("source-payload-length", "CAST(strlen(payload) AS VARCHAR)"),
+                 ("title", f"CASE WHEN {_TITLE} <> '' THEN trim(regexp_replace({_TITLE}, '{_BLANKS}', ' ', 'g')) END"))}
+    || array_to_string(list_transform(regexp_extract_all(payload, '{_quoted(warc.LINK)}', 1), lambda x: 'outlink: ' || x || {_CRLF}), '') AS block
+  FROM responses
+  UNION ALL SELECT *, 'conversion', 'text/plain', {_PLAIN} FROM responses
+),
+named AS (SELECT *, {_uuid("record_type", "refers_to")} AS record_id FROM blocks)
+SELECT page_id, record_type, record_id, refers_to, target_uri,
+  md5('WARC/1.1' || {_CRLF} || {_sql_fields(
+      ("WARC-Type", "record_type"), ("WARC-Record-ID", "'<' || record_id || '>'"), ("WARC-Refers-To", "'<' || refers_to || '>'"),
+      ("WARC-Target-URI", "target_uri"), ("WARC-Date", "'1970-01-01T00:00:00Z'"), ("WARC-Source-Payload-Digest", "payload_digest"),
+      ("WARC-Block-Digest", "'sha256:' || sha256(block)"), ("Content-Type", "type"),
+      ("Content-Length", "CAST(strlen(block) AS VARCHAR)"))} || {_CRLF}) AS header_md5,
+  md5(block) AS block_md5, CAST(length(block) AS INTEGER) AS block_chars
+FROM named
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_license_scan": LICENSE_SCAN,
+    "op3_warc_derivatives": WARC_DERIVATIVES,
     "op9_quality_rules": LINE_RULES,
 }
