@@ -7,6 +7,7 @@ met exactly. The slots of a source run through pseudorandom permutations of its
 one for each pass over the source, and blocks are joined by their number.
 """
 
+import math
 from dataclasses import dataclass
 from functools import reduce
 
@@ -160,7 +161,7 @@ def mix(
         F.coalesce(F.sum("n_docs"), F.lit(0)), F.count("*"), F.coalesce(F.sum("quota"), F.lit(0))
     ).first()
     slots = stored(_slots(spark, sources, total, 4 * n_sources, shard_slots, seed), "slots")
-    placed = stored(_placed(sized, sources, max(1, n_docs // 4096)), "places")
+    placed = stored(_placed(sized, sources, max(1, math.isqrt(n_docs))), "places")
     return Mix(sources, slots, _taken(placed, slots, block_words))
 
 
@@ -215,7 +216,8 @@ def _placed(sized: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
     """Every document with the number of words of its source before it.
 
     Documents are dealt into buckets by a hash; sums over buckets and within them replace one long
-    running sum, so a large source is many tasks.
+    running sum, so a large source is many tasks. Their number is the root of the number of documents: both
+    sums stay short.
     """
     dealt = sized.join(
         sources.select(F.col("source").alias("source_"), "sid", "source_size", "target", "passes"),
