@@ -30,13 +30,13 @@ def brute(rows, least=0.93):
     return links, groups([r[0] for r in rows], pairs)
 
 
-def clouds(n, d, seed, spread=0.04):
+def clouds(n, d, seed, spread=0.04, least=0):
     """Loners and groups of near copies of very different sizes."""
     rng = np.random.default_rng(seed)
     centres = rng.normal(size=(n // 8, d))
     of = rng.integers(0, len(centres), n)
     of[: n // 3] = 0
-    v = centres[of] + spread * rng.normal(size=(n, d)) * rng.integers(0, 4, n)[:, None]
+    v = centres[of] + spread * rng.normal(size=(n, d)) * rng.integers(least, 4, n)[:, None]
     v[n // 2 :: 3] = rng.normal(size=v[n // 2 :: 3].shape)
     return v.astype(np.float32)
 
@@ -55,7 +55,7 @@ def test_shards_equal_brute_force(spark):
 
 
 def test_recall_of_a_graph():
-    v = clouds(1500, 32, 7)
+    v = clouds(1500, 32, 7, least=1)  # equal vectors are one node before a graph is built
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     graph = Graph.built(u.astype(float), np.arange(len(u)))
     truth = u @ u.T >= 0.93
