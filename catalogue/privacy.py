@@ -32,24 +32,72 @@ def p02(t):
     return t.raw("customer").select("c_custkey", m["refreshToken"].alias("token"), m["name"].alias("name"), m["ACCESS_KEY"].alias("key"))
 
 
-@add("p03_deny_list", """SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'a.healthStatus' WHEN 1 THEN 'a.list[0].union_membership' ELSE '' END AS violations FROM customer""")
+_KEY = "get(array('healthStatus', 'work_mode', 'trade-union', 'Union', 'heal_thy', 'otherSalary'), CAST(c_custkey % 6 AS INT))"
+_KEY_SQL = "(['healthStatus', 'work_mode', 'trade-union', 'Union', 'heal_thy', 'otherSalary'])[c_custkey % 6 + 1]"
+_BAD = "c_custkey % 6 NOT IN (1, 4)"
+
+
+@add("p03_deny_list", f"""
+WITH k AS (SELECT *, {_KEY_SQL} AS key, {_BAD} AS bad FROM customer)
+SELECT c_custkey,
+  concat('{{"who":"', c_name, '",', CASE WHEN bad THEN '' ELSE concat('"', key, '":', c_nationkey, ',') END,
+    '"deep":[[1,"', key, '"],{{', CASE WHEN bad THEN '' ELSE concat('"', key, '":{{"a":[', c_nationkey, ']}},') END, '"segment":"', c_mktsegment, '"}}]}}') AS value,
+  CASE WHEN bad THEN concat(key, ',deep[1].', key) ELSE '' END AS violations
+FROM k""")
 def p03(t):
-    text = F.expr("""get(array('{"a":{"healthStatus":1,"ok":2}}', '{"a":{"list":[{"union_membership":true}]}}', '{"a":{"ok":1}}'), CAST(c_custkey % 3 AS INT))""")
-    out = P.deny_list(text)
-    return t.raw("customer").select("c_custkey", F.array_join(out["violations"], ",").alias("violations"))
+    text = F.expr(f"""concat('{{"who": "', c_name, '", "', {_KEY}, '": ', c_nationkey, ', "deep": [[1, "', {_KEY}, '"], {{"', {_KEY}, '": {{"a": [', c_nationkey, ']}}, "segment": "', c_mktsegment, '"}}]}}')""")
+    rows = t.raw("customer").select("c_custkey", P.deny_list(text).alias("o"))
+    return rows.select("c_custkey", "o.value", F.array_join("o.violations", ",").alias("violations"))
 
 
-@add("p04_anonymise", """SELECT c_custkey, regexp_replace(concat('user-', substr(sha256(concat('ann', c_custkey)), 1, 8), '@', CASE WHEN c_custkey % 2 = 0 THEN 'mail.lever.co' ELSE concat('company-', substr(sha256('acme.com'), 1, 8), '.example') END), '\\b[0-9]{6,}\\b', '#', 'g') AS text FROM customer""")
+_KEPT = (*vendor_domains(BUILT_IN), *V.ALSO_KEPT_DOMAINS)
+_KNOWN = "(?:^|\\.)(?:" + "|".join(d.replace(".", "\\.") for d in _KEPT) + ")$"
+
+
+def _letters(x):
+    return f"translate(substr(sha256(lower({x})), 1, 10), '0123456789', 'ghijklmnop')"
+
+
+def _host(x, kind):
+    return f"CASE WHEN regexp_matches({x}, {_q(_KNOWN)}) THEN {x} ELSE concat('{kind}-', {_letters(x)}, '.invalid') END"
+
+
+def _each(x, pattern, new):
+    """SQL for every match m replaced; `new` is an expression over m."""
+    zipped = f"list_zip(regexp_split_to_array({x}, {_q(pattern)}), regexp_extract_all({x}, {_q(pattern)}))"
+    return f"array_to_string(list_transform({zipped}, lambda z: concat(z[1], {new.replace('<m>', 'z[2]')})), '')"
+
+
+_MADE = {
+    P._NAMED_LINE: "CASE WHEN <m> IS NULL THEN '' ELSE concat(split_part(<m>, ':', 1), ': Person ', "
+    + _letters("trim(translate(regexp_replace(<m>, '^[^:]*:|<$', '', 'g'), concat('\"', chr(9)), '  '))") + ", ' <') END",
+    P._MAILBOX: f"CASE WHEN <m> IS NULL THEN '' ELSE concat('person-', {_letters('split_part(<m>, chr(64), 1)')}, '@', {_host('lower(split_part(<m>, chr(64), 2))', 'org')}) END",
+    P._WEB: "CASE WHEN <m> IS NULL THEN '' ELSE concat('https://', "
+    + _host("lower(split_part(split_part(<m>, '://', 2), '/', 1))", "site") + ", '/', " + _letters("split_part(<m>, '://', 2)") + ") END",
+    r"\b[0-9]{6,}\b": "CASE WHEN <m> IS NULL THEN '' ELSE substr(repeat(translate(sha256(<m>), 'abcdef', '012345'), CAST(ceil(length(<m>) / 64.0) AS INT)), 1, length(<m>)) END",
+}
+
+
+def _anonymised(table, key, text):
+    """One step per kind of match, each over the result of the one before."""
+    steps = f"s0 AS (SELECT {key}, {text} AS x FROM {table})"
+    for i, (pattern, new) in enumerate(_MADE.items()):
+        steps += f", s{i + 1} AS (SELECT {key}, {_each('x', pattern, new)} AS x FROM s{i})"
+    return f"WITH {steps} SELECT {key}, x AS text FROM s{len(_MADE)}"
+
+
+_LETTER = "concat('Reply-To: \"Ann ', c_name, '\" <Ann', c_custkey, '@', CASE WHEN c_custkey % 2 = 0 THEN 'mail.lever.co' ELSE 'Acme.com' END, '>', chr(10), 'no ', c_custkey + 1000000)"
+_MAIL = "concat('From: ', source, ' Lee <lee.', doc_id, '@', CASE WHEN doc_id % 3 = 0 THEN 'jobs.lever.co' ELSE 'team.example.org' END, '>', chr(10), text, ' https://', CASE WHEN doc_id % 2 = 0 THEN 'Acme.com' ELSE 'jobs.lever.co' END, '/a?b=', doc_id, ' ', repeat('12345678', 1 + CAST(doc_id % 20 AS INT)))"
+
+
+@add("p04_anonymise", _anonymised("customer", "c_custkey", _LETTER))
 def p04(t):
-    f = P.anonymiser((*vendor_domains(BUILT_IN), *V.ALSO_KEPT_DOMAINS))
-    raw = F.expr("concat('Ann', c_custkey, '@', CASE WHEN c_custkey % 2 = 0 THEN 'mail.lever.co' ELSE 'Acme.com' END)")
-    return t.raw("customer").select("c_custkey", F.regexp_replace(f(raw), r"\b\d{6,}\b", "#").alias("text"))
+    return t.raw("customer").select("c_custkey", P.anonymiser(_KEPT)(F.expr(_LETTER)).alias("text"))
 
 
-@add("p04_anonymise_documents")
+@add("p04_anonymise_documents", f"SELECT doc_id, md5(text) AS digest FROM ({_anonymised('documents', 'doc_id', _MAIL)}) q")
 def p04_documents(t):
-    f = P.anonymiser(vendor_domains(BUILT_IN))
-    return t.raw("documents").select("doc_id", F.md5(f(F.col("text"))).alias("digest"))
+    return t.raw("documents").select("doc_id", F.md5(P.anonymiser(_KEPT)(F.expr(_MAIL))).alias("digest"))
 
 
 @add("p05_fence", """SELECT doc_id, concat('<<<MESSAGE_BEGIN>>>', chr(10), CASE WHEN doc_id % 2 = 0 THEN '[removed] ' ELSE '' END, text, chr(10), '<<<MESSAGE_END>>>') AS fenced FROM documents""")
