@@ -7,7 +7,7 @@ Once the status is decided by a terminal event, later ordinary events no longer
 
 All winners but the frozen stage come from one aggregation with map-side combine, so a case
 with very many events sends one row per input partition. Only the stage of cases whose
-unrestricted winner lies after the freeze is decided again, over salted pieces.
+unrestricted winner lies after the freeze is decided again.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +22,6 @@ STAGE_TYPES = (
     "applied", "acknowledged", "stage_advanced", "interview_scheduled", "offer_received",
     "offer_negotiated", "human_corrected",
 )
-SALTS = 16
 
 
 def _names(values) -> str:
@@ -63,35 +62,46 @@ def _described(field: str) -> str:
 def _claim(field: str, value: str) -> Column:
     """What an event says about a field, ordered by who wins. Null when it says nothing."""
     return F.expr(
-        f"""CASE WHEN {_VOTES} AND ({value}) IS NOT NULL THEN named_struct(
-        'tier', CASE WHEN type = 'human_corrected' AND payload.field = '{field}'
-                  AND confidence >= {C.PINNED_CONFIDENCE}D THEN 3 WHEN {_TERMINAL} THEN 2 ELSE 1 END,
+        f"""CASE WHEN _votes AND ({value}) IS NOT NULL THEN named_struct(
+        'tier', CASE WHEN _pinned = '{field}' THEN 3 ELSE _rank END,
         'at', occurred_at,
         'confidence', confidence,
-        'tie', concat(coalesce(evidence_ref, ''), ' ', type),
+        'tie', _tie,
         'value', {value},
         'seq', seq,
         'type', type) END"""
     )
 
 
+def _weighed(log: DataFrame) -> DataFrame:
+    """Events with what every claim needs, worked out once: the vote, the rank, the pinned field and the tie."""
+    pinned = f"type = 'human_corrected' AND confidence >= {C.PINNED_CONFIDENCE}D"
+    return log.select(
+        "*",
+        F.expr(_VOTES).alias("_votes"),
+        F.expr(f"CASE WHEN {_TERMINAL} THEN 2 ELSE 1 END").alias("_rank"),
+        F.expr(f"CASE WHEN {pinned} THEN payload.field END").alias("_pinned"),
+        F.expr("concat(coalesce(evidence_ref, ''), ' ', type)").alias("_tie"),
+    )
+
+
 def _claims(log: DataFrame) -> DataFrame:
     """What each event says, one column per decision. Most of them are null in any row."""
     authored = f"type IN ({_names(C.HUMAN_AUTHORED)}) OR coalesce(rung = {C.HUMAN_RUNG}, false)"
     when = "named_struct('at', occurred_at, 'seq', seq)"
     applied = f"try_cast({_corrected('applied_at')} AS TIMESTAMP)"
-    return log.select(
+    return _weighed(log).select(
         *CASE,
-        F.expr(_VOTES).alias("_votes"),
+        "_votes",
         _claim("status", _STATUS).alias("_status"),
         _claim("stage", _STAGE).alias("_stage"),
         *[_claim(f, _described(f)).alias(f"_{f}") for f in DESCRIPTIVE],
         _claim("comp_expectation", _corrected("comp_expectation")).alias("_comp"),
         _claim("applied_at", applied).alias("_applied_fix"),
-        F.expr(f"CASE WHEN {_VOTES} AND type = 'applied' THEN {when} END").alias("_first_applied"),
-        F.expr(f"CASE WHEN {_VOTES} AND type = 'acknowledged' THEN {when} END").alias("_first_ack"),
+        F.expr(f"CASE WHEN _votes AND type = 'applied' THEN {when} END").alias("_first_applied"),
+        F.expr(f"CASE WHEN _votes AND type = 'acknowledged' THEN {when} END").alias("_first_ack"),
         F.expr(
-            f"""CASE WHEN {_VOTES} AND {_INBOUND}
+            f"""CASE WHEN _votes AND {_INBOUND}
             THEN named_struct('at', occurred_at, 'earliest', -seq, 'seq', seq) END"""
         ).alias("_last_signal"),
         # Kept whether or not the event may vote.
@@ -132,15 +142,11 @@ def _decided(log: DataFrame) -> DataFrame:
     ).select(
         *CASE,
         _ordinary_key(F.col("_frozen")).alias("_limit"),
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
-    )
-    claims = log.filter(F.col("type").isin(*STAGE_TYPES)).select(
-        *CASE,
-        _claim("stage", _STAGE).alias("_claim"),
-        F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int").alias("_salt"),
     )
+    # Spark splits the events of a hot case here: one limit per case meets them.
+    claims = _weighed(log.filter(F.col("type").isin(*STAGE_TYPES))).select(*CASE, _claim("stage", _STAGE).alias("_claim"))
     held_back = (
-        claims.join(late, [*CASE, "_salt"])
+        claims.join(late, CASE)
         .filter((F.col("_claim.tier") == 3) | (_ordinary_key(F.col("_claim")) <= F.col("_limit")))
         .groupBy(*CASE)
         .agg(F.max("_claim").alias("_earlier"))

@@ -1,6 +1,8 @@
 """Session settings and lineage cutting."""
 
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,14 +43,31 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
     return tune(spark)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder of the cluster, so that a lost executor costs little.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 
-    A folder of our own is set only where the cluster names none, as in tests.
+    A folder of our own stands in only where everything runs in one process, as in tests.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="run-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="run-"))
+        context.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the shared folder of the cluster, so that a lost executor costs little."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder as Parquet and read again: what follows reads the columns it needs."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

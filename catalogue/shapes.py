@@ -14,6 +14,7 @@ from caseledger.operators import log as log_ops
 from caseledger.operators import reach as reach_ops
 from caseledger.operators.activity import with_activity
 from caseledger.schemas import PAYLOAD
+from caseledger.session import kept
 
 from .base import NOW
 
@@ -180,6 +181,11 @@ class Tables:
     @cached_property
     def log_with_repeats(self) -> DataFrame:
         """The event log, with every fifth event delivered twice."""
+        again = self.log.filter("seq % 5 = 0").withColumn("seq", F.expr("seq + 1000000000"))
+        return self.log.unionByName(again)
+
+    @cached_property
+    def log(self) -> DataFrame:
         base = self.raw("events").select(
             "event_id", "user_id", "event_type", "value", F.expr(K).alias("k"),
             F.col("ts").cast("timestamp").alias("ts"),
@@ -210,22 +216,21 @@ class Tables:
             .cast(f.dataType).alias(f.name)
             for f in PAYLOAD.fields
         ]
-        once = flat.select(
+        return flat.select(
             "user_id", "case_id", F.col("event_id").alias("seq"), "type", "occurred_at",
             F.col("occurred_at").alias("recorded_at"), "from_stage", "to_stage", "confidence",
             "evidence_ref", F.col("rung").cast("int").alias("rung"),
             F.struct(*fields).alias("payload"),
         )
-        again = once.filter("seq % 5 = 0").withColumn("seq", F.expr("seq + 1000000000"))
-        return once.unionByName(again)
 
     @cached_property
-    def log(self) -> DataFrame:
-        return self.log_with_repeats.filter("seq < 1000000000")
+    def stored_log(self) -> DataFrame:
+        """The log as the table it is to reports, which read it more than once."""
+        return kept(self.log)
 
     @cached_property
     def users(self) -> DataFrame:
-        return self.log.groupBy("user_id").agg(F.lit("EUR").alias("display_currency")).select(
+        return self.raw("events").groupBy("user_id").agg(F.lit("EUR").alias("display_currency")).select(
             "user_id", F.expr(to_spark(pick("user_id", ZONES))).alias("tz"), "display_currency"
         )
 
@@ -263,7 +268,7 @@ class Tables:
 
     @cached_property
     def cases(self) -> DataFrame:
-        rows = self.log.groupBy("user_id", "case_id").agg(F.min("occurred_at").alias("created_at"))
+        rows = self.stored_log.groupBy("user_id", "case_id").agg(F.min("occurred_at").alias("created_at"))
         rows = rows.select("*", *[F.expr(to_spark(e)).alias(n) for n, e in CASE_COLUMNS.items()])
         part = self.raw("part").select(
             F.col("p_partkey").alias("_pk"), F.col("p_name").alias("role_title")
@@ -304,38 +309,39 @@ class Tables:
 
     @cached_property
     def interviews(self) -> DataFrame:
-        return log_ops.interviews_from_events(self.log)
+        return log_ops.interviews_from_events(self.stored_log)
 
     @cached_property
     def offers(self) -> DataFrame:
-        return log_ops.offers_from_events(self.log)
+        return log_ops.offers_from_events(self.stored_log)
 
     @cached_property
     def deadlines(self) -> DataFrame:
-        return log_ops.deadlines_from_events(self.log)
+        return log_ops.deadlines_from_events(self.stored_log)
 
     @cached_property
     def sources(self) -> DataFrame:
-        return log_ops.sources_from_events(self.log)
+        return log_ops.sources_from_events(self.stored_log)
 
     @cached_property
     def projected(self) -> DataFrame:
-        return fold_ops.project_cases(
-            self.cases, self.log, self.now, stage_defs=self.stage_defs, deadlines=self.deadlines
-        )
+        """The projection, a stored table as well."""
+        return kept(fold_ops.project_cases(
+            self.cases, self.stored_log, self.now, stage_defs=self.stage_defs, deadlines=self.deadlines
+        ))
 
     @cached_property
     def dwell(self) -> DataFrame:
-        return reach_ops.stage_dwell_in(self.log)
+        return kept(reach_ops.stage_dwell_in(self.stored_log))
 
     @cached_property
     def reach(self) -> DataFrame:
-        return reach_ops.phase_reach(self.projected, self.log, self.stage_defs)
+        return kept(reach_ops.phase_reach(self.projected, self.stored_log, self.stage_defs))
 
     @cached_property
     def active(self) -> DataFrame:
         """Cases with their activity."""
-        return with_activity(self.projected, self.stage_defs, self.dwell, self.interviews, self.now)
+        return kept(with_activity(self.projected, self.stage_defs, self.dwell, self.interviews, self.now))
 
 
 # --- the same shapes in SQL ------------------------------------------------------
