@@ -22,6 +22,14 @@ def valid_events(df: DataFrame) -> DataFrame:
     return df.filter(F.col("type").isin(*C.EVENT_TYPES) & F.col("confidence").between(0, 1))
 
 
+def rejected_events(df: DataFrame) -> DataFrame:
+    """The other rows, with the reason: what an append leaves out is handed back, not lost."""
+    reason = F.when(~F.coalesce(F.col("type").isin(*C.EVENT_TYPES), F.lit(False)), "unknown type").when(
+        ~F.coalesce(F.col("confidence").between(0, 1), F.lit(False)), "confidence outside 0 to 1"
+    )
+    return df.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def dedupe_events(log: DataFrame) -> DataFrame:
     """One row per event key, nulls equal, the first to arrive stays."""
     return first_per_key(log, EVENT_KEY, F.col("seq"))

@@ -100,20 +100,22 @@ def candidate_cases(cases: DataFrame) -> DataFrame:
     ).withColumn("_text", F.coalesce("role_normalised", "role_title", F.lit("")))
 
 
-def blocked_similarity(signals: DataFrame, cases: DataFrame, t: float = C.ATTACH_SINGLE) -> DataFrame:
-    """Signals beside the open cases of their company at a cosine of at least t.
+def blocked_similarity(
+    signals: DataFrame, cases: DataFrame, t: float = C.ATTACH_SINGLE, per_text: int | None = None
+) -> DataFrame:
+    """Every signal beside every open case of its company at a cosine of at least t.
 
-    Texts are compared once per block, and expanded to the three cases a decision can name.
+    Texts are compared once per block and expanded to their cases: all of them, or the first `per_text`, for a
+    caller that needs no more of a text.
     """
     open_ = candidate_cases(cases)
     said = signals.withColumn("_text", _signal_text())
     pairs = S.similar_pairs(
         _texts(said, F.col("_text")), _texts(open_, F.col("_text")), BLOCK, t
     )
-    few = top_per_key(
-        open_.select(*BLOCK, F.col("_text").alias("right_id"), "case_id"),
-        [*BLOCK, "right_id"], [F.col("case_id")], C.AMBIGUOUS_SHORTLIST, "_n",
-    )
+    few = open_.select(*BLOCK, F.col("_text").alias("right_id"), "case_id")
+    if per_text is not None:
+        few = top_per_key(few, [*BLOCK, "right_id"], [F.col("case_id")], per_text, "_n")
     return (
         said.select("signal_id", *BLOCK, F.col("_text").alias("left_id"))
         .join(pairs, [*BLOCK, "left_id"])
@@ -144,7 +146,9 @@ def attach_decision(signals: DataFrame, cases: DataFrame) -> DataFrame:
     size = open_.groupBy(*BLOCK).agg(F.count("*").alias("_n"), F.min("case_id").alias("_only"))
     rows = signals.join(size, BLOCK, "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     rows = rows.withColumn("_named", _names_role())
-    scored = blocked_similarity(rows.filter(F.col("_named") & (F.col("_n") > 0)), cases)
+    scored = blocked_similarity(
+        rows.filter(F.col("_named") & (F.col("_n") > 0)), cases, per_text=C.AMBIGUOUS_SHORTLIST
+    )
     best = top_per_key(
         scored, ["signal_id"], [F.col("cosine").desc(), F.col("case_id")], C.AMBIGUOUS_SHORTLIST, "_r"
     )
@@ -371,7 +375,7 @@ def pairwise_duplicates(cases: DataFrame, t: float = C.MERGE_COSINE) -> DataFram
     return pairs.withColumnsRenamed({"left_id": "left_text", "right_id": "right_text"})
 
 
-def merge_roots(merges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def merge_roots(merges: DataFrame) -> DataFrame:
     """Follow chains of merges to the case that stays: (user_id, merge, keep).
 
     A case that would go into several goes into the smallest. Every round doubles the distance a
@@ -379,7 +383,8 @@ def merge_roots(merges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     step = merges.groupBy("user_id", "merge").agg(F.min("keep").alias("keep"))
     step = cut_lineage(step)
-    for _ in range(max_rounds):
+    # No chain is longer than there are merges, so pointers that still move after that many doublings run in a circle.
+    for _ in range(step.count().bit_length() + 1):
         onward = step.select("user_id", F.col("merge").alias("keep"), F.col("keep").alias("_next"))
         jumped = step.join(onward, ["user_id", "keep"], "left").select(
             "user_id", "merge", F.coalesce("_next", "keep").alias("keep"),
@@ -564,12 +569,12 @@ def resolve_review(stored: DataFrame, answers: DataFrame) -> tuple[DataFrame, Da
 # --- a whole batch ----------------------------------------------------------------------------------------
 
 
-def _openers(opened: DataFrame, max_rounds: int = 200) -> DataFrame:
+def _openers(opened: DataFrame) -> DataFrame:
     """Which text each new text joins, itself when it opens a case.
 
     In the order of their first signal, a text joins the closest earlier one that opened a case,
-    or opens one. A text is settled once all its close earlier texts are, so there is a round for
-    every link of the longest chain, each of them over whole tables.
+    or opens one. A text is settled once all its close earlier texts are. Each round settles at least
+    the earliest open text of every chain and goes over the open ones only, so the loop ends by itself.
     """
     texts = S.with_sparse_vector(
         opened.select(*BLOCK, F.col("_text").alias("vec_id"), "_since"), "vec_id"
@@ -583,27 +588,30 @@ def _openers(opened: DataFrame, max_rounds: int = 200) -> DataFrame:
         .select(*BLOCK, F.col("left_id").alias("_text"), F.col("right_id").alias("_earlier"), "cosine", "_r")
     )
     close = cut_lineage(close)
-    state = cut_lineage(opened.select(*BLOCK, "_text", F.lit(None).cast("string").alias("_leads")))
-    for _ in range(max_rounds):
-        there = state.select(*BLOCK, F.col("_text").alias("_earlier"), F.col("_leads").alias("_theirs"))
-        around = close.join(there, [*BLOCK, "_earlier"]).groupBy(*BLOCK, "_text").agg(
-            F.bool_and(F.col("_theirs").isNotNull()).alias("_settled"),
-            F.max_by(
-                "_earlier",
-                F.when(F.col("_theirs") == F.col("_earlier"),
-                       F.struct("cosine", (-F.unix_micros("_r.occurred_at")).alias("first"))),
-            ).alias("_joins"),
-        )
-        ready = F.coalesce("_settled", F.lit(True))
-        state = cut_lineage(
-            state.join(around, [*BLOCK, "_text"], "left").select(
-                *BLOCK, "_text",
-                F.coalesce("_leads", F.when(ready, F.coalesce("_joins", "_text"))).alias("_leads"),
+    settled, waiting = None, cut_lineage(opened.select(*BLOCK, "_text"))
+    while not waiting.isEmpty():
+        if settled is None:
+            # Texts with nothing close before them open cases.
+            decided = waiting.join(close.select(*BLOCK, "_text").distinct(), [*BLOCK, "_text"], "left_anti").withColumn(
+                "_leads", F.col("_text")
             )
-        )
-        if state.filter(F.col("_leads").isNull()).limit(1).count() == 0:
-            return state
-    raise RuntimeError("new cases did not settle")
+        else:
+            there = settled.select(*BLOCK, F.col("_text").alias("_earlier"), F.col("_leads").alias("_theirs"))
+            around = close.join(waiting, [*BLOCK, "_text"], "left_semi").join(
+                there, [*BLOCK, "_earlier"], "left"
+            ).groupBy(*BLOCK, "_text").agg(
+                F.bool_and(F.col("_theirs").isNotNull()).alias("_settled"),
+                F.max_by(
+                    "_earlier",
+                    F.when(F.col("_theirs") == F.col("_earlier"),
+                           F.struct("cosine", (-F.unix_micros("_r.occurred_at")).alias("first"))),
+                ).alias("_joins"),
+            )
+            decided = around.filter("_settled").select(*BLOCK, "_text", F.coalesce("_joins", "_text").alias("_leads"))
+        decided = cut_lineage(decided)
+        settled = decided if settled is None else settled.unionByName(decided)
+        waiting = cut_lineage(waiting.join(decided, [*BLOCK, "_text"], "left_anti"))
+    return settled if settled is not None else waiting.withColumn("_leads", F.col("_text"))
 
 
 def place_signals(signals: DataFrame, cases: DataFrame, threads: DataFrame) -> DataFrame:

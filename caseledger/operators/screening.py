@@ -97,8 +97,12 @@ def screen(
     company_domains: DataFrame,
     threads: DataFrame,
     newsletters: DataFrame,
+    opening_chars: int | None = None,
 ) -> DataFrame:
-    """Score every message and decide whether it is read, read cheaply, or dropped."""
+    """Score every message and decide whether it is read, read cheaply, or dropped.
+
+    The vocabulary is looked for in the whole text, or in its first `opening_chars`.
+    """
     rows = messages.withColumn("sender_domain", X.domain_of_address(F.col("sender")))
     rows = vendor_of(rows, domains)
     rows = rows.join(
@@ -112,7 +116,7 @@ def screen(
         ["user_id", "sender_domain"], "left",
     )
     sender, subject, text, domain = (F.col(c) for c in ("sender", "subject", "text", "sender_domain"))
-    opening = F.concat(subject, F.lit("\n"), F.substring(text, 1, C.OPENING_CHARS))
+    opening = F.concat(subject, F.lit("\n"), text if opening_chars is None else F.substring(text, 1, opening_chars))
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     link = F.lit(False)
     for host in V.MEETING_HOSTS:

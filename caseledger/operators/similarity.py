@@ -111,8 +111,8 @@ def _prefixes(vectors: DataFrame, block: list[str], rarity: DataFrame, t: float)
     parts = vectors.select(*block, "vec_id", F.explode("vector").alias("p")).select(
         *block, "vec_id", F.col("p.dim").alias("dim"), F.col("p.w").alias("w")
     )
-    # At most as many rows as there are dimensions.
-    ranked = parts.join(F.broadcast(rarity), "dim")
+    # One row per dimension that occurs. Spark sends it to all executors where it is small.
+    ranked = parts.join(rarity, "dim")
     after = (
         W.partitionBy(*block, "vec_id").orderBy("seen", "dim")
         .rowsBetween(W.currentRow, W.unboundedFollowing)
@@ -126,18 +126,16 @@ def _prefixes(vectors: DataFrame, block: list[str], rarity: DataFrame, t: float)
 
 
 def similar_pairs(
-    left: DataFrame, right: DataFrame, block: list[str], t: float, dims: int = C.EMBEDDING_DIMS
+    left: DataFrame, right: DataFrame, block: list[str], t: float
 ) -> DataFrame:
     """All pairs of a block with a cosine of at least t: (block, left_id, right_id, cosine).
 
     `left` and `right`: block columns, vec_id, vector. Vectors should be distinct within a block:
-    equal ones are better counted once and expanded afterwards. `dims` bounds the table of
-    dimension frequencies.
+    equal ones are better counted once and expanded afterwards.
     """
     both = left.select("vector").unionByName(right.select("vector"))
     rarity = (
         both.select(F.explode("vector.dim").alias("dim"))
-        .filter(F.col("dim") < dims)
         .groupBy("dim")
         .agg(F.count("*").alias("seen"))
     )

@@ -4,9 +4,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# A key with more rows than this is cut into pieces of time before it is ordered.
-HOT_ROWS = 1_000_000
-
 
 def first_per_key(df: DataFrame, keys: list[str], order: Column, *, last: bool = False) -> DataFrame:
     """One row per key, the smallest (or largest) by `order`.
@@ -39,42 +36,30 @@ def lagged(
     values: dict[str, str],
     *,
     slice_of: Column,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """lag() of several columns within a key, in the given order.
 
-    A key above `hot_rows` is ordered slice by slice (`slice_of` must not decrease along
-    the order), and the last row of the previous slice is handed to the first row of the
-    next one. Other keys are a single slice.
+    Every key is ordered slice by slice (`slice_of` must not decrease along the order), so a key with very many
+    rows is many tasks. The last row of each slice travels as one row and is handed to the first row of the next.
     """
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-    flagged = df.join(hot.select(*keys, F.lit(True).alias("_hot")), keys, "left")
-    sliced = flagged.withColumn("_slice", F.when(F.col("_hot"), slice_of))
-    w = W.partitionBy(*keys, "_slice").orderBy(*order)
-    inner = sliced.select(
-        "*",
-        F.row_number().over(w).alias("_rn"),
-        *[F.lag(source).over(w).alias(name) for name, source in values.items()],
-    )
-    ends = (
-        sliced.filter(F.col("_hot"))
-        .groupBy(*keys, "_slice")
-        .agg(F.max_by(F.struct(*values.values()), F.struct(*order)).alias("_end"))
-    )
+    others = [c for c in df.columns if c not in keys]
+    sliced = df.withColumn("_slice", slice_of)
+    ends = sliced.groupBy(*keys, "_slice").agg(F.max_by(F.struct(*values.values()), F.struct(*order)).alias("_end"))
     carried = ends.select(
-        *keys,
-        "_slice",
-        F.lag("_end").over(W.partitionBy(*keys).orderBy("_slice")).alias("_before"),
+        *keys, "_slice", F.lag("_end").over(W.partitionBy(*keys).orderBy("_slice")).alias("_before")
     )
-    joined = inner.join(carried, [*keys, "_slice"], "left")
-    first = F.col("_hot") & (F.col("_rn") == 1)
-    out = [c for c in df.columns]
-    return joined.select(
-        *out,
-        *[
-            F.when(first, F.col("_before")[source]).otherwise(F.col(name)).alias(name)
-            for name, source in values.items()
-        ],
+    # The row that is carried in stands before the rows of its slice.
+    rows = sliced.select(*keys, "_slice", F.struct(*others).alias("_row")).unionByName(
+        carried.filter(F.col("_before").isNotNull()), allowMissingColumns=True
+    )
+    w = W.partitionBy(*keys, "_slice").orderBy(*[F.col(f"_row.{c}").asc_nulls_first() for c in order])
+    before = F.lag(F.coalesce(
+        "_before", F.struct(*[F.col(f"_row.{source}").alias(source) for source in values.values()])
+    )).over(w)
+    out = rows.withColumn("_lag", before).filter(F.col("_row").isNotNull())
+    return out.select(
+        *[c if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns],
+        *[F.col(f"_lag.{source}").alias(name) for name, source in values.items()],
     )
 
 

@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import MAX_BULK_IDS
 from ..functions.clock import iso_z
 from ..operators.skew import top_per_key
 
@@ -42,13 +41,13 @@ def export_json(tables: dict[str, DataFrame], user_id=None) -> DataFrame:
     return out
 
 
-def export_csv(cases: DataFrame, companies: DataFrame, ids: list[int] | None = None) -> DataFrame:
-    """The cases with the name of their company, all of them or up to 200 selected ones."""
+def export_csv(cases: DataFrame, companies: DataFrame, selected: DataFrame | None = None) -> DataFrame:
+    """The cases with the name of their company, all of them or those with a case_id in `selected`."""
     rows = cases.join(
         companies.select("company_id", F.col("canonical_name").alias("company")), "company_id"
     )
-    if ids:
-        rows = rows.filter(F.col("case_id").isin(ids[:MAX_BULK_IDS]))
+    if selected is not None:
+        rows = rows.join(selected.select("case_id").distinct(), "case_id", "left_semi")
     return plain_rows(rows)
 
 

@@ -184,7 +184,7 @@ def list_cases(
     query: str | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Filtered cases of each tenant, newest first. Unknown filters are ignored."""
+    """Filtered cases of each tenant, newest first: as many as `limit` says, 20 where it says nothing. Unknown filters are ignored."""
     rows = _with_company(R.not_merged(projected), companies)
     if phase in C.PHASES:
         rows = rows.filter(F.col("current_phase") == phase)
@@ -192,9 +192,9 @@ def list_cases(
         rows = rows.filter(F.col("status") == status)
     if query and query.strip():
         rows = rows.filter(_contains(query))
-    capped = min(limit, 50) if limit and limit > 0 else 20
+    wanted = limit if limit and limit > 0 else 20
     order = [F.col("last_signal_at").desc_nulls_last(), F.col("case_id")]
-    return top_per_key(rows, ["user_id"], order, capped, "position")
+    return top_per_key(rows, ["user_id"], order, wanted, "position")
 
 
 # --- one case in full ----------------------------------------------------------------

@@ -61,8 +61,10 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-# Parts inside parts are read as deep as mail programs nest them.
-_DEPTH = 6
+def _depth(lines: DataFrame) -> int:
+    """No message nests deeper than it has lists of parts, so every part is read."""
+    found = F.size(F.regexp_extract_all("value", F.lit(r'"parts"\s*:'), F.lit(0)))
+    return lines.agg(F.coalesce(F.max(found), F.lit(0))).first()[0]
 
 
 def _part_fields(depth: int) -> list[T.StructField]:
@@ -79,22 +81,19 @@ def _part_fields(depth: int) -> list[T.StructField]:
 
 
 _HEADER = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])
-_PROVIDER = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("id", "threadId", "internalDate")]
-    + [
-        T.StructField(
-            "payload",
-            T.StructType([T.StructField("headers", T.ArrayType(_HEADER)), *_part_fields(_DEPTH)]),
-        )
-    ]
-)
 
 
-def _all_parts(payload: Column, depth: int = _DEPTH) -> Column:
+def _provider(depth: int) -> T.StructType:
+    payload = T.StructType([T.StructField("headers", T.ArrayType(_HEADER)), *_part_fields(depth)])
+    plain = [T.StructField(c, T.StringType()) for c in ("id", "threadId", "internalDate")]
+    return T.StructType([*plain, T.StructField("payload", payload)])
+
+
+def _all_parts(payload: Column, depth: int) -> Column:
     """Every part of a message, outer ones before the ones inside them, level by level."""
     leaf = lambda p: F.struct(p["mimeType"].alias("kind"), p["filename"].alias("name"), p["body"]["data"].alias("data"))
     out = F.array(leaf(payload))
-    level = payload["parts"]
+    level = payload["parts"] if depth else None
     for i in range(depth):
         out = F.concat(out, F.coalesce(F.transform(level, leaf), F.array().cast(
             "array<struct<kind:string,name:string,data:string>>")))
@@ -103,14 +102,15 @@ def _all_parts(payload: Column, depth: int = _DEPTH) -> Column:
     return out
 
 
-def read_provider_json(spark: SparkSession, path: str) -> DataFrame:
-    """Provider messages in JSON lines. HTML wins over plain text here, and the provider's own
-    time over the Date header."""
-    raw = spark.read.schema(_PROVIDER).json(path)
+def read_provider_json(spark: SparkSession, path: str, user_id=None) -> DataFrame:
+    """Provider messages in JSON lines, of one account where `user_id` is given. HTML wins over plain text here, and
+    the provider's own time over the Date header. Parts are read at any depth."""
+    depth = _depth(spark.read.text(path))
+    raw = spark.read.schema(_provider(depth)).json(path)
     header = lambda name: F.try_element_at(F.filter(
         F.coalesce("payload.headers", F.array().cast("array<struct<name:string,value:string>>")),
         lambda h: F.lower(h["name"]) == name), F.lit(-1))["value"]
-    rows = raw.withColumn("_parts", _all_parts(F.col("payload")))
+    rows = raw.withColumn("_parts", _all_parts(F.col("payload"), depth))
 
     def decoded(test) -> Column:
         data = F.get(F.filter("_parts", lambda p: test(p) & (F.coalesce(p["data"], F.lit("")) != "")), F.lit(0))["data"]
@@ -122,11 +122,14 @@ def read_provider_json(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumn("_raw", F.coalesce(X.html_to_text(html), plain, F.lit("")))
     rows = rows.withColumn("text", X.normalise_text(F.col("_raw"))["text"])
     mail_date = F.try_to_timestamp(header("date"), F.lit("EEE, d MMM yyyy HH:mm:ss Z"))
+    many = lambda name: F.filter(F.transform(F.split(F.coalesce(header(name), F.lit("")), ","), lambda a: F.trim(a)), lambda a: a != "")
     return rows.select(
-        F.col("id").alias("message_id"), F.col("threadId").alias("thread_id"),
+        F.lit(user_id).alias("user_id"), F.col("id").alias("message_id"), F.col("threadId").alias("thread_id"),
         F.coalesce(F.timestamp_millis(F.col("internalDate").cast("bigint")), mail_date).alias("received_at"),
         F.coalesce(header("from"), F.lit("")).alias("sender"), F.coalesce(header("subject"), F.lit("")).alias("subject"),
-        *[header(h).alias(h.replace("-", "_")) for h in ("list-id", "list-unsubscribe", "precedence", "in-reply-to")],
+        *[header(h).alias(h.replace("-", "_")) for h in ("list-id", "list-unsubscribe", "precedence", "in-reply-to", "auto-submitted")],
+        many("to").alias("to"), many("cc").alias("cc"),
+        F.regexp_extract_all(F.coalesce(header("references"), F.lit("")), F.lit(r"<[^<>\s]+>"), F.lit(0)).alias("references"),
         "text", X.body_hash(F.col("text")).alias("body_sha256"), parse_ics(ics).alias("invite"),
     )
 
@@ -137,8 +140,8 @@ _CALENDAR = (
 )
 
 
-def read_calendar_json(spark: SparkSession, path: str) -> DataFrame:
-    """Calendar items in JSON lines as messages that carry an invitation."""
+def read_calendar_json(spark: SparkSession, path: str, user_id=None) -> DataFrame:
+    """Calendar items in JSON lines as messages that carry an invitation. An item is a thread of its own."""
     raw = spark.read.schema(_CALENDAR).json(path)
     cancelled = F.coalesce(F.col("status") == "cancelled", F.lit(False))
     starts = F.coalesce(
@@ -148,7 +151,8 @@ def read_calendar_json(spark: SparkSession, path: str) -> DataFrame:
     who = F.filter(F.transform("attendees", lambda a: a["email"]), lambda e: F.coalesce(e, F.lit("")) != "")
     key = F.concat(F.lit("cal:"), "id", F.when(cancelled, ":cancelled").otherwise(""))
     return raw.filter(starts.isNotNull()).select(
-        key.alias("message_id"), F.coalesce("organizer.email", F.lit("")).alias("sender"),
+        F.lit(user_id).alias("user_id"), key.alias("message_id"), F.concat(F.lit("cal:"), "id").alias("thread_id"),
+        F.coalesce("organizer.email", F.lit("")).alias("sender"),
         F.coalesce("summary", F.lit("Calendar event")).alias("subject"), F.coalesce("summary", F.lit("")).alias("text"),
         X.body_hash(key).alias("body_sha256"),
         F.struct(

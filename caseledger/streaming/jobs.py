@@ -1,8 +1,7 @@
 """Streaming shells over the batch functions.
 
 Every job is a foreachBatch over stored tables, and every step of it can run twice: rows that
-have landed are left out by an anti join, and projections are overwritten whole. State is
-kept only to drop repeats that arrive close together.
+have landed are left out by an anti join, and the states of touched tenants are written anew.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,27 +30,28 @@ def bucket(column: str = "user_id", n: int = BUCKETS):
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
-def ingest(
-    messages: DataFrame, ledger: str, out: str, checkpoint: str, *, watermark: str = "7 days"
-) -> StreamingQuery:
-    """Each (mailbox, message) once. Repeats inside the watermark are dropped by state, and later
-    ones by the ledger, which is read again for every batch."""
-    once = messages.withWatermark("received_at", watermark).dropDuplicatesWithinWatermark(MESSAGE_KEY)
+def ingest(messages: DataFrame, ledger: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Each (mailbox, message) once, however old it is when it arrives.
+
+    There is no watermark: backfilled mail is new mail. Repeats are dropped inside a batch and by the ledger of what
+    has landed, of which only the mailboxes of the batch are read.
+    """
     schema = messages.select(*MESSAGE_KEY, "received_at").schema
+    bucketed = StructType([*schema.fields, StructField("bucket", IntegerType())])
 
     def land(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         # What is published is what the ledger does not know, so the ledger is written last.
-        fresh = batch.dropDuplicates(MESSAGE_KEY).join(
-            stored(spark, ledger, schema).select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti"
-        )
+        once = batch.dropDuplicates(MESSAGE_KEY).withColumn("bucket", bucket("mailbox_id"))
+        known = stored(spark, ledger, bucketed).join(once.select("bucket").distinct(), "bucket", "left_semi")
+        fresh = once.join(known.select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti")
         fresh.persist()
-        fresh.write.mode("append").parquet(out)
-        fresh.select(*MESSAGE_KEY, "received_at").write.mode("append").parquet(ledger)
+        fresh.drop("bucket").write.mode("append").parquet(out)
+        fresh.select(*MESSAGE_KEY, "received_at", "bucket").write.mode("append").partitionBy("bucket").parquet(ledger)
         fresh.unpersist()
 
     return (
-        once.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
+        messages.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
 

@@ -21,6 +21,12 @@ def s09(t):
     return ops.export_csv(t.cases, t.companies).select("case_id", "user_id", "company", "created_at")
 
 
+@add("s09_export_selected", f"""SELECT c.case_id, c.user_id, p.canonical_name AS company FROM cases_ c JOIN companies_ p USING (company_id) WHERE c.case_id % 3 = 1""", uses="cases_ companies_")
+def s09_selected(t):
+    chosen = t.cases.filter("case_id % 3 = 1").select("case_id")
+    return ops.export_csv(t.cases, t.companies, chosen).select("case_id", "user_id", "company")
+
+
 @add("s11_account_tables", """SELECT 'cases' AS name, count(*) AS n FROM cases_ UNION ALL SELECT 'sources', count(*) FROM sources_
   UNION ALL SELECT 'comp_offers', count(*) FROM offers_ UNION ALL SELECT 'deadlines', count(*) FROM deadlines_""", uses="cases_ sources_ offers_ deadlines_")
 def s11(t):

@@ -33,6 +33,16 @@ def s07_new(t):
     return iso(out.select("user_id", "case_id", "type", "occurred_at", "seq"), "occurred_at")
 
 
+@add("s07_rejected_events", """SELECT seq, CASE WHEN seq % 10 = 3 THEN 'unknown type' ELSE 'confidence outside 0 to 1' END AS reason
+  FROM ev WHERE seq % 10 = 3 OR seq % 10 = 7""", uses="ev")
+def s07_rejected(t):
+    """Three events in ten arrive spoilt, one of them in a way that the log accepts."""
+    d = F.col("seq") % 10
+    spoilt = t.log.withColumn("type", F.when(d == 3, "opened").otherwise(F.col("type"))).withColumn(
+        "confidence", F.when(d == 7, F.lit(1.01)).when(d == 9, F.lit(0.0)).otherwise(F.col("confidence")))
+    return ops.rejected_events(spoilt).select("seq", "reason")
+
+
 @add("u04_log_after_append", """SELECT user_id, type, count(*) AS n FROM ev GROUP BY ALL""", uses="ev")
 def u04(t):
     after = ops.append_events(t.log.filter("seq % 3 <> 0"), t.log_with_repeats)

@@ -48,8 +48,7 @@ cte("idle", f"""SELECT * FROM snap WHERE status = 'dormant' AND floor(epoch(TIME
   AND NOT coalesce(last_user_action_at > went_dormant_at, false)""", "snap")
 cte("n4", """SELECT user_id, concat('let_it_go:', min(case_id), '+', count(*) - 1, ':', printf('%x', bit_xor(('0x' || substr(md5(case_id::VARCHAR), 1, 15))::BIGINT))) AS key,
   'let_it_go' AS rule, min(case_id) AS case_id, count(*) AS members, concat(count(*), ' application', CASE WHEN count(*) = 1 THEN '' ELSE 's' END) AS meta,
-  concat(CASE WHEN count(*) = 1 THEN '' ELSE concat(array_to_string(list(company ORDER BY case_id)[:-2], ', '), ' and ') END,
-    list(company ORDER BY case_id)[-1], CASE WHEN count(*) = 1 THEN ' looks finished' ELSE ' look finished' END) AS title,
+  concat(arg_min(company, case_id), CASE WHEN count(*) = 1 THEN '' ELSE concat(' and ', count(*) - 1, ' more') END, CASE WHEN count(*) = 1 THEN ' looks finished' ELSE ' look finished' END) AS title,
   CAST(NULL AS TIMESTAMP) AS expires_at, min(went_dormant_at) AS urgency_at, max(depth) AS depth, false AS pushable, false AS bypasses_budget
   FROM idle GROUP BY user_id""", "idle")
 cte("due", """SELECT * FROM n1 UNION ALL SELECT * FROM n2 UNION ALL SELECT * EXCLUDE body FROM n3 UNION ALL SELECT * FROM n4""", "n1 n2 n3 n4")

@@ -29,7 +29,7 @@ cte("flags", f"""SELECT m.*, strong_ AS strong, NOT strong_ AND weak_ AS weak, n
     {has('subject', V.PLATFORM_NOISE)} AS noise, regexp_matches(text, 'meet\\.google\\.com|zoom\\.us|teams\\.microsoft\\.com|teams\\.live\\.com|whereby\\.com|meet\\.jit\\.si|webex\\.com|gotomeeting\\.com|around\\.co') AND NOT {under('dom', V.PERSONAL_MAIL)} AS link,
     {under('dom', V.BULK_WHITELIST)} AS white, {under('dom', V.SOCIAL_NOISE)} AS social,
     regexp_matches(string_split(sender, '<')[-1], '(?i){V.NO_REPLY}') AS robot
-  FROM (SELECT *, regexp_extract(lower(sender), '@([a-z0-9.-]+)', 1) AS dom, concat(subject, chr(10), substr(text, 1, 400)) AS opening FROM msg) a) m
+  FROM (SELECT *, regexp_extract(lower(sender), '@([a-z0-9.-]+)', 1) AS dom, concat(subject, chr(10), text) AS opening FROM msg) a) m
   LEFT JOIN news n ON n.user_id = m.user_id AND n.d = m.dom
   LEFT JOIN known_domains k ON k.user_id = m.user_id AND k.d = m.dom
   LEFT JOIN (SELECT DISTINCT user_id, p_thread_id AS thread_id FROM ev WHERE p_thread_id IS NOT NULL) t ON t.user_id = m.user_id AND t.thread_id = m.thread_id""",

@@ -71,15 +71,15 @@ def x02(t):
     return _with_tail(t).select("doc_id", F.md5(body).alias("digest"), F.length(body).cast("bigint").alias("n"))
 
 
-@add("x03_normalise_text", f"""SELECT doc_id, md5(substr(b, 1, 6000)) AS digest, length(b) > 6000 AS truncated FROM (
+@add("x03_normalise_text", f"""SELECT doc_id, md5(b) AS digest, false AS truncated, md5(substr(b, 1, 6000)) AS first, length(b) > 6000 AS more FROM (
   SELECT doc_id, {_strip("regexp_replace(regexp_replace(regexp_replace(regexp_split_to_array(body, '(?m)^\\s*--\\s*$')[1], '\\r\\n?', chr(10), 'g'), '[ \\t' || chr(160) || ']+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS b
   FROM quoteless) x""", uses="quoteless")
 def x03(t):
-    parts = X.normalise_text(F.col("raw"))
-    return _with_tail(t).select("doc_id", F.md5(parts["text"]).alias("digest"), parts["truncated"].alias("truncated"))
+    parts, cut = X.normalise_text(F.col("raw")), X.normalise_text(F.col("raw"), 6000)
+    return _with_tail(t).select("doc_id", F.md5(parts["text"]).alias("digest"), parts["truncated"].alias("truncated"), F.md5(cut["text"]).alias("first"), cut["truncated"].alias("more"))
 
 
-@add("x04_extract_links", """SELECT page_id, array_to_string(list_transform(list_filter(list_zip(u, range(1, len(u) + 1)), lambda z: list_position(u, z[1]) = z[2]), lambda z: z[1])[1:20], ' ') AS links
+@add("x04_extract_links", """SELECT page_id, array_to_string(list_transform(list_filter(list_zip(u, range(1, len(u) + 1)), lambda z: list_position(u, z[1]) = z[2]), lambda z: z[1]), ' ') AS links
   FROM (SELECT page_id, regexp_extract_all(html, '(?i)https?://[^\\s<>"'')]+') AS u FROM pages) x""")
 def x04(t):
     return t.raw("pages").select("page_id", F.array_join(X.extract_links(F.col("html")), " ").alias("links"))
