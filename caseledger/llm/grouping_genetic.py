@@ -72,6 +72,65 @@ def fresh_packing(sizes: np.ndarray, capacity: int, rng: np.random.Generator, no
     return best_fit(sizes, order, capacity, np.full(len(sizes), -1, np.int32), np.empty(0, np.int32))
 
 
+class _Loose:
+    """Items that lie in no bin yet, by size. Sizes that are there are bits of a number, and of its mirror image."""
+
+    def __init__(self, sizes: np.ndarray, capacity: int):
+        self.capacity = capacity
+        self.items: dict[int, list[int]] = {}
+        for i in np.argsort(sizes, kind="stable").tolist():
+            self.items.setdefault(int(sizes[i]), []).append(i)
+        self.mask = sum(1 << s for s in self.items)
+        self.mirror = sum(1 << (capacity - s) for s in self.items)
+
+    def take(self, size: int) -> int:
+        held = self.items[size]
+        item = held.pop()
+        if not held:
+            self.mask &= ~(1 << size)
+            self.mirror &= ~(1 << (self.capacity - size))
+        return item
+
+    def pair(self, room: int) -> int:
+        """The larger of two sizes that fill the room exactly, 0 where there are none."""
+        both = self.mask & (self.mirror >> (self.capacity - room))
+        if room % 2 == 0 and both >> (room // 2) & 1 and len(self.items[room // 2]) < 2:
+            both &= ~(1 << (room // 2))
+        return both.bit_length() - 1 if both else 0
+
+    def next(self, room: int, tries: int) -> int:
+        """The size to put into the room: one that fills it, one of a pair or of three that do, or the largest."""
+        if self.mask >> room & 1:
+            return room
+        if largest := self.pair(room):
+            return largest
+        fitting = self.mask & ((1 << room) - 1)
+        first = fitting.bit_length() - 1
+        while fitting and tries:
+            size = fitting.bit_length() - 1
+            if self.pair(room - size):
+                return size
+            fitting &= ~(1 << size)
+            tries -= 1
+        return max(first, 0)
+
+
+def filled_packing(sizes: np.ndarray, capacity: int, tries: int = 24) -> Packing:
+    """Bin by bin: the largest item left, then items that fill the room exactly where there are such."""
+    loose = _Loose(sizes, capacity)
+    bin_of, fills = np.full(len(sizes), -1, np.int32), []
+    while loose.mask:
+        room = capacity
+        size = loose.mask.bit_length() - 1
+        while size > 0:
+            # The third of three may have been the same item as the second; then the largest that fits goes in.
+            bin_of[loose.take(size)] = len(fills)
+            room -= size
+            size = loose.next(room, tries) if room and loose.mask else 0
+        fills.append(capacity - room)
+    return Packing(bin_of, np.array(fills, np.int32))
+
+
 def _without(p: Packing, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Take whole bins out: the new bin numbers, their fills and the items left without a bin."""
     stays = np.ones(len(p.fills), bool)
@@ -133,7 +192,7 @@ def evolve(
         numbers = np.unique(bin_of, return_inverse=True)[1].reshape(-1).astype(np.int32)
         people.append(Packing(numbers, np.bincount(numbers, weights=sizes).astype(np.int32)))
     if not people:
-        people.append(fresh_packing(sizes, capacity, rng, 0.0))
+        people += [fresh_packing(sizes, capacity, rng, 0.0), filled_packing(sizes, capacity)]
     while len(people) < population:
         people.append(fresh_packing(sizes, capacity, rng, 0.03 * len(people)))
     people.sort(key=lambda p: p.cost)
