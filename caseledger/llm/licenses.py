@@ -8,6 +8,8 @@ each of its lines, so that a licence notice on a line of its own is found too.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import stored
+
 #: Lines that name a holder, not terms: removed before the comparison.
 COPYRIGHT_LINE = (
     r"(?i)^[^\p{L}\p{N}(©]*(copyright[ \t]*(\(c\)|©|[0-9]{4}|by\b|:)|\(c\)[ \t]*(copyright|[0-9]{4})|©|all rights reserved\.?[ \t\r]*$).*$"
@@ -83,11 +85,13 @@ def license_scan(
 
     `known` has license_id and text; where texts have equal digests, the smallest id wins. Null and empty texts, and texts
     of copyright lines only, have no digest. Rows with equal ids, null ones too, share what is found. Other columns
-    are not read. Lines are joined where they are read: only matches are shuffled.
+    are not read. With a small table of known texts, lines are joined where they are read and only matches are shuffled.
     """
-    digests = (
+    # Stored, so that Spark knows the size and sends a small table to the texts instead of their lines to it.
+    digests = stored(
         canonical_units(known, "license_id", "text").filter("whole")
-        .groupBy("digest").agg(F.min("license_id").alias("license_id"))
+        .groupBy("digest").agg(F.min("license_id").alias("license_id")),
+        "licenses",
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     units = canonical_units(texts, "id", "text")
