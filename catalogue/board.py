@@ -151,10 +151,10 @@ def x29(t):
     return ops.narrated_log(t.log, t.stage_defs).select("seq", "what", "detail", "source", "conf")
 
 
-@add("o06_case_events", "SELECT case_id, seq, what FROM narrated WHERE user_id % 10 = 3", uses="narrated")
+@add("o06_case_events", "SELECT case_id, seq, what FROM narrated", uses="narrated")
 def o06(t):
-    """The narrated logs of a tenth of the tenants, newest first."""
-    rows = ops.narrated_log(t.log.filter("user_id % 10 = 3"), t.stage_defs)
+    """The narrated log of every case, newest first."""
+    rows = ops.narrated_log(t.log, t.stage_defs)
     return rows.orderBy("case_id", F.col("occurred_at").desc(), F.col("seq").desc()).select("case_id", "seq", "what")
 
 
@@ -237,15 +237,16 @@ def x30(t):
     return rows.select("user_id", *[v.alias(k) for k, v in line.items()])
 
 
-@add("x31_drafts", """SELECT user_id, case_id, subject, 'thanks' AS opening, it FROM (
-  SELECT b.user_id, b.case_id, n.p_language = 'it' AS it,
-    CASE WHEN coalesce(n.p_language = 'it', false) THEN concat('Re: candidatura ', b.company) ELSE concat('Re: ', b.company, ' application') END AS subject
-  FROM board_ b JOIN (SELECT DISTINCT ON (case_id) * FROM narrated ORDER BY case_id, occurred_at DESC, seq DESC) n ON n.case_id = b.case_id) x""".replace(", 'thanks' AS opening, it FROM", " FROM"),
+@add("x31_drafts", """SELECT b.user_id, b.case_id,
+    CASE WHEN it THEN concat('Re: candidatura ', b.company) ELSE concat('Re: ', b.company, ' application') END AS subject,
+    CASE WHEN it THEN concat('Ciao,', chr(10), chr(10), 'grazie ancora per ', lower(what), '.', chr(10), 'Serve qualcosa da parte mia mentre il team decide?', chr(10), chr(10), 'Un saluto,')
+    ELSE concat('Hi,', chr(10), chr(10), 'thanks again for the ', lower(what), '.', chr(10), 'Is there anything you need from my side while the team decides?', chr(10), chr(10), 'Best,') END AS body
+  FROM board_ b JOIN (SELECT DISTINCT ON (case_id) *, coalesce(p_language = 'it', false) AS it FROM narrated ORDER BY case_id, occurred_at DESC, seq DESC) n ON n.case_id = b.case_id""",
      uses="board_ narrated")
 def x31(t):
     from caseledger.plans.drafts import drafts
 
-    return drafts(board_rows(t), t.log, t.stage_defs).select("user_id", "case_id", "subject")
+    return drafts(board_rows(t), t.log, t.stage_defs).select("user_id", "case_id", "subject", "body")
 
 
 @add("x31_mailto", r"""SELECT case_id, concat('mailto:?subject=', replace(replace(replace(subject, ':', '%3A'), ' ', '%20'), '.', '.'),

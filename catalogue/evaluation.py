@@ -3,30 +3,46 @@
 from pyspark.sql import functions as F
 
 from caseledger.operators import evaluate as ops
+from caseledger.operators import screening as ops_screening
+from caseledger.session import cut_lineage
 
-from .base import Registry
-from .screening import screened
+from .base import Registry, rounded
+from .screening import own, screened
+from .shapes import cte
 
 REGISTRY = Registry()
 add = REGISTRY.add
 
-_ROWS = """(SELECT l.doc_id, l.quality = 0 AS should_drop, s.outcome FROM labels l JOIN scored s USING (doc_id))"""
+# Expected intents: what the ladder read for most messages, another one for some, and some that it never saw.
+_EXPECTED = """CASE WHEN doc_id % 11 = 0 THEN 'offer' WHEN doc_id % 13 = 1 THEN 'rejected' WHEN doc_id % 3 <> 0 THEN {got} END"""
+_GOT = "CASE WHEN l.reading = 'extracted' THEN l.intent END"
+cte("judged_", f"""SELECT *, NOT CASE WHEN should_drop THEN outcome <> 'drop' ELSE outcome = 'drop' OR (want IS NOT NULL AND want IS DISTINCT FROM got)
+    OR (want_vendor IS NOT NULL AND want_vendor IS DISTINCT FROM vendor) END AS passed FROM (
+  SELECT s.doc_id, s.outcome, s.vendor, {_GOT} AS got, {_EXPECTED.format(got=_GOT).replace('doc_id', 's.doc_id')} AS want,
+    CASE WHEN s.doc_id % 10 = 3 THEN 'greenhouse' WHEN s.doc_id % 10 = 4 THEN s.vendor END AS want_vendor, q.quality = 0 AS should_drop
+  FROM scored s JOIN labels q USING (doc_id) LEFT JOIN ladder l USING (message_id)) x""", "scored ladder")
 
 
 def _judged(t):
-    labels = t.raw("labels").select(
-        F.concat(F.lit("d-"), "doc_id").alias("message_id"), F.lit(None).cast("string").alias("intent"),
-        F.lit(None).cast("string").alias("company"), F.lit(None).cast("string").alias("vendor"), (F.col("quality") == 0).alias("should_drop"))
-    verdicts = screened(t).select("message_id", "outcome", F.lit(None).cast("string").alias("intent"), F.lit(None).cast("string").alias("company"), "vendor")
-    return ops.judged(labels, verdicts)
-
-
-@add("e01_evaluate_extraction", f"""SELECT count(*) AS scored, count(*) FILTER (should_drop = (outcome = 'drop')) AS passed, 1.0::DOUBLE AS precision, count(*) >= 15 AS gate_met FROM {_ROWS} r""", uses="scored")
+    s = cut_lineage(screened(t))
+    read = ops_screening.run_ladder(s, own=own(t)).filter("reading = 'extracted'").select("message_id", "intent")
+    verdicts = s.select("message_id", "outcome", "vendor", F.lit(None).cast("string").alias("company")).join(read, "message_id", "left")
+    labels = t.raw("labels").select("doc_id", F.concat(F.lit("d-"), "doc_id").alias("message_id"), (F.col("quality") == 0).alias("should_drop"))
+    expected = labels.join(verdicts.select("message_id", F.col("intent").alias("got"), F.col("vendor").alias("v")), "message_id").select(
+        "message_id", "should_drop", F.expr(_EXPECTED.format(got="got")).alias("intent"), F.lit(None).cast("string").alias("company"),
+        F.expr("CASE WHEN doc_id % 10 = 3 THEN 'greenhouse' WHEN doc_id % 10 = 4 THEN v END").alias("vendor"))
+    return ops.judged(expected, verdicts)
+
+
+@add("e01_evaluate_extraction", """SELECT scored, passed, claimed, correct, expected, false_negatives, round(correct / claimed, 6) AS precision, round(correct / expected, 6) AS recall,
+  correct / claimed >= 0.97 AND correct / expected >= 0.90 AND scored >= 15 AS gate_met FROM (
+  SELECT count(*) AS scored, count(*) FILTER (passed) AS passed, count(*) FILTER (want IS NOT NULL AND got IS NOT NULL) AS claimed, count(*) FILTER (want = got) AS correct,
+    count(*) FILTER (want IS NOT NULL) AS expected, count(*) FILTER (want IS NOT NULL AND got IS NULL AND outcome = 'drop') AS false_negatives FROM judged_) x""", uses="judged_")
 def e01(t):
-    return ops.evaluate_extraction(_judged(t)).select("scored", "passed", "precision", "gate_met")
+    return rounded(ops.evaluate_extraction(_judged(t)), "precision", "recall")
 
 
-@add("e01_by_intent", f"SELECT CASE WHEN should_drop THEN 'drop' ELSE 'other' END AS intent, count(*) AS expected, count(*) FILTER (should_drop = (outcome = 'drop')) AS correct FROM {_ROWS} r GROUP BY ALL", uses="scored")
+@add("e01_by_intent", "SELECT coalesce(want, CASE WHEN should_drop THEN 'drop' ELSE 'other' END) AS intent, count(*) AS expected, count(*) FILTER (passed) AS correct FROM judged_ GROUP BY ALL", uses="judged_")
 def e01_intent(t):
     return ops.by_intent(_judged(t))
 

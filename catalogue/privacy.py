@@ -6,7 +6,7 @@ from caseledger.functions import privacy as P
 from caseledger.functions import vocab as V
 from caseledger.functions.rules import BUILT_IN, vendor_domains
 
-from .base import Registry
+from .base import Registry, iso, rounded, ziso
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -106,9 +106,13 @@ def p05(t):
     return t.raw("documents").select("doc_id", P.fence(marked).alias("fenced"))
 
 
-@add("p06_tenant_isolation", "SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, case_id FROM ev WHERE user_id % 2 = 0) x GROUP BY user_id", uses="ev")
+@add("p06_tenant_isolation", f"""SELECT user_id, case_id % 8 AS case_id, current_stage, current_phase, status, {ziso('applied_at')} AS applied_at, {ziso('last_signal_at')} AS last_signal_at,
+  role_title, location, channel, round(confidence, 6) AS confidence FROM folded""", uses="folded")
 def p06(t):
-    """The fold of half of the tenants does not know the other half."""
+    """Every tenant numbers its cases from 0 to 7: what one of them holds must not reach the same number of another."""
     from caseledger.operators.fold import fold
 
-    return fold(t.log, t.stage_defs).filter("user_id % 2 = 0").groupBy("user_id").agg(F.count("*").alias("n"))
+    same = fold(t.log.withColumn("case_id", F.col("case_id") % 8), t.stage_defs)
+    return rounded(iso(same.select(
+        "user_id", "case_id", "current_stage", "current_phase", "status", "applied_at", "last_signal_at", "role_title", "location",
+        "channel", "confidence"), "applied_at", "last_signal_at"), "confidence")

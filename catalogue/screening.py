@@ -205,10 +205,10 @@ def m07(t):
     return out.select("message_id", "intent", "confidence", "stage_hint", "ats_vendor", "case_hint")
 
 
-@add("m07_signal_roles", f"""SELECT message_id, role IS NOT NULL AS has_role FROM (SELECT message_id, vendor, doc_id, {role_sql("concat(subject, chr(10), text)")} AS role FROM ladder WHERE reading = 'extracted') x""", uses="ladder")
+@add("m07_signal_roles", f"""SELECT message_id, role FROM (SELECT message_id, vendor, doc_id, {role_sql("concat(subject, chr(10), text)")} AS role FROM ladder WHERE reading = 'extracted') x""", uses="ladder")
 def m07_roles(t):
     out = ops.build_signals(readings(t))
-    return out.select("message_id", F.col("role").isNotNull().alias("has_role"))
+    return out.select("message_id", "role")
 
 
 @add("m08_replay_summary", """SELECT 'messages' AS measure, (SELECT count(*) FROM scored) AS n UNION ALL SELECT 'dropped', count(*) FROM scored WHERE outcome = 'drop'

@@ -25,21 +25,35 @@ def _strip(x):
     return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
 
 
-@add("x01_html_to_text", f"""SELECT page_id, md5(regexp_replace(regexp_replace(body, '(?i)</?(?:p|div|br|tr|li|h[1-6]|table|blockquote|section|article)[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g')) AS digest
+cte("flat_pages", f"""SELECT page_id, regexp_replace(regexp_replace(body, '(?i)</?(?:p|div|br|tr|li|h[1-6]|table|blockquote|section|article)[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g') AS flat
   FROM (SELECT page_id, concat(list_reduce(list_prepend('', list_transform(range(1, len(a) + 1), lambda i: concat(s[i],
       CASE WHEN l[i] <> '' AND NOT regexp_matches(lower(l[i]), '^https?://') THEN concat(l[i], ' (', h[i], ')') ELSE concat(' ', h[i], ' ') END))), lambda x, y: concat(x, y)), s[len(a) + 1]) AS body
     FROM (SELECT *, regexp_extract_all(html, {lit(_ANCHOR)}, 0) AS a, regexp_extract_all(html, {lit(_ANCHOR)}, 1) AS h,
       list_transform(regexp_extract_all(html, {lit(_ANCHOR)}, 2), lambda z: {_strip("regexp_replace(z, '<[^>]+>', '', 'g')")}) AS l,
       regexp_split_to_array(html, {lit(_ANCHOR)}) AS s FROM (
       SELECT page_id, regexp_replace(regexp_replace(html, {lit(_HIDDEN)}, ' ', 'g'), '(?i)<img\\b[^>]*>', ' ', 'g') AS html FROM pages) p0) p1) p2""")
+
+
+@add("x01_html_to_text", "SELECT page_id, md5(flat) AS digest FROM flat_pages", uses="flat_pages")
 def x01(t):
     """Digests of the flattened pages, before entities are resolved."""
     return t.raw("pages").select("page_id", F.md5(X.flatten_html(F.col("html"))).alias("digest"))
 
 
-@add("x01_html_unescaped")
+def _resolved(x):
+    """Named references one after the other, the ampersand last."""
+    for name, code in sorted(X._NAMED.items(), key=lambda n: n[0] == "amp"):
+        x = f"replace({x}, '&{name};', chr({code}))"
+    return x
+
+
+_MORE = " &#8364;&#x41; &eacute; &nosuch; &amp;lt; &#0; &#x110000; &"
+
+
+@add("x01_html_unescaped", f"""SELECT page_id, md5(concat({_resolved('flat')}, ' €A é &nosuch; &lt; &#0; &#x110000; &')) AS digest FROM flat_pages""", uses="flat_pages")
 def x01_full(t):
-    return t.raw("pages").select("page_id", F.length(X.html_to_text(F.col("html"))).alias("chars"))
+    page = F.concat("html", F.lit(_MORE))
+    return t.raw("pages").select("page_id", F.md5(X.html_to_text(page)).alias("digest"))
 
 
 _TAILS = ("", "\nOn Mon, 1 Jan 2024, Ann Example wrote:\n> hi", "\n> one\n > two", "\n--\nAnn", "\nFrom: a@b.c\nSent: today\nx", "\n\n\n\nend \t x")
