@@ -10,8 +10,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id that has an edge; the component is its smallest id.
 
     Each round hangs all neighbours of a node under the smallest of them, first the larger, then
-    the smaller ones. Every message is a row keyed by a node, minima are combined on the map
-    side, and rounds end when the edges no longer change; their number grows with the logarithm
+    the smaller ones. Every message is a row keyed by a node and minima are combined on the map
+    side. Minima are stored before they are joined with the edges, so that Spark may split the edges of a node
+    with very many. Rounds end when the edges no longer change; their number grows with the logarithm
     of the longest path. Self loops, repeated edges and null ends are ignored, no edges give no rows.
     """
     e = (
@@ -22,7 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = stored(e, "edges")
     before = _mark(e)
     while before[0]:
-        e = stored(_small_star(_large_star(e)), "edges")
+        e = stored(_small_star(stored(_large_star(e), "edges")), "edges")
         now = _mark(e)
         if now == before:
             break
@@ -37,11 +38,11 @@ def _mark(e: DataFrame) -> tuple:
 
 def _large_star(e: DataFrame) -> DataFrame:
     both = e.selectExpr("u AS x", "v AS y").unionByName(e.selectExpr("v AS x", "u AS y"))
-    least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+    least = stored(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")), "least")
     return both.join(least, "x").filter("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(e.groupBy("u").agg(F.min("v").alias("m")), "least")
     others = e.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionByName(least.selectExpr("u", "m AS v")).distinct()
