@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import names as N
-from ..functions.clock import plus_days
+from ..functions.clock import iso_z, plus_days
 from ..functions.text import domain_label, under_any
 from ..session import cut_lineage
 from . import similarity as S
@@ -215,22 +215,22 @@ def ambiguous_shortlist(decided: DataFrame, cases: DataFrame) -> DataFrame:
 # --- the same job found twice -----------------------------------------------------------------------
 
 
-def merge_refusal(a: str, b: str) -> Column:
-    """Why two cases must stay apart, null when they may merge. Splits are looked up elsewhere."""
-    either = lambda test: test(a) | test(b)
-    stage = either(lambda x: F.col(f"{x}.current_stage").isin(*C.UNMERGEABLE_STAGES))
-    accepted = either(lambda x: F.col(f"{x}.status") == "accepted")
-    manual = either(lambda x: F.col(f"{x}.manually_created"))
+def merge_refusal(a: str, b: str, split: Column | None = None) -> Column:
+    """Why two cases must stay apart, null when they may merge: the first reason of the one, then of the other, then
+    of both. `split` tells whether a person pulled the two apart."""
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
     mode = filled(f"{a}.work_mode") != filled(f"{b}.work_mode")
     country = N.country_of(filled(f"{a}.location")) != N.country_of(filled(f"{b}.location"))
-    return (
-        F.when(stage, "an offer or negotiation is open")
-        .when(accepted, "one of them was accepted")
-        .when(manual, "one of them was declared by hand")
-        .when(mode, "different work mode")
-        .when(country, "different country")
-    )
+    out = None
+    for x in (a, b):
+        for test, reason in (
+            (F.col(f"{x}.current_stage").isin(*C.UNMERGEABLE_STAGES), "an offer or negotiation is open"),
+            (F.col(f"{x}.status") == "accepted", "one of them was accepted"),
+            (F.col(f"{x}.manually_created"), "one of them was declared by hand"),
+        ):
+            out = F.when(test, reason) if out is None else out.when(test, reason)
+    out = out.when(mode, "different work mode").when(country, "different country")
+    return out if split is None else out.when(split, "a human split them before")
 
 
 _MODES = ("onsite", "hybrid", "remote")
@@ -504,24 +504,44 @@ CANCELLED_QUESTION = "An interview was cancelled. Is this application still movi
 
 
 def review_items(
-    readings: DataFrame, decided: DataFrame, cancelled: DataFrame, stored: DataFrame
+    readings: DataFrame, decided: DataFrame, cancelled: DataFrame, stored: DataFrame,
+    shortlist: DataFrame | None = None, cases: DataFrame | None = None,
 ) -> DataFrame:
     """Questions to raise, once per open (tenant, kind, evidence).
 
     `readings`: those a person must look at; `decided`: ambiguous signals; `cancelled`: placed
-    cancellations; `stored`: questions so far.
+    cancellations; `stored`: questions so far. With the `shortlist` of ambiguous_shortlist and the `cases`, an
+    ambiguous item carries its candidates as JSON, best first: case, role, stage, date and cosine.
     """
-    none = F.lit(None).cast("bigint")
+    none, no_candidates = F.lit(None).cast("bigint"), F.lit(None).cast("string").alias("candidates")
     unread = readings.filter(F.col("reading") == "review").select(
         "user_id", F.lit("unknown_intent").alias("kind"), F.col("message_id").alias("evidence_ref"),
-        none.alias("case_id"), "excerpt",
-    )
-    torn = decided.filter(F.col("decision") == "ambiguous").select(
-        "user_id", F.lit("ambiguous_match").alias("kind"), "evidence_ref", none.alias("case_id"), "excerpt"
+        none.alias("case_id"), "excerpt", no_candidates,
+    )
+    torn = decided.filter(F.col("decision") == "ambiguous")
+    if shortlist is None:
+        torn = torn.withColumn("candidates", no_candidates)
+    else:
+        told = cases.select("user_id", "case_id", "role_title", F.col("current_stage").alias("stage"), "applied_at")
+        # At most as many as the shortlist names for a signal.
+        listed = shortlist.join(torn.select("user_id", "signal_id"), "signal_id").join(told, ["user_id", "case_id"]).groupBy(
+            "user_id", "signal_id"
+        ).agg(
+            F.to_json(F.transform(
+                F.sort_array(F.collect_list(F.struct("position", "case_id", "role_title", "stage", "applied_at", "cosine"))),
+                lambda c: F.struct(
+                    c["case_id"].alias("case_id"), c["role_title"].alias("role_title"), c["stage"].alias("stage"),
+                    iso_z(c["applied_at"]).alias("applied_at"), c["cosine"].alias("cosine"),
+                ),
+            )).alias("candidates")
+        )
+        torn = torn.join(listed, ["user_id", "signal_id"], "left")
+    torn = torn.select(
+        "user_id", F.lit("ambiguous_match").alias("kind"), "evidence_ref", none.alias("case_id"), "excerpt", "candidates"
     )
     off = cancelled.select(
         "user_id", F.lit("unknown_intent").alias("kind"), "evidence_ref", "case_id",
-        F.lit(CANCELLED_QUESTION).alias("excerpt"),
+        F.lit(CANCELLED_QUESTION).alias("excerpt"), no_candidates,
     )
     return raise_once(unread.unionByName(torn).unionByName(off), stored)
 

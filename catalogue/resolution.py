@@ -9,7 +9,7 @@ from caseledger.operators import similarity as S
 
 from caseledger.session import cut_lineage
 
-from .base import Registry, iso
+from .base import Registry, iso, ziso
 from .shapes import COMPANY_ID, cte
 
 REGISTRY = Registry()
@@ -125,17 +125,26 @@ def r06(t):
     return out.withColumn("cosine", F.round("cosine", 6))
 
 
-@add("r06_merge_refusals", """SELECT a.case_id, b.case_id AS other_id, CASE WHEN a.current_stage IN ('offer', 'negotiating') OR b.current_stage IN ('offer', 'negotiating') THEN 'an offer or negotiation is open'
-    WHEN a.status = 'accepted' OR b.status = 'accepted' THEN 'one of them was accepted' WHEN a.manually_created OR b.manually_created THEN 'one of them was declared by hand'
-    WHEN nullif(a.work_mode, '') <> nullif(b.work_mode, '') THEN 'different work mode'
-    WHEN ca <> cb THEN 'different country' END AS refusal
-  FROM (SELECT *, CASE lower(location) WHEN 'milano' THEN 'it' WHEN 'roma' THEN 'it' WHEN 'berlin' THEN 'de' WHEN 'london' THEN 'gb' ELSE CASE WHEN location <> '' THEN 'unknown' END END AS ca FROM projected) a
-  JOIN (SELECT *, CASE lower(location) WHEN 'milano' THEN 'it' WHEN 'roma' THEN 'it' WHEN 'berlin' THEN 'de' WHEN 'london' THEN 'gb' ELSE CASE WHEN location <> '' THEN 'unknown' END END AS cb FROM projected) b ON b.case_id = a.case_id + 1""", uses="projected")
+_LAND = "CASE lower(location) WHEN 'milano' THEN 'it' WHEN 'roma' THEN 'it' WHEN 'berlin' THEN 'de' WHEN 'london' THEN 'gb' ELSE CASE WHEN location <> '' THEN 'unknown' END END"
+_OWN = " ".join(f"""WHEN {x}.current_stage IN ('offer', 'negotiating') THEN 'an offer or negotiation is open'
+    WHEN {x}.status = 'accepted' THEN 'one of them was accepted' WHEN {x}.manually_created THEN 'one of them was declared by hand'""" for x in "ab")
+
+
+@add("r06_merge_refusals", f"""SELECT a.case_id, b.case_id AS other_id, CASE {_OWN}
+    WHEN nullif(a.work_mode, '') <> nullif(b.work_mode, '') THEN 'different work mode' WHEN a.land <> b.land THEN 'different country'
+    WHEN EXISTS (SELECT 1 FROM ev s WHERE s.p_field = 'merge' AND s.p_to = 'split' AND s.user_id = a.user_id
+      AND ((s.case_id = a.case_id AND CAST(s.p_merged_id AS BIGINT) = b.case_id) OR (s.case_id = b.case_id AND CAST(s.p_merged_id AS BIGINT) = a.case_id))) THEN 'a human split them before' END AS refusal
+  FROM (SELECT *, {_LAND} AS land FROM projected) a JOIN (SELECT *, {_LAND} AS land FROM projected) b
+  ON b.user_id = a.user_id AND b.company_id = a.company_id AND b.case_id > a.case_id""", uses="projected ev")
 def r06_refusals(t):
-    """Each case against the one with the next number."""
+    """Each case against the later ones of its company."""
+    pairs = log_ops.split_pairs(t.log)
+    apart = pairs.select("user_id", F.least("case_id", "other_id").alias("low"), F.greatest("case_id", "other_id").alias("high")).distinct()
     a, b = t.projected.alias("a"), t.projected.alias("b")
-    out = a.join(b, F.col("b.case_id") == F.col("a.case_id") + 1)
-    return out.select(F.col("a.case_id").alias("case_id"), F.col("b.case_id").alias("other_id"), ops.merge_refusal("a", "b").alias("refusal"))
+    met = a.join(b, F.expr("b.user_id = a.user_id AND b.company_id = a.company_id AND b.case_id > a.case_id")).join(
+        apart.alias("s"), F.expr("s.user_id = a.user_id AND s.low = a.case_id AND s.high = b.case_id"), "left")
+    return met.select(F.col("a.case_id").alias("case_id"), F.col("b.case_id").alias("other_id"),
+                      ops.merge_refusal("a", "b", F.col("s.low").isNotNull()).alias("refusal"))
 
 
 vectors_cte("ovec", "SELECT DISTINCT role_title AS text FROM open_cases WHERE role_title <> ''", "open_cases")
@@ -235,15 +244,24 @@ def r09(t):
         "evidence_ref", "type", F.col("ord").cast("bigint").alias("ord"), "to_stage", "payload.currency", "payload.status")
 
 
-@add("r10_review_items", """SELECT DISTINCT user_id, 'ambiguous_match' AS kind, CAST(signal_id AS VARCHAR) AS evidence_ref FROM decided_ d JOIN signals_ s USING (signal_id) WHERE decision = 'ambiguous' AND signal_id % 2 = 1
-  UNION ALL SELECT user_id, 'unknown_intent', message_id FROM msg WHERE doc_id % 10 = 4 AND invited""", uses="decided_ signals_ msg")
+@add("r10_review_items", f"""SELECT user_id, 'ambiguous_match' AS kind, CAST(signal_id AS VARCHAR) AS evidence_ref, string_agg(concat(case_id, '|', role_title, '|', stage, '|', since, '|', printf('%.4f', c)), ';' ORDER BY place) AS candidates
+  FROM (SELECT s.user_id, s.signal_id, s.case_id, p.role_title, p.current_stage AS stage, coalesce({ziso('p.applied_at')}, '-') AS since, round(s.c, 6) AS c,
+      row_number() OVER (PARTITION BY s.signal_id ORDER BY round(s.c, 12) DESC, s.case_id) AS place
+    FROM (SELECT x.*, y.user_id FROM scored_ x JOIN signals_ y USING (signal_id)) s JOIN decided_ d USING (signal_id) JOIN projected p ON p.user_id = s.user_id AND p.case_id = s.case_id
+    WHERE d.decision = 'ambiguous' AND signal_id % 2 = 1) x WHERE place <= 3 GROUP BY user_id, signal_id
+  UNION ALL SELECT user_id, 'unknown_intent', message_id, NULL FROM msg WHERE doc_id % 10 = 4 AND invited""", uses="decided_ signals_ scored_ projected msg")
 def r10(t):
-    """Ambiguous signals and cancellations, where the question is not open already."""
-    decided = cut_lineage(ops.attach_decision(signals(t), cases(t))).withColumn("evidence_ref", F.col("signal_id").cast("string")).withColumn("excerpt", F.lit("x"))
+    """Ambiguous signals with their candidates, and cancellations, where the question is not open already."""
+    known = cases(t)
+    decided = cut_lineage(ops.attach_decision(signals(t), known)).withColumn("evidence_ref", F.col("signal_id").cast("string")).withColumn("excerpt", F.lit("x"))
     off = placed(t).filter("intent = 'interview_cancelled' AND invite IS NOT NULL")
     none = t.messages.filter("false").select("user_id", "message_id", F.lit("").alias("reading"), F.lit("").alias("excerpt"))
     stored = decided.filter("signal_id % 2 = 0").select("user_id", F.lit("ambiguous_match").alias("kind"), "evidence_ref", F.lit(None).cast("timestamp").alias("resolved_at"))
-    return ops.review_items(none, decided, off, stored).select("user_id", "kind", "evidence_ref")
+    items = ops.review_items(none, decided, off, stored, ops.ambiguous_shortlist(decided, known), known)
+    listed = F.from_json("candidates", "array<struct<case_id:bigint,role_title:string,stage:string,applied_at:string,cosine:double>>")
+    shown = F.transform(listed, lambda c: F.concat_ws(
+        "|", c["case_id"], c["role_title"], c["stage"], F.coalesce(c["applied_at"], F.lit("-")), F.format_string("%.4f", F.round(c["cosine"], 6))))
+    return items.select("user_id", "kind", "evidence_ref", F.when(F.col("candidates").isNotNull(), F.array_join(shown, ";")).alias("candidates"))
 
 
 @add("j07_raise_once", """SELECT message_id AS evidence_ref FROM msg WHERE doc_id % 3 <> 0""", uses="msg")
