@@ -56,7 +56,13 @@ def _history(t, turns):
     return ops.history_budget(m, files, turns, 1500)
 
 
-@add("a25_history_budget")
+@add("a25_history_budget", """SELECT conv_id, turn, coalesce(kept, '') AS attachments FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) x
+  LEFT JOIN (WITH RECURSIVE files AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i, concat(conv_id, '-', turn) AS id, length(text) AS size FROM conversations),
+    walk AS (SELECT conv_id, 0::BIGINT AS i, 1500::BIGINT AS room, '' AS kept FROM (SELECT DISTINCT conv_id FROM conversations) c
+      UNION ALL SELECT w.conv_id, f.i, CASE WHEN f.size <= w.room THEN w.room - f.size ELSE w.room END,
+        CASE WHEN f.size <= w.room THEN concat(w.kept, CASE WHEN w.kept = '' THEN '' ELSE ',' END, f.id) ELSE w.kept END
+      FROM walk w JOIN files f ON f.conv_id = w.conv_id AND f.i = w.i + 1 WHERE f.i <= 24)
+    SELECT conv_id, arg_max(kept, i) AS kept FROM walk GROUP BY conv_id) k USING (conv_id) WHERE rn <= 24""")
 def a25_budget(t):
     return _history(t, 24).select("conv_id", "turn", F.array_join("attachments", ",").alias("attachments"))
 

@@ -157,7 +157,27 @@ def n07(t):
     return iso(out, "acted_at", "dismissed_at", "snoozed_until")
 
 
-@add("n06_delivery_decision")
+# In order of time, with the days each tenant has used so far: a push that has to wait is judged when it comes, and again
+# when its quiet window ends.
+_WALK = """WITH RECURSIVE pending AS (SELECT e.user_id, concat(type, ':', seq) AS key, occurred_at AS since, u.tz, type = 'deadline_set' AS bypass,
+      CASE type WHEN 'deadline_set' THEN 'deadline' WHEN 'went_silent' THEN 'let_it_go' ELSE 'follow_up_due' END AS rule,
+      timezone(u.tz, timezone('UTC', occurred_at)) AS l FROM ev e JOIN users_ u USING (user_id) WHERE type IN ('applied', 'deadline_set', 'went_silent')),
+    judged AS (SELECT *, CASE WHEN bypass OR NOT (hour(l) >= 21 OR hour(l) < 8) THEN l WHEN hour(l) < 8 THEN date_trunc('day', l) + INTERVAL 8 HOURS ELSE date_trunc('day', l) + INTERVAL 32 HOURS END AS j FROM pending),
+    steps AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t, since, key, last) AS i FROM (
+      SELECT *, since AS t, false AS last FROM judged WHERE j <> l UNION ALL SELECT *, timezone('UTC', timezone(tz, j)) AS t, true AS last FROM judged) y),
+    sent AS (SELECT user_id, list(CAST(occurred_at AS DATE)) AS days FROM ev WHERE type = 'applied' AND seq % 50 = 0 GROUP BY user_id),
+    walk AS (SELECT u.user_id, 0::BIGINT AS i, coalesce(s.days, []) AS used, []::VARCHAR[] AS dead, NULL::VARCHAR AS key, NULL::VARCHAR AS rule, false AS last, false AS goes, NULL::TIMESTAMP AS j, NULL::VARCHAR AS tz
+        FROM (SELECT DISTINCT user_id FROM pending) u LEFT JOIN sent s USING (user_id)
+      UNION ALL SELECT user_id, i, CASE WHEN last AND goes THEN list_append(used, CAST(j AS DATE)) ELSE used END, CASE WHEN NOT last AND NOT goes THEN list_append(dead, key) ELSE dead END, key, rule, last, goes, j, tz FROM (
+        SELECT w.user_id, p.i, w.used, w.dead, p.key, p.rule, p.last, p.j, p.tz,
+          p.rule <> 'let_it_go' AND (p.bypass OR NOT (list_contains(w.dead, p.key) OR list_contains(w.used, CAST(CASE WHEN p.last THEN p.j ELSE p.l END AS DATE)))) AS goes
+        FROM walk w JOIN steps p ON p.user_id = w.user_id AND p.i = w.i + 1) x)
+  SELECT * FROM walk WHERE last"""
+
+
+@add("n06_delivery_decision", f"""SELECT user_id, key AS suggestion_key, rule, CASE WHEN goes THEN 'sent' ELSE 'suppressed' END AS outcome,
+  CASE WHEN rule = 'let_it_go' THEN 'never pushed' WHEN NOT goes THEN 'daily cap' END AS reason,
+  CASE WHEN goes THEN {ziso("timezone('UTC', timezone(tz, j))")} END AS delivered_at, CASE WHEN goes THEN CAST(CAST(j AS DATE) AS VARCHAR) END AS local_date FROM ({_WALK}) w""", uses="ev users_")
 def n06(t):
     """Every event of every tenant as a notification, judged in one batch."""
     pending = t.log.filter("type IN ('applied', 'deadline_set', 'went_silent')").select(

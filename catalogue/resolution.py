@@ -115,13 +115,9 @@ cte("dups_kept", """SELECT *, CASE WHEN (at_a IS NULL, coalesce(at_a, TIMESTAMP
   CASE WHEN (at_a IS NULL, coalesce(at_a, TIMESTAMP '1970-01-01'), case_id) < (at_b IS NULL, coalesce(at_b, TIMESTAMP '1970-01-01'), partner_id) THEN partner_id ELSE case_id END AS merge FROM dups""", "dups")
 
 
-def _fewer_titles(t):
-    return cases(t)
-
-
 @add("r06_find_duplicates", "SELECT user_id, company_id, case_id, partner_id, round(cosine, 6) AS cosine, keep, merge FROM dups_kept", uses="dups_kept")
 def r06(t):
-    out = ops.find_duplicates(_fewer_titles(t), log_ops.split_pairs(t.log))
+    out = ops.find_duplicates(cases(t), log_ops.split_pairs(t.log))
     return out.withColumn("cosine", F.round("cosine", 6))
 
 
@@ -168,11 +164,29 @@ def r07(t):
     return ops.merge_roots(edges).select("merge", "keep")
 
 
-@add("r07_merged_cases")
+_ROOTS = """SELECT user_id, merge, min(keep) AS root FROM (WITH RECURSIVE up AS (SELECT user_id, merge, min(keep) AS keep FROM dups_kept GROUP BY ALL),
+    roots AS (SELECT * FROM up UNION ALL SELECT r.user_id, r.merge, u.keep FROM roots r JOIN up u ON u.user_id = r.user_id AND u.merge = r.keep) SELECT * FROM roots) q GROUP BY user_id, merge"""
+
+
+def _merged(t):
+    found = ops.find_duplicates(cases(t), log_ops.split_pairs(t.log))
+    return ops.apply_merges(t.cases, t.sources, found, t.now)
+
+
+@add("r07_merged_cases", f"""SELECT c.user_id, c.case_id, coalesce(r.root, c.merged_into_id) AS merged_into_id, u.cosine FROM cases_ c
+  LEFT JOIN ({_ROOTS}) r ON r.user_id = c.user_id AND r.merge = c.case_id
+  LEFT JOIN (SELECT user_id, merge, round(max(cosine), 6) AS cosine FROM dups_kept GROUP BY ALL) u ON u.user_id = c.user_id AND u.merge = c.case_id""", uses="cases_ dups_kept")
 def r07_cases(t):
-    found = ops.find_duplicates(_fewer_titles(t), log_ops.split_pairs(t.log))
-    merged, moved, undo = ops.apply_merges(t.cases, t.sources, found, t.now)
-    return iso(undo, "expires_at")
+    """Where each case went, and the cosine that the question to undo it carries."""
+    merged, _, undo = _merged(t)
+    asked = undo.select("user_id", F.get_json_object("candidates", "$.merged").cast("bigint").alias("case_id"),
+                        F.round(F.get_json_object("candidates", "$.cosine").cast("double"), 6).alias("cosine"))
+    return merged.select("user_id", "case_id", "merged_into_id").join(asked, ["user_id", "case_id"], "left")
+
+
+@add("r07_moved_sources", f"""SELECT s.user_id, s.source_id, coalesce(r.root, s.case_id) AS case_id FROM sources_ s LEFT JOIN ({_ROOTS}) r ON r.user_id = s.user_id AND r.merge = s.case_id""", uses="sources_ dups_kept")
+def r07_sources(t):
+    return _merged(t)[1].select("user_id", "source_id", "case_id")
 
 
 @add("r03_canonicalise_company", """SELECT doc_id, CASE WHEN NOT vendor AND dom LIKE 'company%' THEN CAST(regexp_extract(dom, '[0-9]+') AS BIGINT)
