@@ -116,7 +116,7 @@ def dead_letters(failed: DataFrame, attempts: int = C.DEAD_LETTER_ATTEMPTS):
     `failed`: queue, msg_id, read_count, body (JSON text).
     """
     dead = F.col("read_count") >= attempts
-    texts = r'("(?:text|body|html|snippet|excerpt)"\s*:\s*)"(?:[^"\\]|\\.)*"'
+    texts = r'("(?:text|body|html|snippet|excerpt)"\s*:\s*)"[^"\\]*+(?:\\.[^"\\]*+)*+"'
     stripped = F.regexp_replace("body", texts, '$1"[stripped]"')
     return failed.filter(~dead), failed.filter(dead).select(
         F.concat("queue", F.lit("_dlq")).alias("queue"), "msg_id", stripped.alias("body")

@@ -12,10 +12,12 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from ..operators.fold import fold
 from ..operators.log import dedupe_events, new_events
 from ..operators.reach import phase_reach
+from ..operators.skew import first_per_key
 from ..plans.sweeps import dead_letters
 from ..schemas import EVENT
 
 MESSAGE_KEY = ["mailbox_id", "provider_message_id"]
+CASE = ["user_id", "case_id"]
 BUCKETS = 256
 
 
@@ -56,6 +58,36 @@ def ingest(messages: DataFrame, ledger: str, out: str, checkpoint: str) -> Strea
     )
 
 
+def current(spark: SparkSession, path: str, keys: list[str], schema: StructType | None = None) -> DataFrame:
+    """A table of versions as it stands: of each key the row that the latest batch wrote."""
+    rows = spark.read.parquet(path) if schema is None else stored(spark, path, schema)
+    return first_per_key(rows, keys, F.col("batch"), last=True).drop("batch", "bucket")
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], into: str) -> None:
+    """Write a table of versions anew, with one row per key. Readers move on to the new folder when it is done."""
+    rows = spark.read.parquet(path)
+    first_per_key(rows, keys, F.col("batch"), last=True).write.mode("overwrite").partitionBy("batch").parquet(into)
+
+
+def _write_version(rows: DataFrame, path: str, batch: int) -> None:
+    """A batch that runs twice replaces what it wrote before, and nothing else."""
+    (
+        rows.withColumn("batch", F.lit(batch)).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    )
+
+
+def touched_log(spark: SparkSession, log: str, schema: StructType, touched: DataFrame) -> DataFrame:
+    """The events of some cases, from the partitions of the log that may hold them.
+
+    `touched`: user_id, case_id, bucket. At most as many bucket numbers as there are buckets come to the driver.
+    """
+    wanted = [r[0] for r in touched.select("bucket").distinct().collect()]
+    rows = stored(spark, log, schema).filter(F.col("bucket").isin(wanted) if wanted else F.lit(False))
+    return rows.join(touched.select(*CASE).distinct(), CASE, "left_semi")
+
+
 def project(
     events: DataFrame,
     log: str,
@@ -65,50 +97,61 @@ def project(
     stage_defs: DataFrame | None = None,
     buckets: int = BUCKETS,
     every: str | None = None,
+    reach: tuple[str, str] | None = None,
 ) -> StreamingQuery:
-    """Append events and fold again what they touch.
+    """Append events and fold again the cases they touch.
 
     The fold takes late events in any order, so there is no watermark and nothing is ever late.
     It is not kept as state either: a correction can bring back what a freeze held off. The
-    tenant buckets a batch touches, repeats included, are folded from the log and overwritten.
+    cases a batch touches, repeats included, are folded from their part of the log and written as the batch's
+    version; `current` reads the table as it stands. With `reach`, the folders of the cases and of the reach table,
+    reach follows in the same batch, after the states.
     """
+    schema = StructType([*EVENT.fields, StructField("bucket", IntegerType())])
 
-    def land(batch: DataFrame, _: int) -> None:
+    def land(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        schema = StructType([*EVENT.fields, StructField("bucket", IntegerType())])
         incoming = batch.withColumn("bucket", bucket(n=buckets)).persist()
-        touched = incoming.select("bucket").distinct()
-        known = stored(spark, log, schema).join(F.broadcast(touched), "bucket", "left_semi")
-        landed = new_events(known, incoming)
+        touched = incoming.select(*CASE, "bucket").distinct().persist()
+        landed = new_events(touched_log(spark, log, schema, touched), incoming)
         landed.select(*[f.name for f in schema.fields]).write.mode("append").partitionBy("bucket").parquet(log)
-        # At most `buckets` values.
-        whole = spark.read.schema(schema).parquet(log).join(F.broadcast(touched), "bucket", "left_semi")
-        folded = fold(dedupe_events(whole.drop("bucket")), stage_defs).withColumn("bucket", bucket(n=buckets))
-        (
-            folded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket").parquet(states)
-        )
+        whole = dedupe_events(touched_log(spark, log, schema, touched).drop("bucket"))
+        _write_version(fold(whole, stage_defs), states, number)
+        if reach is not None:
+            _refresh(spark, whole, touched, *reach, stage_defs, number)
+        touched.unpersist()
         incoming.unpersist()
 
     writer = events.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def _refresh(
+    spark: SparkSession, log: DataFrame, touched: DataFrame, cases: str, out: str, stage_defs: DataFrame | None, number: int
+) -> None:
+    theirs = spark.read.parquet(cases).join(touched.select(*CASE).distinct(), CASE, "left_semi")
+    _write_version(phase_reach(theirs, log, stage_defs), out, number)
+
+
 def refresh_reach(
     events: DataFrame, cases: str, log: str, stage_defs: DataFrame, out: str, checkpoint: str,
-    *, every: str = "5 seconds",
+    *, buckets: int = BUCKETS, every: str | None = "5 seconds",
 ) -> StreamingQuery:
-    """The reach table, refreshed once for each burst of events."""
+    """The reach of the cases that a burst of events touches, as the batch's version.
 
-    def refresh(batch: DataFrame, _: int) -> None:
+    Where the log is written by `project`, let that refresh reach itself, so that it never reads an older log.
+    """
+    schema = StructType([*EVENT.fields, StructField("bucket", IntegerType())])
+
+    def refresh(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        log_ = dedupe_events(spark.read.parquet(log).drop("bucket"))
-        phase_reach(spark.read.parquet(cases), log_, stage_defs).write.mode("overwrite").parquet(out)
+        touched = batch.withColumn("bucket", bucket(n=buckets)).select(*CASE, "bucket").distinct().persist()
+        whole = dedupe_events(touched_log(spark, log, schema, touched).drop("bucket"))
+        _refresh(spark, whole, touched, cases, out, stage_defs, number)
+        touched.unpersist()
 
-    return (
-        events.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
-        .trigger(processingTime=every).start()
-    )
+    writer = events.writeStream.foreachBatch(refresh).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def drain_failures(failed: DataFrame, retry: str, dead: str, checkpoint: str) -> StreamingQuery:
