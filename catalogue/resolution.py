@@ -34,7 +34,7 @@ cte("cosines", """SELECT a.text AS a, b.text AS b, sum(a.w * b.w) AS c FROM vec
 _SIG_COMPANY = COMPANY_ID.replace("case_id % 8", "event_id % 8")
 cte("signals_", f"""SELECT event_id AS signal_id, user_id, {_SIG_COMPANY} AS company_id, ts AS occurred_at,
   CASE WHEN event_id % 17 <> 0 THEN CASE WHEN event_id % 4 = 0 THEN concat('senior ', p_name, ' engineer') ELSE p_name END END AS role
-  FROM events JOIN part ON p_partkey = event_id % 200 WHERE event_type = 'click'""")
+  FROM events JOIN part ON p_partkey = event_id % <part> WHERE event_type = 'click'""")
 cte("open_cases", """SELECT user_id, case_id, company_id, role_title FROM projected WHERE merged_into_id IS NULL AND status IN ('live', 'dormant')""", "projected")
 cte("scored_", """SELECT s.signal_id, s.role, o.case_id, coalesce(c.c, 0) AS c, count(*) OVER (PARTITION BY s.signal_id) AS n,
   row_number() OVER (PARTITION BY s.signal_id ORDER BY coalesce(c.c, 0) DESC, o.case_id) AS rn
@@ -50,8 +50,8 @@ def signals(t):
     part = t.raw("part").select("p_partkey", "p_name")
     e = t.raw("events").filter("event_type = 'click'")
     role = F.expr("CASE WHEN event_id % 17 <> 0 THEN CASE WHEN event_id % 4 = 0 THEN concat('senior ', p_name, ' engineer') ELSE p_name END END")
-    return e.join(part, F.col("event_id") % 200 == F.col("p_partkey")).select(
-        F.col("event_id").alias("signal_id"), "user_id", F.expr(_SIG_COMPANY).alias("company_id"),
+    return e.join(part, F.expr(t.sized("event_id % <part>")) == F.col("p_partkey")).select(
+        F.col("event_id").alias("signal_id"), "user_id", F.expr(t.sized(_SIG_COMPANY)).alias("company_id"),
         F.col("ts").cast("timestamp").alias("occurred_at"), role.alias("role"), role.alias("role_normalised"),
     )
 

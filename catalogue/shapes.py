@@ -34,7 +34,11 @@ def to_spark(expression: str) -> str:
     return _PICK.sub(r"get(array(\2), CAST(\1 AS INT))", expression).replace("VARCHAR(20)", "STRING")
 
 
+_ROWS = re.compile(r"<(supplier|part)>")
+
+
 def to_duck(expression: str) -> str:
+    expression = _ROWS.sub(r"(SELECT count(*) FROM \1)", expression)
     return _PICK.sub(r"([\2])[\1 + 1]", expression)
 
 
@@ -141,8 +145,8 @@ LEADS = (
 )
 TITLES = ("Technical interview", "Intro call", "Chat with the CTO", "Catch up", "Take-home review")
 ZONES = ("Etc/UTC", "Europe/Rome", "America/New_York", "Asia/Tokyo")
-N_COMPANIES = 10  # suppliers present at every scale
-COMPANY_ID = f"(user_id + CAST(floor((case_id % 8) / 3) AS INT)) % {N_COMPANIES}"
+# <table> stands for the number of its rows, so that keys spread over all of it at every scale.
+COMPANY_ID = "(user_id + CAST(floor((case_id % 8) / 3) AS INT)) % <supplier>"
 CASE_COLUMNS = {
     "company_id": COMPANY_ID,
     "manually_created": "case_id % 11 = 0",
@@ -174,6 +178,10 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def sized(self, expression: str) -> str:
+        """An expression with the numbers of rows put in."""
+        return _ROWS.sub(lambda m: str(self.raw(m[1]).count()), expression)
+
     @cached_property
     def now(self):
         return F.to_timestamp(F.lit(NOW))
@@ -269,11 +277,11 @@ class Tables:
     @cached_property
     def cases(self) -> DataFrame:
         rows = self.stored_log.groupBy("user_id", "case_id").agg(F.min("occurred_at").alias("created_at"))
-        rows = rows.select("*", *[F.expr(to_spark(e)).alias(n) for n, e in CASE_COLUMNS.items()])
+        rows = rows.select("*", *[F.expr(to_spark(self.sized(e))).alias(n) for n, e in CASE_COLUMNS.items()])
         part = self.raw("part").select(
             F.col("p_partkey").alias("_pk"), F.col("p_name").alias("role_title")
         )
-        return rows.join(part, F.col("case_id") % 200 == F.col("_pk"), "left").drop("_pk")
+        return rows.join(part, F.expr(self.sized("case_id % <part>")) == F.col("_pk"), "left").drop("_pk")
 
     @cached_property
     def messages(self) -> DataFrame:
@@ -403,7 +411,7 @@ _CASES_SQL = ", ".join(f"{e} AS {n}" for n, e in CASE_COLUMNS.items())
 cte("cases_", f"""SELECT c.*, p.p_name AS role_title FROM (
   SELECT user_id, case_id, created_at, {_CASES_SQL} FROM (
     SELECT user_id, case_id, min(occurred_at) AS created_at FROM ev GROUP BY ALL) x) c
-  LEFT JOIN part p ON p.p_partkey = c.case_id % 200""", "ev")
+  LEFT JOIN part p ON p.p_partkey = c.case_id % <part>""", "ev")
 
 _TIER = """CASE WHEN type = 'human_corrected' AND p_field = '{f}' AND confidence >= 1 THEN 3
     WHEN type IN ('rejected', 'withdrawn', 'accepted') THEN 2 ELSE 1 END"""
