@@ -1,14 +1,14 @@
 """What the training-data operators have in common: the shared folder, stored tables and words."""
 
-import tempfile
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: A word, as a pattern for Java and DuckDB alike. bytes.split() cuts at the same six characters.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_AND_GAP = r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
@@ -33,20 +33,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it.
-
-    A folder of our own stands in only where none is named and everything runs in one process.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="run-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
 def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -73,13 +59,6 @@ def as_bytes(texts: pa.Array) -> list[bytes | None]:
     return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()).to_pylist()
 
 
-def chosen(batches: Iterable[pa.RecordBatch], rows: int) -> Iterable[pa.RecordBatch]:
-    """Cut batches to at most so many rows."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
-
-
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 
@@ -93,5 +72,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _S33)
 
 
-def n_words(text) -> "F.Column":
+def n_words(text: Column) -> Column:
+    """Words of a whole text; none in a null one."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
