@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from . import wording as T
 from .clock import days_between, hours_exact, local
 
 
@@ -168,21 +169,21 @@ def draft(company: Column, language: Column, last_event: Column, thread_id: Colu
     )
     said = F.lower(last_event)
     context = (
-        F.when(italian & _filled(last_event), F.concat(F.lit("grazie ancora per "), said, F.lit(".")))
-        .when(_filled(last_event), F.concat(F.lit("thanks again for the "), said, F.lit(".")))
-        .when(italian, "grazie ancora per il tempo dedicato.")
-        .otherwise("thanks again for your time.")
+        F.when(italian & _filled(last_event), F.concat(F.lit(T.DRAFT_FOR_IT), said, F.lit(".")))
+        .when(_filled(last_event), F.concat(F.lit(T.DRAFT_FOR_EN), said, F.lit(".")))
+        .when(italian, T.DRAFT_TIME_IT)
+        .otherwise(T.DRAFT_TIME_EN)
     )
     body = F.when(
         italian,
         F.concat(
-            F.lit("Ciao,\n\n"), context,
-            F.lit("\nServe qualcosa da parte mia mentre il team decide?\n\nUn saluto,"),
+            F.lit(T.DRAFT_OPEN_IT), context,
+            F.lit(T.DRAFT_END_IT),
         ),
     ).otherwise(
         F.concat(
-            F.lit("Hi,\n\n"), context,
-            F.lit("\nIs there anything you need from my side while the team decides?\n\nBest,"),
+            F.lit(T.DRAFT_OPEN_EN), context,
+            F.lit(T.DRAFT_END_EN),
         )
     )
     thread = F.concat(F.lit("<"), F.regexp_replace(thread_id, "^[<>]+|[<>]+$", ""), F.lit(">"))

@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from . import wording as T
 
 
 def ratio(
@@ -59,13 +60,11 @@ def seasonal_gate(quarters: Column) -> dict[str, Column]:
     met = quarters >= C.SEASONAL_MIN_QUARTERS
     missing = F.lit(C.SEASONAL_MIN_QUARTERS) - quarters
     note = F.concat(
-        F.lit("Seasonal averages need "),
+        F.lit(T.SEASONAL_START),
         missing.cast("string"),
         F.lit(" more quarter"),
         F.when(missing == 1, "").otherwise("s"),
-        F.lit(
-            " of history before they mean anything, so they are hidden rather than shown noisy."
-        ),
+        F.lit(T.SEASONAL_END),
     )
     return {"gate_met": met, "note": F.when(met, "").otherwise(note)}
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import names as N
+from ..functions import wording as T
 from ..functions.clock import iso_z, plus_days
 from ..functions.text import domain_label, under_any
 from ..session import cut_lineage
@@ -224,13 +225,13 @@ def merge_refusal(a: str, b: str, split: Column | None = None) -> Column:
     out = None
     for x in (a, b):
         for test, reason in (
-            (F.col(f"{x}.current_stage").isin(*C.UNMERGEABLE_STAGES), "an offer or negotiation is open"),
-            (F.col(f"{x}.status") == "accepted", "one of them was accepted"),
-            (F.col(f"{x}.manually_created"), "one of them was declared by hand"),
+            (F.col(f"{x}.current_stage").isin(*C.UNMERGEABLE_STAGES), T.APART_OFFER),
+            (F.col(f"{x}.status") == "accepted", T.APART_ACCEPTED),
+            (F.col(f"{x}.manually_created"), T.APART_BY_HAND),
         ):
             out = F.when(test, reason) if out is None else out.when(test, reason)
-    out = out.when(mode, "different work mode").when(country, "different country")
-    return out if split is None else out.when(split, "a human split them before")
+    out = out.when(mode, T.APART_MODE).when(country, T.APART_COUNTRY)
+    return out if split is None else out.when(split, T.APART_SPLIT)
 
 
 _MODES = ("onsite", "hybrid", "remote")

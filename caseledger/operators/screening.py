@@ -11,6 +11,7 @@ from .. import constants as C
 from ..functions import names as N
 from ..functions import text as X
 from ..functions import vocab as V
+from ..functions import wording as T
 from ..functions.rules import BUILT_IN, Rule, positional, vendor_domains
 
 READING = ("intent", "confidence", "rung", "company", "role", "stage_hint", "deadline")
@@ -145,20 +146,20 @@ def screen(
     backed = col("_ats") | col("_company") | col("_on_thread") | meets
     waived = (col("_ats") | col("_white")) & ~col("_noise")
     points = (
-        (col("_ats"), 3, "sender is a known ATS vendor"),
-        (col("_company"), 3, "direct mail from a company already in the pipeline"),
-        (col("_strong"), 2, "subject or opening names an application unambiguously"),
-        (weak & backed, 2, "ambiguous vocabulary, corroborated by another signal"),
-        (weak & ~backed, 1, "ambiguous vocabulary alone — enough to look at, not enough to trust"),
-        (col("_on_thread"), 2, "reply on a thread already attached to an application"),
-        (col("_invited"), 2, "carries a calendar invite"),
-        (~col("_invited") & col("_link"), 2, "meeting link from a business domain"),
-        (col("_bulk") & ~waived, -4, "bulk mail"),
+        (col("_ats"), 3, T.REASON_VENDOR),
+        (col("_company"), 3, T.REASON_COMPANY),
+        (col("_strong"), 2, T.REASON_STRONG),
+        (weak & backed, 2, T.REASON_WEAK_BACKED),
+        (weak & ~backed, 1, T.REASON_WEAK),
+        (col("_on_thread"), 2, T.REASON_THREAD),
+        (col("_invited"), 2, T.REASON_INVITE),
+        (~col("_invited") & col("_link"), 2, T.REASON_MEETING),
+        (col("_bulk") & ~waived, -4, T.REASON_BULK),
         (col("_bulk") & waived, 0,
-         "bulk penalty waived: LinkedIn/Indeed confirmations look exactly like their alerts"),
-        (col("_noise"), -4, "platform notification, not an application"),
-        (col("_robot") & ~(col("_strong") | weak), -3, "no-reply sender with no vocabulary hit"),
-        (col("_social"), -2, "social or developer notification"),
+         T.REASON_WAIVED),
+        (col("_noise"), -4, T.REASON_NOISE),
+        (col("_robot") & ~(col("_strong") | weak), -3, T.REASON_ROBOT),
+        (col("_social"), -2, T.REASON_SOCIAL),
     )
     score = sum((F.when(test, n).otherwise(0) for test, n, _ in points[1:]),
                 F.when(points[0][0], points[0][1]).otherwise(0))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import wording as T
 from ..functions.clock import days_exact, iso_z, local, minus_days, plus_hours
 from ..operators.activity import with_gated_dwell
 from ..operators.reach import not_merged
@@ -168,10 +169,10 @@ def gauges(pending: DataFrame, reviews: DataFrame, mailboxes: DataFrame, now: Co
         )
     )
     help_ = (
-        (9, "queue_depth", "Messages waiting per queue"),
-        (19, "dead_letters", "Messages in a dead-letter queue"),
-        (29, "review_items_open", "Open review items"),
-        (39, "mailbox_freshness_seconds", "Seconds since a mailbox last read successfully"),
+        (9, "queue_depth", T.GAUGE_QUEUES),
+        (19, "dead_letters", T.GAUGE_DEAD),
+        (29, "review_items_open", T.GAUGE_REVIEWS),
+        (39, "mailbox_freshness_seconds", T.GAUGE_FRESHNESS),
     )
     heads = known.sparkSession.range(1).select(
         F.explode(
