@@ -315,9 +315,28 @@ def r08(t):
     return ops.resolve_review(_stored_reviews(t), _answers(t))[1].select("case_id", "merged_id", "to")
 
 
-@add("r05_place_signals")
+cte("placed_", """SELECT s.*, coalesce(s.role, 'unknown') AS text, h.case_id AS on_thread, d.decision, d.case_id AS known_case FROM signals_ s JOIN decided_ d USING (signal_id)
+  LEFT JOIN (SELECT user_id, p_thread_id, arg_max(case_id, (occurred_at, seq)) AS case_id FROM ev WHERE p_thread_id IS NOT NULL GROUP BY ALL) h
+  ON h.user_id = s.user_id AND h.p_thread_id = CASE WHEN s.signal_id % 5 = 0 THEN concat('t-', s.signal_id % 400) END""", "signals_ decided_ ev")
+cte("opened_", """SELECT *, row_number() OVER (PARTITION BY user_id, company_id ORDER BY since, first) AS i FROM (
+  SELECT user_id, company_id, text, min(occurred_at) AS since, arg_min(signal_id, (occurred_at, signal_id)) AS first FROM placed_ WHERE on_thread IS NULL AND decision = 'create' GROUP BY ALL) x""", "placed_")
+cte("close_", """SELECT a.user_id, a.company_id, a.i, a.text, coalesce(list(b.text ORDER BY c.c DESC, b.since) FILTER (b.text IS NOT NULL), []) AS near FROM opened_ a
+  LEFT JOIN (cosines c JOIN opened_ b ON b.text = c.b AND c.c >= 0.82) ON c.a = a.text AND b.user_id = a.user_id AND b.company_id = a.company_id AND b.i < a.i GROUP BY ALL""", "opened_ cosines")
+# Text after text of a company: the nearest that opened a case before, or a case of its own.
+_LED = """WITH RECURSIVE walk AS (SELECT user_id, company_id, 0::BIGINT AS i, []::VARCHAR[] AS open, NULL::VARCHAR AS text, NULL::VARCHAR AS leads FROM (SELECT DISTINCT user_id, company_id FROM opened_) x
+    UNION ALL SELECT user_id, company_id, i, CASE WHEN leads = text THEN list_append(open, text) ELSE open END, text, leads FROM (
+      SELECT w.user_id, w.company_id, c.i, w.open, c.text, coalesce(list_filter(c.near, lambda x: list_contains(w.open, x))[1], c.text) AS leads
+      FROM walk w JOIN close_ c ON c.user_id = w.user_id AND c.company_id = w.company_id AND c.i = w.i + 1) y)
+  SELECT * FROM walk WHERE i > 0"""
+
+
+@add("r05_place_signals", f"""SELECT p.signal_id, CASE WHEN on_thread IS NOT NULL THEN 'thread' ELSE p.decision END AS decision,
+  CASE WHEN on_thread IS NOT NULL THEN on_thread WHEN p.decision = 'attach' THEN known_case WHEN p.decision = 'create' THEN min(CASE WHEN on_thread IS NULL AND p.decision = 'create' THEN p.signal_id END) OVER (PARTITION BY p.user_id, p.company_id, l.leads) END AS case_id
+  FROM placed_ p LEFT JOIN ({_LED}) l ON l.user_id = p.user_id AND l.company_id = p.company_id AND l.text = p.text AND p.on_thread IS NULL AND p.decision = 'create'""", uses="placed_ opened_ close_")
 def place(t):
-    """The whole batch: thread, open cases, then new ones."""
+    """The whole batch: thread, open cases, then new ones, which are shown by their first signal."""
     rows = signals(t).withColumn("thread_id", F.expr("CASE WHEN signal_id % 5 = 0 THEN concat('t-', signal_id % 400) END")).withColumn("case_hint", F.lit(None).cast("bigint"))
-    out = ops.place_signals(rows, cases(t), log_ops.thread_map(t.log))
-    return out.select("signal_id", "decision", "case_id")
+    out = cut_lineage(ops.place_signals(rows, cases(t), log_ops.thread_map(t.log)))
+    new = out.filter("decision = 'create'").groupBy("case_id").agg(F.min("signal_id").alias("first"))
+    shown = F.when(F.col("decision") == "create", F.col("first")).otherwise(F.col("case_id"))
+    return out.join(new, "case_id", "left").select("signal_id", "decision", shown.alias("case_id"))
