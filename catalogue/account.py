@@ -11,9 +11,50 @@ REGISTRY = Registry()
 add = REGISTRY.add
 
 
-@add("s08_export_json", f"""SELECT user_id, 'deadlines' AS name, concat('{{"deadline_id":', deadline_id, ',"user_id":', user_id, ',"case_id":', case_id, ',"kind":"', kind, '","due_at":"', {ziso('due_at')}, '","source":"gmail"}}') AS row FROM deadlines_""", uses="deadlines_")
+# The account's tables: where SQL finds them, and their columns as text (s), numbers and booleans (n), instants (t) and dates (d).
+ACCOUNT = {
+    "users": ("users_", "user_id:n tz:s display_currency:s"),
+    "stage_defs": ("stage_defs_", "user_id:n key:s label:s phase:s depth:n stale_after_days:n"),
+    "cases": ("cases_", "case_id:n user_id:n company_id:n role_title:s seniority:s location:s work_mode:s manually_created:n merged_into_id:n created_at:t"),
+    "events": ("ev", "seq:n user_id:n case_id:n type:s occurred_at:t from_stage:s to_stage:s evidence_ref:s rung:n"),
+    "sources": ("sources_", "source_id:n user_id:n case_id:n channel:s posting_url:s ats_vendor:s first_seen_at:t is_first_touch:n"),
+    "interviews": ("interviews_", "interview_id:s user_id:n case_id:n stage:s starts_at:t ends_at:t location:s calendar_event_id:s cancelled_at:t"),
+    "comp_offers": ("offers_", "offer_id:n user_id:n case_id:n kind:s min_minor:n max_minor:n currency:s decide_by:d created_at:t"),
+    "deadlines": ("deadlines_", "deadline_id:n user_id:n case_id:n kind:s due_at:t source:s"),
+}
+_USES = " ".join(source for source, _ in ACCOUNT.values())
+
+
+def _fields(name):
+    return [f.split(":") for f in ACCOUNT[name][1].split()]
+
+
+def account_tables(t):
+    raw = {
+        "users": t.users, "stage_defs": t.stage_defs, "cases": t.cases, "events": t.log, "sources": t.sources,
+        "interviews": t.interviews, "comp_offers": t.offers, "deadlines": t.deadlines,
+    }
+    return {name: df.select(*[c for c, _ in _fields(name)]) for name, df in raw.items()}
+
+
+def _json_sql(name):
+    """A row as JSON, without what is null."""
+    def member(column, kind):
+        value = ziso(column) if kind == "t" else f"CAST({column} AS VARCHAR)"
+        quote = "" if kind == "n" else '"'
+        return f"""CASE WHEN {column} IS NOT NULL THEN concat('"{column}":{quote}', {value}, '{quote}') END"""
+
+    members = ", ".join(member(c, k) for c, k in _fields(name))
+    return f"concat('{{', array_to_string(list_filter([{members}], lambda x: x IS NOT NULL), ','), '}}')"
+
+
+def _row_sql(name):
+    return "concat_ws('|', " + ", ".join(f"coalesce({ziso(c) if k == 't' else f'CAST({c} AS VARCHAR)'}, '-')" for c, k in _fields(name)) + ")"
+
+
+@add("s08_export_json", " UNION ALL ".join(f"SELECT user_id, '{n}' AS name, {_json_sql(n)} AS row FROM {s}" for n, (s, _) in ACCOUNT.items()), uses=_USES)
 def s08(t):
-    return ops.export_json({"deadlines": t.deadlines})
+    return ops.export_json(account_tables(t))
 
 
 @add("s09_export_csv", f"""SELECT c.case_id, c.user_id, p.canonical_name AS company, {ziso('c.created_at')} AS created_at FROM cases_ c JOIN companies_ p USING (company_id)""", uses="cases_ companies_")
@@ -27,16 +68,18 @@ def s09_selected(t):
     return ops.export_csv(t.cases, t.companies, chosen).select("case_id", "user_id", "company")
 
 
-@add("s11_account_tables", """SELECT 'cases' AS name, count(*) AS n FROM cases_ UNION ALL SELECT 'sources', count(*) FROM sources_
-  UNION ALL SELECT 'comp_offers', count(*) FROM offers_ UNION ALL SELECT 'deadlines', count(*) FROM deadlines_""", uses="cases_ sources_ offers_ deadlines_")
+@add("s11_account_tables", " UNION ALL ".join(f"SELECT '{n}' AS name, user_id, {_row_sql(n)} AS row FROM {s}" for n, (s, _) in ACCOUNT.items()), uses=_USES)
 def s11(t):
-    """Tables brought to their declared schema, counted."""
+    """Tables brought to their declared schema, every row of them."""
+    from caseledger.functions.clock import iso_z
     from caseledger.sources.tables import conform
 
     out = None
-    for name, df in {"cases": t.cases, "sources": t.sources, "comp_offers": t.offers, "deadlines": t.deadlines}.items():
-        n = conform(df, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        out = n if out is None else out.unionByName(n)
+    for name, df in account_tables(t).items():
+        shown = [iso_z(F.col(c)) if k == "t" else F.col(c).cast("string") for c, k in _fields(name)]
+        rows = conform(df.withColumn("extra", F.lit(1)), name).select(
+            F.lit(name).alias("name"), "user_id", F.concat_ws("|", *[F.coalesce(x, F.lit("-")) for x in shown]).alias("row"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 

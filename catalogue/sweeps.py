@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from caseledger.plans import sweeps as ops
 
+from .account import ACCOUNT, account_tables
 from .base import NOW, Registry, iso, ziso
 
 REGISTRY = Registry()
@@ -138,15 +139,16 @@ def t08_excerpts(t):
     return ops.retention_sweep(bodies, _reviews(t), t.now, 7)[1].select("review_id", "excerpt")
 
 
-@add("t09_erase_user", """SELECT 'events' AS name, count(*) AS n FROM ev WHERE user_id % 7 <> 3
-  UNION ALL SELECT 'cases', count(*) FROM cases_ WHERE user_id % 7 <> 3
-  UNION ALL SELECT 'interviews', count(*) FROM interviews_ WHERE user_id % 7 <> 3""", uses="ev cases_ interviews_")
+@add("t09_erase_user", " UNION ALL ".join(f"SELECT '{n}' AS name, user_id, count(*) AS n FROM {s} WHERE user_id % 7 <> 3 GROUP BY user_id" for n, (s, _) in ACCOUNT.items()),
+     uses=" ".join(s for s, _ in ACCOUNT.values()))
 def t09(t):
-    """Every seventh tenant leaves; what is left is counted per table."""
-    erased = t.users.filter("user_id % 7 = 3")
-    left = ops.erase_users({"events": t.log, "cases": t.cases, "interviews": t.interviews}, erased)
-    parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in left.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Every seventh tenant leaves; what is left is counted per table and tenant."""
+    left = ops.erase_users(account_tables(t), t.users.filter("user_id % 7 = 3"))
+    out = None
+    for name, df in left.items():
+        n = df.groupBy("user_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "user_id", "n")
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 @add("t10_dead_letters", """SELECT conv_id * 1000 + turn AS msg_id, 'raw_message_dlq' AS queue,
