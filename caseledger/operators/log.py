@@ -36,9 +36,13 @@ def dedupe_events(log: DataFrame) -> DataFrame:
 
 
 def new_events(log: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The incoming rows that are not in the log yet: what an append would land."""
+    """The incoming rows that are not in the log yet: what an append would land.
+
+    Only the events of the cases that are coming in are compared; a log partitioned by them is read in part.
+    """
     fresh = dedupe_events(valid_events(incoming)).alias("i")
-    known = log.select(*EVENT_KEY).distinct().alias("k")
+    touched = incoming.select("user_id", "case_id").distinct()
+    known = log.select(*EVENT_KEY).join(touched, ["user_id", "case_id"], "left_semi").distinct().alias("k")
     same = F.lit(True)
     for c in ("user_id", "case_id", "type", "occurred_at"):
         same = same & (F.col(f"i.{c}") == F.col(f"k.{c}"))

@@ -170,17 +170,22 @@ def c09(t):
 
 # The week before the middle of the log, so that something has happened in it.
 _MID = "2024-06-20 00:00:00"
-_WEEK = f"occurred_at > TIMESTAMP '{_MID}' - INTERVAL 7 DAYS AND occurred_at <= TIMESTAMP '{_MID}'"
+
+
+def _week(at):
+    return f"occurred_at > TIMESTAMP '{at}' - INTERVAL 7 DAYS AND occurred_at <= TIMESTAMP '{at}'"
+
 
 
 def _mid():
     return F.to_timestamp(F.lit(_MID))
 
 
-cte("moved_", f"""SELECT e.user_id, count(DISTINCT e.case_id) AS moved FROM ev e
+for _name, _at in (("moved_", _MID), ("moved_today_", NOW)):
+    cte(_name, f"""SELECT e.user_id, count(DISTINCT e.case_id) AS moved FROM ev e
   LEFT JOIN stages_ t ON t.user_id = e.user_id AND t.key = e.to_stage
   LEFT JOIN stages_ f ON f.user_id = e.user_id AND f.key = e.from_stage
-  WHERE {_WEEK} AND (type IN ('interview_scheduled', 'offer_received') OR (type = 'stage_advanced' AND to_stage IS NOT NULL
+  WHERE {_week(_at)} AND (type IN ('interview_scheduled', 'offer_received') OR (type = 'stage_advanced' AND to_stage IS NOT NULL
     AND (from_stage IS NULL OR coalesce(t.depth, 0) > coalesce(f.depth, 0)))) GROUP BY e.user_id""", "ev stages_")
 
 

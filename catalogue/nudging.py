@@ -2,12 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from caseledger import constants as C
 from caseledger.functions import clock as K
 from caseledger.operators import stages as stage_ops
 from caseledger.plans import nudges as ops
 
 from .base import NOW, Registry, iso, ziso
+from .board import _OPEN
 from .shapes import cte
+from .sweeps import _MAILBOX, ledger, mailboxes
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -227,23 +230,31 @@ def c07(t):
     return out.withColumn("depth", F.col("depth").cast("bigint")).withColumn("stale_after_days", F.col("stale_after_days").cast("bigint"))
 
 
-@add("c11_today", f"""SELECT u.user_id, strftime(timezone(u.tz, timezone('UTC', TIMESTAMP '{NOW}')), '%A %-d %B') AS eyebrow,
-  coalesce(a.live, 0) AS live, coalesce(a.quiet, 0) AS quiet, coalesce(a.closed, 0) AS closed, coalesce(o.n, 0) AS suggestions, n.case_id AS next_case_id
-  FROM users_ u LEFT JOIN (SELECT user_id, count(*) FILTER (activity = 'active') AS live, count(*) FILTER (activity = 'stale') AS quiet,
-    count(*) FILTER (activity = 'closed') AS closed FROM act GROUP BY user_id) a USING (user_id)
+_WORDS = "[" + ", ".join(f"'{w}'" for w in C.NUMBER_WORDS) + "]"
+
+
+@add("c11_today", f"""SELECT user_id, eyebrow, CASE WHEN moved > 0 THEN 'moved' WHEN live = 0 THEN 'empty' WHEN suggestions = 0 THEN 'clear' ELSE 'waiting' END AS headline_kind,
+    CASE WHEN moved > 0 THEN concat(coalesce(({_WORDS})[moved + 1], CAST(moved AS VARCHAR)), ' moved / forward / this week') WHEN live = 0 THEN 'Nothing / to track yet'
+      WHEN suggestions = 0 THEN 'You are / clear today' ELSE concat(coalesce(({_WORDS})[live + 1], CAST(live AS VARCHAR)), ' applications / waiting') END AS headline,
+    live, quiet, interviewing, offer, overdue, closed, moved, suggestions, next_case_id, next_starts_at, mailbox_state
+  FROM (SELECT u.user_id, strftime(timezone(u.tz, timezone('UTC', TIMESTAMP '{NOW}')), '%A %-d %B') AS eyebrow,
+    coalesce(a.live, 0) AS live, coalesce(a.quiet, 0) AS quiet, coalesce(a.interviewing, 0) AS interviewing, coalesce(a.offer, 0) AS offer, coalesce(a.quiet, 0) AS overdue, coalesce(a.closed, 0) AS closed,
+    coalesce(v.moved, 0) AS moved, coalesce(o.n, 0) AS suggestions, n.case_id AS next_case_id, {ziso('n.starts_at')} AS next_starts_at,
+    CASE WHEN m.status = 'needs_reauth' THEN 'F1' WHEN m.backlog_estimate > 0 THEN 'F2' ELSE 'ok' END AS mailbox_state
+  FROM users_ u LEFT JOIN (SELECT user_id, count(*) FILTER (activity = 'active') AS live, count(*) FILTER (activity = 'stale') AS quiet, count(*) FILTER (activity = 'closed') AS closed,
+      count(*) FILTER ({_OPEN} AND current_phase = 'interviewing') AS interviewing, count(*) FILTER ({_OPEN} AND current_stage IN ('offer', 'negotiating')) AS offer FROM act GROUP BY user_id) a USING (user_id)
+  LEFT JOIN moved_today_ v USING (user_id) LEFT JOIN {_MAILBOX} m USING (user_id)
   LEFT JOIN (SELECT user_id, least(count(*), 3) AS n FROM {_STORED} s WHERE acted_at IS NULL AND dismissed_at IS NULL AND (snoozed_until IS NULL OR snoozed_until < TIMESTAMP '{NOW}')
-    AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}') GROUP BY user_id) o USING (user_id) LEFT JOIN next_ n USING (user_id)""", uses="users_ act ev next_")
+    AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}') GROUP BY user_id) o USING (user_id) LEFT JOIN next_ n USING (user_id)) x""", uses="users_ act ev next_ moved_today_")
 def c11(t):
+    """The first screen of every tenant, every column of it."""
     from caseledger.plans import board as board_ops
     from caseledger.plans.sweeps import mailbox_health
 
-    from .sweeps import ledger, mailboxes
-
     rows = ledger(t).withColumn("processed_at", F.col("received_at"))
-    out = board_ops.today(
+    return board_ops.today(
         active=t.active, log=t.log, users=t.users, stage_defs=t.stage_defs,
         open_suggestions=ops.open_suggestions(_stored(t), t.now),
         upcoming=board_ops.next_interview(t.interviews, t.projected, t.companies, t.stage_defs, t.now),
         health=mailbox_health(mailboxes(t), rows, t.users, t.now), now=t.now,
     )
-    return out.select("user_id", "eyebrow", "live", "quiet", "closed", "suggestions", "next_case_id")
