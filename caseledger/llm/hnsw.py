@@ -6,8 +6,9 @@ Many queries walk the graph side by side, so that every step is a few array oper
 import numpy as np
 
 _NONE = -np.inf
-_TOGETHER = 256
 _STEPS = 4
+#: Numbers held at once, 32 MB of them: long vectors are worked on in shorter batches.
+_FLOATS = 4_000_000
 
 
 class Graph:
@@ -72,6 +73,10 @@ class Graph:
         """Neighbours in different directions first: a candidate nearer to a chosen one waits; gaps are filled by nearness."""
         most = self.links[level].shape[1]
         keep = min(ids.shape[1], 3 * most)
+        rows = max(1, _FLOATS // (keep * (keep + self.vectors.shape[1])))
+        if len(ids) > rows:
+            parts = range(0, len(ids), rows)
+            return np.vstack([self._chosen(nodes[i : i + rows], ids[i : i + rows], sims[i : i + rows], level) for i in parts])
         order = np.argsort(-sims, axis=1, kind="stable")[:, :keep]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         real = ids >= 0
@@ -104,12 +109,18 @@ class Graph:
             return
         extra = np.full((len(targets), int(counts.max())), -1, np.int64)
         extra[np.repeat(np.arange(len(targets)), counts), np.arange(len(b)) - np.repeat(first, counts)] = a
-        ids = np.hstack([self.links[level][targets], extra])
-        same = ids[:, :, None] == ids[:, None, :]
-        ids[np.tril(same, -1).any(axis=2)] = -1
-        sims = np.einsum("bkd,bd->bk", self.vectors[np.where(ids >= 0, ids, 0)], self.vectors[targets])
-        sims[ids < 0] = _NONE
-        self.links[level][targets] = self._chosen(targets, ids, sims, level)
+        listed = self.links[level][targets]
+        width = listed.shape[1] + extra.shape[1]
+        chosen = np.empty_like(listed)
+        rows = max(1, _FLOATS // (width * max(width, self.vectors.shape[1])))
+        for i in range(0, len(targets), rows):
+            at, before, new = targets[i : i + rows], listed[i : i + rows], extra[i : i + rows]
+            # Two members of a batch may have named each other.
+            new = np.where((new[:, :, None] == before[:, None, :]).any(axis=2), -1, new)
+            ids = np.hstack([before, new])
+            sims = np.einsum("bkd,bd->bk", self.vectors[np.maximum(ids, 0)], self.vectors[at])
+            chosen[i : i + rows] = self._chosen(at, ids, np.where(ids >= 0, sims, _NONE), level)
+        self.links[level][targets] = chosen
 
     def _walk(self, level: int, queries: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The `beam` best nodes met from `start`, best first; -1 where fewer were met."""
@@ -170,8 +181,10 @@ class Graph:
         last node lies below. At half of the shard a beam is as dear as the shard itself, which is then read whole.
         """
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
-        for begin in range(0, len(queries), _TOGETHER):
-            todo, wide = np.arange(begin, min(begin + _TOGETHER, len(queries))), beam
+        width = _STEPS * self.links[0].shape[1] * self.vectors.shape[1]
+        together = max(8, min(256, 4 * _FLOATS // width))
+        for begin in range(0, len(queries), together):
+            todo, wide = np.arange(begin, min(begin + together, len(queries))), beam
             while len(todo):
                 if 2 * wide >= len(self.vectors):
                     sims = queries[todo] @ self.vectors.T

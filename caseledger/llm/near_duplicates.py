@@ -25,7 +25,7 @@ _BLOOM = {
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10GB",
 }
 #: Members of one comparison task: bounds a task, not what is compared.
-_LEFT, _RIGHT = 256, 1024
+_LEFT, _RIGHT = 256, 512
 
 
 def bands_for(percent: int, rows: int, miss: float) -> int:
