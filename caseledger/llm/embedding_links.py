@@ -5,8 +5,6 @@ queried by every vector of its label, a pair of shards per task. A task widens i
 brute force passes, verifies each pair by cosine and returns counts and a spanning forest, not pairs.
 """
 
-from collections.abc import Iterable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
