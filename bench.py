@@ -12,6 +12,8 @@ HEADLINE = (
     "s07_dedupe_events", "a01_fold", "a04_phase_reach", "a06_stage_dwell_in", "a06_dwell_of_parts",
     "a07_funnel", "a12_channels", "x23_activity", "c08_board", "m02_screen", "m06_run_ladder",
     "x14_role_from_body", "r01_embed_lexical", "j11_blocked_similarity", "p01_scrub_text",
+    # Timed since the second round; the heaviest of the composed reports and the resolver.
+    "c10_statistics", "c11_today", "r05_place_signals", "r06_find_duplicates",
 )
 
 

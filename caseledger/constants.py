@@ -30,10 +30,8 @@ MATURITY_DAYS = 21
 # --- fixed values: screening ---------------------------------------------------
 SCREEN_PASS = 3
 SCREEN_CHEAP_ONLY = 1
-OPENING_CHARS = 400
 NEWSLETTER_MIN_DROPS = 5
 MODEL_DISCOUNT = 0.9
-MAX_TEXT_CHARS = 6000
 EXCERPT_CHARS = 280
 
 # --- fixed values: silence, nudges, notifications -------------------------------
@@ -53,7 +51,6 @@ QUIET_TO = "08:00"
 PARK_MAX_ATTEMPTS = 6
 DEAD_LETTER_ATTEMPTS = 5
 RETENTION_MAX_DAYS = 7
-MAX_BULK_IDS = 200
 
 # --- fixed values: event vocabulary ----------------------------------------------
 EVENT_TYPES = (

@@ -7,7 +7,7 @@ from caseledger.functions.rules import BUILT_IN, positional, rule_tables
 from caseledger.operators import screening as ops
 
 from .base import Registry
-from .patterns import group, has, re2, under
+from .patterns import group, has, under
 from .shapes import cte, pick
 from .text import EXPECTED_COMPANIES, _PHRASE_VALUES, _strip, phrase_sql, role_sql
 

@@ -1,7 +1,5 @@
 """Text, names, phrases and postings."""
 
-import re
-
 from pyspark.sql import functions as F
 
 from caseledger.functions import names as N
@@ -11,7 +9,7 @@ from caseledger.functions.rules import BUILT_IN, vendor_domains
 
 from .base import Registry
 from .patterns import group, has, lit, re2
-from .shapes import SENDERS, TITLES, cte, pick, to_duck, to_spark
+from .shapes import TITLES, cte, pick, to_spark
 
 REGISTRY = Registry()
 add = REGISTRY.add
