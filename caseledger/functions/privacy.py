@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from . import vocab as V
 
-#: An identifier is tried from its first letter only. What a later letter could match, the first one does too.
-_AT_START = r"(?i)(?<![A-Za-z_])"
+#: An identifier is tried from its first letter only: what a later letter could match, the first one does too. And only
+#: where a separator follows it, which one look ahead without backtracking tells.
+_AT_START = r"""(?i)(?<![A-Za-z_])(?=[A-Za-z_][A-Za-z0-9_\-]*+\s*+["']?\s*+[:=])"""
+_AT_SCHEME = r"(?i)\b(?=[a-z][a-z0-9+.\-]*+://)"
 
 
 def scrub_text(text: Column) -> Column:
     """Secrets in prose replaced; everything around them stays."""
-    out = F.when(F.contains(text, F.lit("://")), F.regexp_replace(text, "(?i)" + V.DSN_PASSWORD, f"$1{V.REDACTED}$3")).otherwise(text)
+    out = F.when(F.contains(text, F.lit("://")), F.regexp_replace(text, _AT_SCHEME + V.DSN_PASSWORD, f"$1{V.REDACTED}$3")).otherwise(text)
     out = F.regexp_replace(out, _AT_START + V.SECRET_PAIR, f"$1$2{V.REDACTED}")
     out = F.regexp_replace(out, "(?i)" + V.BEARER, f"$1 {V.REDACTED}")
     return F.regexp_replace(out, V.PROVIDER_SECRET, V.REDACTED)
