@@ -182,37 +182,37 @@ def x26(t):
     )
 
 
-@add("c10_statistics", f"""SELECT user_id, 'outcomes' AS section, 'ghosted' AS measure,
-    CAST(count(*) FILTER (activity = 'closed' AND status IN ('live', 'dormant')) AS DOUBLE) AS value FROM {_COHORT.format(window=_12M)} q GROUP BY user_id
-  UNION ALL SELECT user_id, 'ratios', 'closed interviews', CAST(count(*) FILTER (reached_interview AND activity = 'closed') AS DOUBLE)
-    FROM {_COHORT.format(window=_12M)} q GROUP BY user_id
-  UNION ALL SELECT user_id, 'funnel', 'top', CAST(count(*) AS DOUBLE) FROM {_COHORT.format(window=_12M)} q GROUP BY user_id
-  UNION ALL SELECT user_id, 'seasonal', 'quarters', CAST(count(DISTINCT date_trunc('quarter', applied_at)) AS DOUBLE)
-    FROM projected WHERE applied_at IS NOT NULL GROUP BY user_id
-  UNION ALL SELECT user_id, 'time_in_stage', 'transitions', CAST(sum(n) AS DOUBLE) FROM dwell_in GROUP BY user_id
-  UNION ALL SELECT user_id, 'by_month', 'applied', CAST(count(*) AS DOUBLE) FROM reach_ WHERE {_12M} GROUP BY user_id
-  UNION ALL SELECT s.user_id, 'channels', 'sent', CAST(count(*) AS DOUBLE) FROM sources_ s JOIN reach_ r USING (user_id, case_id) WHERE is_first_touch GROUP BY ALL
-  UNION ALL SELECT user_id, 'compensation', 'offers', CAST(count(*) AS DOUBLE) FROM offers_ WHERE currency = 'EUR' GROUP BY user_id
-  UNION ALL SELECT user_id, 'first_response', 'replied', CAST(count(first_human_at) AS DOUBLE) FROM reach_ WHERE applied_at IS NOT NULL AND {_12M} GROUP BY user_id
-  UNION ALL SELECT user_id, 'ghost', 'closed', CAST(count(*) FILTER (activity = 'closed') AS DOUBLE) FROM {_COHORT.format(window=_12M)} q GROUP BY user_id""",
-     uses="reach_ act projected dwell_in sources_ offers_")
+_RATIO = ("value numerator denominator excluded", "gate_met note small_sample display")
+#: The sections of the report: the SQL of each, its item, its numbers and its texts.
+_SECTIONS = (
+    ("funnel", "a07_funnel", "label", "ord n width", ""),
+    ("ratios", "a08_conversion", "'Application → interview'", *_RATIO),
+    ("ratios", "a09_offer_rate", "'Interview → offer'", *_RATIO),
+    ("first_response", "a10_first_response", "NULL", "median_days n", "display"),
+    ("channels", "a12_channels", "channel", "sent interviews offers ghosted iv_value of_value ghost_value", "gate_met note iv of ghost"),
+    ("time_in_stage", "x25_time_in_stage", "key", "days n", "stage display gate_met"),
+    ("by_month", "a14_by_month", "month", "applied replied interviews offers", "label"),
+    ("outcomes", "a15_outcomes", "NULL", "open accepted rejected ghosted withdrawn", ""),
+    ("compensation", "a17_compensation", "offer_id", "low high dropped at to", "kind label"),
+    ("seasonal", "a16_quarters", "NULL", "quarters", "gate_met note"),
+    ("ghost", "", "NULL", *_RATIO),
+)
+_GHOST_12M = _ratio_sql("count(*) FILTER (activity = 'closed' AND status IN ('live', 'dormant'))",
+                        "count(*) FILTER (activity = 'closed')", "CAST(0 AS BIGINT)", _12M)
+
+
+def _section_sql(section, name, item, numbers, texts):
+    cells = [f"{{'measure': '{c}', 'value': round(CAST(\"{c}\" AS DOUBLE), 6), 'text': CAST(NULL AS VARCHAR)}}" for c in numbers.split()]
+    cells += [f"{{'measure': '{c}', 'value': CAST(NULL AS DOUBLE), 'text': CAST(\"{c}\" AS VARCHAR)}}" for c in texts.split()]
+    return f"""SELECT user_id, '{section}' AS section, item, c.measure AS measure, c.value AS value, c.text AS text FROM (
+    SELECT user_id, CAST({item} AS VARCHAR) AS item, unnest([{', '.join(cells)}]) AS c FROM ({REGISTRY.oracles[name] if name else _GHOST_12M}) q) z"""
+
+
+@add("c10_statistics", " UNION ALL ".join(_section_sql(*s) for s in _SECTIONS), uses="reach_ act")
 def c10(t):
-    """The whole report for every tenant, with one figure read back from each section."""
+    """The whole report for every tenant, every figure and text of every section."""
     report = ops.statistics(
         reach=t.reach, active=t.active, sources=t.sources, dwell=t.dwell, offers=t.offers,
         users=t.users, projected=t.projected, stage_defs=t.stage_defs, now=t.now,
     )
-    figure = F.expr("""CASE
-      WHEN section = 'outcomes' AND measure = 'ghosted' THEN 'ghosted'
-      WHEN section = 'ratios' AND item = 'Interview → offer' AND measure = 'denominator' THEN 'closed interviews'
-      WHEN section = 'funnel' AND item = 'Applied' AND measure = 'n' THEN 'top'
-      WHEN section = 'seasonal' AND measure = 'quarters' THEN 'quarters'
-      WHEN section = 'time_in_stage' AND measure = 'n' THEN 'transitions'
-      WHEN section = 'by_month' AND measure = 'applied' THEN 'applied'
-      WHEN section = 'channels' AND measure = 'sent' THEN 'sent'
-      WHEN section = 'first_response' AND measure = 'n' THEN 'replied'
-      WHEN section = 'compensation' AND measure = 'kind' THEN 'offers'
-      WHEN section = 'ghost' AND measure = 'denominator' THEN 'closed' END""")
-    picked = report.withColumn("measure", figure).filter("measure IS NOT NULL")
-    amount = F.when(F.col("section") == "compensation", F.lit(1.0)).otherwise(F.col("value"))
-    return picked.groupBy("user_id", "section", "measure").agg(F.sum(amount).alias("value"))
+    return rounded(report, "value")
