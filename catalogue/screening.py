@@ -170,11 +170,14 @@ _FROM_SENDER = ", ".join(
     str(i * 100 + j) for i, r in enumerate(BUILT_IN) for j, _ in enumerate(r.patterns) if r.company_from == "sender_display_name")
 
 
-@add("m03_template_fields", f"""SELECT message_id,
+cte("fields", f"""SELECT message_id, by_sender, body_role,
     CASE WHEN ti IN ({_FROM_SENDER}) THEN coalesce(by_sender, named) WHEN ti >= 0 THEN coalesce(named, by_sender) WHEN ti = -1 AND pi IS NOT NULL THEN by_sender END AS t_company,
     CASE WHEN ti >= 0 OR (ti = -1 AND pi IS NOT NULL) THEN coalesce(said, body_role) END AS t_role, due AS t_deadline
   FROM (SELECT *, {_BY_SENDER} AS by_sender, {_field_sql('company')} AS named, {_field_sql('role')} AS said, {_field_sql('deadline')} AS due,
-    {role_sql("concat(subject, chr(10), text)")} AS body_role FROM rungs) x""", uses="rungs")
+    {role_sql("concat(subject, chr(10), text)")} AS body_role FROM rungs) x""", "rungs")
+
+
+@add("m03_template_fields", "SELECT message_id, t_company, t_role, t_deadline FROM fields", uses="fields")
 def m03_fields(t):
     return ops.match_templates(screened(t)).select("message_id", "t_company", "t_role", "t_deadline")
 
@@ -241,13 +244,14 @@ def m07_roles(t):
 @add("m08_replay_summary", """SELECT 'messages' AS measure, (SELECT count(*) FROM scored) AS n UNION ALL SELECT 'dropped', count(*) FROM scored WHERE outcome = 'drop'
   UNION ALL SELECT 'extracted', count(*) FROM ladder WHERE reading = 'extracted' UNION ALL SELECT 'review', count(*) FROM ladder WHERE reading = 'review'
   UNION ALL SELECT 'ignored', count(*) FROM ladder WHERE reading = 'ignored' UNION ALL SELECT 'rung_1', count(*) FROM ladder WHERE reading = 'extracted' AND rung = 1
-  UNION ALL SELECT 'rung_2', count(*) FROM ladder WHERE reading = 'extracted' AND rung = 2""", uses="scored ladder")
+  UNION ALL SELECT 'rung_2', count(*) FROM ladder WHERE reading = 'extracted' AND rung = 2
+  UNION ALL SELECT 'with_company', count(CASE rung WHEN 1 THEN t_company WHEN 2 THEN CASE WHEN invited THEN 'Company2' ELSE by_sender END END) FROM ladder JOIN fields USING (message_id) WHERE reading = 'extracted'
+  UNION ALL SELECT 'with_role', count(CASE WHEN rung = 1 THEN coalesce(t_role, body_role) ELSE body_role END) FROM ladder JOIN fields USING (message_id) WHERE reading = 'extracted'""", uses="scored ladder fields")
 def m08(t):
     from caseledger.session import cut_lineage
 
     s = cut_lineage(screened(t))
-    out = ops.replay_summary(s, ops.run_ladder(s, own=own(t)))
-    return out.filter(~F.col("measure").isin("with_company", "with_role"))
+    return ops.replay_summary(s, ops.run_ladder(s, own=own(t)))
 
 
 @add("m09_reprocess_compare", """SELECT before, after, count(*) AS n FROM (SELECT coalesce((['dropped', 'review', NULL])[s.doc_id % 3 + 1], '—') AS before, coalesce(l.reading, 'dropped') AS after
