@@ -1,10 +1,13 @@
 """Operator 2: licence scans by canonical digests.
 
 Case, punctuation, copyright lines and equivalent spellings are normalised away; what is left of an entire
-text is hashed and joined with the digests of known licence texts. The unit is a whole document and
-each of its lines, so that a licence notice on a line of its own is found too.
+text is hashed and joined with the digests of known licences: whole texts (the folder license_texts) and notices. The unit is a
+whole document and each of its lines, so that a licence notice on a line of its own is found too.
 """
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +30,51 @@ EQUIVALENT = (
     ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"),
     ("sub license", "sublicense"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
 )
-#: Notices and short licences that are known from the start. Fixed values, public texts.
+#: What stands above the terms of a licence file, where anything does. The longer licences have their title in the text.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "This software is released under the MIT license:"),
+    "ISC": ("ISC License", "The ISC License", "The ISC License (ISC)", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD License", "The BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD License", "The BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License"),
+}
+#: How a notice names a licence, after "the" or not. Fixed values.
+NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0", "Apache License, Version 2.0 (the \"License\")"),
+    "MIT": ("MIT License", "MIT", "MIT License (MIT)"),
+    "ISC": ("ISC License", "ISC"),
+    "0BSD": ("Zero-Clause BSD License", "BSD Zero Clause License", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU GPL, version 2", "GPLv2", "GNU GPLv2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU GPL, version 3", "GPLv3", "GNU GPLv3", "GNU General Public License v3.0"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "LGPLv2.1", "GNU LGPLv2.1"),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3", "LGPLv3", "GNU LGPLv3"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "AGPLv3", "GNU AGPLv3"),
+    "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+    **{
+        f"CC-{x}-4.0": (f"CC {x} 4.0", f"Creative Commons {n} 4.0 International License", f"Creative Commons {n} 4.0 License")
+        for x, n in (
+            ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+            ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+    },
+}
+#: Notices around a name. Fixed values.
+FRAMES = (
+    "Licensed under {}.", "Released under {}.", "Distributed under {}.", "This work is licensed under {}.", "This project is licensed under {}.",
+    "This software is licensed under {}.", "This software is released under {}.",
+)
+#: Notices in words of their own. Fixed values, public texts.
+NOTICES = (
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file or at https://opensource.org/licenses/MIT."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+)
+#: One short notice or beginning per licence. The SQL twin, which takes one text per id, holds these only. Fixed values, public texts.
 KNOWN = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("MIT", "Released under the MIT License."),
@@ -42,8 +89,37 @@ KNOWN = (
 )
 
 
+def _whole_texts() -> list[tuple[str, str]]:
+    """Whole licences, each with and without its titles, its closing instructions and the s of https.
+
+    A file of license_texts is named by the licence and a number: the wordings that are in use.
+    """
+    out = []
+    for file in sorted((files(__package__) / "license_texts").iterdir(), key=lambda x: x.name):
+        name, text = file.name.split("~")[0], file.read_text(encoding="utf-8")
+        terms = re.split(r"(?<=END OF TERMS AND CONDITIONS)\W*\n", text, maxsplit=1)[0]
+        for body in dict.fromkeys((text, terms)):
+            for form in dict.fromkeys((body, body.replace("https://", "http://"), re.sub(r"http://", "https://", body))):
+                out += [(name, f"{title}\n\n{form}" if title else form) for title in ("", *TITLES.get(name, ()))]
+    return out
+
+
+def _notices() -> list[tuple[str, str]]:
+    out = []
+    for name, names in NAMES.items():
+        versions = (name, f"{name}-only", f"{name}-or-later") if "GPL" in name else (name,)
+        out += [(name, f"SPDX-License-Identifier: {v}") for v in versions]
+        out += [(name, frame.format(the + n)) for n in names for frame in FRAMES for the in ("", "the ")]
+    return out
+
+
+def all_known() -> list[tuple[str, str]]:
+    """Whole texts and, as a second kind, notices: license_id and text."""
+    return [*_whole_texts(), *_notices(), *NOTICES, *KNOWN]
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(KNOWN), "license_id string, text string")
+    return spark.createDataFrame(all_known(), "license_id string, text string")
 
 
 def _line(line: Column) -> Column:

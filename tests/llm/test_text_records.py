@@ -10,7 +10,7 @@ from conftest import SF
 from llm_helpers import awkward, empty
 from pyspark.sql import functions as F
 
-from caseledger.llm.licenses import KNOWN, known_licenses, license_scan
+from caseledger.llm.licenses import KNOWN, all_known, known_licenses, license_scan
 from caseledger.llm.placement import lookup_table, placed
 from caseledger.llm.queries import ORACLES, QUERIES
 from caseledger.llm.shared import new_path, prepare
@@ -40,6 +40,48 @@ def test_licenses_in_other_dress(spark):
     }
 
 
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to
+whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR
+COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
+def test_whole_licenses_and_usual_notices(spark):
+    holder = "Copyright (c) 2020 Jane Roe\n\n"
+    zero = _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "")
+    texts = {
+        "MIT License\n\n" + holder + _MIT: ("MIT", None), "The MIT License (MIT)\n\n" + holder + _MIT: ("MIT", None),
+        holder + _MIT: ("MIT", None), "/*\n * " + _MIT.replace("\n", "\n * "): ("MIT", None), _MIT[:-40]: (None, None),
+        "ISC License\n\n" + holder + _ISC: ("ISC", None), holder + zero: ("0BSD", None), _MIT + _ISC: (None, None),
+        "Prose.\n// SPDX-License-Identifier: Apache-2.0": (None, "Apache-2.0"),
+        "Prose.\nThis project is licensed under the MIT license": (None, "MIT"),
+        "Prose.\nThis work is licensed under a Creative Commons.": (None, None),
+        "Prose.\nThis work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License.": (None, "CC-BY-SA-4.0"),
+    }
+    long = [(name, text) for name, text in all_known() if len(text) > 5000]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {name for name, _ in long}
+    df = prepare(spark).createDataFrame(list(enumerate([*texts, *[t for _, t in long]])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["license_id"], r["line_licenses"]) for r in license_scan(df, known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+    assert [got[len(texts) + i][0] for i in range(len(long))] == [name for name, _ in long]
+
+
 def test_license_scan_of_awkward_rows(spark):
     df = awkward(prepare(spark))
     assert license_scan(df, known_licenses(spark)).count() == df.count()
