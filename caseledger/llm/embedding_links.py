@@ -16,6 +16,8 @@ from .shared import stored
 
 #: What rounding may take from a similarity of unit vectors before the exact check.
 _SLACK = 1e-9
+#: Nearest nodes that the audit looks for per query. In its own shard a vector is the first of them.
+_NEAREST = 4
 
 
 def linked(
@@ -196,12 +198,21 @@ _FOUND = [("label", pa.string()), ("dim", pa.int32()), ("rep", pa.int64()), ("pa
 def _audited(
     graph: Graph, queries: np.ndarray, least: float, beam: int, audit_rows: int, recall: float
 ) -> list[np.ndarray]:
-    """Widen the beam until the links of the audited queries are found, then ask all."""
+    """Widen the beam until the audited queries find their links and their nearest nodes, then ask all.
+
+    The nearest count whatever their cosine, so that a shard without links is audited too. Lost nodes
+    are compared with all queries and need no audit.
+    """
     picked = np.random.default_rng(len(queries)).permutation(len(queries))[:audit_rows]
-    truth = queries[picked] @ graph.vectors.T >= least
-    while beam < len(graph.vectors):
-        got = graph.within(queries[picked], least, beam)
-        if sum(map(len, got)) >= recall * truth.sum():
+    truth = queries[picked] @ graph.vectors.T
+    links = int((truth >= least).sum())
+    truth[:, graph.lost] = -np.inf
+    k = min(_NEAREST, len(graph.vectors) - len(graph.lost))
+    floor = np.partition(truth, -k, axis=1)[:, -k:].min(axis=1, keepdims=True) - _SLACK
+    # From half of the shard on it is read whole.
+    while 2 * beam < len(graph.vectors):
+        near = int((graph.search(queries[picked], beam)[1][:, :k] >= floor).sum())
+        if near >= recall * k * len(picked) and sum(map(len, graph.within(queries[picked], least, beam))) >= recall * links:
             break
         beam *= 2
     return graph.within(queries, least, beam)

@@ -3,6 +3,8 @@
 Many queries walk the graph side by side, so that every step is a few array operations.
 """
 
+from functools import cached_property
+
 import numpy as np
 
 _NONE = -np.inf
@@ -172,13 +174,28 @@ class Graph:
         start = np.full((len(queries), 1), self.entry, np.int32)
         for level in range(int(self.levels[self.entry]), 0, -1):
             start = self._walk(level, queries, start, 1)[0]
+        # From the entry too: what it reaches can be met by every query.
+        start = np.hstack([start, np.where(start == self.entry, -1, self.entry)])
         return self._walk(0, queries, start, beam)
 
+    @cached_property
+    def lost(self) -> np.ndarray:
+        """Nodes that no links lead to from the entry. Asked for once the graph is complete."""
+        met = np.zeros(len(self.vectors), bool)
+        now = np.array([self.entry])
+        while len(now):
+            met[now] = True
+            near = np.unique(self.links[0][now])
+            near = near[near >= 0]
+            now = near[~met[near]]
+        return np.flatnonzero(~met)
+
     def within(self, queries: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
         """Nodes with similarity of `least` or more, per query.
 
         A beam that ends above `least` may have left some out, so it is widened until its
         last node lies below. At half of the shard a beam is as dear as the shard itself, which is then read whole.
+        Lost nodes are compared with every query.
         """
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
         width = _STEPS * self.links[0].shape[1] * self.vectors.shape[1]
@@ -193,7 +210,10 @@ class Graph:
                     break
                 ids, sims = self.search(queries[todo], wide)
                 whole = sims[:, -1] < least
-                for i, row, s in zip(todo[whole], ids[whole], sims[whole], strict=True):
+                apart = queries[todo[whole]] @ self.vectors[self.lost].T >= least
+                for i, row, s, more in zip(todo[whole], ids[whole], sims[whole], apart, strict=True):
                     out[i] = row[s >= least].astype(np.int64)
+                    if more.any():
+                        out[i] = np.union1d(out[i], self.lost[more])
                 todo, wide = todo[~whole], 2 * wide
         return out

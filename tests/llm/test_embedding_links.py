@@ -3,7 +3,7 @@ import math
 import numpy as np
 from llm_helpers import groups
 
-from caseledger.llm.embedding_links import linked
+from caseledger.llm.embedding_links import _audited, linked
 from caseledger.llm.hnsw import Graph
 from caseledger.llm.queries import QUERIES
 from caseledger.llm.shared import prepare
@@ -66,6 +66,33 @@ def test_recall_of_a_graph():
     assert (sims[:, :10] >= tenth[:, None] - 1e-6).mean() > 0.9
 
 
+def test_audit_where_links_are_rare():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(2000, 24))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    nodes = v[:1200]
+    graph = Graph.built(nodes, np.arange(len(nodes)), degree=3)
+    missed = [i for i, f in enumerate(graph.within(nodes, 0.93, 2)) if not len(f)][:20]
+    assert len(missed) == 20
+    queries = v[1200:].copy()
+    places = np.random.default_rng(len(queries)).permutation(len(queries))[48:68]
+    queries[places] = nodes[missed]
+    found = _audited(graph, queries, 0.93, 2, 48, 0.995)
+    assert sum(m in found[p] for p, m in zip(places, missed, strict=True)) >= 19
+
+
+def test_nodes_without_incoming_links_are_found():
+    v = np.random.default_rng(5).normal(size=(800, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    graph = Graph.built(v, np.arange(len(v)))
+    apart = [i for i in range(0, 800, 97) if i != graph.entry and graph.levels[i] == 0]
+    for links in graph.links:
+        links[np.isin(links, apart)] = -1
+    assert set(apart) <= set(graph.lost.tolist())
+    found = graph.within(v[apart], 0.93, 16)
+    assert all(i in f for i, f in zip(apart, found, strict=True))
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
