@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter
+from html import unescape
 
 import check
 import numpy as np
@@ -116,6 +117,17 @@ def test_records_are_linked(spark):
     assert derived(responses(pages.limit(0))).count() == 0
 
 
+def test_character_references(spark):
+    body = "It&#8217;s caf&#xE9; &eacute;t&eacute; f&uuml;r &amp;lt; &amp;#39; &#39;&apos; &Ntilde;&bdquo;x&ldquo; &copy;&rarr; a&#160;b&#xa0;c &unknown; &#0; AT&T"
+    html = f"<p>{body}</p><a href='/x?a=1&amp;b=&eacute;&#38;c=2'>l</a>"
+    pages = prepare(spark).createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string")
+    got = {r["record_type"]: r["block"] for r in derived(responses(pages)).collect()}
+    known = body.replace("&unknown; &#0;", "@")
+    want = unescape(known).replace("\u00a0", " ").replace("@", "&unknown; &#0;")
+    assert got["conversion"] == want + "\nl"
+    assert got["metadata"].endswith("outlink: /x?a=1&b=é&c=2\r\n")
+
+
 def test_long_page(spark):
     html = "<p>" + "word " * 200_000 + "</p>" * 1000
     df = prepare(spark).createDataFrame([(html,)], "html string")
