@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .embedding_links import linked
+from .hard_negatives import hard_negatives
 from .licenses import known_licenses, license_scan
 from .line_rules import quality_rules
 from .mixing import mix
@@ -89,10 +90,19 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose id is divisible by 50. Ids divisible by 7 move to the next of ten labels first."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mix, op2_license_scan, op3_warc_derivatives, op4_embedding_near_dedup, op5_shard_placement,
         op6_best_fit_packing, op7_minhash_near_dedup, op8_token_rollups, op9_quality_rules, op10_quality_classifier,
+        op11_hard_negatives,
     )
 }

@@ -176,8 +176,36 @@ SELECT page_id, record_type, record_id, refers_to, target_uri,
 FROM named
 """
 
+HARD_NEGATIVES = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same,
+         CAST(CASE WHEN len(a.v) = 0 THEN 0 ELSE list_inner_product(a.v, r.v) END AS BIGINT) AS score
+  FROM usable a JOIN usable r ON len(a.v) = len(r.v) AND a.vec_id <> r.vec_id
+  WHERE a.vec_id % 50 = 0
+),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+),
+met AS (
+  SELECT anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS nth
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(nth AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM met WHERE nth <= 3
+"""
+
 ORACLES: dict[str, str] = {
     "op2_license_scan": LICENSE_SCAN,
     "op3_warc_derivatives": WARC_DERIVATIVES,
     "op9_quality_rules": LINE_RULES,
+    "op11_hard_negatives": HARD_NEGATIVES,
 }
