@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .embedding_links import linked
 from .hard_negatives import hard_negatives
+from .importance import resampled
 from .licenses import known_licenses, license_scan
 from .line_rules import quality_rules
 from .mixing import mix
@@ -98,11 +99,15 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mix, op2_license_scan, op3_warc_derivatives, op4_embedding_near_dedup, op5_shard_placement,
         op6_best_fit_packing, op7_minhash_near_dedup, op8_token_rollups, op9_quality_rules, op10_quality_classifier,
-        op11_hard_negatives,
+        op11_hard_negatives, op12_importance_resampling,
     )
 }

@@ -203,9 +203,75 @@ met AS (
 SELECT anchor_id, positive_id, CAST(nth AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM met WHERE nth <= 3
 """
 
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_DIGITS = "'0123456789ABCDEF'"
+
+
+def _windows(table: str) -> str:
+    return f"""
+  SELECT rid, unnest(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS feature
+  FROM {table}"""
+
+
+IMPORTANCE = rf"""
+WITH polynomial AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS step
+),
+docs AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+items AS (
+  SELECT row_number() OVER () AS rid,
+         regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+),
+doc_windows AS ({_windows("docs")}),
+item_windows AS ({_windows("items")}),
+different AS (SELECT feature FROM doc_windows UNION SELECT feature FROM item_windows),
+digested AS (
+  SELECT feature, hex(encode(feature)) AS h FROM different
+),
+hashed AS (
+  SELECT feature, xor(list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(h), 2),
+        lambda i: CAST(16 * (strpos({_DIGITS}, substr(h, i, 1)) - 1) + strpos({_DIGITS}, substr(h, i + 1, 1)) - 1 AS BIGINT))),
+      lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1])), CAST(4294967295 AS BIGINT)) % 10000 AS bucket
+  FROM digested, polynomial
+),
+source AS (SELECT bucket, count(*) AS s FROM doc_windows JOIN hashed USING (feature) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM item_windows JOIN hashed USING (feature) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM source) AS n_source, (SELECT coalesce(sum(t), 0) FROM target) AS n_target),
+gain AS (
+  SELECT bucket, floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (n_source + 10000) AS DOUBLE)
+                                 / CAST((s + 1) * (n_target + 10000) AS DOUBLE))) AS g
+  FROM source LEFT JOIN target USING (bucket), totals
+),
+weighed AS (
+  SELECT rid, CAST(sum(g) AS BIGINT) AS weight, count(*) AS n
+  FROM doc_windows JOIN hashed USING (feature) JOIN gain USING (bucket) GROUP BY rid
+),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5)
+      / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weighed USING (rid)
+),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS nth, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN nth <= 5 * n // 100 THEN nth END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_license_scan": LICENSE_SCAN,
     "op3_warc_derivatives": WARC_DERIVATIVES,
     "op9_quality_rules": LINE_RULES,
     "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_importance_resampling": IMPORTANCE,
 }
