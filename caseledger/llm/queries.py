@@ -15,6 +15,7 @@ from .near_duplicates import near_duplicates
 from .packing import packed
 from .pairwise_quality import quality_scores
 from .placement import placed
+from .secrets import secret_digests
 from .shared import new_path, prepare, stored
 from .sql import ORACLES
 from .token_rollups import Rollup, counted, revised, signed
@@ -103,11 +104,15 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mix, op2_license_scan, op3_warc_derivatives, op4_embedding_near_dedup, op5_shard_placement,
         op6_best_fit_packing, op7_minhash_near_dedup, op8_token_rollups, op9_quality_rules, op10_quality_classifier,
-        op11_hard_negatives, op12_importance_resampling,
+        op11_hard_negatives, op12_importance_resampling, op13_secret_scan,
     )
 }

@@ -268,10 +268,135 @@ SELECT doc_id, n_features, weight, score, CASE WHEN nth <= 5 * n // 100 THEN nth
 FROM scored LEFT JOIN ranked USING (doc_id)
 """
 
+_NAMES = "[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
+_ASSIGN = _quoted(rf"""({_NAMES})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+_AZ, _09 = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: name, characters, symbols in order, the lower half of the symbols
+_ALPHABETS = (
+    ("decimal", "0-9", _09, "01234"),
+    ("hex", "0-9a-f", _09 + "abcdef", "01234567"),
+    ("upper hex", "0-9A-F", _09 + "ABCDEF", "01234567"),
+    ("base32", "A-Z2-7", _AZ.upper() + "234567", "A-P"),
+    ("base36", "0-9a-z", _09 + _AZ, "0-9a-h"),
+    ("base62", "0-9A-Za-z", _09 + _AZ.upper() + _AZ, "0-9A-U"),
+    ("base64", "A-Za-z0-9+/", _AZ.upper() + _AZ + _09 + "+/", "A-Za-f"),
+    ("base64url", "A-Za-z0-9_-", _AZ.upper() + _AZ + _09 + "-_", "A-Za-f"),
+)
+
+
+def _each_alphabet(value) -> str:
+    return "CASE alphabet " + " ".join(f"WHEN '{a[0]}' THEN {value(a)}" for a in _ALPHABETS) + " END"
+
+
+def _tail(z: str) -> str:
+    """Chance of a standard normal value of z or more."""
+    t = f"(1 / (1 + abs({z}) / sqrt(2.0) / 2))"
+    fit = "0.0"
+    for c in (0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368):
+        fit = f"({fit} * {t} + {c})"
+    far = f"({t} * exp(-({z}) * ({z}) / 2 - 1.26551223 + {t} * {fit}) / 2)"
+    return f"greatest(CASE WHEN {z} >= 0 THEN {far} ELSE 1 - {far} END, 1e-300)"
+
+
+SECRETS = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+raw AS (
+  SELECT rid, 'assign' AS kind, regexp_extract_all(text, '{_ASSIGN}') AS m, regexp_split_to_array(text, '{_ASSIGN}') AS g,
+         regexp_extract_all(text, '{_ASSIGN}', 2) AS w FROM docs
+  UNION ALL SELECT rid, 'access', regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_split_to_array(text, 'AKIA[A-Z0-9]+'),
+         regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM docs
+  UNION ALL SELECT rid, 'hex', regexp_extract_all(text, '[0-9a-f]{{24,}}'), regexp_split_to_array(text, '[0-9a-f]{{24,}}'),
+         regexp_extract_all(text, '[0-9a-f]{{24,}}') FROM docs
+  UNION ALL SELECT rid, 'random', regexp_extract_all(text, '[A-Za-z0-9+/_=-]{{20,}}'),
+         regexp_split_to_array(text, '[A-Za-z0-9+/_=-]{{20,}}'), regexp_extract_all(text, '[A-Za-z0-9+/_=-]{{20,}}') FROM docs
+),
+each AS (
+  SELECT rid, kind, unnest(m) AS whole, unnest(g[:len(m)]) AS gap, unnest(w) AS what, unnest(range(len(m))) AS nth FROM raw WHERE len(m) > 0
+),
+placed AS (
+  SELECT rid, kind, what, length(whole) AS size,
+         CAST(sum(length(gap) + length(whole)) OVER (PARTITION BY rid, kind ORDER BY nth) AS BIGINT) AS e FROM each
+),
+base AS (
+  SELECT rid, kind, e - size AS s, e FROM placed
+  WHERE kind = 'hex' OR (kind = 'access' AND size >= 20) OR (kind = 'assign' AND length(what) >= 6)
+),
+tokens AS (
+  SELECT *, CAST(length(body) AS DOUBLE) AS n FROM (
+    SELECT rid, e - size AS s, e, regexp_replace(what, '=+$', '') AS body FROM placed p
+    WHERE kind = 'random' AND NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = p.rid AND b.s < p.e AND p.e - p.size < b.e)
+  )
+),
+inferred AS (
+  SELECT *, CASE {" ".join(f"WHEN regexp_full_match(body, '[{a[1]}]+') THEN '{a[0]}'" for a in _ALPHABETS)} END AS alphabet
+  FROM tokens WHERE n >= 20
+),
+spelled AS (
+  SELECT *, CAST(length(symbols) AS DOUBLE) AS k,
+    list_transform(string_split(body, ''), lambda c: CAST(strpos(symbols, c) - 1 AS DOUBLE)) AS x,
+    list_transform(string_split(symbols, ''), lambda c: n - length(replace(body, c, ''))) AS counts
+  FROM (SELECT *, {_each_alphabet(lambda a: f"'{a[2]}'")} AS symbols FROM inferred WHERE alphabet IS NOT NULL)
+),
+summed AS (
+  SELECT *, list_sum(list_transform(counts, lambda c: c * c)) AS squares, list_sum(x) / n AS mean,
+    {_each_alphabet(lambda a: f"len(regexp_extract_all(body, '[{a[3]}]+')) + len(regexp_extract_all(body, '[^{a[3]}]+'))")} AS half_runs,
+    CAST({_each_alphabet(lambda a: f"length(regexp_replace(body, '[^{a[3]}]', '', 'g'))")} AS DOUBLE) AS low,
+    len(regexp_extract_all(body, '[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+')) AS kind_runs
+  FROM spelled
+),
+measured AS (
+  SELECT *, k / n * squares - n AS chi, 2 * low * (n - low) / n + 1 AS mean_runs, (squares - n) / 2 AS equal, n * (n - 1) / 2 AS pairs,
+    list_sum(list_transform(x, lambda v: (v - mean) * (v - mean))) AS variance,
+    list_sum(list_transform(range(1, len(x)), lambda i: (x[i] - mean) * (x[i + 1] - mean))) AS together
+  FROM summed
+),
+z AS (
+  SELECT *, (pow(greatest(chi, 0) / (k - 1), 1.0 / 3) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS z_chi,
+    abs((half_runs - mean_runs) / sqrt(greatest((mean_runs - 1) * (mean_runs - 2) / (n - 1), 1e-9))) AS z_runs,
+    abs((together / CASE WHEN variance <= 1e-9 THEN 1 ELSE variance END + 1 / n) * sqrt(n)) AS z_serial,
+    (pairs * 0.065 - equal - 0.5) / sqrt(pairs * 0.065 * 0.935 + n * (n - 1) * (n - 2) * (0.0055 - 0.065 * 0.065)) AS z_rarely,
+    (kind_runs - 1.5 - (n - 1) * 0.25) / sqrt((n - 1) * 0.25 * 0.75) AS z_often
+  FROM measured
+),
+chances AS (
+  SELECT *, {_tail("z_chi")} AS p_chi,
+    CASE WHEN low = 0 OR low = n THEN greatest(pow(2.0, 1 - n), 1e-300) ELSE least(2 * {_tail("z_runs")}, 1.0) END AS p_runs,
+    CASE WHEN variance <= 1e-9 THEN 1e-300 ELSE least(2 * {_tail("z_serial")}, 1.0) END AS p_serial,
+    -ln({_tail("z_rarely")}) - ln({_tail("z_often")}) AS h_text
+  FROM z
+),
+battery AS (
+  SELECT rid, s, e, alphabet, CAST(floor(log2(n)) AS INTEGER) AS octave,
+    exp(-h) * (1 + h + h * h / 2) AS even,
+    CAST(floor(-50 * log10(greatest(least(exp(-h_text) * (1 + h_text), 1.0), 1e-300))) AS INTEGER) AS step
+  FROM (SELECT *, -ln(p_chi) - ln(greatest(p_runs, 1e-300)) - ln(greatest(p_serial, 1e-300)) AS h FROM chances)
+),
+cuts AS (
+  SELECT alphabet, octave, min(step) AS cut FROM (
+    SELECT alphabet, octave, step, count(*) OVER (PARTITION BY alphabet, octave ORDER BY step DESC) AS reported,
+           count(*) OVER (PARTITION BY alphabet, octave) AS n FROM battery
+  ) WHERE n * pow(10.0, -step / 50) <= 0.01 * reported GROUP BY alphabet, octave
+),
+spans AS (
+  SELECT rid, kind, s, e FROM base
+  UNION ALL SELECT rid, 'random', s, e FROM battery JOIN cuts USING (alphabet, octave) WHERE step >= cut AND even >= 1e-3
+),
+told AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, list_position(['assign', 'access', 'hex', 'random'], kind)) AS spans,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, list_position(['assign', 'access', 'hex'], kind)) FILTER (kind <> 'random') AS base
+  FROM spans GROUP BY rid
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN told USING (rid)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_license_scan": LICENSE_SCAN,
     "op3_warc_derivatives": WARC_DERIVATIVES,
     "op9_quality_rules": LINE_RULES,
     "op11_hard_negatives": HARD_NEGATIVES,
     "op12_importance_resampling": IMPORTANCE,
+    "op13_secret_scan": SECRETS,
 }
