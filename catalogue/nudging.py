@@ -1,11 +1,16 @@
 """Nudge rules, suggestions and their delivery."""
 
+import uuid
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from caseledger import constants as C
 from caseledger.functions import clock as K
 from caseledger.operators import stages as stage_ops
 from caseledger.plans import nudges as ops
+from caseledger.session import kept, shared_folder
+from caseledger.streaming.delivery import deliver
 
 from .base import NOW, Registry, iso, ziso
 from .board import _OPEN
@@ -178,21 +183,54 @@ _WALK = """WITH RECURSIVE pending AS (SELECT e.user_id, concat(type, ':', seq) A
   SELECT * FROM walk WHERE last"""
 
 
-@add("n06_delivery_decision", f"""SELECT user_id, key AS suggestion_key, rule, CASE WHEN goes THEN 'sent' ELSE 'suppressed' END AS outcome,
+_DELIVERY = f"""SELECT user_id, key AS suggestion_key, rule, CASE WHEN goes THEN 'sent' ELSE 'suppressed' END AS outcome,
   CASE WHEN rule = 'let_it_go' THEN 'never pushed' WHEN NOT goes THEN 'daily cap' END AS reason,
-  CASE WHEN goes THEN {ziso("timezone('UTC', timezone(tz, j))")} END AS delivered_at, CASE WHEN goes THEN CAST(CAST(j AS DATE) AS VARCHAR) END AS local_date FROM ({_WALK}) w""", uses="ev users_")
-def n06(t):
-    """Every event of every tenant as a notification, judged in one batch."""
+  CASE WHEN goes THEN {ziso("timezone('UTC', timezone(tz, j))")} END AS delivered_at, CASE WHEN goes THEN CAST(CAST(j AS DATE) AS VARCHAR) END AS local_date FROM ({_WALK}) w"""
+
+
+def _pushes(t):
+    """Every event of every tenant as a notification, and the days used before."""
     pending = t.log.filter("type IN ('applied', 'deadline_set', 'went_silent')").select(
         "user_id", F.concat(F.col("type"), F.lit(":"), "seq").alias("suggestion_key"),
         F.expr("CASE type WHEN 'deadline_set' THEN 'deadline' WHEN 'went_silent' THEN 'let_it_go' ELSE 'follow_up_due' END").alias("rule"),
         F.col("occurred_at").alias("at"), (F.col("type") == "deadline_set").alias("bypasses_budget"),
     )
-    sent = t.log.filter("type = 'applied' AND seq % 50 = 0").select("user_id", F.to_date("occurred_at").alias("local_date"))
+    return pending, t.log.filter("type = 'applied' AND seq % 50 = 0").select("user_id", F.to_date("occurred_at").alias("local_date"))
+
+
+@add("n06_delivery_decision", _DELIVERY, uses="ev users_")
+def n06(t):
+    """All notifications judged in one batch."""
+    pending, sent = _pushes(t)
     out = ops.delivery(pending, t.users, sent)
     return iso(out.withColumn("local_date", F.col("local_date").cast("string")), "delivered_at")
 
 
+@add("n06_delivery_stream", _DELIVERY, uses="ev users_")
+def n06_stream(t):
+    """The same notifications streamed in four slices of time, a file each; those that wait are told by timers."""
+    pending, sent = _pushes(t)
+    pending = kept(pending)
+    folder = f"{shared_folder(t.spark)}/delivery-{uuid.uuid4().hex}"
+    first, last = pending.agg(F.min("at"), F.max("at")).first()
+    if first is None:
+        return iso(ops.delivery(pending, t.users, sent).withColumn("local_date", F.col("local_date").cast("string")), "delivered_at")
+    step = (last - first) / 4
+    for k in range(4):
+        part = pending.filter((F.col("at") >= first + k * step if k else F.lit(True)) & (F.col("at") < first + (k + 1) * step if k < 3 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    # Of no tenant: the time that passes after the last notification.
+    end = pending.limit(1).select(
+        F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("suggestion_key"), F.lit("let_it_go").alias("rule"),
+        F.lit(last + timedelta(days=3)).alias("at"), F.lit(False).alias("bypasses_budget"),
+    )
+    end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(pending.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    deliver(stream, t.users, sent, f"{folder}/out", f"{folder}/checkpoint", live=False).awaitTermination()
+    out = t.spark.read.parquet(f"{folder}/out").filter("user_id >= 0")
+    return iso(out.withColumn("local_date", F.col("local_date").cast("string")), "delivered_at")
+
+
 @add("x28_quiet_hours", f"""SELECT seq, q AS quiet, {ziso("timezone('UTC', timezone(tz, CASE WHEN NOT q THEN l WHEN hour(l) < 8 THEN date_trunc('day', l) + INTERVAL 8 HOURS ELSE date_trunc('day', l) + INTERVAL 32 HOURS END))")} AS deliverable_at
   FROM (SELECT *, hour(l) >= 21 OR hour(l) < 8 AS q FROM (SELECT e.seq, u.tz, timezone(u.tz, timezone('UTC', e.occurred_at)) AS l
     FROM ev e JOIN users_ u USING (user_id)) x) y""", uses="ev users_")
