@@ -1,7 +1,7 @@
 """Streaming shells over the batch functions.
 
-Every job is a foreachBatch over stored tables, and every step of it can run twice: rows that
-have landed are left out by an anti join, and the states of touched tenants are written anew.
+Every job is a foreachBatch over stored tables, and every step of it can run twice: what a batch publishes counts
+once it is marked as a whole (`commits`), and the states of touched cases are written anew.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from ..operators.reach import phase_reach
 from ..operators.skew import first_per_key
 from ..plans.sweeps import dead_letters
 from ..schemas import EVENT
+from .commits import Commits
 
 MESSAGE_KEY = ["mailbox_id", "provider_message_id"]
 CASE = ["user_id", "case_id"]
@@ -32,24 +33,33 @@ def bucket(column: str = "user_id", n: int = BUCKETS):
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
+def _ledger_schema(messages: StructType) -> StructType:
+    return StructType([*[messages[c] for c in (*MESSAGE_KEY, "received_at")], StructField("bucket", IntegerType())])
+
+
 def ingest(messages: DataFrame, ledger: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Each (mailbox, message) once, however old it is when it arrives.
+    """Each (mailbox, message) once, however old it is when it arrives and whatever dies on the way.
 
     There is no watermark: backfilled mail is new mail. Repeats are dropped inside a batch and by the ledger of what
-    has landed, of which only the mailboxes of the batch are read.
+    has landed, of which only the mailboxes of the batch are read. Messages and ledger are one commit: `landed` reads what
+    counts of `out`, and `Commits(spark, out).follow` hands on every batch of it.
     """
-    schema = messages.select(*MESSAGE_KEY, "received_at").schema
-    bucketed = StructType([*schema.fields, StructField("bucket", IntegerType())])
+    kinds = messages.schema
+    bucketed = _ledger_schema(kinds)
 
-    def land(batch: DataFrame, _: int) -> None:
+    def land(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        # What is published is what the ledger does not know, so the ledger is written last.
+        commits = Commits(spark, out)
+        if commits.holds(number):
+            return
         once = batch.dropDuplicates(MESSAGE_KEY).withColumn("bucket", bucket("mailbox_id"))
-        known = stored(spark, ledger, bucketed).join(once.select("bucket").distinct(), "bucket", "left_semi")
+        known = commits.read(ledger, bucketed).join(once.select("bucket").distinct(), "bucket", "left_semi")
         fresh = once.join(known.select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti")
         fresh.persist()
-        fresh.drop("bucket").write.mode("append").parquet(out)
-        fresh.select(*MESSAGE_KEY, "received_at", "bucket").write.mode("append").partitionBy("bucket").parquet(ledger)
+        commits.write(number, {
+            out: (fresh.drop("bucket"), []),
+            ledger: (fresh.select(*MESSAGE_KEY, "received_at", "bucket"), ["bucket"]),
+        })
         fresh.unpersist()
 
     return (
@@ -58,6 +68,16 @@ def ingest(messages: DataFrame, ledger: str, out: str, checkpoint: str) -> Strea
     )
 
 
+def landed(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
+    """The messages that `ingest` has published, each once."""
+    return Commits(spark, out).read(out, schema)
+
+
+def fold_ingested(spark: SparkSession, ledger: str, out: str, schema: StructType) -> int | None:
+    """Write messages and ledger anew, as one commit for all batches so far."""
+    return Commits(spark, out).fold({out: (schema, []), ledger: (_ledger_schema(schema), ["bucket"])})
+
+
 def current(spark: SparkSession, path: str, keys: list[str], schema: StructType | None = None) -> DataFrame:
     """A table of versions as it stands: of each key the row that the latest batch wrote."""
     rows = spark.read.parquet(path) if schema is None else stored(spark, path, schema)
@@ -155,14 +175,21 @@ def refresh_reach(
 
 
 def drain_failures(failed: DataFrame, retry: str, dead: str, checkpoint: str) -> StreamingQuery:
-    """Records that failed too often go to the dead letters without their text, others again."""
+    """Records that failed too often go to the dead letters without their text, others again. Both are one commit: read
+    them with `drained`."""
 
-    def land(batch: DataFrame, _: int) -> None:
+    def land(batch: DataFrame, number: int) -> None:
         again, gone = dead_letters(batch)
-        again.write.mode("append").parquet(retry)
-        gone.write.mode("append").parquet(dead)
+        Commits(batch.sparkSession, retry).write(number, {retry: (again, []), dead: (gone, [])})
 
     return (
         failed.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+def drained(spark: SparkSession, retry: str, dead: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
+    """What `drain_failures` has put out, for records of that schema: (to be tried again, dead letters)."""
+    again, gone = dead_letters(spark.createDataFrame([], schema))
+    commits = Commits(spark, retry)
+    return commits.read(retry, again.schema), commits.read(dead, gone.schema)
