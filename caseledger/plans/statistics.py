@@ -38,6 +38,11 @@ def funnel(reach: DataFrame, now: Column, period: str | None = None) -> DataFram
             for i, (_, flag) in enumerate(_FUNNEL)
         ]
     )
+    return funnel_steps(counted)
+
+
+def funnel_steps(counted: DataFrame) -> DataFrame:
+    """The steps out of their five counts, `_0` to `_4`, per tenant."""
     steps = F.array(
         *[
             F.struct(F.lit(i + 1).alias("ord"), F.lit(label).alias("label"), F.col(f"_{i}").alias("n"))
@@ -145,6 +150,11 @@ def channels(sources: DataFrame, reach: DataFrame, active: DataFrame) -> DataFra
             F.count_if(ghosted()).alias("ghosted"),
         )
     )
+    return channel_rates(rows)
+
+
+def channel_rates(rows: DataFrame) -> DataFrame:
+    """Counts per tenant and channel with their rates, where there are enough of them."""
     gate = M.channel_gate(F.col("sent"))
     rate = {
         name: F.when(gate["gate_met"], F.col(n) / F.col("sent"))

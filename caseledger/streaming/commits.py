@@ -49,7 +49,9 @@ class Commits:
         return True
 
     def _rows(self, rows: DataFrame, batch: int, attempt: str) -> DataFrame:
-        return rows.withColumn("batch", F.lit(batch).cast("long")).withColumn("attempt", F.lit(attempt))
+        # A fold keeps the batch that a row came with.
+        own = rows if "batch" in rows.columns else rows.withColumn("batch", F.lit(batch).cast("long"))
+        return own.withColumn("attempt", F.lit(attempt))
 
     def _mark(self, batch: int, attempt: str, folds: int | None = None) -> None:
         """Written aside and renamed, so that a mark is there whole or not at all. Of two writers one fails."""
@@ -113,8 +115,9 @@ class Commits:
 
     # --- upkeep ---
 
-    def fold(self, tables: dict[str, tuple[StructType, list[str]]]) -> int | None:
-        """Write all that counts as one attempt, {folder: (schema, partition columns)}, and mark it.
+    def fold(self, tables: dict[str, tuple], squash: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> int | None:
+        """Write all that counts as one attempt, {folder: (schema, partition columns)}, and mark it. `squash` may make fewer rows
+        of a folder's, as many as they stand for.
 
         Readers that began before keep reading the old files; `sweep` removes them later. Returns the last batch folded.
         """
@@ -123,7 +126,7 @@ class Commits:
             return None
         attempt = f"fold-{uuid.uuid4().hex}"
         for folder, (schema, by) in tables.items():
-            rows = self.read(folder, schema)
+            rows = (squash or {}).get(folder, lambda df: df)(self.read(folder, schema))
             rows = rows.repartition(*by) if by else rows
             self._rows(rows, upto, attempt).write.mode("append").partitionBy("attempt", *by).parquet(folder)
         self._mark(upto, attempt, upto)

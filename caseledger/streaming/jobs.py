@@ -16,6 +16,7 @@ from ..operators.skew import first_per_key
 from ..plans.sweeps import dead_letters
 from ..schemas import EVENT
 from .commits import Commits
+from .views import refresh_views
 
 MESSAGE_KEY = ["mailbox_id", "provider_message_id"]
 CASE = ["user_id", "case_id"]
@@ -118,6 +119,7 @@ def project(
     buckets: int = BUCKETS,
     every: str | None = None,
     reach: tuple[str, str] | None = None,
+    views: tuple[str, str] | None = None,
 ) -> StreamingQuery:
     """Append events and fold again the cases they touch.
 
@@ -125,7 +127,8 @@ def project(
     It is not kept as state either: a correction can bring back what a freeze held off. The
     cases a batch touches, repeats included, are folded from their part of the log and written as the batch's
     version; `current` reads the table as it stands. With `reach`, the folders of the cases and of the reach table,
-    reach follows in the same batch, after the states.
+    reach follows in the same batch, after the states; with `views`, those of the cases and of the views, so do the
+    totals of the reports (`streaming.views`).
     """
     schema = StructType([*EVENT.fields, StructField("bucket", IntegerType())])
 
@@ -139,6 +142,9 @@ def project(
         _write_version(fold(whole, stage_defs), states, number)
         if reach is not None:
             _refresh(spark, whole, touched, *reach, stage_defs, number)
+        if views is not None:
+            cases = spark.read.parquet(views[0]).join(touched.select(*CASE), CASE, "left_semi")
+            refresh_views(spark, cases, whole, touched, views[1], stage_defs, number)
         touched.unpersist()
         incoming.unpersist()
 
