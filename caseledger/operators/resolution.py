@@ -9,8 +9,9 @@ from ..functions import names as N
 from ..functions import wording as T
 from ..functions.clock import iso_z, plus_days
 from ..functions.text import domain_label, under_any
-from ..session import cut_lineage
+from ..session import cut_lineage, kept
 from . import similarity as S
+from .leaders import greedy_leaders
 from .skew import first_per_key, top_per_key
 
 BLOCK = ["user_id", "company_id"]
@@ -594,8 +595,7 @@ def _openers(opened: DataFrame) -> DataFrame:
     """Which text each new text joins, itself when it opens a case.
 
     In the order of their first signal, a text joins the closest earlier one that opened a case,
-    or opens one. A text is settled once all its close earlier texts are. Each round settles at least
-    the earliest open text of every chain and goes over the open ones only, so the loop ends by itself.
+    or opens one. Openers are the greedy leaders of the close pairs.
     """
     texts = S.with_sparse_vector(
         opened.select(*BLOCK, F.col("_text").alias("vec_id"), "_since"), "vec_id"
@@ -606,33 +606,22 @@ def _openers(opened: DataFrame) -> DataFrame:
         .join(since.withColumnsRenamed({"_id": "left_id", "_since": "_l"}), [*BLOCK, "left_id"])
         .join(since.withColumnsRenamed({"_id": "right_id", "_since": "_r"}), [*BLOCK, "right_id"])
         .filter(F.col("_r") < F.col("_l"))
-        .select(*BLOCK, F.col("left_id").alias("_text"), F.col("right_id").alias("_earlier"), "cosine", "_r")
-    )
-    close = cut_lineage(close)
-    settled, waiting = None, cut_lineage(opened.select(*BLOCK, "_text"))
-    while not waiting.isEmpty():
-        if settled is None:
-            # Texts with nothing close before them open cases.
-            decided = waiting.join(close.select(*BLOCK, "_text").distinct(), [*BLOCK, "_text"], "left_anti").withColumn(
-                "_leads", F.col("_text")
-            )
-        else:
-            there = settled.select(*BLOCK, F.col("_text").alias("_earlier"), F.col("_leads").alias("_theirs"))
-            around = close.join(waiting, [*BLOCK, "_text"], "left_semi").join(
-                there, [*BLOCK, "_earlier"], "left"
-            ).groupBy(*BLOCK, "_text").agg(
-                F.bool_and(F.col("_theirs").isNotNull()).alias("_settled"),
-                F.max_by(
-                    "_earlier",
-                    F.when(F.col("_theirs") == F.col("_earlier"),
-                           F.struct("cosine", (-F.unix_micros("_r.occurred_at")).alias("first"))),
-                ).alias("_joins"),
-            )
-            decided = around.filter("_settled").select(*BLOCK, "_text", F.coalesce("_joins", "_text").alias("_leads"))
-        decided = cut_lineage(decided)
-        settled = decided if settled is None else settled.unionByName(decided)
-        waiting = cut_lineage(waiting.join(decided, [*BLOCK, "_text"], "left_anti"))
-    return settled if settled is not None else waiting.withColumn("_leads", F.col("_text"))
+        .select(
+            F.struct(*BLOCK, F.col("left_id").alias("_text")).alias("v"), F.struct(*BLOCK, F.col("right_id").alias("_text")).alias("u"),
+            "cosine", F.col("_r.occurred_at").alias("_first"),
+        )
+    )
+    close = kept(close)
+    led = greedy_leaders(opened.select(F.struct(*BLOCK, "_text").alias("v")), close.select("v", "u"))
+    led = kept(led)
+    leaders = led.filter("leads").select(F.col("v").alias("u"))
+    joins = close.join(leaders, "u").groupBy("v").agg(
+        F.max_by("u", F.struct("cosine", (-F.unix_micros("_first")).alias("first"))).alias("_joins")
+    )
+    return led.join(joins, "v", "left").select(
+        *[F.col(f"v.{c}") for c in BLOCK], F.col("v._text").alias("_text"),
+        F.when(F.col("leads"), F.col("v._text")).otherwise(F.col("_joins._text")).alias("_leads"),
+    )
 
 
 def place_signals(signals: DataFrame, cases: DataFrame, threads: DataFrame) -> DataFrame:
