@@ -1,7 +1,6 @@
 """From signals to cases: company, thread, similarity, merges, and the events that follow."""
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as C
@@ -12,7 +11,7 @@ from ..functions.text import domain_label, under_any
 from ..session import cut_lineage, kept
 from . import similarity as S
 from .leaders import greedy_leaders
-from .skew import first_per_key, top_per_key
+from .skew import first_per_key, nearest_points, top_per_key
 
 BLOCK = ["user_id", "company_id"]
 
@@ -253,10 +252,10 @@ def find_duplicates(cases: DataFrame, splits: DataFrame) -> DataFrame:
     their roles, applied for within fourteen days, and nothing forbids the merge. The best one has
     the highest cosine, then the nearest date, then the smallest id.
 
-    Roles are compared once per text. Within a text, the nearest partner before and after a case
-    is found by ordering the cases of a company that share text, work mode and country. So a text
-    that very many cases share is never paired with itself. Only cases a person has split from
-    others look at their partners one by one.
+    Roles are compared once per text. Within a text, only the instants are compared at which cases of a company that share work
+    mode and country were applied for: a case looks at its own instant, at the nearest one before and at the nearest one after, and there
+    at the two smallest ids. So a text that very many cases share is never paired with itself, nor ordered in one task.
+    Cases that a person has split from others pass over the instants at which there is nobody else.
     """
     mode = F.coalesce("work_mode", F.lit(""))
     land = F.coalesce(N.country_of(F.nullif("location", F.lit(""))), F.lit(""))
@@ -264,19 +263,19 @@ def find_duplicates(cases: DataFrame, splits: DataFrame) -> DataFrame:
         ~F.col("current_stage").isin(*C.UNMERGEABLE_STAGES) & ~F.col("manually_created")
         & (F.col("_text") != "")
     ).select(
-        *BLOCK, "case_id", "applied_at", F.col("_text").alias("text"),
+        *BLOCK, "case_id", F.unix_micros("applied_at").alias("_t"), F.col("_text").alias("text"),
         mode.alias("mode"), land.alias("land"),
     )
     # Read several times below: written once.
-    able = cut_lineage(able)
+    able = kept(able)
     texts = _texts(able, F.col("text"))
-    pairs = cut_lineage(S.similar_pairs(texts, texts, BLOCK, C.MERGE_COSINE))
+    pairs = kept(S.similar_pairs(texts, texts, BLOCK, C.MERGE_COSINE))
     group = [*BLOCK, "text", "mode", "land"]
     # Every case asks in each compatible group of each similar text.
     asks = (
         able.join(pairs.withColumnRenamed("left_id", "text"), [*BLOCK, "text"])
         .select(
-            *BLOCK, "case_id", "applied_at", F.round("cosine", 12).alias("cosine"),
+            *BLOCK, "case_id", "_t", F.round("cosine", 12).alias("cosine"),
             F.col("right_id").alias("text"),
             F.explode(_compatible(F.col("mode"), _MODES)).alias("mode"), "land",
         )
@@ -287,77 +286,51 @@ def find_duplicates(cases: DataFrame, splits: DataFrame) -> DataFrame:
     ).distinct()
     wary = apart.select("user_id", "case_id").distinct()
     plain = asks.join(wary, ["user_id", "case_id"], "left_anti")
-    careful = asks.join(wary, ["user_id", "case_id"], "left_semi")
+    careful = kept(asks.join(wary, ["user_id", "case_id"], "left_semi"))
     window_us = C.MERGE_WINDOW_DAYS * 86_400_000_000
+    dated, undated = able.filter("_t IS NOT NULL"), able.filter("_t IS NULL")
+    ids = F.col("case_id").alias("partner_id")
+    instants = kept(dated.groupBy(*group, "_t").agg(F.count("*").alias("_n")))
+    asked = asks.filter("_t IS NOT NULL").select(*group, "_t").distinct()
+    near = kept(nearest_points(asked.unionByName(instants.select(*group, "_t")).distinct(), instants, group, "_t",
+                               slice_of=F.floor(F.col("_t") / 3_600_000_000)))
+
+    def told(looks: DataFrame, first: DataFrame) -> DataFrame:
+        """Asks with the instant `_at` they look at, beside the ids there."""
+        gap = F.abs(F.col("_at") - F.col("_t"))
+        there = first.withColumnRenamed("_t", "_at")
+        return looks.filter(gap <= window_us).join(there, [*group, "_at"]).filter("case_id <> partner_id").select(
+            *BLOCK, "case_id", "partner_id", "cosine", gap.alias("_gap")
+        )
 
-    dated_points = able.filter(F.col("applied_at").isNotNull()).select(
-        *group, F.unix_micros("applied_at").alias("_t"), "case_id", F.lit(1).alias("_point"),
-        F.lit(None).cast("double").alias("cosine"),
-    )
-    dated_asks = plain.filter(F.col("applied_at").isNotNull()).select(
-        *group, F.unix_micros("applied_at").alias("_t"), "case_id", F.lit(0).alias("_point"), "cosine"
-    )
-    both = dated_points.unionByName(dated_asks)
-    point = F.when(F.col("_point") == 1, F.struct("_t", "case_id"))
-    earlier = W.partitionBy(*group).orderBy("_t", "case_id", "_point").rowsBetween(W.unboundedPreceding, -1)
-    later = (
-        W.partitionBy(*group).orderBy(F.col("_t").desc(), F.col("case_id").desc(), "_point")
-        .rowsBetween(W.unboundedPreceding, -1)
-    )
-    near = both.select(
-        "*",
-        F.last(point, ignorenulls=True).over(earlier).alias("_before"),
-        F.last(point, ignorenulls=True).over(later).alias("_after"),
-    ).filter(F.col("_point") == 0)
-    near = near.select(
-        *group, "case_id", "_t", "cosine", F.explode(F.array("_before", "_after")).alias("_p")
-    ).filter(F.col("_p").isNotNull() & (F.abs(F.col("_p._t") - F.col("_t")) <= window_us))
-    # Ties in time: the window hands over a neighbour by id, the smallest id at that time wins.
-    at_time = able.filter(F.col("applied_at").isNotNull()).select(
-        *group, F.unix_micros("applied_at").alias("_pt"), F.col("case_id").alias("_pid")
-    )
-    first_two = top_per_key(at_time, [*group, "_pt"], [F.col("_pid")], 2, "_rank")
-    found_dated = (
-        near.withColumn("_pt", F.col("_p._t"))
-        .join(first_two, [*group, "_pt"])
-        .filter(F.col("_pid") != F.col("case_id"))
-        .select(*BLOCK, "case_id", F.col("_pid").alias("partner_id"), "cosine",
-                F.abs(F.col("_pt") - F.col("_t")).alias("_gap"))
-    )
-    # Without a date on either side there is no window to fall outside of.
-    undated = able.filter(F.col("applied_at").isNull())
-    any_two = top_per_key(
-        able.select(*group, F.col("case_id").alias("partner_id")), group, [F.col("partner_id")], 2, "_rank"
-    )
-    no_date_two = top_per_key(
-        undated.select(*group, F.col("case_id").alias("partner_id")), group, [F.col("partner_id")], 2, "_rank"
-    )
-    loose = (
-        plain.filter(F.col("applied_at").isNull()).join(any_two, group)
-        .unionByName(plain.filter(F.col("applied_at").isNotNull()).join(no_date_two, group))
-        .filter(F.col("case_id") != F.col("partner_id"))
-        .select(*BLOCK, "case_id", "partner_id", "cosine", F.lit(None).cast("bigint").alias("_gap"))
-    )
-    others = able.select(
-        *group, F.col("case_id").alias("partner_id"), F.col("applied_at").alias("_other_at")
-    )
-    gap = F.abs(F.unix_micros("applied_at") - F.unix_micros("_other_at"))
-    one_by_one = (
-        careful.join(others, group)
-        .filter((F.col("case_id") != F.col("partner_id")) & F.coalesce(gap <= window_us, F.lit(True)))
-        .withColumn("_gap", gap)
-        .join(
-            apart.withColumnRenamed("other_id", "partner_id"),
-            ["user_id", "case_id", "partner_id"], "left_anti",
+    def without_date(who: DataFrame, anyone: DataFrame, dateless: DataFrame) -> DataFrame:
+        """Without a date on either side there is no window to fall outside of."""
+        met = who.filter("_t IS NULL").join(anyone, group).unionByName(who.filter("_t IS NOT NULL").join(dateless, group))
+        return met.filter("case_id <> partner_id").select(
+            *BLOCK, "case_id", "partner_id", "cosine", F.lit(None).cast("bigint").alias("_gap")
         )
-        .select(*BLOCK, "case_id", "partner_id", "cosine", "_gap")
-    )
-    found = found_dated.unionByName(loose).unionByName(one_by_one)
+
+    def firsts(n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The n smallest ids of each instant, of each group, and of the undated of each group."""
+        few = lambda df, keys: top_per_key(df.select(*keys, ids), keys, [F.col("partner_id")], n, "_rank").drop("_rank")
+        return few(dated, [*group, "_t"]), few(able, group), few(undated, group)
+
+    at_once, anyone, dateless = firsts(2)
+    looks = plain.filter("_t IS NOT NULL").join(near, [*group, "_t"]).withColumn("_at", F.explode(F.array("_t", "before", "after")))
+    found = told(looks.drop("before", "after"), at_once).unionByName(without_date(plain, anyone, dateless))
+    most = apart.groupBy("user_id", "case_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if most:
+        # Among so many ids one is neither the case nor a case it was split from.
+        at_once, anyone, dateless = firsts(most + 2)
+        looks = _past_named(careful.filter("_t IS NOT NULL"), apart, dated, instants, near, group, window_us)
+        named = apart.withColumnRenamed("other_id", "partner_id")
+        careful_found = told(looks, at_once).unionByName(without_date(careful, anyone, dateless))
+        found = found.unionByName(careful_found.join(named, ["user_id", "case_id", "partner_id"], "left_anti"))
     far = F.coalesce("_gap", F.lit(2**62))
     best = first_per_key(
         found, [*BLOCK, "case_id"], F.struct((-F.col("cosine")).alias("c"), far.alias("g"), "partner_id")
     )
-    dates = able.select(F.col("case_id").alias("_id"), F.col("applied_at").alias("_at"), "user_id")
+    dates = able.select(F.col("case_id").alias("_id"), F.col("_t").alias("_at"), "user_id")
     out = best.join(dates.withColumnsRenamed({"_id": "case_id", "_at": "_mine"}), ["user_id", "case_id"]).join(
         dates.withColumnsRenamed({"_id": "partner_id", "_at": "_theirs"}), ["user_id", "partner_id"]
     )
@@ -370,6 +343,42 @@ def find_duplicates(cases: DataFrame, splits: DataFrame) -> DataFrame:
     )
 
 
+def _past_named(
+    asks: DataFrame, apart: DataFrame, dated: DataFrame, instants: DataFrame, near: DataFrame, group: list[str], window_us: int
+) -> DataFrame:
+    """Asks of split cases with the instants `_at` they look at: their own, and the nearest before and after it with somebody else.
+
+    An instant is passed over when all its cases are the asking one or those it was split from. Every round moves the
+    asks that stand on such an instant one further, so there are as many as such instants lie in a row.
+    """
+    shut = apart.select("user_id", "case_id", "other_id").unionByName(
+        asks.select("user_id", "case_id", F.col("case_id").alias("other_id")).distinct()
+    )
+    places = dated.select("user_id", F.col("case_id").alias("other_id"), *group[1:], F.col("_t").alias("_at"))
+    closed = (
+        shut.join(places, ["user_id", "other_id"]).groupBy("case_id", *group, "_at").agg(F.count_distinct("other_id").alias("_shut"))
+        .join(instants.withColumnRenamed("_t", "_at"), [*group, "_at"]).filter("_shut >= _n").select("case_id", *group, "_at")
+    )
+    closed = kept(closed.withColumn("_closed", F.lit(True)))
+    steps = near.withColumnsRenamed({"_t": "_at", "before": "_down", "after": "_up"})
+    start = asks.join(near, [*group, "_t"])
+    own = start.withColumn("_at", F.col("_t")).drop("before", "after")
+    moving = kept(start.select(*asks.columns, F.explode(F.array(
+        F.struct(F.col("before").alias("_at"), F.lit(True).alias("_back")), F.struct(F.col("after").alias("_at"), F.lit(False).alias("_back"))
+    )).alias("_m")).select(*asks.columns, "_m.*"))
+    looks = own
+    while True:
+        inside = moving.filter(F.col("_at").isNotNull() & (F.abs(F.col("_at") - F.col("_t")) <= window_us))
+        seen = kept(inside.join(closed, ["case_id", *group, "_at"], "left"))
+        looks = looks.unionByName(seen.filter("_closed IS NULL").select(*own.columns))
+        stuck = seen.filter("_closed")
+        if stuck.isEmpty():
+            return looks
+        moving = kept(stuck.drop("_closed").join(steps, [*group, "_at"]).withColumn(
+            "_at", F.when(F.col("_back"), F.col("_down")).otherwise(F.col("_up"))
+        ).select(*asks.columns, "_at", "_back"))
+
+
 def pairwise_duplicates(cases: DataFrame, t: float = C.MERGE_COSINE) -> DataFrame:
     """Pairs of different role texts of a company that say the same: (left_text, right_text)."""
     texts = _texts(candidate_cases(cases).filter(F.col("_text") != ""), F.col("_text"))

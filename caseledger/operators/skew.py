@@ -63,6 +63,38 @@ def lagged(
     )
 
 
+def nearest_points(asks: DataFrame, points: DataFrame, keys: list[str], t: str, *, slice_of: Column) -> DataFrame:
+    """For each different ask (keys, t) the nearest point before it and after it: (keys, t, before, after), null where there is none.
+
+    `points` are different values of t within a key; one at t itself is neither before nor after. A key is ordered slice by slice
+    (`slice_of` must not decrease with t). The last and the first point of each slice travel as one row, so that
+    no task holds more of a key than a slice and one row per slice.
+    """
+    both = (
+        points.select(*keys, t, F.lit(True).alias("_is"))
+        .unionByName(asks.select(*keys, t, F.lit(False).alias("_is")))
+        .groupBy(*keys, t).agg(F.bool_or("_is").alias("_point"), F.bool_or(~F.col("_is")).alias("_asked"))
+        .withColumn("_slice", slice_of)
+    )
+    at = F.when(F.col("_point"), F.col(t))
+    ends = both.groupBy(*keys, "_slice").agg(F.max(at).alias("_last"), F.min(at).alias("_first"))
+    along = W.partitionBy(*keys).orderBy("_slice")
+    carried = ends.select(
+        *keys, "_slice",
+        F.last("_last", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("_carried"),
+        F.first("_first", ignorenulls=True).over(along.rowsBetween(1, W.unboundedFollowing)).alias("_coming"),
+    )
+    inside = W.partitionBy(*keys, "_slice").orderBy(t)
+    found = both.select(
+        *keys, "_slice", t, "_asked",
+        F.last(at, ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, -1)).alias("_before"),
+        F.first(at, ignorenulls=True).over(inside.rowsBetween(1, W.unboundedFollowing)).alias("_after"),
+    ).filter("_asked")
+    return found.join(carried, [*keys, "_slice"]).select(
+        *keys, t, F.coalesce("_before", "_carried").alias("before"), F.coalesce("_after", "_coming").alias("after")
+    )
+
+
 def exact_percentiles(
     df: DataFrame, keys: list[str], value: str, probs: dict[str, float], *, width: float = 1 / 24
 ) -> DataFrame:
