@@ -180,19 +180,21 @@ def attach_decision(signals: DataFrame, cases: DataFrame) -> DataFrame:
 def ambiguous_shortlist(decided: DataFrame, cases: DataFrame) -> DataFrame:
     """The three best cases of each ambiguous signal: (signal_id, position, case_id, cosine).
 
-    Asked only for ambiguous signals, and once per block and text.
+    Asked only for ambiguous signals, and once per block and text, from the most similar texts downwards.
     """
     open_ = candidate_cases(cases)
-    asked = decided.filter(F.col("decision") == "ambiguous").withColumn("_text", _signal_text())
-    few = top_per_key(
+    asked = kept(decided.filter(F.col("decision") == "ambiguous").withColumn("_text", _signal_text()))
+    few = kept(top_per_key(
         open_.select(*BLOCK, "_text", "case_id"), [*BLOCK, "_text"], [F.col("case_id")],
         C.AMBIGUOUS_SHORTLIST, "_n",
-    )
-    texts = _texts(asked, F.col("_text")).withColumnRenamed("vec_id", "_asked").withColumnRenamed("vector", "_a")
-    known = _texts(few, F.col("_text")).withColumnRenamed("vec_id", "_known").withColumnRenamed("vector", "_b")
-    scored = S.with_dot(texts.join(known, BLOCK), "_a", "_b", "cosine").select(
-        *BLOCK, "_asked", "_known", "cosine"
-    )
+    ))
+    texts = kept(_texts(asked, F.col("_text")))
+    wanted = few.join(asked.select(*BLOCK).distinct(), BLOCK, "left_semi")
+    counts = wanted.groupBy(*BLOCK, F.col("_text").alias("vec_id")).agg(F.count("*").alias("n"))
+    known = kept(_texts(wanted, F.col("_text")).join(counts, [*BLOCK, "vec_id"]))
+    scored = kept(S.top_pairs(texts, known, BLOCK, C.AMBIGUOUS_SHORTLIST).select(
+        *BLOCK, F.col("left_id").alias("_asked"), F.col("right_id").alias("_known"), "cosine"
+    ))
     top = top_per_key(
         scored, [*BLOCK, "_asked"], [F.col("cosine").desc(), F.col("_known")],
         C.AMBIGUOUS_SHORTLIST, "_r",

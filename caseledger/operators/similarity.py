@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..session import kept
 
 
 def token_rows(texts: DataFrame, text: str) -> DataFrame:
@@ -151,3 +152,57 @@ def similar_pairs(
         .select(*block, "left_id", "right_id", "cosine")
         .filter(F.col("cosine") >= t)
     )
+
+
+#: From high to low: where a top-k search looks first, and where it goes on for what is still open.
+BOUNDS = (0.8, 0.6, 0.4, 0.25)
+
+
+def top_pairs(
+    left: DataFrame, right: DataFrame, block: list[str], k: int, bounds: tuple[float, ...] = BOUNDS
+) -> DataFrame:
+    """Pairs of a block among which the k best of every left vector are: (block, left_id, right_id, cosine).
+
+    `right` has a column n: for how many items its vector stands. The bound starts high. A left vector is settled once the
+    pairs at the bound or above stand for k items, as no pair that was not looked at can be better; the others
+    go on to the next bound. What no bound settles is compared along every dimension it shares, and with what shares none only
+    if fewer than k items are similar to it at all.
+    """
+    many = right.select(*block, F.col("vec_id").alias("right_id"), "n")
+    open_, found = kept(left.select(*block, "vec_id", "vector")), []
+    this = [*block, "left_id"]
+    vectors = right.select(*block, "vec_id", "vector")
+    for t in bounds:
+        if open_.isEmpty():
+            break
+        pairs = kept(similar_pairs(open_, vectors, block, t))
+        done = kept(
+            pairs.join(many, [*block, "right_id"]).groupBy(*this).agg(F.sum("n").alias("_n")).filter(F.col("_n") >= k).select(*this)
+        )
+        found.append(pairs.join(done, this, "left_semi"))
+        open_ = kept(open_.join(done.withColumnRenamed("left_id", "vec_id"), [*block, "vec_id"], "left_anti"))
+    if not open_.isEmpty():
+        pairs = kept(_touching(open_, vectors, block))
+        found.append(pairs)
+        above = pairs.filter("cosine > 0").join(many, [*block, "right_id"]).groupBy(*this).agg(F.sum("n").alias("_n"))
+        alone = open_.select(*block, F.col("vec_id").alias("left_id")).join(above.filter(F.col("_n") >= k), this, "left_anti")
+        others = alone.join(many.select(*block, "right_id"), block).join(pairs.select(*this, "right_id"), [*this, "right_id"], "left_anti")
+        found.append(others.select(*this, "right_id", F.lit(0.0).alias("cosine")))
+    none = similar_pairs(left.limit(0), vectors, block, 1.0)
+    out = none
+    for pairs in found:
+        out = out.unionByName(pairs)
+    return out
+
+
+def _touching(left: DataFrame, right: DataFrame, block: list[str]) -> DataFrame:
+    """All pairs of a block that share a dimension, with their cosine."""
+    parts = lambda df, name, w: df.select(
+        *block, F.col("vec_id").alias(name), F.explode("vector").alias("p")
+    ).select(*block, name, F.col("p.dim").alias("dim"), F.col("p.w").alias(w))
+    met = parts(left, "left_id", "_a").join(parts(right, "right_id", "_b"), [*block, "dim"])
+    pairs = met.select(*block, "left_id", "right_id").distinct()
+    lv = left.select(*block, F.col("vec_id").alias("left_id"), F.col("vector").alias("_a"))
+    rv = right.select(*block, F.col("vec_id").alias("right_id"), F.col("vector").alias("_b"))
+    both = pairs.join(lv, [*block, "left_id"]).join(rv, [*block, "right_id"])
+    return with_dot(both, "_a", "_b", "cosine").select(*block, "left_id", "right_id", "cosine")
