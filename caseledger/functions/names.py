@@ -12,7 +12,9 @@ from .text import (
     address_of,
     domain_of_address,
     finds,
+    finds_if,
     first_group,
+    may_hold,
     strip,
     swap,
     under_any,
@@ -158,9 +160,12 @@ def _clean_role(found: Column) -> Column:
     return F.when(fits, role)
 
 
-def role_from_body(text: Column) -> Column:
-    """The first pattern that yields something that reads like a job title."""
-    found = F.array(*[F.regexp_extract(text, FLAGS + p, 1) for p in V.ROLE_PATTERNS])
+def role_from_body(text: Column, low: Column) -> Column:
+    """The first pattern that yields something that reads like a job title. `low`: the text in lower case, a column of its own."""
+    found = F.array(*[
+        F.when(may_hold(low, stems), F.regexp_extract(text, FLAGS + p, 1)).otherwise("")
+        for p, stems in zip(V.ROLE_PATTERNS, V.ROLE_STEMS, strict=True)
+    ])
     return F.get(F.filter(F.transform(found, _clean_role), lambda r: r.isNotNull()), F.lit(0))
 
 
@@ -238,11 +243,11 @@ def stage_from_title(title: Column) -> Column:
     return out
 
 
-def phrase_index(text: Column) -> Column:
-    """Which of the phrases a text contains first in their order, counted from one."""
+def phrase_index(text: Column, low: Column) -> Column:
+    """Which of the phrases a text contains first in their order, counted from one. `low`: the text in lower case."""
     out = None
-    for i, (_, _, _, pattern) in enumerate(V.PHRASES, start=1):
-        hit = finds(text, pattern)
+    for i, ((_, _, _, pattern), stems) in enumerate(zip(V.PHRASES, V.PHRASE_STEMS, strict=True), start=1):
+        hit = finds_if(text, low, pattern, stems)
         out = F.when(hit, i) if out is None else out.when(hit, i)
     return out
 

@@ -300,3 +300,29 @@ BEARER = r"\b(bearer|basic|token)\s+([A-Za-z0-9._~+/=\-]{8,})"
 PROVIDER_SECRET = r"\b(1//|ya29\.|4/0)[A-Za-z0-9._~+/=\-]{4,}"
 FENCE_OPEN = "<<<MESSAGE_BEGIN>>>"
 FENCE_CLOSE = "<<<MESSAGE_END>>>"
+
+
+# --- what every match of the patterns above holds, in lower case: texts without any of these need not be tried ---
+STRONG_STEMS = (
+    "candida", "appl", "colloqui", "interview", "recruit", "assunzione", "hiring", "curriculum", "cv", "risorse umane",
+    "talent acquisition", "job offer", "offerta di lavoro", "processo di selezione",
+)
+WEAK_STEMS = ("posizione", "selezione", "offerta", "role", "vacancy", "talent", "opportunit")
+PHRASE_STEMS = (
+    ("forward", "candidates", "proceed", "progressing", "unable", "interviewing", "filled", "select"),
+    ("proced", "prosegui", "seguito", "selezionata", "terremo", "individuato", "purtroppo"),
+    ("appl", "joining"),
+    ("grazie", "candidatura"),
+    ("confermiamo", "thanks"),
+    ("invite", "schedule", "process"),
+    ("invitarti", "colloquio", "organizzare"),
+    ("conoscitiv", "confermo", "programmare", "disponibilit", "disponibile"),
+    ("contatter", "andare", "sentirci", "chiamarti"),
+    ("scheduled",),
+    ("home", "coding", "assignment", "tecnic"),
+)
+ROLE_STEMS = (
+    ("application",), ("applied",), ("apply",), ("position", "role"), ("candidacy", "application"), ("position", "role", "title"),
+    ("interview",), ("candidatura",), ("posizione",), ("posizione",), ("opportunit",), ("posizione", "ruolo"), ("colloquio",),
+    ("opportunit",),
+)

@@ -118,6 +118,9 @@ def screen(
     )
     sender, subject, text, domain = (F.col(c) for c in ("sender", "subject", "text", "sender_domain"))
     opening = F.concat(subject, F.lit("\n"), text if opening_chars is None else F.substring(text, 1, opening_chars))
+    # Columns of their own: both are looked at again and again.
+    rows = rows.withColumn("_opening", opening).withColumn("_low", F.lower("_opening"))
+    opening, low = F.col("_opening"), F.col("_low")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     link = F.lit(False)
     for host in V.MEETING_HOSTS:
@@ -127,8 +130,8 @@ def screen(
         F.col("vendor").isNotNull().alias("_ats"),
         (F.col("list_unsubscribe").isNull() & flag("_known")).alias("_company"),
         flag("_thread").alias("_on_thread"),
-        X.finds(opening, V.STRONG_KEYWORDS).alias("_strong"),
-        X.finds(opening, V.WEAK_KEYWORDS).alias("_weak_word"),
+        X.finds_if(opening, low, V.STRONG_KEYWORDS, V.STRONG_STEMS).alias("_strong"),
+        X.finds_if(opening, low, V.WEAK_KEYWORDS, V.WEAK_STEMS).alias("_weak_word"),
         X.finds(subject, V.PLATFORM_NOISE).alias("_noise"),
         (link & ~X.under_any(domain, V.PERSONAL_MAIL)).alias("_link"),
         F.col("invite").isNotNull().alias("_invited"),
@@ -184,6 +187,11 @@ def _haystack() -> Column:
     return F.concat(F.col("subject"), F.lit("\n"), F.col("text"))
 
 
+def _with_haystack(messages: DataFrame) -> DataFrame:
+    """Subject and text as `_hay`, and in lower case as `_low`: columns of their own, as they are looked at again and again."""
+    return messages.withColumn("_hay", _haystack()).withColumn("_low", F.lower("_hay"))
+
+
 def _header_test(rule: Rule) -> Column:
     ok = F.lit(True)
     for name, wanted in rule.headers:
@@ -236,8 +244,8 @@ def _captured(index: Column, name: str, rules: tuple[Rule, ...]) -> Column:
 def match_templates(messages: DataFrame, rules: tuple[Rule, ...] = BUILT_IN) -> DataFrame:
     """Rung 1: the templates of the sender's vendor, else the phrases. Adds `t_*` columns."""
     ats = vendor_domains(rules)
-    rows = messages.withColumn("_t", template_index(rules)).withColumn(
-        "_ph", F.when(F.col("_t") == -1, N.phrase_index(_haystack()))
+    rows = _with_haystack(messages).withColumn("_t", template_index(rules)).withColumn(
+        "_ph", F.when(F.col("_t") == -1, N.phrase_index(F.col("_hay"), F.col("_low")))
     )
     t = F.col("_t")
     hit = (t >= 0) | F.col("_ph").isNotNull()
@@ -269,7 +277,7 @@ def match_templates(messages: DataFrame, rules: tuple[Rule, ...] = BUILT_IN) ->
         F.when(t >= 0, intents[t]).otherwise(phrase["intent"]).alias("t_intent"),
         F.when(t >= 0, sure[t]).otherwise(phrase["confidence"]).alias("t_confidence"),
         company.alias("t_company"),
-        F.when(hit, F.coalesce(F.col("_role"), N.role_from_body(_haystack()))).alias("t_role"),
+        F.when(hit, F.coalesce(F.col("_role"), N.role_from_body(F.col("_hay"), F.col("_low")))).alias("t_role"),
         _captured(t, "deadline", rules).alias("t_deadline"),
     )
 
@@ -281,7 +289,9 @@ def match_heuristics(messages: DataFrame, rules: tuple[Rule, ...] = BUILT_IN) ->
     cancelled = (F.col("invite.status") == "cancelled") | (F.col("invite.method") == "CANCEL")
     cancelled = F.coalesce(cancelled, F.lit(False))
     abstains = F.col("vendor").isNotNull() | X.under_any(F.col("sender_domain"), V.LEARNING_PLATFORMS)
-    rows = messages.withColumn("_ph", F.when(~invited & ~abstains, N.phrase_index(_haystack())))
+    rows = _with_haystack(messages).withColumn(
+        "_ph", F.when(~invited & ~abstains, N.phrase_index(F.col("_hay"), F.col("_low")))
+    )
     phrase = N.phrase_facts(F.col("_ph"))
     return rows.select(
         *messages.columns,
@@ -391,8 +401,8 @@ def run_ladder(
 
 def build_signals(readings: DataFrame, threads: DataFrame | None = None) -> DataFrame:
     """Extracted readings to signals. `threads` (user_id, thread_id, case_id) hints at the case."""
-    rows = readings.filter(F.col("reading") == "extracted")
-    role = F.coalesce("read_role", N.role_from_body(_haystack()))
+    rows = _with_haystack(readings.filter(F.col("reading") == "extracted"))
+    role = F.coalesce("read_role", N.role_from_body(F.col("_hay"), F.col("_low")))
     rows = rows.withColumn("role", role)
     parts = N.normalise_role(F.col("role"))
     stage = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in V.STAGE_FOR_INTENT.items()) + ")")
@@ -438,8 +448,8 @@ def replay_summary(screened: DataFrame, readings: DataFrame) -> DataFrame:
         "rung_1": got & (F.col("rung") == 1),
         "rung_2": got & (F.col("rung") == 2),
     }
-    role = F.coalesce("read_role", N.role_from_body(_haystack()))
-    counted = readings.withColumn("role", role).agg(*[F.count_if(c).alias(k) for k, c in tests.items()])
+    role = F.coalesce("read_role", N.role_from_body(F.col("_hay"), F.col("_low")))
+    counted = _with_haystack(readings).withColumn("role", role).agg(*[F.count_if(c).alias(k) for k, c in tests.items()])
     pairs = [x for k in tests for x in (F.lit(k), F.col(k))]
     return dropped.unionByName(counted.select(F.explode(F.create_map(*pairs)).alias("measure", "n")))
 

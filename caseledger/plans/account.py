@@ -1,5 +1,8 @@
 """Exports and conversations of an account."""
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,27 +68,37 @@ def history_budget(
 
     Attachments are taken newest turn first; one that does not fit is passed over and smaller ones
     after it may still go in. `attachments`: conv_id, turn, attachment_id, size; the turns kept
-    bound how many are looked at.
+    bound how many are looked at. A conversation is read in order, a batch at a time, so that it may hold any number of
+    attachments; only those that fit are ever held together.
     """
     newest = top_per_key(messages, ["conv_id"], [F.col("turn").desc()], turns, "_rn").drop("_rn")
-    listed = (
-        newest.select("conv_id", "turn").join(attachments, ["conv_id", "turn"])
-        .groupBy("conv_id")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct((-F.col("turn")).alias("o"), "attachment_id", "size"))
-            ).alias("_all")
-        )
+    # What is larger than the whole budget never fits, whatever came before.
+    listed = newest.select("conv_id", "turn").join(attachments, ["conv_id", "turn"]).filter(F.col("size") <= budget)
+    in_order = (
+        listed.select("conv_id", "turn", "attachment_id", F.col("size").cast("bigint").alias("size"))
+        .repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").desc(), "attachment_id")
+    )
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conversation, left = None, budget
+        for batch in batches:
+            kept = []
+            for conv, size in zip(batch.column("conv_id").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if conv != conversation:
+                    conversation, left = conv, budget
+                kept.append(size <= left)
+                left -= size if kept[-1] else 0
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    told = in_order.mapInArrow(fitting, in_order.schema).groupBy("conv_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct((-F.col("turn")).alias("o"), "attachment_id"))),
+            lambda a: a["attachment_id"].cast("string"),
+        ).alias("attachments")
+    )
+    none = F.array().cast("array<string>")
+    return newest.join(
+        newest.select("conv_id", "turn").join(attachments, ["conv_id", "turn"]).select("conv_id").distinct().join(told, "conv_id", "left")
+        .withColumn("attachments", F.coalesce("attachments", none)),
+        "conv_id", "left",
     )
-    start = F.struct(F.lit(budget).cast("bigint").alias("left"), F.array().cast("array<string>").alias("kept"))
-
-    def step(acc: Column, a: Column) -> Column:
-        fits = a["size"] <= acc["left"]
-        return F.struct(
-            F.when(fits, acc["left"] - a["size"]).otherwise(acc["left"]).alias("left"),
-            F.when(fits, F.concat(acc["kept"], F.array(a["attachment_id"].cast("string"))))
-            .otherwise(acc["kept"]).alias("kept"),
-        )
-
-    kept = listed.select("conv_id", F.aggregate("_all", start, step)["kept"].alias("attachments"))
-    return newest.join(kept, "conv_id", "left")

@@ -186,7 +186,8 @@ def role_sql(text):
 
 @add("x14_role_from_body", f"SELECT doc_id, {role_sql('text')} AS role FROM msg", uses="msg")
 def x14(t):
-    return t.messages.select("doc_id", N.role_from_body(F.col("text")).alias("role"))
+    rows = t.messages.withColumn("low", F.lower("text"))
+    return rows.select("doc_id", N.role_from_body(F.col("text"), F.col("low")).alias("role"))
 
 
 def phrase_sql(text):
@@ -202,8 +203,8 @@ _PHRASE_VALUES = ", ".join(f"({i}, '{p[0]}', {p[1]}::DOUBLE)" for i, p in enumer
   LEFT JOIN (VALUES {_PHRASE_VALUES}) v(i, intent, confidence) USING (i)""", uses="msg")
 def x15(t):
     facts = N.phrase_facts(F.col("_i"))
-    text = F.concat(F.col("subject"), F.lit("\n"), F.col("text"))
-    return t.messages.select("doc_id", N.phrase_index(text).alias("_i")).select(
+    rows = t.messages.withColumn("hay", F.concat(F.col("subject"), F.lit("\n"), F.col("text"))).withColumn("low", F.lower("hay"))
+    return rows.select("doc_id", N.phrase_index(F.col("hay"), F.col("low")).alias("_i")).select(
         "doc_id", facts["intent"].alias("intent"), facts["confidence"].alias("confidence"))
 
 
