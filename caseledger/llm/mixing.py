@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .shared import WORD_AND_GAP, fresh, n_words, stored
 
 _ROUNDS = 24
+#: Shards of a run when the slots of a source are numbered.
+_RUN = 4096
 
 
 def permuted(x: Column, n: Column, *key: Column, inverse: bool = False) -> Column:
@@ -188,10 +190,10 @@ def _slots(spark: SparkSession, sources: DataFrame, total: int, cells: int, shar
     )
     balance = stored(balance, "balance")
     moved = balance.agg(F.coalesce(F.sum("under"), F.lit(0))).first()[0]
-    earlier = W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    # Dealt anew by source and shard before they are written out: the slots of one source are many tasks.
     numbered = (
-        counts.withColumn("first", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
-        .join(balance, "sid")
+        _numbered(counts).join(balance, "sid")
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "sid", "shard")
         .withColumn("j", F.explode(F.expr("sequence(first, first + c - 1)")))
     )
     kept = numbered.filter("j < quota").select("shard", "sid", "j")
@@ -212,6 +214,19 @@ def _slots(spark: SparkSession, sources: DataFrame, total: int, cells: int, shar
     )
 
 
+def _numbered(counts: DataFrame) -> DataFrame:
+    """counts with `first`, the slots of the source in earlier shards: sums over runs of shards, and within a run."""
+    runs = counts.withColumn("run", F.floor(F.col("shard") / _RUN))
+    before = W.partitionBy("sid").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    bases = stored(
+        runs.groupBy("sid", "run").agg(F.sum("c").alias("n")).select("sid", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")),
+        "runs",
+    )
+    earlier = W.partitionBy("sid", "run").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    within = runs.withColumn("within", F.coalesce(F.sum("c").over(earlier), F.lit(0)))
+    return within.join(bases, ["sid", "run"]).select("shard", "sid", "c", (F.col("base") + F.col("within")).alias("first"))
+
+
 def _placed(sized: DataFrame, sources: DataFrame, buckets: int) -> DataFrame:
     """Every document with the number of words of its source before it.
 

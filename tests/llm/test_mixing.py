@@ -103,3 +103,19 @@ def test_no_words(spark):
     assert mix(empty(prepare(spark))).rows.count() == 0 and mixed_documents(empty(spark)).count() == 0
     blank = spark.createDataFrame([(1, None, None, None, 0, "", "", "", ""), (2, " ", "en", "a", 1, "", "", "", "")], DOCUMENT)
     assert [(r["target"], r["taken"]) for r in mix(blank).rows.collect()] == [(0.0, 0)] * 2
+
+
+def test_slots_of_a_hot_source_are_many_tasks(spark):
+    """Nine of ten words are of one source: its slots are written by many tasks, none with more than its share."""
+    prepare(spark)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        docs = spark.range(20_000).select(
+            F.col("id").alias("doc_id"), F.expr("repeat('word ', 100)").alias("text"), F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("source")
+        )
+        slots = mix(docs, block_words=64, shard_slots=256).slots
+        per_task = [r["count"] for r in slots.groupBy(F.input_file_name()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sum(per_task) > 20_000 and max(per_task) < 0.25 * sum(per_task)
