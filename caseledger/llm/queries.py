@@ -66,10 +66,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_rollups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Load all documents, recount German by a second vocabulary, withdraw repeated texts; one batch is sent twice."""
     docs = _table(spark, sf_dir, "documents")
-    keyed = docs.select("doc_id", F.md5("text").alias("digest"))
-    again = keyed.join(
-        keyed.groupBy("digest").agg(F.min("doc_id").alias("first")).filter("digest IS NOT NULL"), "digest"
-    ).filter("doc_id <> first").select(F.col("doc_id").alias("id"))
+    keyed = docs.select("doc_id", F.md5("text").alias("digest")).filter("digest IS NOT NULL")
+    # Stored, so that the rows of a text with very many copies can be split in the join.
+    first = stored(keyed.groupBy("digest").agg(F.min("doc_id").alias("first")), "first-copies")
+    again = keyed.join(first, "digest").filter("doc_id <> first").select(F.col("doc_id").alias("id"))
     one, two = "byte_bpe_50k", "byte_bpe_multi_50k"
     rollup = Rollup(spark, new_path(spark, "rollup"))
     first = stored(counted(docs, one), "counts")
