@@ -19,13 +19,13 @@ _MARK = StructType([
 ])
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    at, files = _file_system(spark, path)
+    at, files = file_system(spark, path)
     return files.exists(at)
 
 
@@ -56,11 +56,11 @@ class Commits:
     def _mark(self, batch: int, attempt: str, folds: int | None = None) -> None:
         """Written aside and renamed, so that a mark is there whole or not at all. Of two writers one fails."""
         aside = f"{self.marks}/.{uuid.uuid4().hex}"
-        at, files = _file_system(self.spark, aside)
+        at, files = file_system(self.spark, aside)
         stream = files.create(at, False)
         stream.write(bytearray(json.dumps({"batch": batch, "attempt": attempt, "folds": folds}).encode() + b"\n"))
         stream.close()
-        final, _ = _file_system(self.spark, self._name(batch, folds))
+        final, _ = file_system(self.spark, self._name(batch, folds))
         if files.exists(final) or not files.rename(at, final):
             files.delete(at, False)
             raise RuntimeError(f"batch {batch} has been marked by another writer")
@@ -137,7 +137,7 @@ class Commits:
         live = {f"attempt={r.attempt}" for r in self.attempts().collect()}
         gone = []
         for folder in folders:
-            at, files = _file_system(self.spark, folder)
+            at, files = file_system(self.spark, folder)
             if not files.exists(at):
                 continue
             for status in files.listStatus(at):

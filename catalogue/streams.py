@@ -1,4 +1,4 @@
-"""The streaming jobs: tables sent in batches, with repeats, equal what the batch forms make of the whole."""
+"""Streaming jobs and stored tables: what batches and rewrites leave equals what the batch forms make of the whole."""
 
 import uuid
 
@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from caseledger.schemas import EVENT
 from caseledger.session import kept, shared_folder
+from caseledger.sources.partitions import Partitions, bucket, erase_stored, purge_stored
 from caseledger.streaming import jobs, views
 
-from . import folding, reach, statistics
+from . import folding, reach, statistics, sweeps
+from .account import account_tables
 from .base import NOW, Registry, iso, rounded
 
 REGISTRY = Registry()
@@ -131,3 +133,32 @@ def t10(t):
     again, gone = jobs.drained(t.spark, f"{folder}/retry", f"{folder}/dead", stream.schema)
     both = again.select("msg_id", "queue", "body").unionByName(gone.select("msg_id", "queue", "body"))
     return both.select("msg_id", "queue", F.get_json_object("body", "$.text").alias("text"))
+
+
+@add("t08_retention_stored", sweeps.REGISTRY.oracles["t08_retention_kept"])
+def t08_stored(t):
+    """Bodies stored by day: days before the cut lose their files, the day that is cut is written anew."""
+    cut = F.to_timestamp(F.lit("2024-06-20 00:00:00")) - F.expr("INTERVAL 5 DAYS")
+    bodies = t.log.select(
+        F.col("seq").alias("body_id"), "user_id", F.col("occurred_at").alias("stored_at"), F.to_date("occurred_at").cast("string").alias("day")
+    )
+    table = Partitions(t.spark, f"{_folder(t)}/bodies", bodies.schema, by="day")
+    table.append(bodies)
+    purge_stored(table, F.to_date(cut), F.col("stored_at") >= cut)
+    return table.read().select("body_id")
+
+
+@add("t09_erase_stored", sweeps.REGISTRY.oracles["t09_erase_user"])
+def t09_stored(t):
+    """Every seventh tenant leaves all stored tables of the account; what is left is counted per table and tenant."""
+    folder, tables = _folder(t), {}
+    for name, df in account_tables(t).items():
+        rows = df.withColumn("bucket", bucket(n=_BUCKETS))
+        tables[name] = Partitions(t.spark, f"{folder}/{name}", rows.schema)
+        tables[name].append(rows)
+    erase_stored(tables, [r[0] for r in t.users.filter("user_id % 7 = 3").select("user_id").collect()], _BUCKETS)
+    out = None
+    for name, table in tables.items():
+        n = table.read().groupBy("user_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "user_id", "n")
+        out = n if out is None else out.unionByName(n)
+    return out
