@@ -1,9 +1,12 @@
 """Readers of mail, calendars and labelled files, and the calendar text parser."""
 
+import json
+from collections.abc import Iterator
 from email import message_from_bytes, policy
 from email.utils import parsedate_to_datetime
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,56 +64,75 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _depth(lines: DataFrame) -> int:
-    """No message nests deeper than it has lists of parts, so every part is read."""
-    found = F.size(F.regexp_extract_all("value", F.lit(r'"parts"\s*:'), F.lit(0)))
-    return lines.agg(F.coalesce(F.max(found), F.lit(0))).first()[0]
-
-
-def _part_fields(depth: int) -> list[T.StructField]:
-    text = T.StringType()
-    fields = [
-        T.StructField("mimeType", text),
-        T.StructField("filename", text),
-        T.StructField("body", T.StructType([T.StructField("data", text)])),
-    ]
-    if depth:
-        inner = T.ArrayType(T.StructType(_part_fields(depth - 1)))
-        fields.append(T.StructField("parts", inner))
-    return fields
-
+#: Levels of parts that are read as columns. What lies deeper, in few messages, is walked through in Python.
+LEVELS = 4
 
 _HEADER = T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())])
+#: Inner parts stay JSON text until their level is read, so no message decides how deep the schema of the others is.
+_PART = "mimeType string, filename string, body struct<data:string>, parts array<string>"
+_LEAF = "array<struct<kind:string,name:string,data:string>>"
+_PROVIDER = T.StructType([
+    *[T.StructField(c, T.StringType()) for c in ("id", "threadId", "internalDate")],
+    T.StructField("payload", T.StructType([
+        T.StructField("headers", T.ArrayType(_HEADER)),
+        *[T.StructField(c, T.StringType()) for c in ("mimeType", "filename")],
+        T.StructField("body", T.StructType([T.StructField("data", T.StringType())])),
+        T.StructField("parts", T.ArrayType(T.StringType())),
+    ])),
+])
+
+
+def _text_of(value):
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+def _deeper(texts: list[str]) -> list[dict]:
+    """The parts in some JSON texts, level by level."""
+    level, out = [json.loads(t) for t in texts], []
+    while level:
+        level = [p for p in level if isinstance(p, dict)]
+        for p in level:
+            body = p.get("body")
+            out.append({
+                "kind": _text_of(p.get("mimeType")), "name": _text_of(p.get("filename")),
+                "data": _text_of(body.get("data")) if isinstance(body, dict) else None,
+            })
+        level = [q for p in level if isinstance(p.get("parts"), list) for q in p["parts"]]
+    return out
 
 
-def _provider(depth: int) -> T.StructType:
-    payload = T.StructType([T.StructField("headers", T.ArrayType(_HEADER)), *_part_fields(depth)])
-    plain = [T.StructField(c, T.StringType()) for c in ("id", "threadId", "internalDate")]
-    return T.StructType([*plain, T.StructField("payload", payload)])
+def _with_parts(rows: DataFrame) -> DataFrame:
+    """Every part of a message as `_parts`, outer ones before the ones inside them, level by level."""
+    leaf = lambda p: F.struct(p["mimeType"].alias("kind"), p["filename"].alias("name"), p["body"]["data"].alias("data"))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("_parts", F.array(leaf(F.col("payload"))).cast(_LEAF)).withColumn(
+        "_level", F.coalesce("payload.parts", none)
+    )
+    for _ in range(LEVELS):
+        # Each step is a column of its own: an expression inside a lambda is evaluated again for each element.
+        rows = rows.withColumn("_read", F.transform("_level", lambda p: F.from_json(p, _PART)))
+        rows = rows.withColumn("_parts", F.concat("_parts", F.transform("_read", leaf).cast(_LEAF))).withColumn(
+            "_level", F.flatten(F.transform("_read", lambda p: F.coalesce(p["parts"], none)))
+        )
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("data", pa.string())]))
 
+    @F.arrow_udf(_LEAF)
+    def rest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            yield pa.array([_deeper(x) if x else [] for x in lists.to_pylist()], kind)
 
-def _all_parts(payload: Column, depth: int) -> Column:
-    """Every part of a message, outer ones before the ones inside them, level by level."""
-    leaf = lambda p: F.struct(p["mimeType"].alias("kind"), p["filename"].alias("name"), p["body"]["data"].alias("data"))
-    out = F.array(leaf(payload))
-    level = payload["parts"] if depth else None
-    for i in range(depth):
-        out = F.concat(out, F.coalesce(F.transform(level, leaf), F.array().cast(
-            "array<struct<kind:string,name:string,data:string>>")))
-        if i < depth - 1:
-            level = F.flatten(F.filter(F.transform(level, lambda p: p["parts"]), lambda p: p.isNotNull()))
-    return out
+    deep = rest(F.when(F.size("_level") > 0, F.col("_level")))
+    return rows.withColumn("_deep", deep).withColumn("_parts", F.concat("_parts", F.coalesce("_deep", F.array().cast(_LEAF))))
 
 
 def read_provider_json(spark: SparkSession, path: str, user_id=None) -> DataFrame:
     """Provider messages in JSON lines, of one account where `user_id` is given. HTML wins over plain text here, and
     the provider's own time over the Date header. Parts are read at any depth."""
-    depth = _depth(spark.read.text(path))
-    raw = spark.read.schema(_provider(depth)).json(path)
+    raw = spark.read.schema(_PROVIDER).json(path)
     header = lambda name: F.try_element_at(F.filter(
         F.coalesce("payload.headers", F.array().cast("array<struct<name:string,value:string>>")),
         lambda h: F.lower(h["name"]) == name), F.lit(-1))["value"]
-    rows = raw.withColumn("_parts", _all_parts(F.col("payload"), depth))
+    rows = _with_parts(raw)
 
     def decoded(test) -> Column:
         data = F.get(F.filter("_parts", lambda p: test(p) & (F.coalesce(p["data"], F.lit("")) != "")), F.lit(0))["data"]

@@ -3,7 +3,7 @@
 from importlib import import_module
 
 _MODULES = (
-    "log", "folding", "reach", "statistics", "board", "sweeps", "nudging", "text", "screening", "resolution", "privacy", "account", "evaluation", "streams",
+    "log", "folding", "reach", "statistics", "board", "sweeps", "nudging", "text", "screening", "resolution", "privacy", "account", "evaluation", "streams", "sources",
 )
 
 

@@ -17,6 +17,8 @@ ORDERS_NOW = "2001-12-01 00:00:00"
 class Registry:
     queries: dict[str, Callable[[SparkSession, str], DataFrame]] = field(default_factory=dict)
     oracles: dict[str, str] = field(default_factory=dict)
+    #: The SQL as it was given, without the common table expressions that it reads.
+    plain: dict[str, str] = field(default_factory=dict)
 
     def add(self, name: str, sql: str | None = None, *, uses: str = ""):
         """Register a function of a `Tables` under a name, with the SQL it must equal.
@@ -34,6 +36,7 @@ class Registry:
             self.queries[name] = run
             if sql is not None:
                 self.oracles[name] = with_ctes(sql, uses.split())
+                self.plain[name] = sql
             return fn
 
         return wrap

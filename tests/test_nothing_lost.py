@@ -46,6 +46,21 @@ def test_export_of_many_ids(spark):
     assert export_csv(cases, companies, cases.limit(0)).count() == 0 and export_csv(cases, companies).count() == 3000
 
 
+def test_one_odd_message_changes_nothing_for_the_others(spark, tmp_path):
+    """Three hundred parts inside each other, five hundred side by side, and parts that are no parts, among plain messages."""
+    data = lambda t: {"mimeType": "text/plain", "body": {"data": base64.urlsafe_b64encode(t.encode()).decode()}}
+    deep = data("far down")
+    for _ in range(300):
+        deep = {"mimeType": "multipart/mixed", "parts": [{"mimeType": "image/png", "filename": "x"}, deep]}
+    flat = {"mimeType": "multipart/mixed", "parts": [{"mimeType": "multipart/mixed", "parts": []} for _ in range(500)] + [data("at the end")]}
+    odd = {"mimeType": "multipart/mixed", "parts": [None, "text", 7, {"parts": {"a": 1}}, {"body": "none"}, data("still there")]}
+    lines = [{"id": n, "payload": p} for n, p in (("deep", deep), ("flat", flat), ("odd", odd))]
+    lines += [{"id": f"m{i}", "payload": data(f"plain {i}")} for i in range(20)] + [{"id": "bare", "payload": None}]
+    (tmp_path / "m.json").write_text("\n".join(map(json.dumps, lines)))
+    got = {r.message_id: r.text for r in mail.read_provider_json(spark, str(tmp_path)).collect()}
+    assert got == {"deep": "far down", "flat": "at the end", "odd": "still there", "bare": "", **{f"m{i}": f"plain {i}" for i in range(20)}}
+
+
 def test_parts_at_any_depth(spark, tmp_path):
     part = {"mimeType": "text/plain", "body": {"data": base64.urlsafe_b64encode(b"deep down").decode()}}
     for _ in range(12):
