@@ -143,11 +143,13 @@ def _in_buckets(nodes: DataFrame) -> DataFrame:
     """
     spread = nodes.select("rep", F.explode("bands").alias("key"))
     shared = spread.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high")
-    members = stored(spread.join(shared.select("key"), "key"), "members").join(nodes.select("rep", "n"), "rep")
+    # What is gathered per bucket is stored before it is joined, so that a bucket with very many members can be split.
+    shared = stored(shared.select("key"), "buckets")
+    members = stored(spread.join(shared, "key").join(nodes.select("rep", "n"), "rep"), "members")
     leaders = [
         F.min_by(F.struct("rep", "n"), F.xxhash64("rep", F.lit(k))).alias(f"leader_{k}") for k in range(_LEADERS)
     ]
-    return members.join(members.groupBy("key").agg(F.count("*").alias("size"), *leaders), "key")
+    return members.join(stored(members.groupBy("key").agg(F.count("*").alias("size"), *leaders), "leaders"), "key")
 
 
 def _led(members: DataFrame) -> DataFrame:
@@ -207,7 +209,7 @@ def _left_over(members: DataFrame, found: DataFrame) -> DataFrame:
     main = counted.groupBy("key").agg(
         F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("in_main")
     )
-    return placed.join(main, "key").select(
+    return placed.join(stored(main, "main"), "key").select(
         "key", "rep", "component", "size", (F.col("size") - F.col("in_main")).alias("others"),
         (F.col("component") == F.col("main")).alias("is_main"),
     ).filter("others > 0")
