@@ -340,3 +340,38 @@ def place(t):
     new = out.filter("decision = 'create'").groupBy("case_id").agg(F.min("signal_id").alias("first"))
     shown = F.when(F.col("decision") == "create", F.col("first")).otherwise(F.col("case_id"))
     return out.join(new, "case_id", "left").select("signal_id", "decision", shown.alias("case_id"))
+
+
+cte("roles_planted", """SELECT p_partkey % 20 AS user_id, unnest([p_name, upper(p_name), concat(p_name, ' ', p_partkey % 97), concat(p_name, ' ', p_partkey % 97, ' ii')]) AS text FROM part""")
+vectors_cte("plvec", "SELECT DISTINCT text FROM roles_planted", "roles_planted")
+
+
+@add("j12_planted_pairs", """SELECT DISTINCT a.user_id, a.text AS left_text, b.text AS right_text FROM roles_planted a JOIN roles_planted b ON a.user_id = b.user_id AND a.text < b.text
+  JOIN (SELECT x.text AS p, y.text AS q, sum(x.w * y.w) AS c FROM plvec x JOIN plvec y ON x.dim = y.dim AND x.text < y.text GROUP BY ALL HAVING sum(x.w * y.w) >= 0.93) c
+  ON c.p = a.text AND c.q = b.text""", uses="roles_planted plvec")
+def j12_planted(t):
+    """Names of all parts with three spellings of each: those that say the same at the threshold of a merge."""
+    number = (F.col("p_partkey") % 97).cast("string")
+    texts = F.array("p_name", F.upper("p_name"), F.concat_ws(" ", "p_name", number), F.concat_ws(" ", "p_name", number, F.lit("ii")))
+    rows = t.raw("part").select((F.col("p_partkey") % 20).alias("user_id"), F.lit(0).alias("company_id"), F.explode(texts).alias("role_title"))
+    rows = rows.withColumns({
+        "role_normalised": F.lit(None).cast("string"), "merged_into_id": F.lit(None).cast("long"), "status": F.lit("live"),
+    })
+    return ops.pairwise_duplicates(rows).select("user_id", "left_text", "right_text")
+
+
+@add("r06_duplicates_of_orders", """SELECT a.case_id, arg_min(b.case_id, [abs(epoch_us(a.at) - epoch_us(b.at)), b.case_id]) AS partner_id
+  FROM (SELECT o_orderkey AS case_id, o_custkey % 100 AS user_id, o_orderpriority AS text, o_orderdate AS at FROM orders) a
+  JOIN (SELECT o_orderkey AS case_id, o_custkey % 100 AS user_id, o_orderpriority AS text, o_orderdate AS at FROM orders) b
+  ON a.user_id = b.user_id AND a.text = b.text AND a.case_id <> b.case_id AND abs(epoch_us(a.at) - epoch_us(b.at)) <= 14 * 86400000000 GROUP BY a.case_id""")
+def r06_orders(t):
+    """All orders as cases whose text is their priority: groups of many, and of many on one day."""
+    none = F.lit(None)
+    rows = t.raw("orders").select(
+        (F.col("o_custkey") % 100).alias("user_id"), F.lit(0).cast("long").alias("company_id"), F.col("o_orderkey").alias("case_id"),
+        F.col("o_orderpriority").alias("role_title"), none.cast("string").alias("role_normalised"), F.lit("live").alias("status"),
+        F.lit("applied").alias("current_stage"), none.cast("long").alias("merged_into_id"), F.lit(False).alias("manually_created"),
+        none.cast("string").alias("work_mode"), none.cast("string").alias("location"), F.col("o_orderdate").cast("timestamp").alias("applied_at"),
+    )
+    splits = rows.select("user_id", "case_id", F.col("case_id").alias("other_id")).limit(0)
+    return ops.find_duplicates(rows, splits).select("case_id", "partner_id")

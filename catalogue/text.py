@@ -264,3 +264,44 @@ def u02(t):
     rows = t.raw("customer").select(
         "c_custkey", F.expr("CASE WHEN c_custkey % 3 <> 0 THEN concat('alias', c_custkey) END").alias("alias"), F.col("c_name").alias("name"))
     return rows.select("c_custkey", F.explode(alias_keys(F.col("alias"), F.col("name"))).alias("alias"))
+
+
+_HOST = """concat(regexp_extract(url, '://([^/:?#]+)', 1), CASE page_id % 3 WHEN 0 THEN '.uk' WHEN 1 THEN '' ELSE '.' END)"""
+
+
+@add("x11_domain_labels_of_pages", f"""SELECT page_id, CASE WHEN len(p) < 2 THEN d WHEN len(p) >= 3 AND length(p[-1]) <= 3 AND length(p[-2]) <= 3 THEN p[-3] ELSE p[-2] END AS label
+  FROM (SELECT page_id, d, list_filter(string_split(d, '.'), lambda x: x <> '') AS p FROM (
+    SELECT page_id, CASE WHEN page_id % 7 = 0 THEN regexp_extract({_HOST}, '^([^.]+)', 1) ELSE {_HOST} END AS d FROM pages) a) b""")
+def x11_pages(t):
+    """The owners of the hosts of all pages, a third of them below a two-part ending, some of a single label."""
+    host = F.concat(
+        F.regexp_extract("url", "://([^/:?#]+)", 1), F.expr("CASE page_id % 3 WHEN 0 THEN '.uk' WHEN 1 THEN '' ELSE '.' END")
+    )
+    host = F.when(F.col("page_id") % 7 == 0, F.regexp_extract(host, "^([^.]+)", 1)).otherwise(host)
+    return t.raw("pages").select("page_id", X.domain_label(host).alias("label"))
+
+
+_PLACES = tuple(p.title() if i % 2 else p.upper() for i, p in enumerate(p for names, _ in V.COUNTRIES for p in names)) + ("Atlantis", "Oslo")
+_PLACE_SQL = f"concat(n_name, ' / ', {pick('c_custkey', _PLACES)}, CASE WHEN c_custkey % 5 = 0 THEN ' (remote)' ELSE '' END)"
+
+
+@add("x12_countries_of_places", "SELECT c_custkey, CASE " + " ".join(
+    f"WHEN {' OR '.join(f'contains(lower(place), {lit(p)})' for p in names)} THEN '{code}'" for names, code in V.COUNTRIES
+) + f" ELSE 'unknown' END AS country FROM (SELECT c_custkey, {_PLACE_SQL} AS place FROM customer JOIN nation ON n_nationkey = c_nationkey) q")
+def x12_places(t):
+    """A nation and one of all known places for every customer: the first country named in the order of the list."""
+    rows = t.raw("customer").join(t.raw("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    return rows.select("c_custkey", N.country_of(F.expr(to_spark(_PLACE_SQL))).alias("country"))
+
+
+_SAID = ("Technical interview", "final chat with the CEO", "On-site loop", "System design round", "pair programming", "take home review", "HR intro", "weekly sync")
+_TITLE_SQL = f"concat(substr(text, 1 + doc_id % 9, 12 + doc_id % 40), CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE ': ' END, {pick('doc_id', _SAID)}, CASE WHEN doc_id % 3 = 0 THEN substr(text, 20, 30) ELSE '' END)"
+
+
+@add("x16_stages_of_titles", "SELECT doc_id, CASE WHEN title IS NULL THEN NULL " + " ".join(
+    f"WHEN {has('title', pattern)} THEN '{stage}'" for pattern, stage in V.TITLE_STAGES
+) + f" END AS stage FROM (SELECT doc_id, CASE WHEN text IS NOT NULL THEN {_TITLE_SQL} END AS title FROM documents) q")
+def x16_titles(t):
+    """Titles made of the documents' own words around the name of a meeting."""
+    title = F.expr(to_spark(_TITLE_SQL).replace("doc_id % 9,", "CAST(doc_id % 9 AS INT),").replace("12 + doc_id % 40)", "CAST(12 + doc_id % 40 AS INT))"))
+    return t.raw("documents").select("doc_id", N.stage_from_title(F.when(F.col("text").isNotNull(), title)).alias("stage"))
