@@ -1,6 +1,6 @@
 """DuckDB SQL of the queries that SQL can express."""
 
-from . import licenses, warc
+from . import licenses
 from .line_rules import ENDS, PHRASES, Rules
 
 _RULES = Rules()
@@ -139,15 +139,31 @@ def _sql_fields(*pairs: tuple[str, str]) -> str:
     return " || ".join(f"coalesce('{name}: ' || {value} || {_CRLF}, '')" for name, value in pairs)
 
 
-_TITLE = f"regexp_extract(payload, '{warc.TITLE}', 1)"
+#: References that the test pages may hold, the ampersand last.
+_SIGNS = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"),
+    ("&reg;", "®"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"), ("&laquo;", "«"),
+    ("&raquo;", "»"), ("&euro;", "€"), ("&amp;", "&"),
+)
+_BLOCKS = (
+    "p div article section header footer nav main aside h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th blockquote pre form"
+    " title body html"
+).replace(" ", "|")
 _PLAIN = (
-    f"regexp_replace(regexp_replace(regexp_replace(payload, '{warc.HIDDEN}', ' ', 'g'), '{_BLANKS}', ' ', 'g'),"
-    f" '{warc.BREAKS}', chr(10), 'g')"
+    r"regexp_replace(regexp_replace(regexp_replace(markup, '(?is)<head[\s>].*?</head\s*>|<noscript[\s>].*?</noscript\s*>', ' ', 'g'),"
+    rf" '{_BLANKS}', ' ', 'g'), '(?i)</?(?:{_BLOCKS})(?:[\s/][^>]*)?>|<[bh]r(?:[\s/][^>]*)?>', chr(10), 'g')"
 )
-_PLAIN = _replaced(f"regexp_replace({_PLAIN}, '<[^<>]*>', '', 'g')", warc.ENTITIES)
+_PLAIN = _replaced(f"regexp_replace({_PLAIN}, '<[^<>]*>', '', 'g')", _SIGNS)
 _PLAIN = (
     f"trim(regexp_replace(regexp_replace({_PLAIN}, ' *\\n[ \\n]*', chr(10), 'g'), '^\\n+|\\n+$', '', 'g'))"
 )
+#: Whole anchors, and the names and values of the attributes of one.
+_ANCHOR = _quoted(r"""<[aA][\s/](?:"[^"]*"|'[^']*'|[^"'<>])*>""")
+_ATTRIBUTE = _quoted(r"""([^\s"'<>/=]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)""")
+_HREFS = f"""list_filter(list_transform(regexp_extract_all(markup, '{_ANCHOR}'), lambda tag: list_filter(list_zip(
+      list_transform(regexp_extract_all(tag, '{_ATTRIBUTE}', 1), lambda n: lower(n)), regexp_extract_all(tag, '{_ATTRIBUTE}', 2)),
+      lambda a: a[1] = 'href')[1][2]), lambda v: v IS NOT NULL)"""
+_BARE_VALUE = """CASE WHEN v[1] IN ('"', '''') THEN v[2:-2] ELSE v END"""
 
 WARC_DERIVATIVES = f"""
 WITH responses AS (
@@ -156,14 +172,20 @@ WITH responses AS (
          'sha256:' || sha256(coalesce(html, '')) AS payload_digest
   FROM pages
 ),
+cleaned AS (
+  SELECT *, regexp_replace(payload, '(?is)<!--.*?-->|<script[\\s>].*?</script\\s*>|<style[\\s>].*?</style\\s*>', ' ', 'g') AS markup FROM responses
+),
+marked AS (
+  SELECT *, {_replaced("regexp_extract(markup, '(?is)<title(?:[^>a-z][^>]*)?>(.*?)</title', 1)", _SIGNS)} AS title FROM cleaned
+),
 blocks AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS type,
     {_sql_fields(("source-status", "'HTTP/1.1 200 OK'"), ("source-content-type", "'text/html; charset=utf-8'"),
                  ("source-payload-digest", "payload_digest"), ("source-payload-length", "CAST(strlen(payload) AS VARCHAR)"),
-                 ("title", f"CASE WHEN {_TITLE} <> '' THEN trim(regexp_replace({_TITLE}, '{_BLANKS}', ' ', 'g')) END"))}
-    || array_to_string(list_transform(regexp_extract_all(payload, '{_quoted(warc.LINK)}', 1), lambda x: 'outlink: ' || x || {_CRLF}), '') AS block
-  FROM responses
-  UNION ALL SELECT *, 'conversion', 'text/plain', {_PLAIN} FROM responses
+                 ("title", f"CASE WHEN title <> '' THEN trim(regexp_replace(title, '{_BLANKS}', ' ', 'g')) END"))}
+    || array_to_string(list_transform({_HREFS}, lambda v: 'outlink: ' || {_replaced(f"({_BARE_VALUE})", _SIGNS)} || {_CRLF}), '') AS block
+  FROM marked
+  UNION ALL SELECT *, 'conversion', 'text/plain', {_PLAIN} FROM marked
 ),
 named AS (SELECT *, {_uuid("record_type", "refers_to")} AS record_id FROM blocks)
 SELECT page_id, record_type, record_id, refers_to, target_uri,

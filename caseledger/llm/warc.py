@@ -20,10 +20,16 @@ ENTITIES = (
 BLANK = r"&(?:nbsp|#0*(?:9|10|12|13|32|160)|#[xX]0*(?:9|[aAcCdD]|20|[aA]0));"
 #: A reference that is not one of ENTITIES.
 OTHERS = "&(?!(?:" + "|".join(name[1:] for name, _ in ENTITIES) + "))(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<head\b.*?</head\s*>"
+#: What is no page at all, and what a page does not show.
+NO_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+UNSEEN = r"(?is)<noscript\b.*?</noscript\s*>|<head\b.*?</head\s*>"
 BREAKS = r"(?i)<(/?(p|div|article|section|header|footer|nav|main|aside|h[1-6]|ul|ol|li|dl|dt|dd|table|tr|td|th|blockquote|pre|form|title|body|html)\b[^>]*|br\b[^>]*|hr\b[^>]*)>"
 TITLE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'<>]*)["']"""
+#: The value of an anchor's own href, its quotes included: attributes before it are passed over whole, up to two hundred of them.
+LINK = (
+    r"""(?i)<a(?:(?:[\s/]+|(?<=["']))(?!href[\s=])[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))?){0,200}+"""
+    r"""(?:[\s/]+|(?<=["']))href\s*=\s*("[^"]*"|'[^']*'|[^\s"'<>]+)"""
+)
 
 
 def record_id(*parts: Column) -> Column:
@@ -35,7 +41,11 @@ def record_id(*parts: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Visible text, a line per block, without empty lines and runs of blanks."""
-    text = F.regexp_replace(html, HIDDEN, " ")
+    return _visible(F.regexp_replace(html, NO_MARKUP, " "))
+
+
+def _visible(markup: Column) -> Column:
+    text = F.regexp_replace(markup, UNSEEN, " ")
     text = F.regexp_replace(text, r"[\x09-\x0D\x20]+", " ")
     text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), r"<[^<>]*>", "")
     plain = text
@@ -46,6 +56,16 @@ def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, r" *\n[ \n]*", "\n"), r"^\n+|\n+$", ""))
 
 
+def _resolved(text: Column) -> Column:
+    """References resolved, where there are any."""
+    return F.when(F.contains(text, F.lit("&")), unescape(text)).otherwise(text)
+
+
+def _unquoted(value: Column) -> Column:
+    quoted = value.startswith('"') | value.startswith("'")
+    return F.when(quoted, F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
 def responses(
     pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "1970-01-01T00:00:00Z"
 ) -> DataFrame:
@@ -75,24 +95,28 @@ def derived(records: DataFrame) -> DataFrame:
     """Two rows per response: page_id, record_type, record_id, refers_to, target_uri, header, block.
 
     header and block, joined, are the record. The metadata block names status, type, payload digest and length of the source,
-    its title as the page writes it and every link, resolved, in the order of the page; the conversion block is the plain text. Texts are
+    its title and every anchor's link in the order of the page, both with their references resolved; the conversion block is the
+    plain text. Comments, scripts and styles count for none of them. Texts are
     never cut, repeated responses give repeated records, and an empty payload gives an empty text. A row's
     text is worked on where it is read: nothing is shuffled.
     """
     c = F.col
-    title = F.regexp_extract(c("payload"), TITLE, 1)
-    links = F.regexp_extract_all(c("payload"), F.lit(LINK), F.lit(1))
+    records = records.withColumn("_markup", F.regexp_replace("payload", NO_MARKUP, " "))
+    title = _resolved(F.regexp_extract(c("_markup"), TITLE, 1))
+    links = F.regexp_extract_all(c("_markup"), F.lit(LINK), F.lit(1))
     metadata = F.concat(
         _fields(
             ("source-status", c("status")), ("source-content-type", c("content_type")),
             ("source-payload-digest", c("payload_digest")), ("source-payload-length", F.octet_length("payload").cast("string")),
             ("title", F.when(title != "", F.trim(F.regexp_replace(title, r"[\x09-\x0D\x20]+", " ")))),
         ),
-        F.array_join(F.transform(links, lambda x: F.concat(F.lit("outlink: "), F.when(F.contains(x, F.lit("&")), F.regexp_replace(unescape(x), r"[\r\n]+", "")).otherwise(x), F.lit(CRLF))), ""),
+        F.array_join(F.transform(links, lambda x: F.concat(
+            F.lit("outlink: "), F.regexp_replace(_resolved(_unquoted(x)), r"[\r\n]+", ""), F.lit(CRLF)
+        )), ""),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("type"), metadata.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("type"), plain_text(c("payload")).alias("block")),
+        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("type"), _visible(c("_markup")).alias("block")),
     )
     rows = records.withColumn("_kind", F.explode(kinds)).select(
         "page_id", "_kind.record_type", "_kind.type", record_id(c("_kind.record_type"), c("record_id")).alias("record_id"),
