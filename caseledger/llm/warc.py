@@ -41,13 +41,18 @@ def record_id(*parts: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Visible text, a line per block, without empty lines and runs of blanks."""
-    return _visible(F.regexp_replace(html, NO_MARKUP, " "))
+    return _signs(_flat(F.regexp_replace(html, NO_MARKUP, " ")))
 
 
-def _visible(markup: Column) -> Column:
+def _flat(markup: Column) -> Column:
+    """Text with a line break per block, without tags, its references as they are."""
     text = F.regexp_replace(markup, UNSEEN, " ")
     text = F.regexp_replace(text, r"[\x09-\x0D\x20]+", " ")
-    text = F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), r"<[^<>]*>", "")
+    return F.regexp_replace(F.regexp_replace(text, BREAKS, "\n"), r"<[^<>]*>", "")
+
+
+def _signs(text: Column) -> Column:
+    """Flat text with its references resolved and its lines tidied."""
     plain = text
     for name, sign in ENTITIES:
         plain = F.replace(plain, F.lit(name), F.lit(sign))
@@ -101,9 +106,12 @@ def derived(records: DataFrame) -> DataFrame:
     text is worked on where it is read: nothing is shuffled.
     """
     c = F.col
+    # Each step is a column of its own, or what uses it twice would work it out twice.
     records = records.withColumn("_markup", F.regexp_replace("payload", NO_MARKUP, " "))
-    title = _resolved(F.regexp_extract(c("_markup"), TITLE, 1))
-    links = F.regexp_extract_all(c("_markup"), F.lit(LINK), F.lit(1))
+    records = records.withColumn("_flat", _flat(c("_markup"))).withColumn("_said", F.regexp_extract("_markup", TITLE, 1))
+    records = records.withColumn("_links", F.transform(F.regexp_extract_all("_markup", F.lit(LINK), F.lit(1)), _unquoted))
+    records = records.withColumn("_said", _resolved(c("_said")))
+    title, links = c("_said"), c("_links")
     metadata = F.concat(
         _fields(
             ("source-status", c("status")), ("source-content-type", c("content_type")),
@@ -111,12 +119,12 @@ def derived(records: DataFrame) -> DataFrame:
             ("title", F.when(title != "", F.trim(F.regexp_replace(title, r"[\x09-\x0D\x20]+", " ")))),
         ),
         F.array_join(F.transform(links, lambda x: F.concat(
-            F.lit("outlink: "), F.regexp_replace(_resolved(_unquoted(x)), r"[\r\n]+", ""), F.lit(CRLF)
+            F.lit("outlink: "), F.regexp_replace(_resolved(x), r"[\r\n]+", ""), F.lit(CRLF)
         )), ""),
     )
     kinds = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("type"), metadata.alias("block")),
-        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("type"), _visible(c("_markup")).alias("block")),
+        F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain").alias("type"), _signs(c("_flat")).alias("block")),
     )
     rows = records.withColumn("_kind", F.explode(kinds)).select(
         "page_id", "_kind.record_type", "_kind.type", record_id(c("_kind.record_type"), c("record_id")).alias("record_id"),
