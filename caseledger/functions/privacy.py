@@ -43,6 +43,10 @@ def fence(text: Column) -> Column:
 _JSON_TOKEN = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[\[\]{}:,]|[^\s\[\]{}:,"]+'
 
 
+#: Tokens that are gathered before they are joined.
+_GATHERED = 128
+
+
 def denied_key(name: Column) -> Column:
     """Whether one of the words of a key, or all of them together, name a protected category."""
     spaced = F.lower(F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])", " "))
@@ -55,13 +59,15 @@ def deny_list(json: Column) -> Column:
     """struct<value, violations>: JSON of any depth without keys of protected categories, and the paths removed.
 
     One walk over the tokens. It carries the paths of the open brackets, the position in each, and, while a
-    denied member is left out, the depth at which that ends. Null or broken JSON gives a null value.
+    denied member is left out, the depth at which that ends. What is put out is gathered in short runs, so that a step
+    copies one run and not all that came before it. Null or broken JSON gives a null value.
     """
     tokens = F.regexp_extract_all(json, F.lit(_JSON_TOKEN), F.lit(0))
     texts, no_texts = "array<string>", F.array().cast("array<string>")
     start = F.struct(
         no_texts.alias("open"), F.array().cast("array<int>").alias("seen"), F.lit("").alias("at"),
-        F.lit(-1).alias("until"), F.lit(False).alias("comma"), no_texts.alias("out"), no_texts.alias("found"),
+        F.lit(-1).alias("until"), F.lit(False).alias("comma"), F.lit("").alias("last"),
+        no_texts.alias("run"), no_texts.alias("out"), no_texts.alias("few"), F.array().cast("array<array<string>>").alias("found"),
     )
 
     def step(s: Column, pair: Column) -> Column:
@@ -91,17 +97,21 @@ def deny_list(json: Column) -> Column:
             .when(comma & (place >= 0), F.concat(last_seen, F.array(place + 1)))
             .otherwise(s["seen"])
         )
-        before = F.coalesce(F.try_element_at(s["out"], F.lit(-1)), F.lit(""))
-        after_open = before.isin("{", "[")
+        after_open = s["last"].isin("{", "[")
         shown = ~out_of_sight & ~denied & ~comma
+        full, many = F.size(s["run"]) >= _GATHERED, F.size(s["few"]) >= _GATHERED
         with_comma = F.when(s["comma"] & ~closes & ~after_open, F.array(F.lit(","), t)).otherwise(F.array(t))
         return F.struct(
             open_.alias("open"), seen.alias("seen"),
             F.when(is_key, key_path).when(t == ":", s["at"]).otherwise("").alias("at"),
             F.when(denied, depth).when(ends, -1).otherwise(s["until"]).alias("until"),
             F.when(comma & ~out_of_sight, True).when(shown, False).otherwise(s["comma"]).alias("comma"),
-            F.when(shown, F.concat(s["out"], with_comma)).otherwise(s["out"]).alias("out"),
-            F.when(denied, F.concat(s["found"], F.array(key_path))).otherwise(s["found"]).alias("found"),
+            F.when(shown, t).otherwise(s["last"]).alias("last"),
+            F.when(shown, F.concat(F.when(full, no_texts).otherwise(s["run"]), with_comma)).when(full, no_texts).otherwise(s["run"]).alias("run"),
+            F.when(full, F.concat(s["out"], F.array(F.array_join(s["run"], "")))).otherwise(s["out"]).alias("out"),
+            F.when(denied, F.concat(F.when(many, no_texts).otherwise(s["few"]), F.array(key_path))).when(many, no_texts)
+            .otherwise(s["few"]).alias("few"),
+            F.when(many, F.concat(s["found"], F.array(s["few"]))).otherwise(s["found"]).alias("found"),
         )
 
     pairs = F.zip_with(
@@ -110,7 +120,10 @@ def deny_list(json: Column) -> Column:
     )
     valid = F.try_parse_json(json).isNotNull()
     walked = F.aggregate(
-        pairs, start, step, lambda s: F.struct(F.array_join(s["out"], "").alias("value"), s["found"].alias("violations"))
+        pairs, start, step, lambda s: F.struct(
+            F.concat(F.array_join(s["out"], ""), F.array_join(s["run"], "")).alias("value"),
+            F.concat(F.flatten(s["found"]), s["few"]).alias("violations"),
+        )
     )
     nothing = F.struct(F.lit(None).cast("string").alias("value"), no_texts.alias("violations"))
     return F.when(valid, walked).otherwise(nothing)

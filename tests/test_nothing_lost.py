@@ -99,3 +99,11 @@ def test_deny_list_and_scrubbing_of_odd_texts(spark):
     texts = ["9-api_token = abc; x", "tokens=1 my-secret-key: 'v'", "a" * 20000 + "_token=z", ""]
     got = [r.o for r in spark.createDataFrame([(t,) for t in texts], "t string").select(P.scrub_text(F.col("t")).alias("o")).collect()]
     assert got == ["9-api_token = [redacted]; x", "tokens=1 my-secret-key: '[redacted]'", "a" * 20000 + "_token=[redacted]", ""]
+
+
+def test_deny_list_of_long_json(spark):
+    """What is put out grows run by run: a document of tens of thousands of tokens keeps all that is not denied."""
+    doc = {"a": [{f"k{i}": i, "health" if i % 3 == 0 else "x": [i, {"y": None}]} for i in range(3000)]}
+    out = spark.createDataFrame([(json.dumps(doc),)], "j string").select(P.deny_list(F.col("j")).alias("o")).first().o
+    assert json.loads(out.value) == {"a": [{k: v for k, v in e.items() if k != "health"} for e in doc["a"]]}
+    assert out.violations == [f"a[{i}].health" for i in range(0, 3000, 3)]
