@@ -1,8 +1,11 @@
 """Session settings and lineage cutting."""
 
+import io
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +46,29 @@ def local_session(cpus: str = "*", partitions: int = 8) -> SparkSession:
     return tune(spark)
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers of the application, once, so that they find it wherever they run.
+
+    It goes as an archive through the shared folder.
+    """
+    context = spark.sparkContext
+    if _SHIPPED.get("application") != context.applicationId:
+        root, packed = Path(__file__).resolve().parent, io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        at = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/code-{uuid.uuid4().hex}/{root.name}.zip")
+        stream = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at, False)
+        stream.write(bytearray(packed.getvalue()))
+        stream.close()
+        context.addPyFile(at.toString())
+        _SHIPPED["application"] = context.applicationId
+    return spark
+
+
+_SHIPPED: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in spark.checkpoint.dir.
 

@@ -1,8 +1,10 @@
 """Delivery as a stream: a push that falls into the quiet window waits in the state of its tenant until a timer fires."""
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -10,6 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from .. import constants as C
 from ..plans.nudges import timed
 
+# The worker that asks for the state's schema is started before packages are sent, so the processor travels whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 #: What a push that waits leaves in the state: instants in microseconds, days in days since 1970.
