@@ -5,12 +5,14 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseledger.operators.log import EVENT_KEY
 from caseledger.schemas import EVENT
 from caseledger.session import kept, shared_folder
+from caseledger.sources.log_table import LogTable
 from caseledger.sources.partitions import Partitions, bucket, erase_stored, purge_stored
 from caseledger.streaming import jobs, views
 
-from . import folding, reach, statistics, sweeps
+from . import folding, log, reach, statistics, sweeps
 from .account import account_tables
 from .base import NOW, Registry, iso, rounded
 
@@ -162,3 +164,16 @@ def t09_stored(t):
         n = table.read().groupBy("user_id").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "user_id", "n")
         out = n if out is None else out.unionByName(n)
     return out
+
+
+@add("s07_append_stored", log.REGISTRY.plain["s07_dedupe_events"], uses="ev")
+def s07_stored(t):
+    """A bucketed log of two events in three, to which all events are appended twice."""
+    name = f"log_{uuid.uuid4().hex}"
+    table = LogTable(t.spark, name, f"{_folder(t)}/log", _BUCKETS)
+    table.create(t.log.filter("seq % 3 <> 0"))
+    table.append(t.log_with_repeats)
+    table.append(t.log)
+    rows = t.spark.read.schema(table.read().schema).parquet(table.path)
+    t.spark.sql(f"DROP TABLE {name}")
+    return iso(rows.select(*EVENT_KEY, "seq"), "occurred_at")
