@@ -64,7 +64,7 @@ def _to_the_minute(text: Column) -> Column:
 def event_title(kind: Column, to_stage: Column, label: Column) -> Column:
     titles = F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in C.EVENT_TITLES.items()) + ")")
     return F.when(
-        kind == "stage_advanced", F.when(_filled(to_stage), label).otherwise("Stage changed")
+        kind == "stage_advanced", F.when(_filled(to_stage), label).otherwise(T.STAGE_CHANGED)
     ).otherwise(F.coalesce(titles[kind], kind))
 
 
@@ -83,7 +83,7 @@ def event_detail(p: Column) -> Column:
         )
         .when(
             F.coalesce(p["days_quiet"], F.lit(0)) != 0,
-            F.concat(F.lit("No inbound signal for "), p["days_quiet"].cast("string"), F.lit(" days")),
+            F.concat(F.lit(T.NO_SIGNAL_START), p["days_quiet"].cast("string"), F.lit(T.NO_SIGNAL_END)),
         )
         .otherwise("")
     )
@@ -125,11 +125,11 @@ def what_happened(
         )
         .when(
             kind == "stage_advanced",
-            F.when(_filled(to), F.concat(F.lit("Moved to "), F.lower(to_label)))
-            .otherwise("Stage changed"),
+            F.when(_filled(to), F.concat(F.lit(T.MOVED_TO), F.lower(to_label)))
+            .otherwise(T.STAGE_CHANGED),
         )
-        .when(kind == "acknowledged", "Application acknowledged")
-        .when(kind == "applied", "Application sent")
+        .when(kind == "acknowledged", T.ACKNOWLEDGED)
+        .when(kind == "applied", T.SENT)
         .otherwise(F.translate(kind, "_", " "))
     )
 
@@ -145,10 +145,10 @@ def headline(moved: Column, live: Column, suggestions: Column) -> dict[str, Colu
         .otherwise("waiting")
     )
     text = (
-        F.when(moved > 0, F.concat(number_word(moved), F.lit(" moved / forward / this week")))
-        .when(live == 0, "Nothing / to track yet")
-        .when(suggestions == 0, "You are / clear today")
-        .otherwise(F.concat(number_word(live), F.lit(" applications / waiting")))
+        F.when(moved > 0, F.concat(number_word(moved), F.lit(T.HEAD_MOVED)))
+        .when(live == 0, T.HEAD_EMPTY)
+        .when(suggestions == 0, T.HEAD_CLEAR)
+        .otherwise(F.concat(number_word(live), F.lit(T.HEAD_WAITING)))
     )
     return {"headline_kind": kind, "headline": text}
 

@@ -113,12 +113,12 @@ def normalise_role(raw: Column) -> dict[str, Column]:
     mode = F.when(raw.isNull(), None)
     for pattern, name in V.WORK_MODES:
         mode = mode.when(finds(raw, pattern), name)
-    bracket = r"[(\[{]([^)\]}]*)[)\]}]"
+    bracket = V.TITLE_BRACKETS
     inside = F.filter(F.regexp_extract_all(raw, F.lit(bracket), F.lit(1)), _is_place)
     bracket_place = strip(F.try_element_at(inside, F.lit(-1)))
     outside = F.regexp_replace(raw, bracket, " ")
     segments = F.filter(
-        F.transform(F.split(outside, FLAGS + r"\s+[-–—|·]\s+|\s*[/,]\s*"), strip),
+        F.transform(F.split(outside, FLAGS + V.TITLE_SEGMENTS), strip),
         lambda s: s != "",
     )
     ends = F.array_position(
@@ -277,12 +277,12 @@ def _meta(html: Column, name: str) -> Column:
 
 def parse_posting(url: Column, html: Column) -> dict[str, Column]:
     """Company, role, place, vendor and pay of a posting page. Structured data is asked first."""
-    block = first_group(html, r"(?s)<script[^>]+application/ld\+json[^>]*>(.*?)</script>")
+    block = first_group(html, V.PAGE_DATA)
     valid = F.get_json_object(block, "$")
     top = F.when(F.ltrim(valid).startswith("["), F.get_json_object(valid, "$[0]")).otherwise(valid)
     data = F.when(F.ltrim(top).startswith("{"), top)
     ask = lambda path: F.nullif(F.get_json_object(data, path), F.lit(""))
-    title = strip(first_group(html, r"<title>([^<]+)</title>"))
+    title = strip(first_group(html, V.PAGE_TITLE))
     vendor = None
     for pattern, name in V.POSTING_VENDORS:
         hit = finds(url, pattern) | finds(html, pattern)

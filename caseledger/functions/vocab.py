@@ -302,6 +302,19 @@ FENCE_OPEN = "<<<MESSAGE_BEGIN>>>"
 FENCE_CLOSE = "<<<MESSAGE_END>>>"
 
 
+# --- fixed values: markup of mails, addresses, titles and pages ---------------------------------------
+ANCHOR = r"""(?s)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+HIDDEN_MARKUP = (
+    r"(?s)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<head\b[^>]*>.*?</head>|<!--.*?-->"
+)
+BLOCK_MARKUP = r"</?(?:p|div|br|tr|li|h[1-6]|table|blockquote|section|article)[^>]*>"
+WEB_ADDRESS = r"""https?://[^\s<>"')]+"""
+MAIL_ADDRESS = r"<?([^<>\s]+)@([A-Za-z0-9.-]+)>?"
+TITLE_BRACKETS = r"[(\[{]([^)\]}]*)[)\]}]"
+TITLE_SEGMENTS = r"\s+[-–—|·]\s+|\s*[/,]\s*"
+PAGE_DATA = r"(?s)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"
+PAGE_TITLE = r"<title>([^<]+)</title>"
+
 # --- what every match of the patterns above holds, in lower case: texts without any of these need not be tried ---
 STRONG_STEMS = (
     "candida", "appl", "colloqui", "interview", "recruit", "assunzione", "hiring", "curriculum", "cv", "risorse umane",

@@ -55,3 +55,15 @@ DRAFT_END_EN = "\nIs there anything you need from my side while the team decides
 SEASONAL_START, SEASONAL_END = (
     "Seasonal averages need ", " of history before they mean anything, so they are hidden rather than shown noisy."
 )
+
+# Questions to a person.
+PARKED_QUESTION = "The model was unreachable for this message. Answering it here teaches the rules either way."
+CANCELLED_QUESTION = "An interview was cancelled. Is this application still moving?"
+
+# The log and the first screen.
+NO_SIGNAL_START, NO_SIGNAL_END = "No inbound signal for ", " days"
+GONE_QUIET = " has gone quiet since the "
+MOVED_TO, STAGE_CHANGED = "Moved to ", "Stage changed"
+ACKNOWLEDGED, SENT = "Application acknowledged", "Application sent"
+HEAD_MOVED, HEAD_EMPTY = " moved / forward / this week", "Nothing / to track yet"
+HEAD_CLEAR, HEAD_WAITING = "You are / clear today", " applications / waiting"

@@ -513,9 +513,6 @@ def events_for_signals(signals: DataFrame) -> DataFrame:
     )
 
 
-CANCELLED_QUESTION = "An interview was cancelled. Is this application still moving?"
-
-
 def review_items(
     readings: DataFrame, decided: DataFrame, cancelled: DataFrame, stored: DataFrame,
     shortlist: DataFrame | None = None, cases: DataFrame | None = None,
@@ -554,7 +551,7 @@ def review_items(
     )
     off = cancelled.select(
         "user_id", F.lit("unknown_intent").alias("kind"), "evidence_ref", "case_id",
-        F.lit(CANCELLED_QUESTION).alias("excerpt"), no_candidates,
+        F.lit(T.CANCELLED_QUESTION).alias("excerpt"), no_candidates,
     )
     return raise_once(unread.unionByName(torn).unionByName(off), stored)
 

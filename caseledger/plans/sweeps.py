@@ -82,10 +82,7 @@ def park_and_retry(ledger: DataFrame, max_attempts: int = C.PARK_MAX_ATTEMPTS):
         "user_id",
         F.lit("low_confidence").alias("kind"),
         F.col("provider_message_id").alias("evidence_ref"),
-        F.lit(
-            "The model was unreachable for this message. Answering it here teaches the rules"
-            " either way."
-        ).alias("excerpt"),
+        F.lit(T.PARKED_QUESTION).alias("excerpt"),
     )
     after = ledger.withColumn(
         "_out", F.when(again, F.lit(None)).when(parked, "review").otherwise(F.col("outcome"))

@@ -15,7 +15,7 @@ REGISTRY = Registry()
 add = REGISTRY.add
 
 _HIDDEN = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<head\b[^>]*>.*?</head>|<!--.*?-->"
-_ANCHOR = r"""(?is)<a\b[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+_ANCHOR = V.ANCHOR.replace("(?s)", "(?is)", 1)
 _WS = r"[\s\p{Z}]"
 
 
