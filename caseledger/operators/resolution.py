@@ -255,8 +255,10 @@ def find_duplicates(cases: DataFrame, splits: DataFrame) -> DataFrame:
     the highest cosine, then the nearest date, then the smallest id.
 
     Roles are compared once per text. Within a text, only the instants are compared at which cases of a company that share work
-    mode and country were applied for: a case looks at its own instant, at the nearest one before and at the nearest one after, and there
-    at the two smallest ids. So a text that very many cases share is never paired with itself, nor ordered in one task.
+    mode and country were applied for: an instant looks at itself, at the nearest one before and at the nearest one after, and there
+    at the two smallest ids, in every group that exists and may merge with its own. All cases of one group and instant see the
+    same partners, of which each takes the best that is not itself. So a text that very many cases share is never paired with itself,
+    nor ordered in one task.
     Cases that a person has split from others pass over the instants at which there is nobody else.
     """
     mode = F.coalesce("work_mode", F.lit(""))
@@ -273,27 +275,37 @@ def find_duplicates(cases: DataFrame, splits: DataFrame) -> DataFrame:
     texts = _texts(able, F.col("text"))
     pairs = kept(S.similar_pairs(texts, texts, BLOCK, C.MERGE_COSINE))
     group = [*BLOCK, "text", "mode", "land"]
-    # Every case asks in each compatible group of each similar text.
-    asks = (
-        able.join(pairs.withColumnRenamed("left_id", "text"), [*BLOCK, "text"])
+    # Every group asks in each group there is of a similar text whose mode and country agree with its own.
+    seat = ["_text", "_mode", "_land"]
+    kinds = kept(able.select(*group).distinct())
+    agrees = (
+        kinds.join(pairs.withColumnRenamed("left_id", "text"), [*BLOCK, "text"])
         .select(
-            *BLOCK, "case_id", "_t", F.round("cosine", 12).alias("cosine"),
-            F.col("right_id").alias("text"),
+            *BLOCK, F.col("text").alias("_text"), F.col("mode").alias("_mode"), F.col("land").alias("_land"),
+            F.round("cosine", 12).alias("cosine"), F.col("right_id").alias("text"),
             F.explode(_compatible(F.col("mode"), _MODES)).alias("mode"), "land",
         )
         .withColumn("land", F.explode(_compatible(F.col("land"), _WHERE)))
     )
+    agrees = kept(agrees.join(kinds, group, "left_semi"))
+
+    def asking(rows: DataFrame) -> DataFrame:
+        """Rows of a group, each with the groups it asks in as the group."""
+        return rows.withColumnsRenamed(dict(zip(group[len(BLOCK):], seat, strict=True))).join(agrees, [*BLOCK, *seat])
+
     apart = splits.select("user_id", "case_id", "other_id").unionByName(
         splits.select("user_id", F.col("other_id").alias("case_id"), F.col("case_id").alias("other_id"))
     ).distinct()
     wary = apart.select("user_id", "case_id").distinct()
-    plain = asks.join(wary, ["user_id", "case_id"], "left_anti")
-    careful = kept(asks.join(wary, ["user_id", "case_id"], "left_semi"))
+    plain = able.join(wary, ["user_id", "case_id"], "left_anti")
+    careful = kept(asking(able.join(wary, ["user_id", "case_id"], "left_semi")).drop(*seat))
+    # The groups and instants of cases nobody has split; one without a date is an instant too.
+    spots = kept(asking(plain.select(*group, "_t").distinct()))
     window_us = C.MERGE_WINDOW_DAYS * 86_400_000_000
     dated, undated = able.filter("_t IS NOT NULL"), able.filter("_t IS NULL")
     ids = F.col("case_id").alias("partner_id")
     instants = kept(dated.groupBy(*group, "_t").agg(F.count("*").alias("_n")))
-    asked = asks.filter("_t IS NOT NULL").select(*group, "_t").distinct()
+    asked = spots.select(*group, "_t").unionByName(careful.select(*group, "_t")).filter("_t IS NOT NULL").distinct()
     near = kept(nearest_points(asked.unionByName(instants.select(*group, "_t")).distinct(), instants, group, "_t",
                                slice_of=F.floor(F.col("_t") / 3_600_000_000)))
 
@@ -301,16 +313,12 @@ def find_duplicates(cases: DataFrame, splits: DataFrame) -> DataFrame:
         """Asks with the instant `_at` they look at, beside the ids there."""
         gap = F.abs(F.col("_at") - F.col("_t"))
         there = first.withColumnRenamed("_t", "_at")
-        return looks.filter(gap <= window_us).join(there, [*group, "_at"]).filter("case_id <> partner_id").select(
-            *BLOCK, "case_id", "partner_id", "cosine", gap.alias("_gap")
-        )
+        return looks.filter(gap <= window_us).join(there, [*group, "_at"]).withColumn("_gap", gap).drop("_at")
 
     def without_date(who: DataFrame, anyone: DataFrame, dateless: DataFrame) -> DataFrame:
         """Without a date on either side there is no window to fall outside of."""
         met = who.filter("_t IS NULL").join(anyone, group).unionByName(who.filter("_t IS NOT NULL").join(dateless, group))
-        return met.filter("case_id <> partner_id").select(
-            *BLOCK, "case_id", "partner_id", "cosine", F.lit(None).cast("bigint").alias("_gap")
-        )
+        return met.withColumn("_gap", F.lit(None).cast("bigint"))
 
     def firsts(n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The n smallest ids of each instant, of each group, and of the undated of each group."""
@@ -318,17 +326,31 @@ def find_duplicates(cases: DataFrame, splits: DataFrame) -> DataFrame:
         return few(dated, [*group, "_t"]), few(able, group), few(undated, group)
 
     at_once, anyone, dateless = firsts(2)
-    looks = plain.filter("_t IS NOT NULL").join(near, [*group, "_t"]).withColumn("_at", F.explode(F.array("_t", "before", "after")))
-    found = told(looks.drop("before", "after"), at_once).unionByName(without_date(plain, anyone, dateless))
+    looks = spots.filter("_t IS NOT NULL").join(near, [*group, "_t"]).withColumn("_at", F.explode(F.array("_t", "before", "after")))
+    seen = told(looks.drop("before", "after"), at_once).unionByName(without_date(spots, anyone, dateless))
+    far = F.coalesce("_gap", F.lit(2**62))
+    order = F.struct((-F.col("cosine")).alias("c"), far.alias("g"))
+    # Of a spot the two best partners, as one of them may be the case that asks.
+    spot = [*BLOCK, *seat, "_t"]
+    once = seen.filter("partner_id IS NOT NULL").groupBy(*spot, "partner_id").agg(
+        F.min_by(F.struct("cosine", "_gap"), order).alias("_p")
+    ).select(*spot, "partner_id", "_p.*")
+    two = top_per_key(once, spot, [-F.col("cosine"), far, F.col("partner_id")], 2, "_rank").drop("_rank")
+    columns = [*BLOCK, "case_id", "partner_id", "cosine", "_gap"]
+
+    # No instant lies so far back: it stands for none, so that one join hands the partners back.
+    when = F.coalesce("_t", F.lit(-(2**63)))
+    back = two.withColumn("_when", when).drop("_t").withColumnsRenamed(dict(zip(seat, group[len(BLOCK):], strict=True)))
+    found = plain.withColumn("_when", when).join(back, [*group, "_when"]).filter("case_id <> partner_id").select(*columns)
     most = apart.groupBy("user_id", "case_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
     if most:
         # Among so many ids one is neither the case nor a case it was split from.
         at_once, anyone, dateless = firsts(most + 2)
         looks = _past_named(careful.filter("_t IS NOT NULL"), apart, dated, instants, near, group, window_us)
         named = apart.withColumnRenamed("other_id", "partner_id")
-        careful_found = told(looks, at_once).unionByName(without_date(careful, anyone, dateless))
+        careful_found = told(looks, at_once).select(*columns).unionByName(without_date(careful, anyone, dateless).select(*columns))
+        careful_found = careful_found.filter("case_id <> partner_id")
         found = found.unionByName(careful_found.join(named, ["user_id", "case_id", "partner_id"], "left_anti"))
-    far = F.coalesce("_gap", F.lit(2**62))
     best = first_per_key(
         found, [*BLOCK, "case_id"], F.struct((-F.col("cosine")).alias("c"), far.alias("g"), "partner_id")
     )

@@ -103,3 +103,24 @@ def test_no_window_over_a_group(spark):
     plan = find_duplicates(df, apart)._jdf.queryExecution().optimizedPlan().toString()
     windows = [x for x in plan.splitlines() if "Window [" in x]
     assert windows and all("_slice" in x or "row_number()" in x for x in windows)
+
+
+def test_asks_only_where_there_is_a_group(spark, monkeypatch):
+    """A case without mode and country may merge with any; it asks in the groups that exist, once per instant."""
+    from caseledger.operators import resolution
+
+    looked = []
+    real = resolution.nearest_points
+
+    def counted(asks, points, *args, **more):
+        looked.append(asks.count())
+        return real(asks, points, *args, **more)
+
+    monkeypatch.setattr(resolution, "nearest_points", counted)
+    rows = [
+        (0, 0, k, "data engineer", None, "live", "applied", None, False, None, None, datetime(2024, 3, 1 + k % 2)) for k in range(40)
+    ]
+    none = spark.createDataFrame([], "user_id long, case_id long, other_id long")
+    got = {r["case_id"]: r["partner_id"] for r in find_duplicates(spark.createDataFrame(rows, KIND), none).collect()}
+    assert got == {k: (k % 2 if k > 1 else k + 2) for k in range(40)}
+    assert looked == [2]
