@@ -2,7 +2,7 @@ import numpy as np
 from conftest import SF
 from llm_helpers import awkward, crc_fold, empty
 
-from caseledger.llm.pairwise_quality import FEATURES, features, fit, good_only, quality_scores
+from caseledger.llm.pairwise_quality import FEATURES, features, fit, good_only, learn, quality_scores
 from caseledger.llm.queries import QUERIES
 from caseledger.llm.shared import prepare
 
@@ -58,3 +58,24 @@ def test_awkward_rows(spark):
 def test_empty(spark):
     labels = prepare(spark).createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
     assert quality_scores(empty(spark), labels).count() == 0 and good_only(empty(spark), labels).count() == 0
+
+
+def test_all_rows_and_all_pairs_count(spark):
+    """Weights and cut are those of every pair of a 1 and a 0, however rows are dealt out."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, len(FEATURES)))
+    y = (x[:, 0] - 2 * x[:, 1] + 0.8 * rng.normal(size=500) > -1).astype(int)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    gap = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, len(FEATURES))
+    want = np.zeros(len(FEATURES))
+    for _ in range(40):
+        p = 1 / (1 + np.exp(gap @ want))
+        curve = (gap * (p * (1 - p))[:, None]).T @ gap / len(gap) + 1e-3 * np.eye(len(want))
+        want += 0.9 * np.linalg.solve(curve, gap.T @ p / len(gap) - 1e-3 * want)
+    known = prepare(spark).createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, features array<double>")
+    usable = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "id long, label int")
+    one, two = learn(known.repartition(5), usable), learn(known.coalesce(1), usable)
+    assert one == two
+    assert np.abs(np.array(one.weights) - want).max() < 2e-3
+    assert abs(one.cut - np.quantile(z @ np.array(one.weights), (y == 0).mean())) < 1e-6
+    assert np.abs(np.array(fit(x, y).weights) - np.array(one.weights)).max() < 1e-4
