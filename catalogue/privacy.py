@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from caseledger.functions import privacy as P
 from caseledger.functions import vocab as V
 from caseledger.functions.rules import BUILT_IN, vendor_domains
+from caseledger.session import dealt
 
 from .base import Registry, iso, rounded, ziso
 
@@ -46,7 +47,7 @@ SELECT c_custkey,
 FROM k""")
 def p03(t):
     text = F.expr(f"""concat('{{"who": "', c_name, '", "', {_KEY}, '": ', c_nationkey, ', "deep": [[1, "', {_KEY}, '"], {{"', {_KEY}, '": {{"a": [', c_nationkey, ']}}, "segment": "', c_mktsegment, '"}}]}}')""")
-    rows = t.raw("customer").select("c_custkey", P.deny_list(text).alias("o"))
+    rows = dealt(t.raw("customer")).select("c_custkey", P.deny_list(text).alias("o"))
     return rows.select("c_custkey", "o.value", F.array_join("o.violations", ",").alias("violations"))
 
 
@@ -92,12 +93,12 @@ _MAIL = "concat('From: ', source, ' Lee <lee.', doc_id, '@', CASE WHEN doc_id %
 
 @add("p04_anonymise", _anonymised("customer", "c_custkey", _LETTER))
 def p04(t):
-    return t.raw("customer").select("c_custkey", P.anonymiser(_KEPT)(F.expr(_LETTER)).alias("text"))
+    return dealt(t.raw("customer").select("c_custkey", "c_name")).select("c_custkey", P.anonymiser(_KEPT)(F.expr(_LETTER)).alias("text"))
 
 
 @add("p04_anonymise_documents", f"SELECT doc_id, md5(text) AS digest FROM ({_anonymised('documents', 'doc_id', _MAIL)}) q")
 def p04_documents(t):
-    return t.raw("documents").select("doc_id", F.md5(P.anonymiser(_KEPT)(F.expr(_MAIL))).alias("digest"))
+    return dealt(t.raw("documents").select("doc_id", "source", "text")).select("doc_id", F.md5(P.anonymiser(_KEPT)(F.expr(_MAIL))).alias("digest"))
 
 
 @add("p05_fence", """SELECT doc_id, concat('<<<MESSAGE_BEGIN>>>', chr(10), CASE WHEN doc_id % 2 = 0 THEN '[removed] ' ELSE '' END, text, chr(10), '<<<MESSAGE_END>>>') AS fenced FROM documents""")
