@@ -1,7 +1,7 @@
 """Readers of mail, calendars and labelled files, and the calendar text parser."""
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from email import message_from_bytes, policy
 from email.utils import parsedate_to_datetime
 
@@ -189,43 +189,54 @@ def read_calendar_json(spark: SparkSession, path: str, user_id=None) -> DataFram
 
 def _ics_moment(line: Column) -> Column:
     """A time with its Z, in the zone it names, or as a bare date."""
-    value = F.trim(F.regexp_extract(line, r":([^:]*)$", 1))
-    zone = F.nullif(F.regexp_extract(line, r"TZID=([^;:]+)", 1), F.lit(""))
-    utc = F.try_to_timestamp(F.regexp_replace(value, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss"))
-    known = zone.rlike(r"^[A-Za-z]+/[A-Za-z_/+-]+[0-9]*$") | (zone == "UTC")
-    return (
-        F.when(value.rlike("Z$") | (F.instr(value, "T") > 0) & ~F.coalesce(known, F.lit(False)), utc)
-        .when(F.instr(value, "T") > 0, F.to_utc_timestamp(utc, zone))
-        .otherwise(F.try_to_timestamp(value, F.lit("yyyyMMdd")))
-    )
+    def read(value: Column) -> Column:
+        zone = F.nullif(F.regexp_extract(line, r"TZID=([^;:]+)", 1), F.lit(""))
+        utc = F.try_to_timestamp(F.regexp_replace(value, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss"))
+        known = zone.rlike(r"^[A-Za-z]+/[A-Za-z_/+-]+[0-9]*$") | (zone == "UTC")
+        return (
+            F.when(value.rlike("Z$") | (F.instr(value, "T") > 0) & ~F.coalesce(known, F.lit(False)), utc)
+            .when(F.instr(value, "T") > 0, F.to_utc_timestamp(utc, zone))
+            .otherwise(F.try_to_timestamp(value, F.lit("yyyyMMdd")))
+        )
+
+    return _once(F.trim(F.regexp_extract(line, r":([^:]*)$", 1)), read)
+
+
+def _once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is worked out once, however often it stands in there."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
 
 
 def parse_ics(text: Column) -> Column:
     """The first event of a calendar text as an invitation, null when it has no start."""
     flat = F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "\n[ \t]", "")
-    event = F.regexp_extract(flat, r"(?is)\nBEGIN:VEVENT\s*\n(.*?)(?:\nEND:VEVENT|\z)", 1)
-    lines = F.concat(F.lit("\n"), event, F.lit("\n"))
+    event = r"(?is)\nBEGIN:VEVENT\s*\n(.*?)(?:\nEND:VEVENT|\z)"
+    return _once(flat, lambda f: _once(F.concat(F.lit("\n"), F.regexp_extract(f, event, 1), F.lit("\n")), lambda lines: _invitation(f, lines)))
+
+
+def _invitation(flat: Column, lines: Column) -> Column:
     before = F.regexp_extract(F.concat(F.lit("\n"), flat), r"(?is)^(.*?)\nBEGIN:VEVENT", 1)
     line = lambda name: F.nullif(F.regexp_extract(lines, rf"(?i)\n({name}(?:;[^:\n]*)?:[^\n]*)", 1), F.lit(""))
     plain = lambda v: F.regexp_replace(F.regexp_replace(v, r"\\[nN]", "\n"), r"\\([,;\\])", "$1")
-    value = lambda name: F.nullif(plain(F.trim(F.regexp_extract(lines, rf"(?i)\n{name}(?:;[^:\n]*)?:([^\n]*)", 1))), F.lit(""))
+    said = lambda name: plain(F.trim(F.regexp_extract(lines, rf"(?i)\n{name}(?:;[^:\n]*)?:([^\n]*)", 1)))
+    value = lambda name: _once(said(name), lambda v: F.nullif(v, F.lit("")))
     bare = lambda v: F.regexp_replace(v, "^(?:mailto:|MAILTO:)", "")
     people = F.regexp_extract_all(lines, F.lit(r"(?i)\nATTENDEE(?:;[^:\n]*)?:([^\n]*)"), F.lit(1))
     method = F.upper(F.coalesce(value("METHOD"), F.nullif(
         F.trim(F.regexp_extract(before, r"(?i)\nMETHOD(?:;[^:\n]*)?:([^\n]*)", 1)), F.lit(""))))
-    status = F.lower(value("STATUS"))
-    starts = _ics_moment(line("DTSTART"))
-    return F.when(
+    moment = lambda name: _once(line(name), _ics_moment)
+    known = lambda v, names, other: _once(v, lambda x: F.when(x.isin(*names), x).otherwise(other))
+    return _once(moment("DTSTART"), lambda starts: F.when(
         starts.isNotNull(),
         F.struct(
             F.coalesce(value("UID"), F.lit("")).alias("uid"), value("SUMMARY").alias("summary"),
-            starts.alias("starts_at"), _ics_moment(line("DTEND")).alias("ends_at"),
+            starts.alias("starts_at"), moment("DTEND").alias("ends_at"),
             value("LOCATION").alias("location"), bare(value("ORGANIZER")).alias("organiser"),
             F.transform(people, lambda p: bare(plain(F.trim(p)))).alias("attendees"),
-            F.when(status.isin("confirmed", "cancelled", "tentative"), status).otherwise("confirmed").alias("status"),
-            F.when(method.isin("REQUEST", "CANCEL", "REPLY", "PUBLISH"), method).alias("method"),
+            known(F.lower(value("STATUS")), ("confirmed", "cancelled", "tentative"), F.lit("confirmed")).alias("status"),
+            known(method, ("REQUEST", "CANCEL", "REPLY", "PUBLISH"), F.lit(None)).alias("method"),
         ),
-    )
+    ))
 
 
 _LABELLED = (

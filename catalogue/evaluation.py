@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from caseledger.operators import evaluate as ops
 from caseledger.operators import screening as ops_screening
-from caseledger.session import cut_lineage
+from caseledger.session import cut_lineage, dealt
 
 from .base import Registry, rounded
 from .screening import own, screened
@@ -71,5 +71,5 @@ def s04(t):
     start = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("DTSTART:"), stamp, F.lit("Z"))).otherwise(F.concat(F.lit("DTSTART;TZID=Europe/Rome:"), stamp))
     text = F.concat(F.lit("BEGIN:VCALENDAR\r\nMETHOD:CANCEL\r\nBEGIN:VEVENT\r\nUID:uid-"), F.col("event_id").cast("string"), F.lit("\r\nSUMMARY:Call\\, ro\r\n und "),
                     (F.col("event_id") % 5).cast("string"), F.lit("\r\n"), start, F.lit("\r\nORGANIZER;CN=A:mailto:a@company1.com\r\nEND:VEVENT\r\nEND:VCALENDAR"))
-    rows = t.raw("events").select("event_id", text.alias("ics")).select("event_id", parse_ics(F.col("ics")).alias("i"))
+    rows = dealt(t.raw("events").select("event_id", "ts")).select("event_id", text.alias("ics")).select("event_id", parse_ics(F.col("ics")).alias("i"))
     return rows.select("event_id", "i.uid", "i.summary", F.date_format("i.starts_at", "yyyy-MM-dd HH:mm:ss").alias("starts_at"), "i.method", "i.organiser")
