@@ -6,6 +6,7 @@ from caseledger.functions import names as N
 from caseledger.functions import text as X
 from caseledger.functions import vocab as V
 from caseledger.functions.rules import BUILT_IN, vendor_domains
+from caseledger.session import dealt
 
 from .base import Registry
 from .patterns import group, has, lit, re2
@@ -68,7 +69,7 @@ def _tail_sql():
 
 def _with_tail(t):
     tails = F.array(*[F.lit(x) for x in _TAILS])
-    return t.raw("documents").select("doc_id", F.concat("text", F.get(tails, (F.col("doc_id") % 6).cast("int"))).alias("raw"))
+    return dealt(t.raw("documents").select("doc_id", "text")).select("doc_id", F.concat("text", F.get(tails, (F.col("doc_id") % 6).cast("int"))).alias("raw"))
 
 
 _CUTS = ", ".join(f"regexp_split_to_array(raw, {lit('(?im)' + m)})[1]" for m in V.QUOTE_MARKERS)
@@ -138,7 +139,7 @@ def x09(t):
       concat(p_name, ' Dev | Berlin | permanent'), concat('Lead ', p_name, ' QA contract ibrido')), CAST(p_partkey % 4 AS INT))""")
     parts = N.normalise_role(F.regexp_replace(raw, "contract ibrido", "contract"))
     mode = N.normalise_role(raw)["work_mode"]
-    return t.raw("part").select("p_partkey", parts["role"].alias("role"), parts["seniority"].alias("seniority"),
+    return dealt(t.raw("part").select("p_partkey", "p_name")).select("p_partkey", parts["role"].alias("role"), parts["seniority"].alias("seniority"),
                                 parts["location"].alias("location"), mode.alias("work_mode"))
 
 
