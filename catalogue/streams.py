@@ -1,13 +1,14 @@
 """Streaming jobs and stored tables: what batches and rewrites leave equals what the batch forms make of the whole."""
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseledger.operators.log import EVENT_KEY
 from caseledger.schemas import EVENT
-from caseledger.session import kept, shared_folder
+from caseledger.session import dealt, kept, shared_folder
 from caseledger.sources.log_table import LogTable
 from caseledger.sources.partitions import Partitions, bucket, erase_stored, purge_stored
 from caseledger.streaming import jobs, views
@@ -26,12 +27,15 @@ def _folder(t) -> str:
     return f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _sent(t, rows: DataFrame, parts: list[Column], folder: str) -> DataFrame:
-    """The rows as a stream, a batch for each part."""
+def _sent(t, rows: DataFrame, parts: list[Column], folder: str) -> Iterator[DataFrame]:
+    """The rows as a stream, once after each part has come: what runs on it until it has read all makes a batch of each part.
+
+    A part is as many files as the tasks it is dealt over, so no task writes or reads a part whole.
+    """
     rows = kept(rows)
     for part in parts:
-        rows.filter(part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        dealt(rows.filter(part)).write.mode("append").parquet(f"{folder}/in")
+        yield t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
 
 
 def _thirds(key: str) -> list[Column]:
@@ -49,8 +53,8 @@ def t01(t):
         (F.col("doc_id") % 7).alias("mailbox_id"), F.concat(F.lit("m-"), "doc_id").alias("provider_message_id"),
         F.expr("TIMESTAMP '2024-07-01 00:00:00' + make_dt_interval(0, 0, CAST(doc_id AS INT))").alias("received_at"), "text", "doc_id",
     )
-    stream = _sent(t, mail, _thirds("doc_id"), folder)
-    jobs.ingest(stream, f"{folder}/ledger", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    for stream in _sent(t, mail, _thirds("doc_id"), folder):
+        jobs.ingest(stream, f"{folder}/ledger", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     out = jobs.landed(t.spark, f"{folder}/out", stream.schema)
     return out.select("mailbox_id", "provider_message_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
@@ -58,13 +62,14 @@ def t01(t):
 def _projected(t, **more) -> str:
     """The log streamed in three batches through the fold; the folder of what it keeps."""
     folder = _folder(t)
-    stream = _sent(t, t.log.select(*[f.name for f in EVENT.fields]), _thirds("seq"), folder)
     t.cases.write.parquet(f"{folder}/cases")
     t.projected.write.parquet(f"{folder}/projected")
     targets = {name: tuple(f"{folder}/{x}" for x in where) for name, where in more.items()}
-    jobs.project(
-        stream, f"{folder}/log", f"{folder}/states", f"{folder}/checkpoint", stage_defs=kept(t.stage_defs), buckets=_BUCKETS, **targets
-    ).awaitTermination()
+    stage_defs = kept(t.stage_defs)
+    for stream in _sent(t, t.stored_log.select(*[f.name for f in EVENT.fields]), _thirds("seq"), folder):
+        jobs.project(
+            stream, f"{folder}/log", f"{folder}/states", f"{folder}/checkpoint", stage_defs=stage_defs, buckets=_BUCKETS, **targets
+        ).awaitTermination()
     return folder
 
 
@@ -130,8 +135,8 @@ def t10(t):
         ((F.col("conv_id") + F.col("turn")) % 7).alias("read_count"), F.to_json(F.struct("text")).alias("body"),
     )
     third = F.pmod(F.col("msg_id"), F.lit(3))
-    stream = _sent(t, rows, [third == k for k in range(3)], folder)
-    jobs.drain_failures(stream, f"{folder}/retry", f"{folder}/dead", f"{folder}/checkpoint").awaitTermination()
+    for stream in _sent(t, rows, [third == k for k in range(3)], folder):
+        jobs.drain_failures(stream, f"{folder}/retry", f"{folder}/dead", f"{folder}/checkpoint").awaitTermination()
     again, gone = jobs.drained(t.spark, f"{folder}/retry", f"{folder}/dead", stream.schema)
     both = again.select("msg_id", "queue", "body").unionByName(gone.select("msg_id", "queue", "body"))
     return both.select("msg_id", "queue", F.get_json_object("body", "$.text").alias("text"))
