@@ -179,7 +179,7 @@ def fit(
     mean, scale, weights = _ranked(
         *[Moments(len(x), x.sum(axis=0), x.T @ x) for x in (good, bad)], along, penalty=penalty, steps=steps
     )
-    cut = float(np.quantile((values - mean) / scale @ weights, len(bad) / len(values)))
+    cut = float(np.quantile((values - mean) / scale @ weights, len(bad) / len(values), method="midpoint"))
     return Ranking(*[tuple(map(float, x)) for x in (mean, scale, weights)], cut, threshold)
 
 
@@ -286,8 +286,13 @@ def learn(
     mean, scale, weights = _ranked(good, bad, lambda *at: _summed_along(rows, *at), penalty=penalty, steps=steps)
     plain = Ranking(*[tuple(map(float, x)) for x in (mean, scale, weights)], 0.0, threshold)
     scores = rows.select(F.lit(0).alias("all"), plain.total(F.col("features")).alias("score"))
-    cut = exact_percentiles(scores, ["all"], "score", {"cut": bad.n / (good.n + bad.n)}, width=_WIDTH).first()["cut"]
-    return replace(plain, cut=float(cut))
+    # Halfway between the two scores around the rank, as they may lie far apart where the classes part.
+    last = good.n + bad.n - 1
+    rank = bad.n / (good.n + bad.n) * last
+    around = exact_percentiles(
+        scores, ["all"], "score", {"low": math.floor(rank) / last, "high": math.ceil(rank) / last}, width=_WIDTH
+    ).first()
+    return replace(plain, cut=(around["low"] + around["high"]) / 2)
 
 
 def quality_scores(

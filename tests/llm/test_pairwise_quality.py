@@ -77,5 +77,5 @@ def test_all_rows_and_all_pairs_count(spark):
     one, two = learn(known.repartition(5), usable), learn(known.coalesce(1), usable)
     assert one == two
     assert np.abs(np.array(one.weights) - want).max() < 2e-3
-    assert abs(one.cut - np.quantile(z @ np.array(one.weights), (y == 0).mean())) < 1e-6
+    assert abs(one.cut - np.quantile(z @ np.array(one.weights), (y == 0).mean(), method="midpoint")) < 1e-6
     assert np.abs(np.array(fit(x, y).weights) - np.array(one.weights)).max() < 1e-4
