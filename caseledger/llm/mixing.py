@@ -9,13 +9,12 @@ one for each pass over the source, and blocks are joined by their number.
 
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD_AND_GAP, fresh, n_words, stored
+from .shared import WORD_AND_GAP, n_words, stored
 
 _ROUNDS = 24
 #: Shards of a run when the slots of a source are numbered.
@@ -289,29 +288,26 @@ def mixed_documents(
     space after each. Documents that the mix takes nothing from are left out.
     """
     rows = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how).rows.filter("taken > 0")
-    nth, key = fresh(docs, "nth"), fresh(docs, "digest")
-    source = F.col(source_col).cast("string")
-    told = docs.withColumn(key, F.xxhash64(F.col(text_col))).withColumn(
-        nth, F.row_number().over(W.partitionBy(id_col, source, key).orderBy(F.lit(1)))
+    key = ["id", "source", "digest"]
+    told = docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.col(text_col)).alias("digest"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
     )
-    plan = rows.select(
-        F.col("id").alias("m_id"), F.col("source").alias("m_source"), F.col("digest").alias("m_digest"),
-        F.row_number().over(W.partitionBy("id", "source", "digest").orderBy("start")).alias("m_nth"),
-        F.col("passes").alias("m_passes"), F.col("spans").alias("m_spans"),
-    )
-    meets = [
-        F.col(id_col).eqNullSafe(F.col("m_id")), source.eqNullSafe(F.col("m_source")),
-        F.col(key) == F.col("m_digest"), F.col(nth) == F.col("m_nth"),
-    ]
-    words = F.regexp_extract_all(F.col(text_col), F.lit(WORD_AND_GAP), F.lit(0))
-    kept = F.transform("m_spans", lambda s: F.array_join(F.slice(words, (s["from"] + 1).cast("int"), s["words"].cast("int")), ""))
+    plan = rows.select(*key, F.struct("start", "passes", "spans").alias("plan"))
+    # A document and its plan are brought together under one key by a single exchange, as the texts are most of what moves. Rows
+    # alike in id, source and text take their plans in turn.
+    dealt = told.unionByName(plan, allowMissingColumns=True).repartition(*key).withColumn("is_plan", F.col("plan").isNotNull())
+    turns = dealt.withColumn("nth", F.row_number().over(W.partitionBy(*key, "is_plan").orderBy("plan.start")))
+    met = turns.withColumn("plan", F.max("plan").over(W.partitionBy(*key, "nth"))).filter(~F.col("is_plan") & F.col("plan").isNotNull())
+    passes, spans, text = F.col("plan.passes"), F.col("plan.spans"), F.col("doc")[text_col]
+    words = F.regexp_extract_all(text, F.lit(WORD_AND_GAP), F.lit(0))
+    kept = F.transform(spans, lambda s: F.array_join(F.slice(words, (s["from"] + 1).cast("int"), s["words"].cast("int")), ""))
     copies = F.concat(
-        F.when(F.col("m_passes") > 0, F.array_repeat(F.lit(False), F.col("m_passes").cast("int"))).otherwise(F.array().cast("array<boolean>")),
-        F.when(F.size("m_spans") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")),
+        F.when(passes > 0, F.array_repeat(F.lit(False), passes.cast("int"))).otherwise(F.array().cast("array<boolean>")),
+        F.when(F.size(spans) > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")),
     )
-    part = fresh(docs, "part")
-    out = told.join(plan, reduce(lambda a, b: a & b, meets)).withColumn(part, F.explode(copies))
-    out = out.withColumn(text_col, F.when(F.col(part), F.array_join(kept, "")).otherwise(F.col(text_col)))
+    out = met.withColumn("part", F.explode(copies)).withColumn("taken", F.when(F.col("part"), F.array_join(kept, "")).otherwise(text))
+    made = {text_col: F.col("taken")}
     if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        made[chars_col] = F.length("taken").cast(docs.schema[chars_col].dataType)
+    return out.select(*[made.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])

@@ -35,6 +35,13 @@ def empty(spark):
     return spark.createDataFrame([], DOCUMENT)
 
 
+def exchanges_of(df, column):
+    """The exchanges of the plan that carry a column of this name (a pattern)."""
+    plan = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    plan = plan.split("== Initial Plan ==")[-1]
+    return re.findall(rf"\) Exchange\s+Input \[\d+\]: \[[^\n]*\b(?:{column})#", plan)
+
+
 def shingles(text, width=5):
     ws = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in words(text)]
     if not ws:

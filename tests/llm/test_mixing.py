@@ -1,6 +1,6 @@
 import pytest
 from conftest import SF
-from llm_helpers import DOCUMENT, awkward, empty, prose, words
+from llm_helpers import DOCUMENT, awkward, empty, exchanges_of, prose, words
 from pyspark.sql import functions as F
 
 from caseledger.llm.mixing import mix, mixed_documents, permuted
@@ -105,6 +105,28 @@ def test_no_words(spark):
     assert [(r["target"], r["taken"]) for r in mix(blank).rows.collect()] == [(0.0, 0)] * 2
 
 
+def test_texts_move_once(spark):
+    """Where nothing is broadcast, one exchange carries the documents to what is taken from them."""
+    prepare(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert len(exchanges_of(mixed_documents(awkward(spark)), "text|doc")) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_alike_take_their_plans_in_turn(spark):
+    """Many equal rows, null ids among them: each takes what one place of theirs in the mix takes."""
+    rows = [(i, prose(i, 40), "en", "ab"[i % 2], 0, "", "", "", "") for i in range(40)]
+    rows += [(None, prose(99, 30), "en", "a", 0, "", "", "", "")] * 30 + [(7, prose(7, 40), "en", None, 0, "", "", "", "")] * 30
+    docs = prepare(spark).createDataFrame(rows, DOCUMENT)
+    places = mix(docs, block_words=16, shard_slots=8).rows.filter("taken > 0").collect()
+    wanted = sorted((str(r["id"]), str(r["source"]), n) for r in places for n in [r["size"]] * r["passes"] + [sum(s["words"] for s in r["spans"])] if n)
+    got = mixed_documents(docs, block_words=16, shard_slots=8).collect()
+    assert sorted((str(r["doc_id"]), str(r["source"]), len(words(r["text"]))) for r in got) == wanted
+
+
 def test_slots_of_a_hot_source_are_many_tasks(spark):
     """Nine of ten words are of one source: its slots are written by many tasks, none with more than its share."""
     prepare(spark)

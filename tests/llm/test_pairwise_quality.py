@@ -1,7 +1,8 @@
 import numpy as np
 from conftest import SF
-from llm_helpers import awkward, crc_fold, empty
+from llm_helpers import awkward, crc_fold, empty, exchanges_of
 
+from caseledger.llm import pairwise_quality
 from caseledger.llm.pairwise_quality import FEATURES, features, fit, good_only, learn, quality_scores
 from caseledger.llm.queries import QUERIES
 from caseledger.llm.shared import prepare
@@ -79,3 +80,18 @@ def test_all_rows_and_all_pairs_count(spark):
     assert np.abs(np.array(one.weights) - want).max() < 2e-3
     assert abs(one.cut - np.quantile(z @ np.array(one.weights), (y == 0).mean(), method="midpoint")) < 1e-6
     assert np.abs(np.array(fit(x, y).weights) - np.array(one.weights)).max() < 1e-4
+
+
+def test_texts_do_not_move_to_their_labels(spark, monkeypatch):
+    """Where labels are too many to be broadcast, the features meet them, not the texts."""
+    prepare(spark)
+    asked = []
+    monkeypatch.setattr(pairwise_quality, "learn", lambda known, usable, **_: asked.append(known.join(usable, "id")))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+        good_only(awkward(spark), labels)
+        assert exchanges_of(asked[0], "features") and not exchanges_of(asked[0], "text")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
