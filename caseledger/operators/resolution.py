@@ -272,7 +272,7 @@ def find_duplicates(cases: DataFrame, splits: DataFrame) -> DataFrame:
     )
     # Read several times below: written once.
     able = kept(able)
-    texts = _texts(able, F.col("text"))
+    texts = kept(_texts(able, F.col("text")))
     pairs = kept(S.similar_pairs(texts, texts, BLOCK, C.MERGE_COSINE))
     group = [*BLOCK, "text", "mode", "land"]
     # Every group asks in each group there is of a similar text whose mode and country agree with its own.
@@ -405,7 +405,7 @@ def _past_named(
 
 def pairwise_duplicates(cases: DataFrame, t: float = C.MERGE_COSINE) -> DataFrame:
     """Pairs of different role texts of a company that say the same: (left_text, right_text)."""
-    texts = _texts(candidate_cases(cases).filter(F.col("_text") != ""), F.col("_text"))
+    texts = kept(_texts(candidate_cases(cases).filter(F.col("_text") != ""), F.col("_text")))
     pairs = S.similar_pairs(texts, texts, BLOCK, t).filter(F.col("left_id") < F.col("right_id"))
     return pairs.withColumnsRenamed({"left_id": "left_text", "right_id": "right_text"})
 

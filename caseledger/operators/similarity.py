@@ -4,7 +4,8 @@ Vectors are sparse: an array of (dim, w) with unit length. A pair of unit vector
 at least t must share a dimension inside both of their prefixes, when dimensions are put in one
 common order and a prefix is cut where the length of what follows drops below t. Joining on
 (block, dimension) over prefixes therefore finds every such pair without comparing all of them,
-and the rarest dimensions come first in the order, so few vectors meet.
+and the rarest dimensions come first in the order, so few vectors meet. At a high t prefixes go on until
+a pair must share two dimensions in them, and the join is on both.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -107,22 +108,65 @@ def with_dot(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return df.withColumn("_map", F.map_from_entries(b)).withColumn(name, guarded).drop("_map")
 
 
-def _prefixes(vectors: DataFrame, block: list[str], rarity: DataFrame, t: float) -> DataFrame:
-    """The dimensions of each vector that a partner above t can not avoid."""
+#: From this cosine on vectors meet by two dimensions at once: prefixes are short there, so they have few twos.
+PAIRED = 0.9
+
+
+def _prefixes(vectors: DataFrame, block: list[str], rarity: DataFrame, t: float, twos: bool = False) -> DataFrame:
+    """The dimensions of each vector that a partner above t can not avoid: one of them, or two where `twos` are asked for.
+
+    One shared dimension adds at most its own square to what follows the prefix, so a prefix for twos is cut where both together
+    drop below t.
+    """
     parts = vectors.select(*block, "vec_id", F.explode("vector").alias("p")).select(
         *block, "vec_id", F.col("p.dim").alias("dim"), F.col("p.w").alias("w")
     )
     # One row per dimension that occurs. Spark sends it to all executors where it is small.
     ranked = parts.join(rarity, "dim")
-    after = (
-        W.partitionBy(*block, "vec_id").orderBy("seen", "dim")
-        .rowsBetween(W.currentRow, W.unboundedFollowing)
-    )
+    along = W.partitionBy(*block, "vec_id").orderBy("seen", "dim")
+    bound = F.sum(F.col("w") * F.col("w")).over(along.rowsBetween(W.currentRow, W.unboundedFollowing))
+    if twos:
+        largest = F.max(F.col("w") * F.col("w")).over(along.rowsBetween(W.unboundedPreceding, -1))
+        bound = bound + F.coalesce(largest, F.lit(0.0))
     return (
-        ranked.withColumn("_rest", F.sum(F.col("w") * F.col("w")).over(after))
+        ranked.withColumn("_bound", bound)
         # Slightly wide, so that rounding never loses a pair on the edge.
-        .filter(F.col("_rest") >= t * t - 1e-9)
-        .select(*block, "vec_id", "dim", (F.col("w") > 0).alias("up"))
+        .filter(F.col("_bound") >= t * t - 1e-9)
+        .select(*block, "vec_id", "seen", "dim", (F.col("w") > 0).alias("up"))
+    )
+
+
+def _twos(prefixes: DataFrame, block: list[str]) -> DataFrame:
+    """Every two dimensions of a prefix, in the common order, with their signs."""
+    whole = prefixes.groupBy(*block, "vec_id").agg(F.array_sort(F.collect_list(F.struct("seen", "dim", "up"))).alias("_all"))
+    first = whole.select(*block, "vec_id", "_all", F.posexplode("_all").alias("_at", "_a"))
+    both = first.select(*block, "vec_id", "_a", F.explode(F.slice("_all", F.col("_at") + 2, F.size("_all"))).alias("_b"))
+    return both.select(
+        *block, "vec_id", F.col("_a.dim").alias("dim"), F.col("_a.up").alias("up"),
+        F.col("_b.dim").alias("dim2"), F.col("_b.up").alias("up2"),
+    )
+
+
+def _candidates(left: DataFrame, right: DataFrame, block: list[str], rarity: DataFrame, t: float) -> DataFrame:
+    """Pairs that may have a cosine of at least t: (block, left_id, right_id).
+
+    What follows the prefixes adds less than t, so some shared dimension must pull the same way, or two of them. A vector
+    that is nearly one dimension may share no other with its partner: such ones meet all others by one.
+    """
+    def met(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+        a, b = a.withColumnRenamed("vec_id", "left_id"), b.withColumnRenamed("vec_id", "right_id")
+        return a.join(b, [*block, *on]).select(*block, "left_id", "right_id")
+
+    ones = lambda df: _prefixes(df, block, rarity, t).drop("seen")
+    if t < PAIRED:
+        return met(ones(left), ones(right), ["dim", "up"]).distinct()
+    narrow = F.exists("vector", lambda p: p["w"] * p["w"] >= t * t - 1e-9)
+    two = lambda df: _twos(_prefixes(df.filter(~narrow), block, rarity, t, twos=True), block)
+    return (
+        met(two(left), two(right), ["dim", "up", "dim2", "up2"])
+        .unionByName(met(ones(left.filter(narrow)), ones(right), ["dim", "up"]))
+        .unionByName(met(ones(left.filter(~narrow)), ones(right.filter(narrow)), ["dim", "up"]))
+        .distinct()
     )
 
 
@@ -132,7 +176,7 @@ def similar_pairs(
     """All pairs of a block with a cosine of at least t: (block, left_id, right_id, cosine).
 
     `left` and `right`: block columns, vec_id, vector. Vectors should be distinct within a block:
-    equal ones are better counted once and expanded afterwards.
+    equal ones are better counted once and expanded afterwards. From `PAIRED` on the vectors are read several times.
     """
     both = left.select("vector").unionByName(right.select("vector"))
     rarity = (
@@ -140,10 +184,7 @@ def similar_pairs(
         .groupBy("dim")
         .agg(F.count("*").alias("seen"))
     )
-    a = _prefixes(left, block, rarity, t).withColumnRenamed("vec_id", "left_id")
-    b = _prefixes(right, block, rarity, t).withColumnRenamed("vec_id", "right_id")
-    # What follows the prefixes adds less than t, so some shared dimension must pull the same way.
-    candidates = a.join(b, [*block, "dim", "up"]).select(*block, "left_id", "right_id").distinct()
+    candidates = _candidates(left, right, block, rarity, t)
     lv = left.select(*block, F.col("vec_id").alias("left_id"), F.col("vector").alias("_a"))
     rv = right.select(*block, F.col("vec_id").alias("right_id"), F.col("vector").alias("_b"))
     met = candidates.join(lv, [*block, "left_id"]).join(rv, [*block, "right_id"])

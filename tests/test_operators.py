@@ -6,7 +6,7 @@ from zoneinfo import ZoneInfo
 
 from pyspark.sql import functions as F
 
-from caseledger.operators import skew
+from caseledger.operators import similarity, skew
 from caseledger.operators.fold import fold
 from caseledger.operators.similarity import similar_pairs, with_sparse_from_dense
 from caseledger.plans.nudges import delivery
@@ -94,6 +94,31 @@ def test_similar_pairs_finds_all(spark):
     assert got == want
 
 
+def test_high_cosines_meet_by_two_dimensions(spark):
+    """All pairs, among them vectors of one dimension and of nearly one, and far fewer candidates than by one dimension."""
+    r = random.Random(3)
+    rows = []
+    for i in range(60):
+        base = [r.gauss(0, 1) if r.random() < 0.3 else 0.0 for _ in range(24)]
+        rows += [(base, 0.0), (base, 0.1), (base, 0.2)]
+    rows = [[x + r.gauss(0, s) if x else x for x in base] for base, s in rows]
+    rows += [[0.0] * k + [sign * 2.0] + [0.0] * (23 - k) for k in (0, 5) for sign in (1, -1)]
+    rows += [[4.0] + [r.gauss(0, 0.2) for _ in range(23)] for _ in range(4)] + [[0.0] * 24]
+    rows = [(i % 2, i, x) for i, x in enumerate(rows)]
+    v = with_sparse_from_dense(spark.createDataFrame(rows, "b int, vec_id int, e array<double>"), "e").drop("e")
+
+    def cos(a, b):
+        return sum(x * y for x, y in zip(a, b)) / ((sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5 or 1)
+
+    for t in (0.9, 0.93, 0.99):
+        got = {(x.left_id, x.right_id) for x in similar_pairs(v, v, ["b"], t).collect()}
+        assert got == {(i, j) for b, i, x in rows for c, j, y in rows if b == c and cos(x, y) >= t}
+    seen = v.select(F.explode("vector.dim").alias("dim")).groupBy("dim").agg(F.count("*").alias("seen"))
+    by_one = similarity._prefixes(v, ["b"], seen, 0.93).select("b", "vec_id", "dim", "up")
+    ones = by_one.join(by_one.withColumnRenamed("vec_id", "other"), ["b", "dim", "up"]).select("vec_id", "other").distinct().count()
+    assert similarity._candidates(v, v, ["b"], seen, 0.93).count() < 0.75 * ones
+
+
 def brute_delivery(pending, zones, sent):
     """The notifications one after the other, as a service would judge them."""
     used = {(u, d) for u, d in sent}
