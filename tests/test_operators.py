@@ -95,7 +95,7 @@ def test_similar_pairs_finds_all(spark):
 
 
 def test_high_cosines_meet_by_two_dimensions(spark):
-    """All pairs, among them vectors of one dimension and of nearly one, and far fewer candidates than by one dimension."""
+    """All pairs, among them vectors of one dimension and of nearly one, and fewer candidates than by one dimension."""
     r = random.Random(3)
     rows = []
     for i in range(60):
