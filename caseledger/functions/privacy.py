@@ -134,7 +134,12 @@ def deny_list(json: Column) -> Column:
 _NAMED_LINE = r"(?im)^(?:from|to|cc|reply-to)[ \t]*:[ \t]*[^<\n]*[^<\n \t\"][\" \t]*<"
 _MAILBOX = r"[\w.%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 _WEB = r"""(?i)https?://[^\s<>"')]+"""
-_RUN = r"(?<![0-9A-Za-z_])[0-9]{6,}(?![0-9A-Za-z_])"
+#: A boundary is looked for behind the first digit, which few characters are.
+_RUN = r"[0-9](?<![0-9A-Za-z_][0-9])[0-9]{5,}+(?![0-9A-Za-z_])"
+
+#: A mailbox from its @ on, which is rare; what stands before it is looked up afterwards. A match that ended at the @ leaves nothing for its name.
+_AT_HOST = r"@(?<=[\w.%+-]@)(?<!\G@)(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}"
+_BACKWARDS = r"^[\w.%+-]+"
 
 
 def _letters(value: Column, n: int = 10) -> Column:
@@ -142,13 +147,19 @@ def _letters(value: Column, n: int = 10) -> Column:
     return F.translate(F.substring(F.sha2(F.lower(value), 256), 1, n), "0123456789", "ghijklmnop")
 
 
-def _each(text: Column, pattern: str, new: Callable[[Column], Column]) -> Column:
-    """Every match replaced by what is made of it; the text between stays."""
-    pieces = F.zip_with(
-        F.split(text, pattern, -1), F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), new),
-        lambda gap, x: F.concat(gap, F.coalesce(x, F.lit(""))),
-    )
-    return F.when(F.rlike(text, F.lit(pattern)), F.array_join(pieces, "")).otherwise(text)
+def _once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is worked out once, however often it stands in there."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def _each(text: Column, pattern: str, new: Callable[[Column, Column], Column]) -> Column:
+    """Every match, with the text before it, replaced by what is made of the two; the text after the last one stays."""
+    def replaced(t: Column) -> Column:
+        return _once(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) > 0, F.array_join(
+            F.zip_with(F.split(t, pattern, -1), found, lambda gap, m: F.when(m.isNull(), gap).otherwise(new(gap, m))), "",
+        )).otherwise(t))
+
+    return _once(text, replaced)
 
 
 def anonymiser(kept_domains: Iterable[str]) -> Callable[[Column], Column]:
@@ -163,11 +174,12 @@ def anonymiser(kept_domains: Iterable[str]) -> Callable[[Column], Column]:
     def host(name: Column, kind: str) -> Column:
         return F.when(F.rlike(name, F.lit(known)), name).otherwise(F.concat(F.lit(f"{kind}-"), _letters(name), F.lit(".invalid")))
 
-    def mailbox(m: Column) -> Column:
-        return F.concat(
-            F.lit("person-"), _letters(F.substring_index(m, "@", 1)), F.lit("@"),
-            host(F.lower(F.substring_index(m, "@", -1)), "org"),
-        )
+    def mailbox(gap: Column, m: Column) -> Column:
+        name = F.reverse(F.regexp_extract(F.reverse(gap), _BACKWARDS, 0))
+        return _once(name, lambda n: F.concat(
+            F.substring(gap, F.lit(1), F.length(gap) - F.length(n)), F.lit("person-"), _letters(n), F.lit("@"),
+            _once(F.lower(F.substring(m, 2, 2**31 - 1)), lambda h: host(h, "org")),
+        ))
 
     def web(m: Column) -> Column:
         rest = F.substring_index(m, "://", -1)
@@ -181,10 +193,13 @@ def anonymiser(kept_domains: Iterable[str]) -> Callable[[Column], Column]:
         digits = F.translate(F.sha2(m, 256), "abcdef", "012345")
         return F.substring(F.repeat(digits, F.ceil(F.length(m) / 64).cast("int")), F.lit(1), F.length(m))
 
+    def after(new: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
+        return lambda gap, m: F.concat(gap, new(m))
+
     def anonymise(text: Column) -> Column:
-        out = _each(text, _NAMED_LINE, named)
-        out = _each(out, _MAILBOX, mailbox)
-        out = _each(out, _WEB, web)
-        return _each(out, _RUN, number)
+        out = _each(text, _NAMED_LINE, after(named))
+        out = _each(out, _AT_HOST, mailbox)
+        out = _each(out, _WEB, after(web))
+        return _each(out, _RUN, after(number))
 
     return anonymise
