@@ -7,7 +7,7 @@ from caseledger.operators.fold import fold
 from caseledger.operators.reach import phase_reach
 from caseledger.plans.sweeps import dead_letters
 from caseledger.schemas import EVENT
-from caseledger.streaming import jobs
+from caseledger.streaming import jobs, views
 
 
 def parts(tables, tmp_path):
@@ -61,6 +61,55 @@ def test_a_tenant_reads_its_partition_only(spark, tables, tmp_path):
     assert rows.count() == log.filter("user_id = 3").count()
 
 
+def test_joins_of_a_batch_do_not_go_by_the_size_of_files(spark, tables, tmp_path, monkeypatch):
+    """Stages and stored events whose files are small are joined by shuffles until their rows have been seen to be few."""
+    path = lambda n: str(tmp_path / n)
+    log = tables.log.filter("user_id < 3").select(*[f.name for f in EVENT.fields])
+    for k in range(2):
+        log.filter(F.col("seq") % 2 == k).coalesce(1).write.mode("append").parquet(path("in"))
+    tables.cases.filter("user_id < 3").withColumn("status", F.lit("live")).withColumn("applied_at", F.col("created_at")).withColumn(
+        "current_phase", F.lit("sent")).write.parquet(path("cases"))
+    tables.stage_defs.filter("user_id < 3").write.parquet(path("stages"))
+    plans, before = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+
+    def seen(call):
+        def noted(*args):
+            rows = call(*args)
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+            return rows
+
+        return noted
+
+    contributions = seen(views.contributions)
+    for name in ("new_events", "fold", "phase_reach"):
+        monkeypatch.setattr(jobs, name, seen(getattr(jobs, name)))
+    monkeypatch.setattr(
+        jobs, "refresh_views", lambda spark, cases, log, touched, folder, stage_defs, number: contributions(cases, log, stage_defs))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(path("in"))
+    jobs.project(
+        stream, path("log"), path("states"), path("cp"), stage_defs=spark.read.parquet(path("stages")), buckets=4,
+        reach=(path("cases"), path("reach")), views=(path("cases"), path("views")),
+    ).awaitTermination()
+    assert len(plans) == 8 and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for p in plans)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
+
+
+def test_large_sides_are_measured_and_kept_from_the_driver(spark):
+    other = spark.newSession()
+    for size, measured in (("10MB", str(10 * 2**20 // 8)), ("-1", "-1")):
+        other.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        other.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        for _ in range(2):
+            jobs._measured(other)
+            assert other.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == measured
+            assert other.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+
+
+def test_projection_does_not_broadcast_parts_or_stages(spark, tables):
+    plan = tables.cases._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_failures_drain(spark, tables, tmp_path):
     path = lambda n: str(tmp_path / n)
     failed = spark.range(12).select(
